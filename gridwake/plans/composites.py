@@ -1 +1,183 @@
-QUERIES, SQL = {}, {}
+"""The questions a user asks, composed from the operators, and the streaming ingest."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridwake.functions import geodesy, ids, indices
+from gridwake.operators import checks
+from gridwake.operators import observations as ob
+from gridwake.operators import scoring
+from gridwake.operators import windows as wi
+from gridwake.plans.base import BOX, GOOD, obs, with_obs
+from gridwake.plans.evaluations import _FEATURES, _HARM, _SIGNALS, _WAVE, _WEIGHTS, evaluate, features, ml_15, signal_windows, _EVAL, _signal_sql
+from gridwake.plans.registry import Registry
+from gridwake.plans.scans import _POINTS, points, scratch
+from gridwake.plans.statistics import _SEEN, _SERIES_SQL, _YEARS, reduced, series
+from gridwake.sources import readers
+from gridwake.sources.tables import table
+from gridwake.streaming import ingest
+
+R = Registry()
+r6 = lambda c, name: F.round(c, 6).alias(name)
+_IN_BOX = f"lon BETWEEN {BOX[0]} AND {BOX[2]} AND lat BETWEEN {BOX[1]} AND {BOX[3]}"
+
+
+@R.add("qry_01", with_obs(_POINTS) + "SELECT o.obs_id, o.date, o.source, round(i_ndvi, 6) AS ndvi, round(vh_db, 6) AS vh FROM obs o JOIN (SELECT point_id FROM pts ORDER BY (lon - 141.0) ** 2 + (lat + 17.0) ** 2, point_id LIMIT 1) USING (point_id)")
+def qry_01(spark, d):
+    """The history of the point nearest to a place."""
+    return readers.at_nearest(obs(spark, d), points(spark, d), 141.0, -17.0).select("obs_id", "date", "source", r6("i_ndvi", "ndvi"), r6("vh_db", "vh"))
+
+
+@R.add("qry_02", with_obs() + f"SELECT obs_id, point_id, date, source FROM obs WHERE {_IN_BOX}")
+def qry_02(spark, d):
+    return ob.in_box(obs(spark, d), BOX).select("obs_id", "point_id", "date", "source")
+
+
+@R.add("qry_03", with_obs() + f"SELECT date, {_SERIES_SQL} FROM obs WHERE {_SEEN} AND {_IN_BOX} GROUP BY date")
+def qry_03(spark, d):
+    """The flagship: index and radar series of a box."""
+    return series(ob.in_box(obs(spark, d), BOX)).orderBy("date")
+
+
+@R.add("qry_04", with_obs("cv AS (SELECT tile_id, year, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM obs WHERE tile_id IS NOT NULL GROUP BY ALL)") + f"SELECT tile_id, year FROM cv WHERE w <= {BOX[2]} AND e >= {BOX[0]} AND s <= {BOX[3]} AND n >= {BOX[1]}")
+def qry_04(spark, d):
+    manifest = readers.coverage(obs(spark, d).where("tile_id IS NOT NULL"), ["tile_id", "year"])
+    return manifest.where(geodesy.overlaps(tuple(F.col(c) for c in ("west", "south", "east", "north")), tuple(F.lit(x) for x in BOX))).select("tile_id", "year")
+
+
+_BEST = "SELECT * FROM obs WHERE source = 'S2' QUALIFY row_number() OVER (PARTITION BY point_id, date ORDER BY scl_purity DESC NULLS LAST, item_id ASC NULLS LAST, obs_id, loaded_at) = 1"
+
+
+@R.add("qry_05", with_obs("b AS (" + _BEST + ")") + f"SELECT obs_id, 't_' || point_id AS point_id, date FROM b WHERE {_IN_BOX} AND B02 IS NOT NULL AND B03 IS NOT NULL AND B04 IS NOT NULL AND B05 IS NOT NULL AND B06 IS NOT NULL AND B07 IS NOT NULL AND B08 IS NOT NULL AND B8A IS NOT NULL AND B11 IS NOT NULL AND B12 IS NOT NULL")
+def qry_05(spark, d):
+    """The training table of a box: one clear row per point and day, all bands there, ids marked."""
+    best = ob.best_per_day(ob.in_box(obs(spark, d), BOX)).where("source = 'S2'")
+    return ob.with_all_bands(best).select("obs_id", F.concat(F.lit("t_"), "point_id").alias("point_id"), "date")
+
+
+@R.add("qry_06", with_obs("k AS (SELECT point_id, year FROM obs GROUP BY ALL HAVING count(*) FILTER (source = 'S2') >= 10 AND count(*) FILTER (source = 'S1') >= 4)", _FEATURES, "pl AS (SELECT point_id, min(lat) AS lat, min(label) AS label FROM obs GROUP BY 1)", "sp AS (SELECT point_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY lat, point_id) <= greatest(1, floor(count(*) OVER (PARTITION BY label) * 0.2)) THEN 'validation' ELSE 'train' END AS split FROM pl)")
+       + "SELECT point_id, year, label, split, round(a, 6) AS p5, round(b, 6) AS p95 FROM fe SEMI JOIN k USING (point_id, year) JOIN sp USING (point_id)")
+def qry_06(spark, d):
+    from gridwake.operators.evaluation import southern_split
+
+    df = obs(spark, d)
+    splits = southern_split(df.groupBy("point_id").agg(F.min("lat").alias("lat"), F.min("label").alias("label")), 0.2).select("point_id", "label", "split")
+    kept = ob.enough(df, 10, 4).groupBy(*wi.WINDOW).agg(*wi.band_summary(F.col("i_ndvi"), "n"))
+    return kept.join(splits, "point_id").select("point_id", "year", "label", "split", r6("n_p5", "p5"), r6("n_p95", "p95"))
+
+
+_FINAL = ("yr AS (SELECT point_id, year, 1 / (1 + exp(-(2.0 * a + 1.5 * b - 3.0 * c - 0.5))) AS p FROM fe)", "fs AS (SELECT point_id, round(sum(exp(-0.3 * (2022 - year)) * p) / sum(exp(-0.3 * (2022 - year))), 6) AS score FROM yr GROUP BY 1)")
+
+
+def final_scores(spark, d):
+    yearly = features(spark, d).select(*wi.WINDOW, scoring.linear_scorer(_WEIGHTS, -0.5).alias("score"))
+    return scoring.over_years(yearly, 2022, 0.3).select("point_id", r6("score", "score"))
+
+
+@R.add("qry_07", with_obs(_FEATURES, *_FINAL, _POINTS) + "SELECT point_id, lon, lat, score, row_number() OVER (ORDER BY score DESC NULLS LAST, point_id)::INT AS rank FROM pts JOIN fs USING (point_id)")
+def qry_07(spark, d):
+    none = points(spark, d).select("point_id", F.lit(None).cast("string").alias("label"))
+    return scoring.ranking(points(spark, d), final_scores(spark, d), none).where("score IS NOT NULL").drop("label")
+
+
+@R.add("qry_08", with_obs(_FEATURES, *_FINAL) + "SELECT (regexp_extract(point_id, '_([0-9]+)$', 1)::INT // 16)::INT AS row, (regexp_extract(point_id, '_([0-9]+)_[0-9]+$', 1)::INT // 16)::INT AS col, max(round_even(score * 100, 0)::INT) AS value FROM fs GROUP BY ALL")
+def qry_08(spark, d):
+    scores = final_scores(spark, d).withColumn("score", indices.percent(F.col("score")))
+    return scoring.to_grid(scores, F.floor(ids.northing(F.col("point_id")) / 16).cast("int"), F.floor(ids.easting(F.col("point_id")) / 16).cast("int"))
+
+
+@R.add("qry_09", "WITH " + ", ".join([with_obs().removeprefix("WITH ").strip()]) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS signal, * FROM ({with_obs(_signal_sql(c)).rstrip()}{_EVAL})" for n, c in _SIGNALS.items()) + ")")
+def qry_09(spark, d):
+    parts = [evaluate(signal_windows(spark, d, c)).withColumn("signal", F.lit(n)) for n, c in _SIGNALS.items()]
+    return ob.merged(*parts)
+
+
+@R.add("qry_10", with_obs(_HARM) + "SELECT o.tile_id, o.year, count(*) AS n, round(avg(B08 * coalesce(scale_factor, 1)), 4) AS nir FROM obs o LEFT JOIN (SELECT * FROM co WHERE band = 'B08') c USING (tile_id, year) WHERE B08 IS NOT NULL AND o.tile_id IS NOT NULL GROUP BY ALL")
+def qry_10(spark, d):
+    df = obs(spark, d).where("B08 IS NOT NULL")
+    fitted = scoring.apply_corrections(df, scoring.harmonise(obs(spark, d), ["B04", "B08"]), ["B08"])
+    return fitted.where("tile_id IS NOT NULL").groupBy("tile_id", "year").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("B08"), 4).alias("nir"))
+
+
+@R.add("qry_11")
+def qry_11(spark, d):
+    """All data-quality checks of the table and their overall verdict."""
+    return checks.report(obs(spark, d), BOX, 1000)
+
+
+@R.add("qry_12", with_obs("h AS (SELECT point_id, avg(vh_db) FILTER (doy BETWEEN 121 AND 304) AS v FROM obs GROUP BY 1)", _POINTS) + "SELECT point_id, lon, lat, CASE WHEN v >= -16 THEN 1.0 WHEN v IS NOT NULL THEN 0.0 END AS score FROM pts JOIN h USING (point_id)")
+def qry_12(spark, d):
+    return points(spark, d).join(scoring.dry_heuristic(obs(spark, d), -16.0), "point_id").select("point_id", "lon", "lat", "score")
+
+
+@R.add("qry_13", with_obs(_WAVE, "wf AS (SELECT point_id, round(max(peak), 6) AS peak_value, count(*) AS years_detected FROM pk GROUP BY 1 HAVING count(*) >= 2)") + "SELECT point_id, peak_value, years_detected FROM wf")
+def qry_13(spark, d):
+    return ml_15(spark, d).select("point_id", "peak_value", "years_detected")
+
+
+# What each cover type is expected to show (low, high): wet peak, dry floor, difference, dry radar ratio.
+EXPECTED = {
+    "presence": ((0.75, 0.90), (0.20, 0.35), (0.50, 9.9), (-6.0, -3.0)),
+    "mangrove": ((0.85, 0.97), (0.60, 0.97), (0.0, 0.30), (-6.0, -3.0)),
+    "bare": ((0.45, 0.80), (0.08, 0.20), (0.40, 9.9), (-9.9, -6.5)),
+    "riparian": ((0.65, 0.90), (0.25, 0.55), (0.25, 0.55), (-6.0, -3.0)),
+}
+_MEASURES = ("wet_peak", "dry_floor", "delta", "vhvv_dry")
+
+
+def verdict(cover, years):
+    """``none`` without data, ``fail`` outside a range, ``flag`` within a tenth of its ends or with a wide spread, else ``pass``."""
+    fail, flag = F.lit(False), F.coalesce(F.col("iqr_max") > 0.12, F.lit(False))
+    for kind, ranges in EXPECTED.items():
+        for name, (low, high) in zip(_MEASURES, ranges):
+            x, mine = F.col(name), cover == kind
+            inside = x.between(low, high)
+            edge = inside & (((x - low) / (high - low) < 0.1) | ((high - x) / (high - low) < 0.1))
+            fail |= F.coalesce(mine & ~inside, F.lit(False))
+            flag |= F.coalesce(mine & edge, F.lit(False))
+    wet_surface = cover == "water"
+    dry, wet = F.coalesce(F.col("dry_floor") >= 0.1, F.lit(False)), F.col("wet_peak")
+    water = F.when(wet.isNull(), "none").when((wet >= 0.1) | dry, "fail").when(wet >= 0, "flag").otherwise("pass")
+    land = F.when(wet.isNull() & F.col("dry_floor").isNull(), "none").when(fail, "fail").when(flag, "flag").otherwise("pass")
+    return years.withColumn("verdict", F.when(wet_surface, water).otherwise(land))
+
+
+def _verdict_sql() -> str:
+    fails, flags = [], ["coalesce(iqr_max > 0.12, false)"]
+    for name, (low, high) in zip(_MEASURES, EXPECTED["presence"]):
+        fails.append(f"coalesce({name} NOT BETWEEN {low} AND {high}, false)")
+        flags.append(f"coalesce({name} BETWEEN {low} AND {high} AND (({name} - {low}) / ({high} - {low}) < 0.1 OR ({high} - {name}) / ({high} - {low}) < 0.1), false)")
+    return f"CASE WHEN wet_peak IS NULL AND dry_floor IS NULL THEN 'none' WHEN {' OR '.join(fails)} THEN 'fail' WHEN {' OR '.join(flags)} THEN 'flag' ELSE 'pass' END"
+
+
+_AUDIT = with_obs(_YEARS, "yd AS (SELECT *, round(wet_peak - dry_floor, 6) AS delta FROM ys)")
+
+
+def audited(spark, d):
+    years = reduced(obs(spark, d)).withColumn("delta", F.round(F.col("wet_peak") - F.col("dry_floor"), 6))
+    return verdict(ids.cover_type(F.col("region_id")), years)
+
+
+R.add("fn_26", _AUDIT + f"SELECT region_id, year, {_verdict_sql()} AS verdict FROM yd")(lambda spark, d: audited(spark, d).select("region_id", "year", "verdict"))
+R.add("dq_16", _AUDIT + f"SELECT region_id, count(*) AS n_years, count(*) FILTER (v = 'fail') AS n_fail, count(*) FILTER (v = 'flag') AS n_flag, count(*) FILTER (v = 'pass') AS n_pass FROM (SELECT region_id, {_verdict_sql()} AS v FROM yd) GROUP BY 1")(
+    lambda spark, d: audited(spark, d).groupBy("region_id").agg(F.count(F.lit(1)).alias("n_years"), *[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("fail", "flag", "pass")])
+)
+
+
+# ---- streaming ----------------------------------------------------------------------------------------------------------
+
+
+@R.add("stream_01", "SELECT obs_id FROM (SELECT DISTINCT obs_id FROM observations)")
+def stream_01(spark, d):
+    """Observations arriving as a stream, each delivered once into a table."""
+    return ingest.deliver_once(spark, d, scratch(spark, "stream_01")).select("obs_id")
+
+
+@R.add("stream_02", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_02(spark, d):
+    """Hourly counts of events by event time, with a watermark."""
+    return ingest.hourly_counts(spark, d, scratch(spark, "stream_02"))
+
+
+QUERIES, SQL = R.queries, R.sql

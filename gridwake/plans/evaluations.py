@@ -1 +1,275 @@
-QUERIES, SQL = {}, {}
+"""Splits, evaluation of signals, models and data quality."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridwake.functions import ids, indices
+from gridwake.operators import checks
+from gridwake.operators import evaluation as ev
+from gridwake.operators import observations as ob
+from gridwake.operators import scoring
+from gridwake.operators import windows as wi
+from gridwake.plans.base import BANDS, BOX, GOOD, obs, with_obs
+from gridwake.plans.registry import Registry
+from gridwake.plans.statistics import _CHUNK_SQL, _CURVE, _SITE_AUC, _WAVE, chunk_quality, labelled_scores, rounded, site_auc
+from gridwake.sources.tables import table
+
+R = Registry()
+r6 = lambda c, name: F.round(c, 6).alias(name)
+_POINTS = "pl AS (SELECT point_id, min(lat) AS lat, min(label) AS label, min(region_id) AS region_id FROM obs GROUP BY 1)"
+
+
+def points(spark, d):
+    return obs(spark, d).groupBy("point_id").agg(F.min("lat").alias("lat"), F.min("label").alias("label"), F.min("region_id").alias("region_id"))
+
+
+@R.add("ml_01", with_obs(_POINTS) + "SELECT point_id, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY lat, point_id) <= greatest(1, floor(count(*) OVER (PARTITION BY label) * 0.2)) THEN 'validation' ELSE 'train' END AS split FROM pl")
+def ml_01(spark, d):
+    return ev.southern_split(points(spark, d), 0.2).select("point_id", "split")
+
+
+@R.add("ml_02", with_obs(_POINTS) + "SELECT point_id, CASE WHEN region_id IN ('luninya_spur_presence_01', 'quoribo_bend_presence_01') THEN 'validation' ELSE 'train' END AS split FROM pl")
+def ml_02(spark, d):
+    return ev.hold_out(points(spark, d), "region_id", ["luninya_spur_presence_01", "quoribo_bend_presence_01"]).select("point_id", "split")
+
+
+@R.add("ml_03", with_obs(_POINTS) + "SELECT point_id, CASE WHEN starts_with(region_id, 'luninya_spur_') THEN 'validation' ELSE 'train' END AS split FROM pl")
+def ml_03(spark, d):
+    return ev.hold_out(points(spark, d).withColumn("site", ids.site(F.col("region_id"))), "site", ["luninya_spur"]).select("point_id", "split")
+
+
+@R.add("ml_04", with_obs(_SITE_AUC, "ra AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM sc WHERE score IS NOT NULL)") + "SELECT sum(label) AS n_pos, sum(1 - label) AS n_neg, round((sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * sum(1 - label)), 6) AS auc FROM ra")
+def ml_04(spark, d):
+    return ev.auroc(labelled_scores(spark, d), []).select("n_pos", "n_neg", r6("auc", "auc"))
+
+
+@R.add("ml_05", with_obs(_SITE_AUC) + "SELECT * FROM au")
+def ml_05(spark, d):
+    return site_auc(spark, d)
+
+
+@R.add("ml_06", with_obs(_SITE_AUC, _CURVE) + "SELECT threshold, round(2 * tp / (tp + fp + pos), 9) AS f1, tp, fp, pos - tp AS fn, neg - fp AS tn, round(tp / (tp + fp), 6) AS precision, round(tp / nullif(pos, 0), 6) AS recall FROM cu ORDER BY f1 DESC, threshold DESC LIMIT 1")
+def ml_06(spark, d):
+    return rounded(ev.best_f1(labelled_scores(spark, d)), ["threshold", "f1"])
+
+
+@R.add("ml_07", with_obs(_SITE_AUC) + "SELECT round(sum(n * abs(p - y)) / sum(n), 6) AS ece, sum(n) AS n FROM (SELECT least(floor(least(greatest(score, 0), 1) * 10), 9) AS bin, count(*) AS n, avg(least(greatest(score, 0), 1)) AS p, avg(label) AS y FROM sc WHERE score IS NOT NULL GROUP BY 1)")
+def ml_07(spark, d):
+    df = labelled_scores(spark, d).withColumn("score", indices.clamp(F.col("score"), 0.0, 1.0))
+    return ev.calibration_error(df).select(r6("ece", "ece"), "n")
+
+
+@R.add("ml_08", with_obs(_SITE_AUC) + "SELECT site, auc, auc >= 0.85 AS passed FROM au")
+def ml_08(spark, d):
+    return site_auc(spark, d).select("site", "auc", (F.col("auc") >= 0.85).alias("passed"))
+
+
+_SIGNALS = {"ndvi": "i_ndvi", "mavi": "i_mavi", "ndre": "i_ndre", "vh": "vh_db"}
+
+
+def signal_windows(spark, d, column):
+    """5th percentile of a signal per window, with its label."""
+    return obs(spark, d).where(F.expr(f"({GOOD}) OR source = 'S1'")).groupBy(*wi.WINDOW).agg(F.min("label").alias("label"), r6(F.percentile(column, F.lit(0.05)), "v"))
+
+
+def _signal_sql(c):
+    return f"sw AS (SELECT point_id, year, min(label) AS label, round(quantile_cont({c}, 0.05), 6) AS v FROM obs WHERE ({GOOD}) OR source = 'S1' GROUP BY point_id, year)"
+
+
+_EVAL = """, rk AS (SELECT CASE WHEN label = 'presence' THEN 1 ELSE 0 END AS y, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS r FROM sw WHERE v IS NOT NULL AND label IN ('presence', 'absence')),
+ qa AS (SELECT quantile_cont(v, 0.25) FILTER (label = 'presence') AS a1, quantile_cont(v, 0.75) FILTER (label = 'presence') AS a3, quantile_cont(v, 0.25) FILTER (label = 'absence') AS b1, quantile_cont(v, 0.75) FILTER (label = 'absence') AS b3, count(v) FILTER (label = 'presence') AS na, count(v) FILTER (label = 'absence') AS nb FROM sw)
+SELECT round(greatest(0, least(a3, b3) - greatest(a1, b1)) / (greatest(a3, b3) - least(a1, b1)), 6) AS overlap, na, nb, (SELECT round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) FROM rk) AS auc FROM qa"""
+
+
+def evaluate(df):
+    """A signal's quartile overlap and AUROC between the classes: two rows' worth of aggregates, joined."""
+    labelled = df.where(F.col("label").isin("presence", "absence")).withColumn("y", F.when(F.col("label") == "presence", 1).otherwise(0))
+    area = ev.auroc(labelled, [], "v", "y").select(r6("auc", "auc"))
+    return ev.quartile_overlap(df, "v").crossJoin(F.broadcast(area)).select(r6("overlap", "overlap"), "na", "nb", "auc")  # one row each
+
+
+for _name, _column in _SIGNALS.items():
+    R.add(f"ml_09_{_name}", with_obs(_signal_sql(_column)).rstrip("\n") + _EVAL)(lambda spark, d, c=_column: evaluate(signal_windows(spark, d, c)))
+
+R.add("fn_25", with_obs(_signal_sql("i_evi")).rstrip("\n") + _EVAL.replace(", na, nb, (SELECT round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) FROM rk) AS auc", ", na, nb"))(lambda spark, d: ev.quartile_overlap(signal_windows(spark, d, "i_evi"), "v").select(r6("overlap", "overlap"), "na", "nb"))
+
+
+@R.add("ml_10", with_obs("w AS (SELECT point_id, year, round(quantile_cont(i_ndvi, 0.05) FILTER (" + GOOD + "), 6) AS a, round(avg(vh_db) FILTER (doy BETWEEN 121 AND 304), 6) AS b FROM obs GROUP BY ALL)", "k AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM w WHERE a IS NOT NULL AND b IS NOT NULL)") + "SELECT round(corr(ra, rb), 6) AS rho, count(*) AS n FROM k")
+def ml_10(spark, d):
+    w = obs(spark, d).groupBy(*wi.WINDOW).agg(r6(F.percentile(F.when(F.expr(GOOD), F.col("i_ndvi")), F.lit(0.05)), "a"), r6(F.avg(F.when(wi.flags_dry(F.col("doy")), F.col("vh_db"))), "b"))
+    return ev.spearman(w, "a", "b").select(r6("rho", "rho"), "n")
+
+
+def features(spark, d):
+    """Per window: annual summaries as model features, and the label."""
+    columns = [x for c in ("i_ndvi", "i_mavi", "vh_db") for x in wi.band_summary(F.col(c), c)]
+    return obs(spark, d).groupBy(*wi.WINDOW).agg(F.min("label").alias("label"), *columns)
+
+
+@R.add("ml_11")
+def ml_11(spark, d):
+    """A logistic model trained on the annual features, by distributed optimisation over all windows."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    df = features(spark, d).where(F.col("label").isin("presence", "absence"))
+    names = [c for c in df.columns if c not in (*wi.WINDOW, "label")]
+    ready = VectorAssembler(inputCols=names, outputCol="x").transform(df.withColumn("y", F.when(F.col("label") == "presence", 1.0).otherwise(0.0)))
+    model = LogisticRegression(featuresCol="x", labelCol="y", regParam=0.01, maxIter=20).fit(ready)
+    rows = [(n, float(w)) for n, w in zip([*names, "intercept"], [*model.coefficients, model.intercept])]
+    return spark.createDataFrame(rows, "feature string, weight double")
+
+
+_WEIGHTS = {"i_ndvi_p5": 2.0, "i_ndvi_p95": 1.5, "i_mavi_std": -3.0}
+_FEATURES = "fe AS (SELECT point_id, year, CASE WHEN count(i_ndvi) < 2 THEN 0 ELSE quantile_cont(i_ndvi, 0.05) END AS a, CASE WHEN count(i_ndvi) < 2 THEN 0 ELSE quantile_cont(i_ndvi, 0.95) END AS b, CASE WHEN count(i_mavi) < 2 THEN 1 ELSE stddev_pop(i_mavi) END AS c FROM obs GROUP BY ALL)"
+
+
+@R.add("ml_12", with_obs(_FEATURES) + "SELECT point_id, year, round(1 / (1 + exp(-(2.0 * a + 1.5 * b - 3.0 * c - 0.5))), 6) AS prob FROM fe")
+def ml_12(spark, d):
+    return features(spark, d).select(*wi.WINDOW, r6(scoring.linear_scorer(_WEIGHTS, -0.5), "prob"))
+
+
+@R.add("ml_12_arrow", with_obs(_FEATURES) + "SELECT point_id, year, round(1 / (1 + exp(-(2.0 * a + 1.5 * b - 3.0 * c - 0.5))), 6) AS prob FROM fe")
+def ml_12_arrow(spark, d):
+    """The same model through the boundary that any other model would use."""
+    import numpy as np
+    import pyarrow as pa
+
+    def model(batches):
+        for b in batches:
+            x = sum(w * b.column(n).to_numpy() for n, w in _WEIGHTS.items()) - 0.5
+            yield pa.RecordBatch.from_arrays([b.column("point_id"), b.column("year"), pa.array(np.round(1 / (1 + np.exp(-x)), 6))], names=["point_id", "year", "prob"])
+
+    return scoring.score_with(features(spark, d).select(*wi.WINDOW, *_WEIGHTS), model, "point_id string, year int, prob double")
+
+
+@R.add("ml_13", with_obs(_FEATURES) + "SELECT point_id, year, round(CASE WHEN 1 / (1 + exp(-(2.0 * a - 0.2))) >= 0.5 THEN 1 / (1 + exp(-(2.0 * a + 1.5 * b - 3.0 * c - 0.5))) ELSE 0 END, 6) AS score FROM fe")
+def ml_13(spark, d):
+    gated = scoring.cascade(features(spark, d), scoring.linear_scorer({"i_ndvi_p5": 2.0}, -0.2), scoring.linear_scorer(_WEIGHTS, -0.5), 0.5)
+    return gated.select(*wi.WINDOW, r6("score", "score"))
+
+
+@R.add("ml_14")
+def ml_14(spark, d):
+    """Seeded augmentation: a tenth of the rows dropped, days shifted and bands offset per window."""
+    unit = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1_000_000)) / 1_000_000.0
+    df = ob.optical(obs(spark, d)).where(unit("obs_id", F.lit(1)) >= 0.1)
+    shift = F.floor(unit("point_id", "year", F.lit(2)) * 21).cast("int") - 10
+    return df.select("obs_id", indices.shift_doy(F.col("doy"), 0).alias("plain_doy"), (F.pmod(F.col("doy") - 1 + shift, F.lit(365)) + 1).alias("doy"), F.round(indices.reflectance("B08") + (unit("point_id", "year", F.lit(3)) - 0.5) * 0.02, 6).alias("B08"))
+
+
+_VECTOR = with_obs(_WAVE, "wf AS (SELECT point_id, round(max(peak), 6) AS peak_value, round(avg(long), 6) AS spike_duration, count(*) AS years_detected FROM pk GROUP BY 1 HAVING count(*) >= 2)", "mq AS (SELECT point_id, round(coalesce(avg(scl_purity * (aot / 100.0::DOUBLE)), 0), 6) AS mean_quality FROM obs GROUP BY 1)")
+
+
+@R.add("ml_15", _VECTOR + "SELECT point_id, peak_value, spike_duration, years_detected, mean_quality FROM wf JOIN mq USING (point_id)")
+def ml_15(spark, d):
+    wave = rounded(wi.waveform(obs(spark, d).where("source = 'S2'"), "i_ndvi", "scl_purity", min_years=2), ["point_id"])
+    quality = indices.quality({"clear": F.col("scl_purity").cast("double"), "aot": F.col("aot") / 100.0})
+    mean = obs(spark, d).groupBy("point_id").agg(r6(F.coalesce(F.avg(quality), F.lit(0.0)), "mean_quality"))
+    vector = wave.join(mean, "point_id")
+    needed = ("peak_value", "spike_duration", "years_detected", "mean_quality")
+    return vector.select("point_id", *[F.coalesce(c, F.raise_error(F.lit(f"{c} is missing")).cast(dict(vector.dtypes)[c])).alias(c) for c in needed])
+
+
+@R.add("ml_16", _VECTOR + "SELECT point_id, peak_value, spike_duration, years_detected, mean_quality, 0.0 AS distance, 1.0 AS bias FROM wf JOIN mq USING (point_id)")
+def ml_16(spark, d):
+    return ml_15(spark, d).withColumn("distance", F.lit(0.0)).withColumn("bias", F.lit(1.0))
+
+
+@R.add("ml_17")
+def ml_17(spark, d):
+    """Five clusters of the dry-season means, named by the rank of their mean NDVI."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.sql import Window
+
+    dry = ob.optical(obs(spark, d)).where(wi.flags_dry(F.col("doy"))).groupBy("point_id").agg(F.avg("i_ndvi").alias("ndvi"), F.avg("i_ndwi").alias("ndwi"), F.avg("i_ndsvi").alias("ndsvi")).dropna()
+    ready = VectorAssembler(inputCols=["ndvi", "ndwi", "ndsvi"], outputCol="raw").transform(dry)
+    ready = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(ready).transform(ready)
+    found = KMeans(k=5, seed=42, featuresCol="x").fit(ready).transform(ready)
+    ranks = found.groupBy("prediction").agg(F.avg("ndvi").alias("m")).withColumn("rank", F.row_number().over(Window.orderBy("m", "prediction")))  # five rows
+    return found.join(F.broadcast(ranks), "prediction").select("point_id", F.col("rank").alias("cluster"), (F.col("rank") / 5).alias("prob"))
+
+
+@R.add("ml_18", with_obs("h AS (SELECT point_id, avg(vh_db) FILTER (doy BETWEEN 121 AND 304) AS v FROM obs GROUP BY 1)") + "SELECT point_id, round(v, 6) AS vh_dry, CASE WHEN v >= -16 THEN 1.0 WHEN v IS NOT NULL THEN 0.0 END AS score FROM h")
+def ml_18(spark, d):
+    return scoring.dry_heuristic(obs(spark, d), -16.0).select("point_id", r6("vh_dry", "vh_dry"), "score")
+
+
+_HARM = """cl AS (SELECT tile_id, year, date, round(lon * 10000) AS cx, round(lat * 10000) AS cy, B04, B08 FROM obs WHERE tile_id IS NOT NULL),
+ rf AS (SELECT tile_id AS ref FROM cl GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+ ta AS (SELECT tile_id, year, date, cx, cy, band, avg(v)::DOUBLE AS v FROM (SELECT * FROM cl UNPIVOT (v FOR band IN (B04, B08))) WHERE v > 0 GROUP BY ALL),
+ co AS (SELECT a.tile_id, a.band, a.year, least(greatest(1 / median(a.v / b.v), 0.85), 1.15) AS scale_factor FROM ta a JOIN ta b USING (year, date, cx, cy, band) WHERE a.tile_id != (SELECT ref FROM rf) AND b.tile_id = (SELECT ref FROM rf) GROUP BY ALL)"""
+
+
+@R.add("ml_20", with_obs(_HARM) + "SELECT tile_id, band, year, round(scale_factor, 6) AS scale_factor FROM co")
+def ml_20(spark, d):
+    return scoring.harmonise(obs(spark, d), ["B04", "B08"]).select("tile_id", "band", "year", r6("scale_factor", "scale_factor"))
+
+
+@R.add("join_11", with_obs(_HARM, "wd AS (SELECT tile_id, year, max(scale_factor) FILTER (band = 'B04') AS f4, max(scale_factor) FILTER (band = 'B08') AS f8 FROM co GROUP BY ALL)") + "SELECT obs_id, round(B04 * coalesce(f4, 1), 4) AS B04, round(B08 * coalesce(f8, 1), 4) AS B08 FROM obs LEFT JOIN wd USING (tile_id, year)")
+def join_11(spark, d):
+    df = obs(spark, d)
+    return scoring.apply_corrections(df, scoring.harmonise(df, ["B04", "B08"]), ["B04", "B08"]).select("obs_id", F.round("B04", 4).alias("B04"), F.round("B08", 4).alias("B08"))
+
+
+# ---- data quality -----------------------------------------------------------------------------------------------------
+
+
+def _dq(name, measure, fail, warn, f, check):
+    verdict = f"CASE WHEN coalesce({fail}, false) THEN 'FAIL' WHEN coalesce({warn}, false) THEN 'WARN' ELSE 'PASS' END"
+    R.add(name, with_obs(f"m AS ({measure})") + f"SELECT '{check}' AS check_name, {verdict} AS status, round(measure::DOUBLE, 6) AS measure FROM m")(lambda spark, d: f(obs(spark, d)))
+
+
+def _worst(test, among="source = 'S2'"):
+    return "greatest(" + ", ".join(test.format(b=b, among=among) for b in BANDS) + ")"
+
+
+_dq("dq_01", "SELECT count(*) AS measure FROM obs", "measure = 0", "false", checks.row_count, "row_count")
+_dq("dq_03", "SELECT count(*) FILTER (source = 'S1') AS measure FROM obs", "false", "measure = 0", checks.radar_presence, "radar_presence")
+_dq("dq_04", "SELECT count(DISTINCT point_id) / 1000.0::DOUBLE AS measure FROM obs", "measure < 0.3", "measure < 0.8", lambda df: checks.pixel_ratio(df, 1000), "pixel_ratio")
+_dq("dq_05", "SELECT " + _worst("count(*) FILTER ({among} AND {b} IS NULL) / nullif(count(*) FILTER ({among}), 0)") + " AS measure FROM obs", "measure > 0.2", "measure > 0.01", checks.null_bands, "null_bands")
+_dq("dq_06", "SELECT " + _worst("count(*) FILTER ({b} NOT BETWEEN 0 AND 15000)") + " AS measure FROM obs", "measure > 0", "false", checks.band_range, "band_range")
+_dq("dq_07", "SELECT greatest(" + ", ".join(f"count(*) FILTER (i_{n} NOT BETWEEN -1 AND 1)" for n in ("ndvi", "ndwi", "ndre")) + ") AS measure FROM obs", "measure > 0", "false", checks.index_range, "index_range")
+_dq("dq_08", "SELECT avg(scl_purity) AS measure FROM obs", "measure = 0", "measure < 0.5", checks.purity, "purity")
+_dq("dq_09", "SELECT count(*) AS measure FROM (SELECT point_id, date, source FROM obs GROUP BY ALL HAVING count(*) > 1)", "measure > 0", "false", checks.duplicates, "duplicates")
+_dq("dq_10", "SELECT count(*) FILTER (source = 'S1' AND B02 IS NOT NULL) + count(*) FILTER (source = 'S1' AND orbit IS NULL) AS measure FROM obs", "measure > 0", "false", checks.radar_integrity, "radar_integrity")
+_dq("dq_12", f"SELECT count(*) FILTER (NOT (lon BETWEEN {BOX[0]} - 0.02 AND {BOX[2]} + 0.02 AND lat BETWEEN {BOX[1]} - 0.02 AND {BOX[3]} + 0.02)) AS measure FROM obs", "measure > 0", "false", lambda df: checks.outside_box(df, BOX), "outside_box")
+
+
+@R.add("dq_11", with_obs() + "SELECT 'dates' AS check_name, CASE WHEN count(DISTINCT date) < 10 THEN 'FAIL' ELSE 'PASS' END AS status, count(DISTINCT date)::DOUBLE AS measure FROM obs UNION ALL SELECT 'months', CASE WHEN count(DISTINCT month) < 6 THEN 'WARN' ELSE 'PASS' END, count(DISTINCT month)::DOUBLE FROM obs")
+def dq_11(spark, d):
+    return checks.date_cover(obs(spark, d))
+
+
+@R.add("dq_02")
+def dq_02(spark, d):
+    """Columns that the canonical schema asks for, whether they are there, and of which type."""
+    have = dict(table(spark, d, "observations").dtypes)
+    rows = [(f.name, f.dataType.simpleString(), have.get(f.name), "PASS" if have.get(f.name) == f.dataType.simpleString() else "FAIL") for f in ob.SCHEMA]
+    return spark.createDataFrame(rows, "column_name string, expected string, found string, status string")
+
+
+@R.add("dq_13", "WITH " + _CHUNK_SQL + " SELECT file_id, CASE WHEN n_dates = 0 THEN 'S1_MISS' WHEN n_complete < 0.95 * n_dates THEN CASE WHEN 100 * n_enough / n_points >= 90 AND cover_median < 0.5 * n_rows THEN 'S1_TRUNC_OK' ELSE 'S1_INCOMPLETE' END ELSE 'OK' END AS verdict FROM al")
+def dq_13(spark, d):
+    return chunk_quality(spark, d).select("file_id", "verdict")
+
+
+@R.add("dq_14", with_obs("pp AS (SELECT region_id, point_id, count(*) AS n FROM obs GROUP BY ALL)", "pa AS (SELECT region_id, count(*) AS n_points, median(n) AS obs_median FROM pp GROUP BY 1)", "dp AS (SELECT region_id, sum(c - 1) AS n_dup FROM (SELECT region_id, point_id, date, source, count(*) AS c FROM obs GROUP BY ALL) GROUP BY 1)", "fa AS (SELECT region_id, count(*) FILTER (source = 'S2' AND B08 IS NULL) AS n_null, count(*) FILTER (source = 'S1') AS n_radar, median(vh) FILTER (source = 'S1') AS m, count(*) FILTER (B08 NOT BETWEEN 0 AND 15000) AS n_range FROM obs GROUP BY 1)")
+       + "SELECT region_id, concat_ws(',', CASE WHEN n_dup > 0 THEN 'DUPES' END, CASE WHEN n_points < 5 THEN 'SPARSE' END, CASE WHEN obs_median < 4 THEN 'LOW_OBS' END, CASE WHEN n_null > 0 THEN 'NAN' END, CASE WHEN n_range > 0 THEN 'RANGE' END, CASE WHEN n_radar = 0 THEN 'S1_MISS' END, CASE WHEN m <= 0 OR m > 1 THEN 'S1_SCALE' END) AS tags FROM fa JOIN pa USING (region_id) JOIN dp USING (region_id)")
+def dq_14(spark, d):
+    return checks.region_tags(obs(spark, d)).select("region_id", "tags")
+
+
+@R.add("dq_15", with_obs() + f"SELECT count(*) FILTER (NOT i_ndvi BETWEEN -1 AND 1) AS n_outside, round(count(*) FILTER (i_ndvi IS NULL) / count(*), 6) AS null_share, round(median(i_ndvi), 6) AS middle FROM obs WHERE {GOOD}")
+def dq_15(spark, d):
+    from gridwake.operators.order_stats import percentiles, value_counts
+
+    df = ob.optical(obs(spark, d))
+    middle = percentiles(value_counts(df, [], "i_ndvi"), [], {"middle": 0.5}).select(r6("middle", "middle"))
+    facts = df.agg(F.count_if(~F.col("i_ndvi").between(-1, 1)).alias("n_outside"), r6(F.count_if(F.col("i_ndvi").isNull()) / F.count(F.lit(1)), "null_share"))
+    return facts.crossJoin(F.broadcast(middle))  # one row each
+
+
+QUERIES, SQL = R.queries, R.sql

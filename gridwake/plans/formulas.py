@@ -1 +1,469 @@
-QUERIES, SQL = {}, {}
+"""Scalar functions and spatial arithmetic as queries."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import functions as F
+
+from gridwake.functions import geodesy, ids, indices
+from gridwake.operators import observations as ob
+from gridwake.operators import scoring
+from gridwake.plans.base import BANDS, BOX, GOOD, obs, with_obs
+from gridwake.plans.registry import Registry
+from gridwake.sources.tables import table
+
+R = Registry()
+r6 = lambda c, name: F.round(c, 6).alias(name)
+
+# ---- spectral and radar -------------------------------------------------------------------------------------------
+
+for _n, _c in (("fn_01", "i_ndvi"), ("fn_02", "i_ndwi"), ("fn_03", "i_evi"), ("fn_04", "i_mavi"), ("fn_05", "i_ndre"), ("fn_06", "i_ci_re"), ("fn_07", "i_ndsvi"), ("fn_08", "i_b12_b11"), ("fn_12", "vh_db"), ("fn_13", "vh_vv"), ("fn_14", "rvi")):
+    R.add(_n, with_obs() + f"SELECT obs_id, round({_c}, 6) AS v FROM obs")(lambda spark, d, c=_c: obs(spark, d).select("obs_id", r6(F.col(c), "v")))
+
+
+@R.add("fn_09", with_obs() + "SELECT obs_id, " + ", ".join(f"{b} / 10000.0::DOUBLE AS {b}" for b in BANDS if b != "B06") + f" FROM obs WHERE {GOOD}")
+def fn_09(spark, d):
+    return ob.optical(obs(spark, d)).select("obs_id", *[indices.reflectance(b).alias(b) for b in BANDS if b != "B06"])
+
+
+@R.add("fn_10", with_obs() + f"SELECT point_id, round(stddev_pop(i_ndvi), 6) AS sigma FROM obs WHERE {GOOD} GROUP BY 1")
+def fn_10(spark, d):
+    return ob.optical(obs(spark, d)).groupBy("point_id").agg(r6(F.stddev_pop("i_ndvi"), "sigma"))
+
+
+_Z = {b: f"coalesce({b} / 10000.0::DOUBLE, 0)" for b in BANDS}
+
+
+@R.add("fn_11", with_obs() + f"SELECT obs_id, round(least(greatest((({_Z['B07']} - {_Z['B05']}) / ({_Z['B07']} + {_Z['B05']} + 1e-9) + ({_Z['B08']} - {_Z['B11']}) / ({_Z['B08']} + {_Z['B11']} + 1e-9)) / 2, -1), 1), 6) AS v FROM obs WHERE source = 'S2'")
+def fn_11(spark, d):
+    bands = F.create_map(*[x for b in BANDS for x in (F.lit(b), indices.reflectance(b))])
+    return obs(spark, d).where("source = 'S2'").select("obs_id", r6(indices.flowering_index(bands), "v"))
+
+
+@R.add("fn_15", with_obs() + "SELECT obs_id, round(scl_purity * (aot / 100.0::DOUBLE) * (view_zenith / 100.0::DOUBLE) * (sun_zenith / 100.0::DOUBLE), 6) AS full_quality, round(aot / 100.0::DOUBLE, 6) AS air, scl_purity::DOUBLE AS cloud FROM obs WHERE source = 'S2'")
+def fn_15(spark, d):
+    terms = {"clear": F.col("scl_purity").cast("double"), **{n: F.col(n) / 100.0 for n in ("aot", "view_zenith", "sun_zenith")}}
+    return obs(spark, d).where("source = 'S2'").select("obs_id", r6(indices.quality(terms), "full_quality"), r6(indices.quality(terms, {"aot"}), "air"), indices.quality(terms, {"clear"}).alias("cloud"))
+
+
+@R.add("fn_16", with_obs(f"a AS (SELECT point_id, avg(i_ndvi) AS m, greatest(stddev_samp(i_ndvi), 1e-6) AS s FROM obs WHERE {GOOD} GROUP BY 1)") + f"SELECT obs_id, CASE WHEN i_ndvi IS NOT NULL THEN round(1 / (1 + abs((least(greatest(i_ndvi, -1), 1) - m) / s)), 6) END AS v FROM obs JOIN a USING (point_id) WHERE {GOOD}")
+def fn_16(spark, d):
+    df = ob.optical(obs(spark, d))
+    archive = df.groupBy("point_id").agg(F.avg("i_ndvi").alias("m"), F.greatest(F.stddev_samp("i_ndvi"), F.lit(1e-6)).alias("s"))
+    return df.join(archive, "point_id").select("obs_id", r6(indices.greenness(F.col("i_ndvi"), F.col("m"), F.col("s")), "v"))
+
+
+@R.add("fn_17", with_obs() + "SELECT obs_id, round(1 - least(aot * 0.001, 1), 6) AS aot_q, round(greatest(0, 1 - view_zenith / 90.0::DOUBLE), 6) AS zenith_q FROM obs WHERE source = 'S2'")
+def fn_17(spark, d):
+    return obs(spark, d).where("source = 'S2'").select("obs_id", r6(indices.aerosol_quality(F.col("aot")), "aot_q"), r6(indices.zenith_quality(F.col("view_zenith")), "zenith_q"))
+
+
+def _brdf_sql(band: str) -> str:
+    iso, geo, vol = indices.BRDF[band]
+
+    def kernels(s: str, v: str, a: str) -> str:
+        cos_xi = f"least(greatest(cos({s}) * cos({v}) + sin({s}) * sin({v}) * cos({a}), -1), 1)"
+        ross = f"((pi() / 2 - acos({cos_xi})) * {cos_xi} + sin(acos({cos_xi}))) / (cos({s}) + cos({v})) - pi() / 4"
+        sec = f"(1 / cos({s}) + 1 / cos({v}))"
+        cos_t = f"least(greatest(2 * sqrt(greatest(tan({s}) ** 2 + tan({v}) ** 2 - 2 * tan({s}) * tan({v}) * cos({a}) + (tan({s}) * tan({v}) * sin({a})) ** 2, 0)) / {sec}, -1), 1)"
+        over = f"greatest((acos({cos_t}) - sin(acos({cos_t})) * {cos_t}) * {sec} / pi(), 0)"
+        return f"({iso} + {vol} * ({ross}) + {geo} * ({over} - {sec} + 0.5 * (1 + {cos_xi}) * ({sec} - {over})))"
+
+    seen = kernels("s", "v", "a")
+    return f"round(least(greatest({kernels('radians(45.0::DOUBLE)', '0.0::DOUBLE', '0.0::DOUBLE')} / CASE WHEN {seen} < 1e-6 THEN 1 ELSE {seen} END, 0.5), 2), 6)"
+
+
+@R.add("fn_18", with_obs("g AS (SELECT obs_id, radians(sun_zenith * 0.6) AS s, radians(view_zenith * 0.1) AS v, radians((doy * 7 % 180)::DOUBLE) AS a FROM obs WHERE source = 'S2')") + "SELECT obs_id, " + ", ".join(f"{_brdf_sql(b)} AS c_{b}" for b in ("B04", "B08")) + " FROM g")
+def fn_18(spark, d):
+    sun, view, azimuth = F.col("sun_zenith") * 0.6, F.col("view_zenith") * 0.1, (F.col("doy") * 7 % 180).cast("double")
+    return obs(spark, d).where("source = 'S2'").select("obs_id", *[r6(indices.brdf_factor(b, sun, view, azimuth), f"c_{b}") for b in ("B04", "B08")])
+
+
+_GRID = "an AS (SELECT i, j, (i * 3 + j * j % 11)::DOUBLE AS angle FROM range(23) a(i), range(23) b(j))"
+
+
+@R.add("fn_19", with_obs(_GRID, "p AS (SELECT point_id, (easting % 110) / 5.0::DOUBLE AS x, (northing % 110) / 5.0::DOUBLE AS y FROM (SELECT DISTINCT point_id, regexp_extract(point_id, '_([0-9]+)_([0-9]+)$', 1)::INT AS easting, regexp_extract(point_id, '_([0-9]+)_([0-9]+)$', 2)::INT AS northing FROM observations))", "c AS (SELECT *, least(floor(x), 21)::INT AS x0, least(floor(y), 21)::INT AS y0 FROM p)")
+       + "SELECT point_id, round(sum(angle * (1 - abs(x - j)) * (1 - abs(y - i))), 6) AS angle FROM c JOIN an ON i IN (y0, y0 + 1) AND j IN (x0, x0 + 1) GROUP BY point_id")
+def fn_19(spark, d):
+    """Bilinear interpolation in a coarse grid of angles; places outside take the edge's value."""
+    axis = spark.range(23)
+    grid = axis.select(F.col("id").cast("int").alias("i")).crossJoin(axis.select(F.col("id").cast("int").alias("j")))  # 23 x 23 by definition
+    grid = grid.withColumn("angle", (F.col("i") * 3 + F.col("j") * F.col("j") % 11).cast("double"))
+    p = table(spark, d, "observations").select("point_id").distinct()
+    p = p.select("point_id", (ids.easting(F.col("point_id")) % 110 / 5.0).alias("x"), (ids.northing(F.col("point_id")) % 110 / 5.0).alias("y"))
+    x0, y0 = (F.least(F.floor(c), F.lit(21)).cast("int") for c in ("x", "y"))
+    corners = p.withColumn("j", F.explode(F.array(x0, x0 + 1))).withColumn("i", F.explode(F.array(y0, y0 + 1)))
+    weight = (1 - F.abs(F.col("x") - F.col("j"))) * (1 - F.abs(F.col("y") - F.col("i")))
+    return corners.join(grid, ["i", "j"]).groupBy("point_id").agg(r6(F.sum(F.col("angle") * weight), "angle"))
+
+
+@R.add("fn_20", with_obs() + "SELECT DISTINCT doy, " + ", ".join(f"round(sin(2 * pi() * {k} / 365 * doy), 6) AS s{k}, round(cos(2 * pi() * {k} / 365 * doy), 6) AS c{k}" for k in (1, 2)) + " FROM obs")
+def fn_20(spark, d):
+    columns = []
+    for k in (1, 2):
+        s, c = indices.doy_encoding(F.col("doy"), k)
+        columns += [r6(s, f"s{k}"), r6(c, f"c{k}")]
+    return obs(spark, d).select("doy").distinct().select("doy", *columns)
+
+
+@R.add("fn_21", with_obs() + "SELECT DISTINCT year, round(exp(-0.5 * (2022 - year)), 9) AS weight FROM obs")
+def fn_21(spark, d):
+    return obs(spark, d).select("year").distinct().select("year", F.round(indices.decay(F.lit(2022) - F.col("year"), 0.5), 9).alias("weight"))
+
+
+_STOPS = "[" + ", ".join(f"[{r}, {g}, {b}]" for r, g, b in indices.COLOURS) + "]"
+
+
+@R.add("fn_22", f"WITH s AS (SELECT score, score / 100.0::DOUBLE * 19 AS t, least(floor(score / 100.0::DOUBLE * 19), 18)::INT AS lo, {_STOPS} AS c FROM (SELECT unnest(range(0, 101))::INT AS score)) SELECT score, "
+       + ", ".join(f"CASE WHEN score > 0 THEN round_even(c[lo + 1][{k + 1}] * (1 - (t - lo)) + c[lo + 2][{k + 1}] * (t - lo), 0)::INT ELSE 0 END AS {n}" for k, n in enumerate("rgb")) + ", CASE WHEN score > 0 THEN 255 ELSE 0 END AS a FROM s")
+def fn_22(spark, d):
+    return spark.range(101).select(F.col("id").cast("int").alias("score")).select("score", indices.colour(F.col("score")).alias("c")).select("score", "c.*")
+
+
+@R.add("fn_23", with_obs() + "SELECT obs_id, CASE WHEN vh IS NOT NULL THEN round(least(greatest((vh - 0.002) / (0.040 - 0.002), 0), 1), 6) END AS vh, CASE WHEN vv IS NOT NULL THEN round(least(greatest((vv - 0.014) / (0.151 - 0.014), 0), 1), 6) END AS vv FROM obs WHERE source = 'S1'")
+def fn_23(spark, d):
+    return ob.radar(obs(spark, d)).select("obs_id", *[F.when(F.col(c).isNotNull(), F.round(indices.min_max(F.col(c), lo, hi), 6)).alias(c) for c, lo, hi in (("vh", 0.002, 0.040), ("vv", 0.014, 0.151))])
+
+
+@R.add("fn_24", with_obs() + f"SELECT obs_id, round(1 / (1 + exp(-(i_ndvi * 6 - 2))), 6) AS p FROM obs WHERE {GOOD}")
+def fn_24(spark, d):
+    return ob.optical(obs(spark, d)).select("obs_id", r6(indices.sigmoid(F.col("i_ndvi") * 6 - 2), "p"))
+
+
+# ---- strings --------------------------------------------------------------------------------------------------------
+
+
+@R.add("fn_30", "SELECT obs_id, split_part(point_id, '_', -1) AS v FROM observations")
+def fn_30(spark, d):
+    return table(spark, d, "observations").select("obs_id", F.element_at(F.split("point_id", "_"), -1).alias("v"))
+
+
+@R.add("fn_31", "SELECT obs_id, split_part(item_id, '_', 2) AS v FROM observations WHERE item_id IS NOT NULL")
+def fn_31(spark, d):
+    return table(spark, d, "observations").where("item_id IS NOT NULL").select("obs_id", ids.tile_of_item(F.col("item_id")).alias("v"))
+
+
+@R.add("fn_32", "SELECT file_id, nullif(regexp_extract(path, '_r([0-9]+)_c[0-9]+', 1), '') AS v FROM chunk_reports")
+def fn_32(spark, d):
+    return table(spark, d, "chunk_reports").select("file_id", F.nullif(F.regexp_extract("path", "_r([0-9]+)_c[0-9]+", 1), F.lit("")).alias("v"))
+
+
+@R.add("fn_33", "SELECT DISTINCT regexp_replace(point_id, '_[0-9]+_[0-9]+$', '') AS region FROM observations")
+def fn_33(spark, d):
+    return table(spark, d, "observations").select(ids.region(F.col("point_id")).alias("region")).distinct()
+
+
+@R.add("fn_34", "SELECT id, starts_with(id, 'gate') AS a, contains(id, '_val_') AS b FROM training_regions")
+def fn_34(spark, d):
+    return table(spark, d, "training_regions").select("id", F.col("id").startswith("gate").alias("a"), F.col("id").contains("_val_").alias("b"))
+
+
+@R.add("fn_35", "SELECT file_id, printf('px_%04d_%04d', file_id % 97, n_rows) AS v FROM chunk_reports")
+def fn_35(spark, d):
+    return table(spark, d, "chunk_reports").select("file_id", ids.point_name("px", F.col("file_id") % 97, F.col("n_rows")).alias("v"))
+
+
+@R.add("fn_36", "SELECT obs_id, concat_ws('|', point_id, date::VARCHAR) AS k FROM observations")
+def fn_36(spark, d):
+    return table(spark, d, "observations").select("obs_id", F.concat_ws("|", "point_id", F.col("date").cast("string")).alias("k"))
+
+
+@R.add("fn_37", "SELECT id, CASE label WHEN 'presence' THEN 1 WHEN 'absence' THEN 0 END AS v FROM training_regions")
+def fn_37(spark, d):
+    codes = F.create_map(F.lit("presence"), F.lit(1), F.lit("absence"), F.lit(0))
+    return table(spark, d, "training_regions").select("id", F.try_element_at(codes, F.col("label")).alias("v"))
+
+
+@R.add("fn_38", "SELECT sample_id, coalesce(try_cast(split_part(point_id, '_', -1) AS INT), 0) AS v FROM tam_samples")
+def fn_38(spark, d):
+    return table(spark, d, "tam_samples").select("sample_id", ids.northing(F.col("point_id")).alias("v"))
+
+
+# ---- dates ----------------------------------------------------------------------------------------------------------
+
+
+@R.add("fn_40", "SELECT obs_id, year(date)::INT AS v FROM observations")
+def fn_40(spark, d):
+    return table(spark, d, "observations").select("obs_id", F.year("date").alias("v"))
+
+
+@R.add("fn_41", "SELECT obs_id, dayofyear(date)::INT AS v FROM observations")
+def fn_41(spark, d):
+    return table(spark, d, "observations").select("obs_id", F.dayofyear("date").alias("v"))
+
+
+@R.add("fn_42", "SELECT obs_id, month(date)::INT AS v FROM observations")
+def fn_42(spark, d):
+    return table(spark, d, "observations").select("obs_id", F.month("date").alias("v"))
+
+
+@R.add("fn_43", "SELECT obs_id, date_trunc('month', date)::DATE AS v FROM observations")
+def fn_43(spark, d):
+    return table(spark, d, "observations").select("obs_id", F.trunc("date", "month").alias("v"))
+
+
+@R.add("fn_44", "SELECT sighting_id, try_cast(CASE WHEN regexp_full_match(eventDate, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN eventDate END AS DATE) AS v FROM sightings")
+def fn_44(spark, d):
+    day = F.when(F.col("eventDate").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.col("eventDate"))
+    return table(spark, d, "sightings").select("sighting_id", F.try_to_date(day, "yyyy-MM-dd").alias("v"))
+
+
+@R.add("fn_45", "SELECT obs_id, loaded_at::DATE AS v FROM observations")
+def fn_45(spark, d):
+    return table(spark, d, "observations").select("obs_id", F.col("loaded_at").cast("date").alias("v"))
+
+
+@R.add("fn_46", "SELECT obs_id, year(loaded_at)::INT AS y, dayofyear(loaded_at)::INT AS doy FROM observations")
+def fn_46(spark, d):
+    """From microseconds since 1970 and back."""
+    at = F.timestamp_micros(F.unix_micros("loaded_at"))
+    return table(spark, d, "observations").select("obs_id", F.year(at).alias("y"), F.dayofyear(at).alias("doy"))
+
+
+@R.add("fn_47", "SELECT obs_id, date_diff('day', date, loaded_at::DATE)::INT AS v FROM observations")
+def fn_47(spark, d):
+    return table(spark, d, "observations").select("obs_id", F.datediff(F.col("loaded_at").cast("date"), "date").alias("v"))
+
+
+@R.add("fn_48", "SELECT obs_id, strftime(date, '%Y-%m') AS v FROM observations")
+def fn_48(spark, d):
+    return table(spark, d, "observations").select("obs_id", F.date_format("date", "yyyy-MM").alias("v"))
+
+
+@R.add("fn_49", with_obs() + "SELECT DISTINCT doy, least(greatest(((doy - 1 + 182) % 365) + 1, 1), 365)::INT AS v FROM obs")
+def fn_49(spark, d):
+    return obs(spark, d).select("doy").distinct().select("doy", indices.shift_doy(F.col("doy"), 182).alias("v"))
+
+
+# ---- arrays, maps, JSON -----------------------------------------------------------------------------------------------
+
+
+@R.add("fn_50", "SELECT sample_id, doy[1] AS first, doy[2] AS second FROM tam_samples")
+def fn_50(spark, d):
+    return table(spark, d, "tam_samples").select("sample_id", F.get("doy", F.lit(0)).alias("first"), F.get("doy", F.lit(1)).alias("second"))
+
+
+@R.add("fn_51", "SELECT obs_id, coalesce(B08, 0) AS nir, 0 AS none FROM observations")
+def fn_51(spark, d):
+    bands = F.create_map(*[x for b in BANDS for x in (F.lit(b), F.col(b))])
+    return table(spark, d, "observations").select("obs_id", F.coalesce(F.try_element_at(bands, F.lit("B08")), F.lit(0)).alias("nir"), F.coalesce(F.try_element_at(bands, F.lit("B99")), F.lit(0)).alias("none"))
+
+
+@R.add("fn_52", "SELECT sighting_id, year, month FROM sightings")
+def fn_52(spark, d):
+    text = F.to_json(F.struct("year", "month"))
+    return table(spark, d, "sightings").withColumn("j", F.from_json(text, "year int, month int")).select("sighting_id", "j.*")
+
+
+@R.add("fn_53", "SELECT region_id, '[' || string_agg('{\"year\":' || year || ',\"n\":' || n || '}', ',' ORDER BY year) || ']' AS series FROM (SELECT region_id, year(date) AS year, count(*) AS n FROM observations GROUP BY ALL) GROUP BY region_id")
+def fn_53(spark, d):
+    counts = table(spark, d, "observations").groupBy("region_id", F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("region_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("year", "n")))).alias("series"))
+
+
+@R.add("fn_54", "SELECT id, list_has_any(tags, ['burnt', 'saline']) AS hit, list_filter(tags, lambda t: t NOT IN ('burnt', 'saline')) AS rest FROM training_regions")
+def fn_54(spark, d):
+    wanted = F.array(F.lit("burnt"), F.lit("saline"))
+    return table(spark, d, "training_regions").select("id", F.arrays_overlap("tags", wanted).alias("hit"), F.filter("tags", lambda t: ~t.isin("burnt", "saline")).alias("rest"))
+
+
+@R.add("fn_55", "SELECT region_id, orbit FROM (SELECT region_id, orbit, row_number() OVER (PARTITION BY region_id ORDER BY n DESC, orbit) AS k FROM (SELECT region_id, orbit, count(*) AS n FROM observations WHERE orbit IS NOT NULL GROUP BY ALL)) WHERE k = 1")
+def fn_55(spark, d):
+    """The most frequent value; the first in the alphabet wins a tie."""
+    counts = table(spark, d, "observations").where("orbit IS NOT NULL").groupBy("region_id", "orbit").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("region_id").agg(F.max("n").alias("n"))
+    return counts.join(best, ["region_id", "n"]).groupBy("region_id").agg(F.min("orbit").alias("orbit"))
+
+
+@R.add("fn_56", "SELECT x::INT AS x, y::INT AS y FROM range(0, 20, 5) a(x), range(0, 15, 5) b(y)")
+def fn_56(spark, d):
+    both = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(15), F.lit(5))).alias("x"))
+    return both.select("x", F.explode(F.sequence(F.lit(0), F.lit(10), F.lit(5))).alias("y"))
+
+
+@R.add("fn_57", "SELECT label, list_sort(list_distinct(flatten(list(years)))) AS years, list_min(flatten(list(years))) AS first, list_max(flatten(list(years))) AS last FROM training_regions GROUP BY label")
+def fn_57(spark, d):
+    """Years named by any region of a label: exploded and counted once, so that no group is collected before it is small."""
+    years = table(spark, d, "training_regions").select("label", F.explode("years").alias("y")).distinct()
+    return years.groupBy("label").agg(F.sort_array(F.collect_list("y")).alias("years"), F.min("y").alias("first"), F.max("y").alias("last"))
+
+
+@R.add("fn_58", "SELECT obs_id, (" + " OR ".join(f"{b} IS NULL" for b in BANDS) + ") AS some_null, (" + " AND ".join(f"{b} IS NULL" for b in BANDS) + ") AS all_null FROM observations")
+def fn_58(spark, d):
+    some, every = F.lit(False), F.lit(True)
+    for b in BANDS:
+        some, every = some | F.col(b).isNull(), every & F.col(b).isNull()
+    return table(spark, d, "observations").select("obs_id", some.alias("some_null"), every.alias("all_null"))
+
+
+# ---- nulls and shapes ---------------------------------------------------------------------------------------------------
+
+
+@R.add("fn_60", "SELECT obs_id, coalesce(B04, -1) AS v FROM observations")
+def fn_60(spark, d):
+    return table(spark, d, "observations").select("obs_id", F.coalesce("B04", F.lit(-1)).alias("v"))
+
+
+@R.add("fn_61", "SELECT obs_id, CASE WHEN NOT isnan(NDVI) THEN NDVI END AS a, CASE WHEN isnan(NDVI) THEN 0 ELSE NDVI END AS b FROM observations")
+def fn_61(spark, d):
+    x = F.col("NDVI")
+    return table(spark, d, "observations").select("obs_id", F.nanvl(x, F.lit(None).cast("float")).alias("a"), F.nanvl(x, F.lit(0.0).cast("float")).alias("b"))
+
+
+@R.add("fn_62", "SELECT summary_id, CASE WHEN vhvv_dry < -10 THEN 'low' WHEN vhvv_dry < -5 THEN 'mid' WHEN vhvv_dry IS NOT NULL THEN 'high' ELSE 'none' END AS v FROM year_summaries")
+def fn_62(spark, d):
+    x = F.col("vhvv_dry")
+    return table(spark, d, "year_summaries").select("summary_id", F.when(x < -10, "low").when(x < -5, "mid").when(x.isNotNull(), "high").otherwise("none").alias("v"))
+
+
+@R.add("fn_63", "SELECT summary_id, CASE WHEN vhvv_dry IS NOT NULL THEN least(greatest(vhvv_dry, -8.0), -4.0) END AS v FROM year_summaries")
+def fn_63(spark, d):
+    return table(spark, d, "year_summaries").select("summary_id", indices.clamp(F.col("vhvv_dry"), -8.0, -4.0).alias("v"))
+
+
+@R.add("fn_64", "SELECT sighting_id, round(lon, 3) AS a, round_even(coordinateUncertaintyInMeters / 10, 0) AS b FROM sightings")
+def fn_64(spark, d):
+    return table(spark, d, "sightings").select("sighting_id", F.round("lon", 3).alias("a"), F.bround(F.col("coordinateUncertaintyInMeters") / 10, 0).alias("b"))
+
+
+@R.add("fn_65", "SELECT obs_id FROM observations WHERE vv IS NOT NULL AND isfinite(vv)")
+def fn_65(spark, d):
+    x = F.col("vv")
+    return table(spark, d, "observations").where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select("obs_id")
+
+
+@R.add("fn_66")
+def fn_66(spark, d):
+    """A seeded sample of three points per region: a sampling operator, so its limit is the feature."""
+    from pyspark.sql import Window
+
+    points = table(spark, d, "observations").select("region_id", "point_id").distinct()
+    order = Window.partitionBy("region_id").orderBy(F.xxhash64("point_id", F.lit(42)), "point_id")
+    return points.withColumn("k", F.row_number().over(order)).where("k <= 3").drop("k")
+
+
+# ---- spatial ------------------------------------------------------------------------------------------------------------
+
+_PTS = "pts AS (SELECT point_id, min(lon) AS lon, min(lat) AS lat FROM obs GROUP BY 1)"
+
+
+def pts(spark, d):
+    return obs(spark, d).groupBy("point_id").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"))
+
+
+def _utm_sql(zone: str) -> str:
+    e2, p2, a = repr(geodesy.E2), repr(geodesy.EP2), f"(cos(phi) * radians(lon - ({zone} * 6 - 183)))"
+    n, t, c = f"(6378137.0 / sqrt(1 - {e2} * sin(phi) ** 2))", "(tan(phi) ** 2)", f"({p2} * cos(phi) ** 2)"
+    e = geodesy.E2
+    arc = f"(6378137.0 * ({1 - e / 4 - 3 * e**2 / 64 - 5 * e**3 / 256!r} * phi - {3 * e / 8 + 3 * e**2 / 32 + 45 * e**3 / 1024!r} * sin(2 * phi) + {15 * e**2 / 256 + 45 * e**3 / 1024!r} * sin(4 * phi) - {35 * e**3 / 3072!r} * sin(6 * phi)))"
+    east = f"0.9996 * {n} * ({a} + (1 - {t} + {c}) * {a} ** 3 / 6 + (5 - 18 * {t} + {t} ** 2 + 72 * {c} - 58 * {p2}) * {a} ** 5 / 120) + 500000"
+    north = f"0.9996 * ({arc} + {n} * tan(phi) * ({a} ** 2 / 2 + (5 - {t} + 9 * {c} + 4 * {c} ** 2) * {a} ** 4 / 24 + (61 - 58 * {t} + {t} ** 2 + 600 * {c} - 330 * {p2}) * {a} ** 6 / 720)) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END"
+    return f"round({east}, 2) AS east, round({north}, 2) AS north"
+
+
+_UTM = "u AS (SELECT *, (floor((lon + 180) / 6) + 1)::INT AS zone, radians(lat) AS phi FROM pts)"
+
+
+def projected(spark, d):
+    p = pts(spark, d).withColumn("zone", geodesy.utm_zone(F.col("lon")))
+    east, north = geodesy.utm(F.col("lon"), F.col("lat"), F.col("zone"))
+    return p.select("point_id", "zone", F.round(east, 2).alias("east"), F.round(north, 2).alias("north"))
+
+
+@R.add("geo_02", with_obs(_PTS, _UTM) + f"SELECT point_id, zone, {_utm_sql('zone')} FROM u")
+def geo_02(spark, d):
+    return projected(spark, d)
+
+
+@R.add("geo_01", with_obs(_PTS, _UTM, f"m AS (SELECT point_id, zone, {_utm_sql('zone')} FROM u)") + "SELECT zone, x0, y0, dx FROM (SELECT DISTINCT zone, (floor(east / 1000) * 1000)::BIGINT AS x0, (floor(north / 1000) * 1000)::BIGINT AS y0 FROM m), range(0, 1000, 500) r(dx)")
+def geo_01(spark, d):
+    """Snapped grid cells around the points, opened into a finer grid by sequences."""
+    m = projected(spark, d)
+    cells = m.select("zone", (F.floor(F.col("east") / 1000) * 1000).alias("x0"), (F.floor(F.col("north") / 1000) * 1000).alias("y0")).distinct()
+    return cells.withColumn("dx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long"), F.lit(500).cast("long"))))
+
+
+@R.add("geo_03", with_obs(_PTS) + "SELECT point_id, (CASE WHEN lat < 0 THEN 32700 ELSE 32600 END + floor((lon + 180) / 6) + 1)::INT AS epsg FROM pts")
+def geo_03(spark, d):
+    return pts(spark, d).select("point_id", geodesy.utm_epsg(F.col("lon"), F.col("lat")).cast("int").alias("epsg"))
+
+
+_CHUNKS = "ck AS (SELECT id, x::INT AS cx, y::INT AS cy FROM training_regions, LATERAL (SELECT unnest(range(floor(bbox[1] * 10)::BIGINT, floor(bbox[3] * 10)::BIGINT + 1)) AS x), LATERAL (SELECT unnest(range(floor(bbox[2] * 10)::BIGINT, floor(bbox[4] * 10)::BIGINT + 1)) AS y))"
+
+
+def chunk_grid(spark, d):
+    side = lambda lo, hi: F.sequence(F.floor(F.get("bbox", F.lit(lo)) * 10).cast("int"), F.floor(F.get("bbox", F.lit(hi)) * 10).cast("int"))
+    return table(spark, d, "training_regions").select("id", "bbox", F.explode(side(0, 2)).alias("cx")).select("id", "cx", F.explode(side(1, 3)).alias("cy"))
+
+
+@R.add("geo_04", "WITH " + _CHUNKS + " SELECT * FROM ck")
+def geo_04(spark, d):
+    return chunk_grid(spark, d)
+
+
+@R.add("geo_05", "WITH " + _CHUNKS + " SELECT DISTINCT cx, cy, printf('px_%04d_%04d', cx * 2 + i, -cy * 2 + j) AS point_id FROM ck, range(2) a(i), range(2) b(j)")
+def geo_05(spark, d):
+    cells = chunk_grid(spark, d).select("cx", "cy").distinct()
+    i = F.explode(F.sequence(F.lit(0), F.lit(1)))
+    opened = cells.withColumn("i", i).withColumn("j", i)
+    return opened.select("cx", "cy", ids.point_name("px", F.col("cx") * 2 + F.col("i"), -F.col("cy") * 2 + F.col("j")).alias("point_id"))
+
+
+@R.add("geo_06", with_obs() + f"SELECT (regexp_extract(point_id, '_([0-9]+)$', 1)::INT // 16)::INT AS row, (regexp_extract(point_id, '_([0-9]+)_[0-9]+$', 1)::INT // 16)::INT AS col, max(round(i_ndvi, 6)) AS value FROM obs WHERE {GOOD} GROUP BY ALL")
+def geo_06(spark, d):
+    df = ob.optical(obs(spark, d)).withColumn("score", F.round("i_ndvi", 6))
+    return scoring.to_grid(df, F.floor(ids.northing(F.col("point_id")) / 16).cast("int"), F.floor(ids.easting(F.col("point_id")) / 16).cast("int"))
+
+
+@R.add("geo_07", with_obs(_PTS) + "SELECT point_id, floor((lon + 180) / 360 * 1024)::INT AS x, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 1024)::INT AS y, round(floor((lon + 180) / 360 * 1024) / 1024 * 360 - 180, 6) AS west FROM pts")
+def geo_07(spark, d):
+    x, y = geodesy.slippy(F.col("lon"), F.col("lat"), 10)
+    return pts(spark, d).select("point_id", x.alias("x"), y.alias("y")).select("point_id", "x", "y", r6(geodesy.slippy_bounds(F.col("x"), F.col("y"), 10)["west"], "west"))
+
+
+@R.add("geo_08", with_obs(_PTS, "g AS (SELECT floor((lon + 180) / 360 * 1048576)::BIGINT AS px, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 1048576)::BIGINT AS py, point_id FROM pts)") + "SELECT px // 256 AS tx, py // 256 AS ty, count(DISTINCT (px, py)) AS n_pixels FROM g GROUP BY ALL")
+def geo_08(spark, d):
+    """Points warped to web map pixels (zoom 12, 256 a tile); tiles without pixels aren't made."""
+    x, y = geodesy.slippy(F.col("lon"), F.col("lat"), 20)
+    g = pts(spark, d).select(x.cast("long").alias("px"), y.cast("long").alias("py")).distinct()
+    return g.groupBy(F.floor(F.col("px") / 256).alias("tx"), F.floor(F.col("py") / 256).alias("ty")).agg(F.count(F.lit(1)).alias("n_pixels"))
+
+
+@R.add("geo_09", with_obs("t AS (SELECT tile_id, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM obs WHERE tile_id IS NOT NULL GROUP BY 1)") + "SELECT id, tile_id FROM training_regions, t WHERE bbox[1] <= e AND bbox[3] >= w AND bbox[2] <= n AND bbox[4] >= s")
+def geo_09(spark, d):
+    """Tiles that meet each region's box; tiles are a fixed grid, and the regions a configuration."""
+    tiles = obs(spark, d).where("tile_id IS NOT NULL").groupBy("tile_id").agg(F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n"))
+    box = tuple(F.get("bbox", F.lit(i)) for i in range(4))
+    return table(spark, d, "training_regions").join(tiles, geodesy.overlaps(box, tuple(F.col(c) for c in "wsen"))).select("id", "tile_id")
+
+
+@R.add("geo_10", f"SELECT id, (bbox[1] <= {BOX[2]} AND bbox[3] >= {BOX[0]} AND bbox[2] <= {BOX[3]} AND bbox[4] >= {BOX[1]}) AS hit FROM training_regions")
+def geo_10(spark, d):
+    return table(spark, d, "training_regions").select("id", geodesy.overlaps(tuple(F.get("bbox", F.lit(i)) for i in range(4)), tuple(F.lit(x) for x in BOX)).alias("hit"))
+
+
+@R.add("geo_11", "SELECT id, round((bbox[3] - bbox[1]) * 111320 * cos(radians((bbox[2] + bbox[4]) / 2)), 3) AS width, round((bbox[4] - bbox[2]) * 111320, 3) AS height FROM training_regions")
+def geo_11(spark, d):
+    w, s, e, n = (F.get("bbox", F.lit(i)) for i in range(4))
+    kx, ky = geodesy.metres_per_degree((s + n) / 2)
+    return table(spark, d, "training_regions").select("id", F.round((e - w) * kx, 3).alias("width"), F.round((n - s) * ky, 3).alias("height"))
+
+
+@R.add("geo_12", "SELECT id, k::INT AS k, round(bbox[1] + (bbox[3] - bbox[1]) * k / 4, 6) AS west FROM training_regions, range(4) r(k)")
+def geo_12(spark, d):
+    w, e = F.get("bbox", F.lit(0)), F.get("bbox", F.lit(2))
+    return table(spark, d, "training_regions").select("id", w.alias("w"), e.alias("e"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("id", "k", F.round(F.col("w") + (F.col("e") - F.col("w")) * F.col("k") / 4, 6).alias("west"))
+
+
+@R.add("geo_14", with_obs() + "SELECT obs_id, round(lon * 10000)::BIGINT AS cx, round(lat * 10000)::BIGINT AS cy FROM obs")
+def geo_14(spark, d):
+    return obs(spark, d).select("obs_id", *[F.round(F.col(c) * 10000).cast("long").alias(n) for c, n in (("lon", "cx"), ("lat", "cy"))])
+
+
+@R.add("geo_15", "SELECT id, [[bbox[1], bbox[2]], [bbox[3], bbox[2]], [bbox[3], bbox[4]], [bbox[1], bbox[4]], [bbox[1], bbox[2]]] AS ring FROM training_regions")
+def geo_15(spark, d):
+    w, s, e, n = (F.get("bbox", F.lit(i)) for i in range(4))
+    return table(spark, d, "training_regions").select("id", F.array(*[F.array(*p) for p in ((w, s), (e, s), (e, n), (w, n), (w, s))]).alias("ring"))
+
+
+QUERIES, SQL = R.queries, R.sql

@@ -411,10 +411,11 @@ def join_04(spark, d):
     return df.select("point_id", "year").distinct().join(df.groupBy("point_id").agg(F.min("label").alias("label")), "point_id").select("point_id", "year", "label")
 
 
-@R.add("join_05")
+@R.add("join_05", "SELECT point_id, 1 AS shards FROM observations GROUP BY 1")
 def join_05(spark, d):
     """Rows routed to shards by point: one shuffle, and the shard each point went to."""
-    return obs(spark, d).select("point_id").repartition(16, "point_id").groupBy("point_id").agg(F.countDistinct(F.spark_partition_id()).alias("shards"))
+    routed = obs(spark, d).select("point_id").repartition(16, "point_id").withColumn("shard", F.spark_partition_id())
+    return routed.groupBy("point_id").agg(F.countDistinct("shard").alias("shards"))
 
 
 @R.add("join_06", with_obs("s AS (SELECT obs_id, loaded_at, quantile_cont(vh, 0.5) OVER (PARTITION BY point_id ORDER BY date, obs_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM obs WHERE source = 'S1')") + "SELECT o.obs_id, round(coalesce(s.smooth, o.vh), 8) AS vh FROM (SELECT * FROM obs WHERE source = 'S1') o LEFT JOIN s USING (obs_id, loaded_at)")

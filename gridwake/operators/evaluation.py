@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwake.operators.order_stats import numbered, running_totals
+
 
 def southern_split(points: DataFrame, share: float) -> DataFrame:
     """``split``: the southernmost share of each label (at least one point) is validation."""
-    order = Window.partitionBy("label").orderBy("lat", "point_id")
-    n = F.count(F.lit(1)).over(Window.partitionBy("label"))
-    return points.withColumn("split", F.when(F.row_number().over(order) <= F.greatest(F.lit(1), F.floor(n * share)), "validation").otherwise("train"))
+    placed = numbered(points, ["label"], ["lat", "point_id"], "_place")
+    sizes = points.groupBy(F.col("label").alias("_label")).agg(F.count(F.lit(1)).alias("_n"))  # a row per label
+    joined = placed.join(F.broadcast(sizes), F.col("label").eqNullSafe(F.col("_label")))
+    return joined.withColumn("split", F.when(F.col("_place") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share)), "validation").otherwise("train")).drop("_label", "_n", "_place")
 
 
 def hold_out(points: DataFrame, key: str, held: Sequence[str]) -> DataFrame:
@@ -22,17 +25,16 @@ def hold_out(points: DataFrame, key: str, held: Sequence[str]) -> DataFrame:
 def auroc(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
     """Area under the ROC curve per group, by counting on distinct scores.
 
-    Scores are aggregated to (score, positives, negatives) first, so the running sums go over distinct values only. One class alone
-    gives null.
+    Scores are aggregated to (score, positives, negatives) first, and the running sums come from a distributed sort of these. One
+    class alone gives null.
     """
     counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n"))
-    before = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ranked = running_totals(counts, keys, [score], "n", "_upto").withColumn("below", F.col("_upto") - F.col("n"))
     return ranked.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def tail_mean(df: DataFrame, value: str, alpha: float) -> DataFrame:
-    """Mean of the lowest ``ceil(alpha n)`` values (at least one)."""
+    """Mean of the lowest ``ceil(alpha n)`` values (at least one) of a table with a row per site."""
     order = Window.orderBy(value, *[c for c in df.columns if c != value])
     n = F.count(F.lit(1)).over(Window.partitionBy())
     known = df.where(F.col(value).isNotNull())
@@ -42,8 +44,9 @@ def tail_mean(df: DataFrame, value: str, alpha: float) -> DataFrame:
 def _cumulative(df: DataFrame, score: str, label: str) -> DataFrame:
     """Per distinct score: what is found and what is falsely found at this threshold, and the totals."""
     counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n"))
-    down, every = Window.orderBy(F.desc("threshold")), Window.partitionBy()
-    return counts.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(every).alias("pos"), F.sum("n").over(every).alias("neg"))
+    totals = counts.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()  # two numbers
+    down = running_totals(counts.withColumn("_down", -F.col("threshold")), [], ["_down"], ["p", "n"], ["tp", "fp"])
+    return down.select("threshold", "tp", "fp", F.lit(totals["p"]).cast("long").alias("pos"), F.lit(totals["n"]).cast("long").alias("neg"))
 
 
 def youden(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -65,14 +68,21 @@ def calibration_error(df: DataFrame, prob: str = "score", label: str = "label",
     return binned.agg((F.sum(F.col("n") * F.abs(F.col("said") - F.col("seen"))) / F.sum("n")).alias("ece"), F.sum("n").alias("n"))
 
 
-def average_rank(value: str, keys: Sequence[str] = ()) -> Column:
-    """Rank with ties sharing their mean, per group."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2
+def average_rank(df: DataFrame, value: str, keys: Sequence[str] = (), out: str = "rank") -> DataFrame:
+    """``df`` with the rank of a value per group, ties sharing their mean; rows without a value are left out.
+
+    Ranks are found for distinct values, by a distributed running count, and joined to the rows.
+    """
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = running_totals(counts, list(keys), [value], "_n", "_upto").withColumn(out, F.col("_upto") - (F.col("_n") - 1) / 2).drop("_n", "_upto")
+    return known.join(ranks, [*keys, value])
 
 
 def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
-    ranked = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_a", average_rank(a, keys)).withColumn("_b", average_rank(b, keys))
+    """Rank correlation per group; the keys must not be null."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    ranked = average_rank(average_rank(both, a, keys, "_a"), b, keys, "_b")
     return ranked.groupBy(*keys).agg(F.corr("_a", "_b").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 

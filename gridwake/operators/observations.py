@@ -95,10 +95,9 @@ def contaminated_dates(df: DataFrame, months: Sequence[int] = (1, 2, 3, 4, 5), b
 
 def every_nth_point(points: DataFrame, n: int) -> DataFrame:
     """Every n-th of the distinct points in the order of latitude and longitude, by a distributed numbering."""
-    from gridwake.operators.order_stats import running_totals
+    from gridwake.operators.order_stats import numbered
 
-    one = points.select("point_id", "lon", "lat", F.lit(1).cast("long").alias("_one"))
-    placed = running_totals(one, [], ["lat", "lon", "point_id"], "_one", "_place")
+    placed = numbered(points.select("point_id", "lon", "lat"), [], ["lat", "lon", "point_id"], "_place")
     return placed.where((F.col("_place") - 1) % n == 0).select("point_id", "lon", "lat")
 
 

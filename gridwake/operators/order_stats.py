@@ -30,51 +30,58 @@ def _starts(table: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _local_totals(df: DataFrame, groups: Sequence[str], amount: str) -> DataFrame:
-    """Adds ``_part`` and ``_upto``: the sum of ``amount`` over the group's rows so far within the partition."""
-    schema = StructType([*df.schema.fields]).add("_part", IntegerType()).add("_upto", LongType())
-    arrow, groups = to_arrow_schema(schema), list(groups)
+def _local_totals(df: DataFrame, groups: Sequence[str], amounts: Sequence[str]) -> DataFrame:
+    """Adds ``_part`` and, for each amount, ``_upto<k>``: its sum over the group's rows so far within the partition."""
+    schema = StructType([*df.schema.fields]).add("_part", IntegerType())
+    for k in range(len(amounts)):
+        schema.add(f"_upto{k}", LongType())
+    arrow, groups, amounts = to_arrow_schema(schema), list(groups), list(amounts)
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, last, carried = TaskContext.get().partitionId(), None, 0
+        part, last, carried = TaskContext.get().partitionId(), None, np.zeros((len(amounts), 1), np.int64)
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             starts = _starts(batch, groups) if groups else np.array([0])
-            amounts = batch.column(amount).to_numpy(zero_copy_only=False).astype(np.int64)
-            total = np.cumsum(amounts)
-            before = np.repeat(np.concatenate([[0], total[starts[1:] - 1]]), np.diff(np.append(starts, n)))
+            total = np.cumsum(np.stack([batch.column(a).to_numpy(zero_copy_only=False).astype(np.int64) for a in amounts]), axis=1)
+            before = np.repeat(np.concatenate([np.zeros((len(amounts), 1), np.int64), total[:, starts[1:] - 1]], axis=1), np.diff(np.append(starts, n)), axis=1)
             upto = total - before
             first = tuple(batch.column(g)[0].as_py() for g in groups)
             if first == last:
-                upto[: starts[1] if len(starts) > 1 else n] += carried
-            last, carried = tuple(batch.column(g)[n - 1].as_py() for g in groups), int(upto[-1])
-            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow)), pa.array(np.full(n, part, np.int32)), pa.array(upto)], schema=arrow)
+                upto[:, : starts[1] if len(starts) > 1 else n] += carried
+            last, carried = tuple(batch.column(g)[n - 1].as_py() for g in groups), upto[:, -1:].copy()
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow)), pa.array(np.full(n, part, np.int32)), *(pa.array(np.ascontiguousarray(u)) for u in upto)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
-def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[str], amount: str, out: str = "upto") -> DataFrame:
-    """``df`` with the inclusive running sum of the whole-number column ``amount`` per group in ``order``.
+def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[str], amount: str | Sequence[str], out: str | Sequence[str] = "upto") -> DataFrame:
+    """``df`` with the inclusive running sum of one or more whole-number columns per group in ``order``.
 
     Amounts must not be null. Groups may be an empty list: then the whole table is one group. Rows that tie
     in ``order`` follow each other in any order. Empty input gives empty output.
     """
+    amounts, outs = ([amount], [out]) if isinstance(amount, str) else (list(amount), list(out))
     keys = [*groups, *order]
     ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    local = cut(_local_totals(ordered, groups, amount))
-    per_part = local.groupBy(*groups, "_part").agg(F.max("_upto").alias("_sum"))
+    local = cut(_local_totals(ordered, groups, amounts))
+    per_part = local.groupBy(*groups, "_part").agg(*[F.max(f"_upto{k}").alias(f"_sum{k}") for k in range(len(amounts))])
     # One row per partition that holds some of the group: few rows, even for a group with most of the table.
     window = Window.partitionBy(*[F.col(g) for g in groups]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.withColumn("_before", F.coalesce(F.sum("_sum").over(window), F.lit(0))).drop("_sum")
+    offsets = per_part.select(*groups, "_part", *[F.coalesce(F.sum(f"_sum{k}").over(window), F.lit(0)).alias(f"_before{k}") for k in range(len(amounts))])
     match = F.col("l._part") == F.col("o._part")
     for g in groups:
         match &= F.col(f"l.{g}").eqNullSafe(F.col(f"o.{g}"))
     joined = local.alias("l").join(offsets.alias("o"), match)
-    return joined.select("l.*", "o._before").withColumn(out, F.col("_upto") + F.col("_before")).drop("_part", "_upto", "_before")
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], *[(F.col(f"_upto{k}") + F.col(f"_before{k}")).alias(name) for k, name in enumerate(outs)])
+
+
+def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """``df`` with its row number per group in ``order``, from 1, without a group meeting in one task."""
+    return running_totals(df.withColumn("_one", F.lit(1)), groups, order, "_one", out).drop("_one")
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str, count: str | None = None) -> DataFrame:
@@ -98,15 +105,21 @@ def order_statistics(counts: DataFrame, groups: Sequence[str], ranks: dict[str,
     """
     placed = running_totals(counts, groups, ["value"], "n", "_hi")
     sizes = counts.groupBy(*groups).agg(F.sum("n").alias("n_rows"))
+    if not groups:
+        total = sizes.first()["n_rows"] or 0  # a single number
+        joined = placed.withColumn("n_rows", F.lit(total).cast("long"))
+        return _at_ranks(joined, groups, ranks).where("n_rows IS NOT NULL")
     match = None
     for g in groups:
         same = F.col(f"p.{g}").eqNullSafe(F.col(f"s.{g}"))
         match = same if match is None else match & same
-    joined = placed.alias("p").join(sizes.alias("s"), match) if groups else placed.alias("p").crossJoin(sizes.alias("s"))
-    joined = joined.select(*[F.col(f"p.{g}") for g in groups], "value", "n", "_hi", "n_rows")
+    joined = placed.alias("p").join(sizes.alias("s"), match)
+    return _at_ranks(joined.select(*[F.col(f"p.{g}") for g in groups], "value", "n", "_hi", "n_rows"), groups, ranks)
+
+
+def _at_ranks(joined: DataFrame, groups: Sequence[str], ranks: dict[str, callable]) -> DataFrame:
     hits = {name: F.when((f(F.col("n_rows")) <= F.col("_hi")) & (f(F.col("n_rows")) > F.col("_hi") - F.col("n")), F.col("value")) for name, f in ranks.items()}
-    aggregated = joined.groupBy(*groups).agg(F.max("n_rows").alias("n_rows"), *[F.max(hit).alias(name) for name, hit in hits.items()])
-    return aggregated
+    return joined.groupBy(*groups).agg(F.max("n_rows").alias("n_rows"), *[F.max(hit).alias(name) for name, hit in hits.items()])
 
 
 def percentiles(counts: DataFrame, groups: Sequence[str], fractions: dict[str, float]) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwake.functions import indices
+from gridwake.operators.order_stats import numbered
 
 
 def linear_scorer(weights: dict[str, float], bias: float) -> Column:
@@ -39,8 +40,9 @@ def over_years(yearly: DataFrame, end_year: int, rate: float, score: str = "scor
 def ranking(coords: DataFrame, scores: DataFrame, labels: DataFrame) -> DataFrame:
     """All points with score, label and rank (highest first, unscored null)."""
     joined = coords.join(scores, "point_id", "left").join(labels, "point_id", "left")
-    order = Window.orderBy(F.desc_nulls_last("score"), "point_id")
-    return joined.withColumn("rank", F.when(F.col("score").isNotNull(), F.row_number().over(order)))
+    ordered = joined.withColumns({"_none": F.col("score").isNull(), "_down": -F.col("score")})
+    placed = numbered(ordered, [], ["_none", "_down", "point_id"], "_place").drop("_none", "_down")
+    return placed.withColumn("rank", F.when(F.col("score").isNotNull(), F.col("_place")).cast("int")).drop("_place")
 
 
 def to_grid(df: DataFrame, row: Column, col: Column, score: str = "score") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gridwake.functions import indices
-from gridwake.operators.grouped import over_groups
+from gridwake.operators.grouped import group_codes, over_groups
 
 WINDOW = ["point_id", "year"]
 DRY = (121, 304)
@@ -121,9 +121,30 @@ def subsample(df: DataFrame, keep: int, all_optical: bool = False) -> DataFrame:
 
 
 def is_one_run(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Whether each point's rows stand together when the table is read in ``order``: runs against points."""
-    runs = df.withColumn("_p", F.lag("point_id").over(Window.orderBy(*order)))
-    return runs.agg(F.count_if(F.col("_p").isNull() | (F.col("_p") != F.col("point_id"))).alias("runs"), F.countDistinct("point_id").alias("points"))
+    """Whether each point's rows stand together when the table is read in ``order``: runs against points.
+
+    Runs are counted within the parts of a distributed sort; a run that goes on in the next part is taken off.
+    """
+
+    def ends(batches):
+        from pyspark import TaskContext
+
+        first, last, runs = None, None, 0
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            if names:
+                codes = group_codes(pa.Table.from_batches([batch]), ["point_id"])
+                runs += int(codes[-1]) + 1 - (names[0] == last and runs > 0)
+                first, last = names[0] if first is None else first, names[-1]
+        if runs:
+            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "first": [first], "last": [last], "runs": [runs]})
+
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).select("point_id").mapInArrow(ends, "part long, first string, last string, runs long")
+    joined = parts.withColumn("again", F.lag("last").over(Window.orderBy("part")) == F.col("first"))  # a row per partition
+    runs = joined.agg((F.sum("runs") - F.count_if("again")).alias("runs"))
+    points = df.agg(F.countDistinct("point_id").alias("points"))
+    both = runs.select("runs", F.lit(None).cast("long").alias("points")).unionByName(points.select(F.lit(None).cast("long").alias("runs"), "points"))
+    return both.agg(F.max("runs").alias("runs"), F.max("points").alias("points"))
 
 
 def waveform(df: DataFrame, index: str, quality: str, window: tuple[int, int] = (200, 340), threshold: float = 0.15, min_quality: float = 0.3, min_years: int = 3) -> DataFrame:

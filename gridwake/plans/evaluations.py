@@ -68,6 +68,12 @@ def ml_08(spark, d):
 _SIGNALS = {"ndvi": "i_ndvi", "mavi": "i_mavi", "ndre": "i_ndre", "vh": "vh_db"}
 
 
+def one_row(*frames):
+    """Frames of one row each, beside each other."""
+    union = ob.merged(*frames)
+    return union.agg(*[F.max(c).alias(c) for c in union.columns])
+
+
 def signal_windows(spark, d, column):
     """5th percentile of a signal per window, with its label."""
     return obs(spark, d).where(F.expr(f"({GOOD}) OR source = 'S1'")).groupBy(*wi.WINDOW).agg(F.min("label").alias("label"), r6(F.percentile(column, F.lit(0.05)), "v"))
@@ -83,10 +89,10 @@ SELECT round(greatest(0, least(a3, b3) - greatest(a1, b1)) / (greatest(a3, b3) -
 
 
 def evaluate(df):
-    """A signal's quartile overlap and AUROC between the classes: two rows' worth of aggregates, joined."""
+    """A signal's quartile overlap and AUROC between the classes, in one row."""
     labelled = df.where(F.col("label").isin("presence", "absence")).withColumn("y", F.when(F.col("label") == "presence", 1).otherwise(0))
     area = ev.auroc(labelled, [], "v", "y").select(r6("auc", "auc"))
-    return ev.quartile_overlap(df, "v").crossJoin(F.broadcast(area)).select(r6("overlap", "overlap"), "na", "nb", "auc")  # one row each
+    return one_row(ev.quartile_overlap(df, "v").select(r6("overlap", "overlap"), "na", "nb"), area)
 
 
 for _name, _column in _SIGNALS.items():
@@ -269,7 +275,7 @@ def dq_15(spark, d):
     df = ob.optical(obs(spark, d))
     middle = percentiles(value_counts(df, [], "i_ndvi"), [], {"middle": 0.5}).select(r6("middle", "middle"))
     facts = df.agg(F.count_if(~F.col("i_ndvi").between(-1, 1)).alias("n_outside"), r6(F.count_if(F.col("i_ndvi").isNull()) / F.count(F.lit(1)), "null_share"))
-    return facts.crossJoin(F.broadcast(middle))  # one row each
+    return one_row(facts, middle)
 
 
 QUERIES, SQL = R.queries, R.sql

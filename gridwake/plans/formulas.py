@@ -86,8 +86,8 @@ _GRID = "an AS (SELECT i, j, (i * 3 + j * j % 11)::DOUBLE AS angle FROM range(23
        + "SELECT point_id, round(sum(angle * (1 - abs(x - j)) * (1 - abs(y - i))), 6) AS angle FROM c JOIN an ON i IN (y0, y0 + 1) AND j IN (x0, x0 + 1) GROUP BY point_id")
 def fn_19(spark, d):
     """Bilinear interpolation in a coarse grid of angles; places outside take the edge's value."""
-    axis = spark.range(23)
-    grid = axis.select(F.col("id").cast("int").alias("i")).crossJoin(axis.select(F.col("id").cast("int").alias("j")))  # 23 x 23 by definition
+    axis = F.sequence(F.lit(0), F.lit(22))
+    grid = spark.range(1).select(F.explode(axis).alias("i")).select("i", F.explode(axis).alias("j"))
     grid = grid.withColumn("angle", (F.col("i") * 3 + F.col("j") * F.col("j") % 11).cast("double"))
     p = table(spark, d, "observations").select("point_id").distinct()
     p = p.select("point_id", (ids.easting(F.col("point_id")) % 110 / 5.0).alias("x"), (ids.northing(F.col("point_id")) % 110 / 5.0).alias("y"))
@@ -431,10 +431,16 @@ def geo_08(spark, d):
 
 @R.add("geo_09", with_obs("t AS (SELECT tile_id, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM obs WHERE tile_id IS NOT NULL GROUP BY 1)") + "SELECT id, tile_id FROM training_regions, t WHERE bbox[1] <= e AND bbox[3] >= w AND bbox[2] <= n AND bbox[4] >= s")
 def geo_09(spark, d):
-    """Tiles that meet each region's box; tiles are a fixed grid, and the regions a configuration."""
+    """Tiles that meet each region's box, compared only where both touch the same cell of a degree."""
     tiles = obs(spark, d).where("tile_id IS NOT NULL").groupBy("tile_id").agg(F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n"))
-    box = tuple(F.get("bbox", F.lit(i)) for i in range(4))
-    return table(spark, d, "training_regions").join(tiles, geodesy.overlaps(box, tuple(F.col(c) for c in "wsen"))).select("id", "tile_id")
+    boxes = table(spark, d, "training_regions").select("id", *[F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate(("bw", "bs", "be", "bn"))])
+
+    def cells(df, w, s, e, n):
+        span = lambda a, b: F.explode(F.sequence(F.floor(a).cast("int"), F.floor(b).cast("int")))
+        return df.withColumn("cx", span(w, e)).withColumn("cy", span(s, n))
+
+    near = cells(boxes, "bw", "bs", "be", "bn").join(cells(tiles, "w", "s", "e", "n"), ["cx", "cy"])
+    return near.where(geodesy.overlaps(tuple(F.col(c) for c in ("bw", "bs", "be", "bn")), tuple(F.col(c) for c in "wsen"))).select("id", "tile_id").distinct()
 
 
 @R.add("geo_10", f"SELECT id, (bbox[1] <= {BOX[2]} AND bbox[3] >= {BOX[0]} AND bbox[2] <= {BOX[3]} AND bbox[4] >= {BOX[1]}) AS hit FROM training_regions")

@@ -430,8 +430,7 @@ def win_15(spark, d):
 
 @R.add("win_16", with_obs(_SITE_AUC) + "SELECT point_id, round(r, 6) AS r FROM rk")
 def win_16(spark, d):
-    df = labelled_scores(spark, d).where("score IS NOT NULL")
-    return df.select("point_id", F.round(ev.average_rank("score", ["site"]), 6).alias("r"))
+    return ev.average_rank(labelled_scores(spark, d), "score", ["site"], "r").select("point_id", F.round("r", 6).alias("r"))
 
 
 _CURVE = """ct AS (SELECT score AS threshold, sum(label) AS p, sum(1 - label) AS n FROM sc WHERE score IS NOT NULL GROUP BY 1),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Written tables in the shared folder that cut the lineage of loops.
+
+    Unlike a checkpoint, a table that is read back carries neither the constraints nor the statistics of the plan that made it, which
+    grow with every round of a loop; and its size is known, so small tables are joined by broadcast.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/{name}/{uuid.uuid4().hex}"
+        self.paths: list[str] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{len(self.paths)}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop_all_but_last(self) -> None:
+        for path in self.paths[:-1]:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        self.paths = self.paths[-1:]
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows; reads at most one row beyond that many."""
     return df.limit(rows + 1).count() <= rows

@@ -56,7 +56,7 @@ def test_rewrites_only_crowded_partitions(spark, tmp_path):
     version, _ = co.compact(spark, root, ["k"], ["rec"], small_rows=1000, min_small=2, target_rows=30)
     assert version == 1
     after = state(spark, root)
-    assert after[0][:2] == after[1][:2] == (50, 50) and after[0][2] == 2
+    assert after[0][:2] == after[1][:2] == (50, 50) and after[0][2] <= 2
     assert after[2] == (200, 50, 1)  # a single file: left alone
     assert co.compact(spark, root, ["k"], ["rec"], 1000, 3, 30)[0] == 1  # nothing more to do
 

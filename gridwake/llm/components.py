@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwake.operators.order_stats import running_totals
-from gridwake.session import cut
+from gridwake.session import Scratch
 
 
 def _coin(vertex: str, round_: int):
-    """The coin of a vertex in a round, the same wherever it is computed."""
-    return F.shiftrightunsigned(F.xxhash64(F.col(vertex), F.lit(round_)), 17) % 2 == 0
+    """The coin of a vertex in a round, the same wherever it is computed.
+
+    The round is a string: as such it isn't written into the generated code, and all rounds share one compiled class.
+    """
+    return F.shiftrightunsigned(F.xxhash64(F.col(vertex), F.lit(f"round {round_}")), 17) % 2 == 0
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, most_rounds: int = 200) -> DataFrame:
@@ -33,32 +36,32 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, mo
     every = both.select(F.col("u").alias("vertex")).union(both.select(F.col("v").alias("vertex")))
     if vertices is not None:
         every = every.unionByName(vertices.select("vertex").where("vertex IS NOT NULL"))
+    scratch = Scratch(edges.sparkSession, "components")
     # One direction is enough: a pair is kept as (smaller, larger).
-    live = cut(both.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    live = scratch.cut(both.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     collapses: list[DataFrame] = []
     for round_ in range(most_rounds):
         if live.isEmpty():
             break
         ends = live.withColumn("hu", _coin("u", round_)).withColumn("hv", _coin("v", round_)).where("hu <> hv")
-        moves = cut(ends.select(F.when(F.col("hu"), F.col("v")).otherwise(F.col("u")).alias("from"), F.when(F.col("hu"), F.col("u")).otherwise(F.col("v")).alias("to")).groupBy("from").agg(F.min("to").alias("to")))
+        moves = scratch.cut(ends.select(F.when(F.col("hu"), F.col("v")).otherwise(F.col("u")).alias("from"), F.when(F.col("hu"), F.col("u")).otherwise(F.col("v")).alias("to")).groupBy("from").agg(F.min("to").alias("to")))
         collapses.append(moves)
         for end in ("u", "v"):
             named = moves.select(F.col("from").alias(end), F.col("to").alias("new"))
             live = live.join(named, end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
-        live = cut(live.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        live = scratch.cut(live.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     else:
         raise RuntimeError(f"edges are left after {most_rounds} rounds")
     # Vertices collapsed in a round take the name that their target has at the end of all later rounds.
     settled: DataFrame | None = None
-    for k, moves in enumerate(reversed(collapses)):
+    for moves in reversed(collapses):
         if settled is None:
-            settled = moves.select(F.col("from").alias("vertex"), F.col("to").alias("component"))
+            settled = scratch.cut(moves.select(F.col("from").alias("vertex"), F.col("to").alias("component")))
             continue
         later = settled.select(F.col("vertex").alias("to"), "component")
         now = moves.join(later, "to", "left").select(F.col("from").alias("vertex"), F.coalesce("component", "to").alias("component"))
-        settled = settled.unionByName(now)
-        if k % 4 == 3:
-            settled = cut(settled)
+        settled = scratch.cut(settled.unionByName(now))
+    scratch.drop_all_but_last()
     every = every.distinct()
     if settled is None:
         return every.withColumn("component", F.col("vertex"))

@@ -106,7 +106,7 @@ def qry_11(spark, d):
     return checks.report(obs(spark, d), BOX, 1000)
 
 
-@R.add("qry_12", with_obs("h AS (SELECT point_id, avg(vh_db) FILTER (doy BETWEEN 121 AND 304) AS v FROM obs GROUP BY 1)", _POINTS) + "SELECT point_id, lon, lat, CASE WHEN v >= -16 THEN 1.0 WHEN v IS NOT NULL THEN 0.0 END AS score FROM pts JOIN h USING (point_id)")
+@R.add("qry_12", with_obs("h AS (SELECT point_id, avg(vh_db) FILTER (doy BETWEEN 121 AND 304) AS v FROM obs GROUP BY 1)", _POINTS) + "SELECT point_id, lon, lat, CASE WHEN v >= -16 THEN 1.0::DOUBLE WHEN v IS NOT NULL THEN 0.0::DOUBLE END AS score FROM pts JOIN h USING (point_id)")
 def qry_12(spark, d):
     return points(spark, d).join(scoring.dry_heuristic(obs(spark, d), -16.0), "point_id").select("point_id", "lon", "lat", "score")
 

@@ -39,7 +39,7 @@ def ml_03(spark, d):
     return ev.hold_out(points(spark, d).withColumn("site", ids.site(F.col("region_id"))), "site", ["luninya_spur"]).select("point_id", "split")
 
 
-@R.add("ml_04", with_obs(_SITE_AUC, "ra AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM sc WHERE score IS NOT NULL)") + "SELECT sum(label) AS n_pos, sum(1 - label) AS n_neg, round((sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * sum(1 - label)), 6) AS auc FROM ra")
+@R.add("ml_04", with_obs(_SITE_AUC, "ra AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM sc WHERE score IS NOT NULL)") + "SELECT sum(label)::BIGINT AS n_pos, sum(1 - label)::BIGINT AS n_neg, round((sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * sum(1 - label)), 6) AS auc FROM ra")
 def ml_04(spark, d):
     return ev.auroc(labelled_scores(spark, d), []).select("n_pos", "n_neg", r6("auc", "auc"))
 
@@ -54,7 +54,7 @@ def ml_06(spark, d):
     return rounded(ev.best_f1(labelled_scores(spark, d)), ["threshold", "f1"])
 
 
-@R.add("ml_07", with_obs(_SITE_AUC) + "SELECT round(sum(n * abs(p - y)) / sum(n), 6) AS ece, sum(n) AS n FROM (SELECT least(floor(least(greatest(score, 0), 1) * 10), 9) AS bin, count(*) AS n, avg(least(greatest(score, 0), 1)) AS p, avg(label) AS y FROM sc WHERE score IS NOT NULL GROUP BY 1)")
+@R.add("ml_07", with_obs(_SITE_AUC) + "SELECT round(sum(n * abs(p - y)) / sum(n), 6) AS ece, sum(n)::BIGINT AS n FROM (SELECT least(floor(least(greatest(score, 0), 1) * 10), 9) AS bin, count(*) AS n, avg(least(greatest(score, 0), 1)) AS p, avg(label) AS y FROM sc WHERE score IS NOT NULL GROUP BY 1)")
 def ml_07(spark, d):
     df = labelled_scores(spark, d).withColumn("score", indices.clamp(F.col("score"), 0.0, 1.0))
     return ev.calibration_error(df).select(r6("ece", "ece"), "n")
@@ -178,7 +178,7 @@ def ml_15(spark, d):
     return vector.select("point_id", *[F.coalesce(c, F.raise_error(F.lit(f"{c} is missing")).cast(dict(vector.dtypes)[c])).alias(c) for c in needed])
 
 
-@R.add("ml_16", _VECTOR + "SELECT point_id, peak_value, spike_duration, years_detected, mean_quality, 0.0 AS distance, 1.0 AS bias FROM wf JOIN mq USING (point_id)")
+@R.add("ml_16", _VECTOR + "SELECT point_id, peak_value, spike_duration, years_detected, mean_quality, 0.0::DOUBLE AS distance, 1.0::DOUBLE AS bias FROM wf JOIN mq USING (point_id)")
 def ml_16(spark, d):
     return ml_15(spark, d).withColumn("distance", F.lit(0.0)).withColumn("bias", F.lit(1.0))
 
@@ -198,7 +198,7 @@ def ml_17(spark, d):
     return found.join(F.broadcast(ranks), "prediction").select("point_id", F.col("rank").alias("cluster"), (F.col("rank") / 5).alias("prob"))
 
 
-@R.add("ml_18", with_obs("h AS (SELECT point_id, avg(vh_db) FILTER (doy BETWEEN 121 AND 304) AS v FROM obs GROUP BY 1)") + "SELECT point_id, round(v, 6) AS vh_dry, CASE WHEN v >= -16 THEN 1.0 WHEN v IS NOT NULL THEN 0.0 END AS score FROM h")
+@R.add("ml_18", with_obs("h AS (SELECT point_id, avg(vh_db) FILTER (doy BETWEEN 121 AND 304) AS v FROM obs GROUP BY 1)") + "SELECT point_id, round(v, 6) AS vh_dry, CASE WHEN v >= -16 THEN 1.0::DOUBLE WHEN v IS NOT NULL THEN 0.0::DOUBLE END AS score FROM h")
 def ml_18(spark, d):
     return scoring.dry_heuristic(obs(spark, d), -16.0).select("point_id", r6("vh_dry", "vh_dry"), "score")
 

@@ -18,7 +18,7 @@ r6 = lambda c, name: F.round(c, 6).alias(name)
 # ---- spectral and radar -------------------------------------------------------------------------------------------
 
 for _n, _c in (("fn_01", "i_ndvi"), ("fn_02", "i_ndwi"), ("fn_03", "i_evi"), ("fn_04", "i_mavi"), ("fn_05", "i_ndre"), ("fn_06", "i_ci_re"), ("fn_07", "i_ndsvi"), ("fn_08", "i_b12_b11"), ("fn_12", "vh_db"), ("fn_13", "vh_vv"), ("fn_14", "rvi")):
-    R.add(_n, with_obs() + f"SELECT obs_id, round({_c}, 6) AS v FROM obs")(lambda spark, d, c=_c: obs(spark, d).select("obs_id", r6(F.col(c), "v")))
+    R.add(_n, with_obs() + f"SELECT obs_id, round({_c}, 9) AS v FROM obs")(lambda spark, d, c=_c: obs(spark, d).select("obs_id", F.round(c, 9).alias("v")))
 
 
 @R.add("fn_09", with_obs() + "SELECT obs_id, " + ", ".join(f"{b} / 10000.0::DOUBLE AS {b}" for b in BANDS if b != "B06") + f" FROM obs WHERE {GOOD}")
@@ -53,7 +53,7 @@ def fn_16(spark, d):
     return df.join(archive, "point_id").select("obs_id", r6(indices.greenness(F.col("i_ndvi"), F.col("m"), F.col("s")), "v"))
 
 
-@R.add("fn_17", with_obs() + "SELECT obs_id, round(1 - least(aot * 0.001, 1), 6) AS aot_q, round(greatest(0, 1 - view_zenith / 90.0::DOUBLE), 6) AS zenith_q FROM obs WHERE source = 'S2'")
+@R.add("fn_17", with_obs() + "SELECT obs_id, round(1 - least(aot * 0.001::DOUBLE, 1), 6) AS aot_q, round(greatest(0, 1 - view_zenith / 90.0::DOUBLE), 6) AS zenith_q FROM obs WHERE source = 'S2'")
 def fn_17(spark, d):
     return obs(spark, d).where("source = 'S2'").select("obs_id", r6(indices.aerosol_quality(F.col("aot")), "aot_q"), r6(indices.zenith_quality(F.col("view_zenith")), "zenith_q"))
 

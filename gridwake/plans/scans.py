@@ -95,7 +95,7 @@ def src_10(spark, d):
     return table(spark, d, "training_regions").select("id", *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("lon_min", "lat_min", "lon_max", "lat_max"))])
 
 
-@R.add("src_11", "SELECT * FROM (VALUES ('field', 4, 140.0, -20.0, 143.0, -17.0)) t(name, n_corners, west, south, east, north)")
+@R.add("src_11", "SELECT * FROM (VALUES ('field', 4, 140.0::DOUBLE, -20.0::DOUBLE, 143.0::DOUBLE, -17.0::DOUBLE)) t(name, n_corners, west, south, east, north)")
 def src_11(spark, d):
     text = '{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"name":"field"},"geometry":{"type":"Polygon","coordinates":[[[140,-20],[143,-19],[142,-17],[141,-18],[140,-20]]]}}]}'
     return readers.polygons(spark, text)
@@ -121,12 +121,12 @@ def src_16(spark, d):
     return rows.where("source = 'S2'").join(keys, ["file_id", "point_id"]).select("file_id", "point_id", "date", "value")
 
 
-@R.add("src_17", "SELECT file_id, path FROM chunk_reports WHERE regexp_extract(path, '[/\\\\]([0-9]{4})[/\\\\]', 1) = '2020' AND upper(regexp_extract(path, '([0-9]{1,2}[A-Za-z]{3})_r', 1)) LIKE '5%'")
+@R.add("src_17", "SELECT file_id, path FROM chunk_reports WHERE regexp_extract(path, '[/\\\\]([0-9]{4})[/\\\\]', 1)::INT BETWEEN 2019 AND 2021 AND upper(regexp_extract(path, '([0-9]{1,2}[A-Za-z]{3})_r', 1)) LIKE '5%'")
 def src_17(spark, d):
     from gridwake.operators.compaction import chunk_of_path
 
     parts = chunk_of_path(F.col("path"))
-    return table(spark, d, "chunk_reports").where((parts["year"] == 2020) & parts["tile"].startswith("5")).select("file_id", "path")
+    return table(spark, d, "chunk_reports").where(parts["year"].between(2019, 2021) & parts["tile"].startswith("5")).select("file_id", "path")
 
 
 @R.add("src_18", "SELECT tile_id, year(date)::INT AS year, round(min(lon::DOUBLE), 6) AS west, round(min(lat::DOUBLE), 6) AS south, round(max(lon::DOUBLE), 6) AS east, round(max(lat::DOUBLE), 6) AS north, count(*) AS n FROM observations WHERE tile_id IS NOT NULL GROUP BY ALL")
@@ -174,7 +174,7 @@ def snk_05(spark, d):
     return readers.csv(spark, path, "point_id string, score double, rank int")
 
 
-@R.add("snk_06", with_obs() + f"SELECT region_id, count(*) AS n_dates, sum(n) AS n_obs FROM (SELECT region_id, date, count(*) AS n FROM obs WHERE {GOOD} GROUP BY ALL) GROUP BY ALL")
+@R.add("snk_06", with_obs() + f"SELECT region_id, count(*) AS n_dates, sum(n)::BIGINT AS n_obs FROM (SELECT region_id, date, count(*) AS n FROM obs WHERE {GOOD} GROUP BY ALL) GROUP BY ALL")
 def snk_06(spark, d):
     per_date = ob.optical(obs(spark, d)).groupBy("region_id", "date").agg(F.count(F.lit(1)).alias("n"))
     path = scratch(spark, "snk_06")
@@ -483,10 +483,10 @@ def join_15(spark, d):
     return ob.label_by_box(points(spark, d), regions(spark, d)).select("point_id", "label")
 
 
-RING = [(140.0, -20.0), (143.0, -19.0), (142.0, -17.0), (141.0, -18.0)]
+RING = [(138.0, -24.0), (146.5, -23.0), (145.0, -14.0), (141.0, -18.0)]
 
 
-@R.add("join_16", with_obs(_POINTS, "e AS (SELECT * FROM (VALUES (140.0, -20.0, 143.0, -19.0), (143.0, -19.0, 142.0, -17.0), (142.0, -17.0, 141.0, -18.0), (141.0, -18.0, 140.0, -20.0)) t(x1, y1, x2, y2))") + "SELECT point_id FROM pts JOIN e ON ((y1 > lat) != (y2 > lat)) AND lon < (x2 - x1)::DOUBLE * (lat - y1) / nullif((y2 - y1)::DOUBLE, 0) + x1 GROUP BY point_id HAVING count(*) % 2 = 1")
+@R.add("join_16", with_obs(_POINTS, "e AS (SELECT * FROM (VALUES (138.0, -24.0, 146.5, -23.0), (146.5, -23.0, 145.0, -14.0), (145.0, -14.0, 141.0, -18.0), (141.0, -18.0, 138.0, -24.0)) t(x1, y1, x2, y2))") + "SELECT point_id FROM pts JOIN e ON ((y1 > lat) != (y2 > lat)) AND lon < (x2 - x1)::DOUBLE * (lat - y1) / nullif((y2 - y1)::DOUBLE, 0) + x1 GROUP BY point_id HAVING count(*) % 2 = 1")
 def join_16(spark, d):
     return points(spark, d).where(ob.in_polygon(F.col("lon"), F.col("lat"), RING)).select("point_id")
 
@@ -620,7 +620,7 @@ def ext_01(spark, d):
     return scenes.where("purity > 0")
 
 
-@R.add("ext_02", with_obs() + "SELECT obs_id, scl IN (4, 5, 6, 11) AS clear, round(1 - least(aot * 0.001, 1.0), 6) AS aot_quality, round(B08 / 10000.0::DOUBLE, 6) AS nir FROM obs WHERE source = 'S2' AND NOT (" + " AND ".join(f"{b} IS NULL" for b in BANDS) + ")")
+@R.add("ext_02", with_obs() + "SELECT obs_id, scl IN (4, 5, 6, 11) AS clear, round(1 - least(aot * 0.001::DOUBLE, 1.0), 6) AS aot_quality, round(B08 / 10000.0::DOUBLE, 6) AS nir FROM obs WHERE source = 'S2' AND NOT (" + " AND ".join(f"{b} IS NULL" for b in BANDS) + ")")
 def ext_02(spark, d):
     seen = obs(spark, d).where("source = 'S2'").dropna(how="all", subset=BANDS)
     return seen.select("obs_id", F.col("scl").isin(*indices.CLEAR_SCENE_CLASSES).alias("clear"), r6(indices.aerosol_quality(F.col("aot")), "aot_quality"), r6(indices.reflectance("B08"), "nir"))

@@ -411,7 +411,7 @@ def win_14(spark, d):
 
 _SITE_AUC = """sc AS (SELECT regexp_replace(CASE WHEN regexp_matches(region_id, '_(presence|absence)') THEN regexp_extract(region_id, '^(.+?)_(presence|absence)', 1) ELSE region_id END, '_val$', '') AS site, CASE WHEN label = 'presence' THEN 1 ELSE 0 END AS label, point_id, round(avg(i_ndvi), 6) AS score FROM obs WHERE source = 'S2' AND scl_purity >= 1 GROUP BY ALL),
  rk AS (SELECT *, rank() OVER (PARTITION BY site ORDER BY score) + (count(*) OVER (PARTITION BY site, score) - 1) / 2 AS r FROM sc WHERE score IS NOT NULL),
- au AS (SELECT site, sum(label) AS n_pos, sum(1 - label) AS n_neg, round((sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / nullif(sum(label) * sum(1 - label), 0), 6) AS auc FROM rk GROUP BY site)"""
+ au AS (SELECT site, sum(label)::BIGINT AS n_pos, sum(1 - label)::BIGINT AS n_neg, round((sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / nullif(sum(label) * sum(1 - label), 0), 6) AS auc FROM rk GROUP BY site)"""
 
 
 def labelled_scores(spark, d):
@@ -434,7 +434,7 @@ def win_16(spark, d):
 
 
 _CURVE = """ct AS (SELECT score AS threshold, sum(label) AS p, sum(1 - label) AS n FROM sc WHERE score IS NOT NULL GROUP BY 1),
- cu AS (SELECT threshold, sum(p) OVER (ORDER BY threshold DESC) AS tp, sum(n) OVER (ORDER BY threshold DESC) AS fp, sum(p) OVER () AS pos, sum(n) OVER () AS neg FROM ct)"""
+ cu AS (SELECT threshold, (sum(p) OVER (ORDER BY threshold DESC))::BIGINT AS tp, (sum(n) OVER (ORDER BY threshold DESC))::BIGINT AS fp, (sum(p) OVER ())::BIGINT AS pos, (sum(n) OVER ())::BIGINT AS neg FROM ct)"""
 
 
 @R.add("win_17", with_obs(_SITE_AUC, _CURVE) + "SELECT threshold, round(tp / nullif(pos, 0) + 1 - fp / nullif(neg, 0), 9) AS j FROM cu ORDER BY j DESC, threshold LIMIT 1")

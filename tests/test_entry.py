@@ -2,6 +2,7 @@
 
 import os
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -39,11 +40,28 @@ def plain(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name,query", CORE, ids=[n for n, _ in CORE])
-def test_query(spark, duck, name, query):
-    df = query(spark, FOLDER)
-    columns = sorted(df.columns)
-    got = Counter(tuple(plain(r[c]) for c in columns) for r in df.collect())
+@pytest.fixture(scope="module")
+def results(spark):
+    """All queries' rows; small queries leave most cores idle, so several run at a time."""
+
+    def run(item):
+        name, query = item
+        try:
+            df = query(spark, FOLDER)
+            return name, (sorted(df.columns), [r.asDict() for r in df.collect()])
+        except Exception as e:  # the query's own test reports it
+            return name, e
+
+    with ThreadPoolExecutor(8) as pool:
+        return dict(pool.map(run, CORE))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in CORE])
+def test_query(results, duck, name):
+    if isinstance(results[name], Exception):
+        raise results[name]
+    columns, rows = results[name]
+    got = Counter(tuple(plain(r[c]) for c in columns) for r in rows)
     if name in SQL:
         relation = duck.sql(SQL[name])
         assert sorted(relation.columns) == columns

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 EARTH_M = 6_371_008.8
 
@@ -84,13 +86,15 @@ def locate_in_boxes(points: DataFrame, boxes: DataFrame, tile: float = 1.0, salt
     bs = b.join(shares, ["tx", "ty"]).withColumn("sb", F.pmod(F.xxhash64("bid"), F.col("nb")).cast("int")).withColumn("sp", F.explode(F.sequence(F.lit(0), F.col("np") - 1)))
     keys = ["tx", "ty", "sp", "sb"]
     ptype, btype = dict(points.dtypes)["pid"], dict(boxes.dtypes)["bid"]
+    # The same types with every nested field nullable, which is what the schema text below stands for.
+    wanted = to_arrow_schema(T._parse_datatype_string(f"pid {ptype}, bid {btype}"))
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"pid": left.column("pid").slice(0, 0), "bid": right.column("bid").slice(0, 0)})
+            return wanted.empty_table()
         index = SlabIndex(np.column_stack([right.column(c).to_numpy() for c in ("x_lo", "y_lo", "x_hi", "y_hi")]))
         points_, boxes_ = index.locate(left.column("x").to_numpy(), left.column("y").to_numpy())
-        return pa.table({"pid": left.column("pid").take(pa.array(points_)), "bid": right.column("bid").take(pa.array(boxes_))})
+        return pa.table({"pid": left.column("pid").take(pa.array(points_)), "bid": right.column("bid").take(pa.array(boxes_))}).cast(wanted)
 
     cogrouped = ps.select(*keys, "pid", "x", "y").groupBy(*keys).cogroup(bs.select(*keys, "bid", "x_lo", "y_lo", "x_hi", "y_hi").groupBy(*keys))
     return cogrouped.applyInArrow(kernel, f"pid {ptype}, bid {btype}")

@@ -19,14 +19,31 @@ def _coin(vertex: str, round_: int):
     return F.shiftrightunsigned(F.xxhash64(F.col(vertex), F.lit(f"round {round_}")), 17) % 2 == 0
 
 
+def _mates(live: DataFrame, round_: int) -> DataFrame:
+    """Vertices with tails and the smallest of their neighbours with heads."""
+    ends = live.withColumn("hu", _coin("u", round_)).withColumn("hv", _coin("v", round_)).where("hu <> hv")
+    return ends.select(F.when(F.col("hu"), F.col("v")).otherwise(F.col("u")).alias("from"), F.when(F.col("hu"), F.col("u")).otherwise(F.col("v")).alias("to")).groupBy("from").agg(F.min("to").alias("to"))
+
+
+def _leaves(live: DataFrame) -> DataFrame:
+    """Vertices with one neighbour and that neighbour; of two that have only each other, the larger moves.
+
+    Where a hub holds very many leaves, coins alone would halve them from round to round.
+    """
+    ends = live.select(F.explode(F.array(F.struct(F.col("u").alias("from"), F.col("v").alias("to")), F.struct(F.col("v").alias("from"), F.col("u").alias("to")))).alias("e")).select("e.*")
+    single = ends.groupBy("from").agg(F.count(F.lit(1)).alias("n"), F.min("to").alias("to")).where("n = 1").select("from", "to")
+    mutual = single.select(F.col("from").alias("to"), F.lit(True).alias("both"))
+    return single.join(mutual, "to", "left").where(F.col("both").isNull() | (F.col("from") > F.col("to"))).select("from", "to")
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, most_rounds: int = 200) -> DataFrame:
     """``(vertex, component)`` from undirected ``edges (a, b)``; isolated ones come from ``vertices (vertex)``.
 
-    Components are named by one of their vertices. In each round every vertex throws a coin; a vertex with
-    tails and a neighbour with heads collapses into its smallest such neighbour. Edges are rewritten to the
-    new names, loops and doubles vanish, and the rounds end when no edge is left (a quarter of
-    the edges' ends collapse per round on average). Each round's collapses are kept, and unwinding
-    them from the last to the first gives each vertex its component.
+    Components are named by one of their vertices. First, vertices with a single neighbour collapse into it. Then, in
+    each round, every vertex throws a coin; a vertex with tails and a neighbour with heads collapses into its smallest
+    such neighbour. Edges are rewritten to the new names, loops and doubles vanish, and the rounds end when no edge
+    is left (a quarter of the vertices collapse per round on average). Each round's collapses are kept, and
+    unwinding them from the last to the first gives each vertex its component.
 
     Null ends make no edge; loops make a vertex; repeated edges count once; empty input gives an
     empty result. A vertex with a third of all edges (a hub) costs no more than the others: neighbours are chosen by a
@@ -40,11 +57,10 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, mo
     # One direction is enough: a pair is kept as (smaller, larger).
     live = scratch.cut(both.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     collapses: list[DataFrame] = []
-    for round_ in range(most_rounds):
+    for round_ in range(-1, most_rounds):
         if live.isEmpty():
             break
-        ends = live.withColumn("hu", _coin("u", round_)).withColumn("hv", _coin("v", round_)).where("hu <> hv")
-        moves = scratch.cut(ends.select(F.when(F.col("hu"), F.col("v")).otherwise(F.col("u")).alias("from"), F.when(F.col("hu"), F.col("u")).otherwise(F.col("v")).alias("to")).groupBy("from").agg(F.min("to").alias("to")))
+        moves = scratch.cut(_leaves(live) if round_ < 0 else _mates(live, round_))
         collapses.append(moves)
         for end in ("u", "v"):
             named = moves.select(F.col("from").alias(end), F.col("to").alias("new"))

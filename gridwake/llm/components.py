@@ -28,7 +28,7 @@ def _mates(live: DataFrame, round_: int) -> DataFrame:
 def _leaves(live: DataFrame) -> DataFrame:
     """Vertices with one neighbour and that neighbour; of two that have only each other, the larger moves.
 
-    Where a hub holds very many leaves, coins alone would halve them from round to round.
+    Where a hub holds very many leaves, coins alone would halve them from round to round; this step takes them all at once.
     """
     ends = live.select(F.explode(F.array(F.struct(F.col("u").alias("from"), F.col("v").alias("to")), F.struct(F.col("v").alias("from"), F.col("u").alias("to")))).alias("e")).select("e.*")
     single = ends.groupBy("from").agg(F.count(F.lit(1)).alias("n"), F.min("to").alias("to")).where("n = 1").select("from", "to")

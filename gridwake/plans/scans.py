@@ -551,10 +551,10 @@ def srt_05(spark, d):
 
 @R.add("srt_06", "SELECT file_id, row_number() OVER (ORDER BY chunk_row, chunk_col, file_id)::INT AS place FROM chunk_reports WHERE year = 2020 AND tile = '56JFE' OR file_id <= 50")
 def srt_06(spark, d):
-    from pyspark.sql import Window
+    from gridwake.operators.order_stats import numbered
 
-    chosen = table(spark, d, "chunk_reports").where("year = 2020 AND tile = '56JFE' OR file_id <= 50")
-    return chosen.select("file_id", F.row_number().over(Window.orderBy("chunk_row", "chunk_col", "file_id")).alias("place"))
+    chunks = table(spark, d, "chunk_reports").select("file_id", "chunk_row", "chunk_col")
+    return numbered(chunks, [], ["chunk_row", "chunk_col", "file_id"], "place").select("file_id", F.col("place").cast("int").alias("place"))
 
 
 @R.add("srt_07", with_obs() + f"SELECT month, round(avg(i_ndvi), 6) AS v FROM obs WHERE {GOOD} GROUP BY month ORDER BY v DESC, month LIMIT 3")

@@ -328,8 +328,7 @@ def agg_43(spark, d):
 
 @R.add("win_01", with_obs() + "SELECT obs_id, round(quantile_cont(vh, 0.5) OVER w, 8) AS vh, round(quantile_cont(vv, 0.5) OVER w, 8) AS vv FROM obs WHERE source = 'S1' AND obs_id IN (SELECT obs_id FROM observations GROUP BY 1 HAVING count(*) = 1) WINDOW w AS (PARTITION BY point_id ORDER BY date, obs_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
 def win_01(spark, d):
-    once = table(spark, d, "observations").groupBy("obs_id").count().where("count = 1").select("obs_id")
-    df = ob.radar(obs(spark, d)).join(once, "obs_id", "left_semi")
+    df = ob.latest_delivery(ob.radar(obs(spark, d)).select("obs_id", "point_id", "date", "vh", "vv", "loaded_at"))
     return wi.despeckle(df, ["vh", "vv"], 5).select("obs_id", F.round("vh", 8).alias("vh"), F.round("vv", 8).alias("vv"))
 
 

@@ -1,6 +1,12 @@
 """Queries take in their whole tables; the wanted rows are worked out here, apart from the queries' SQL."""
 
+from datetime import date, datetime
+from statistics import median
+
+import pytest
+
 import __spark_entry__ as entry
+from gridwake.functions import indices
 
 QUERIES = entry.queries()
 
@@ -10,3 +16,20 @@ def test_every_chunk_has_its_place(spark, tmp_path):
     spark.createDataFrame(chunks, "file_id long, year int, tile string, chunk_row int, chunk_col int").repartition(3).write.parquet(f"{tmp_path}/chunk_reports.parquet")
     want = {c[0]: n for n, c in enumerate(sorted(chunks, key=lambda c: (c[3], c[4], c[0])), 1)}
     assert {r.file_id: r.place for r in QUERIES["srt_06"](spark, str(tmp_path)).collect()} == want
+
+
+def test_readings_delivered_again_are_despeckled_once(spark, tmp_path):
+    # Reading 3 comes three times, the last time corrected; its neighbours' medians reach over it.
+    first = {1: 0.01, 2: 0.09, 3: 0.5, 4: 0.03, 5: 0.07, 6: 0.02}
+    came = [*((i, v, 1) for i, v in first.items()), (3, 0.04, 3), (3, 0.6, 2)]
+    other = ", ".join(f"{b} int" for b in indices.BANDS)
+    given = spark.createDataFrame(
+        [(i, "x", "x_presence_1_1", 140.0, -18.0, date(2020, 1, i), *[None] * len(indices.BANDS), "S1", v, 2 * v, datetime(2020, 3, day)) for i, v, day in came],
+        f"obs_id long, region_id string, point_id string, lon float, lat float, date date, {other}, source string, vh float, vv float, loaded_at timestamp",
+    )
+    given.repartition(3).write.parquet(f"{tmp_path}/observations.parquet")
+    vh = {**first, 3: 0.04}
+    want = {i: median(vh[k] for k in range(i - 2, i + 3) if k in vh) for i in vh}
+    got = QUERIES["win_01"](spark, str(tmp_path)).collect()
+    assert sorted(r.obs_id for r in got) == sorted(vh)
+    assert {r.obs_id: (r.vh, r.vv) for r in got} == {i: pytest.approx((v, 2 * v), abs=1e-7) for i, v in want.items()}

@@ -176,7 +176,7 @@ def stream_01(spark, d):
 
 @R.add("stream_02", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_02(spark, d):
-    """Hourly counts of events by event time, with a watermark."""
+    """Hourly counts of events by event time, late ones included."""
     return ingest.hourly_counts(spark, d, scratch(spark, "stream_02"))
 
 

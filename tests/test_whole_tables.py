@@ -1,9 +1,12 @@
 """Queries take in their whole tables; the wanted rows are worked out here, apart from the queries' SQL."""
 
-from datetime import date, datetime
+from collections import Counter
+from datetime import date, datetime, timedelta
+from pathlib import Path
 from statistics import median
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gridwake.functions import indices
@@ -33,3 +36,21 @@ def test_readings_delivered_again_are_despeckled_once(spark, tmp_path):
     got = QUERIES["win_01"](spark, str(tmp_path)).collect()
     assert sorted(r.obs_id for r in got) == sorted(vh)
     assert {r.obs_id: (r.vh, r.vv) for r in got} == {i: pytest.approx((v, 2 * v), abs=1e-7) for i, v in want.items()}
+
+
+# Three batches of 16 files: Spark drops rows by the watermark of the batch before the last, so from the third on.
+def test_streams_count_late_events_of_later_batches(spark, tmp_path):
+    events = [(datetime(2024, 1, 1) + timedelta(minutes=97 * i % 43_200), "abc"[i % 3]) for i in range(800)]
+    spark.createDataFrame(events, "ts timestamp_ntz, event_type string").repartition(40).write.parquet(f"{tmp_path}/events.parquet")
+    assert len(list(Path(f"{tmp_path}/events.parquet").glob("*.parquet"))) == 40
+    got = QUERIES["stream_02"](spark, str(tmp_path)).select(F.date_format("hour", "yyyy-MM-dd HH"), "event_type", "n").collect()
+    assert sorted(map(tuple, got)) == sorted((*k, n) for k, n in Counter((f"{t:%Y-%m-%d %H}", e) for t, e in events).items())
+
+
+def test_streams_deliver_late_observations_once(spark, tmp_path):
+    # Every file holds dates of many years, and each observation comes again in the next file.
+    rows = [((i + again) % 39, i, "p", date(1985, 1, 1) + timedelta(days=71 * i % 14_000), "S2") for i in range(400) for again in (0, 1)]
+    df = spark.createDataFrame(rows, "file int, obs_id long, point_id string, date date, source string")
+    df.repartitionByRange(39, "file").drop("file").write.parquet(f"{tmp_path}/observations.parquet")
+    assert len(list(Path(f"{tmp_path}/observations.parquet").glob("*.parquet"))) == 39
+    assert sorted(r.obs_id for r in QUERIES["stream_01"](spark, str(tmp_path)).collect()) == list(range(400))

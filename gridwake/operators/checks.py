@@ -97,8 +97,11 @@ def region_tags(df: DataFrame) -> DataFrame:
     return joined.withColumn("tags", F.array_join(tags, ","))
 
 
-def chunk_completeness(df: DataFrame, chunk: Sequence[str], complete: float = 0.95, share_of_dates: float = 0.95, least: int = 4) -> DataFrame:
-    """Per chunk: points, rows of the grid, radar dates and how completely they cover the rows, and the verdict."""
+def chunk_completeness(df: DataFrame, chunk: Sequence[str], complete: float = 0.95, share_of_dates: float = 0.95, least: int = 4, listed: DataFrame | None = None) -> DataFrame:
+    """Per chunk: points, rows of the grid, radar dates and how completely they cover the rows, and the verdict.
+
+    Chunks of ``listed`` that have no rows in ``df`` are EMPTY.
+    """
     from gridwake.functions import ids
 
     y = ids.northing(F.col("point_id"))
@@ -106,7 +109,10 @@ def chunk_completeness(df: DataFrame, chunk: Sequence[str], complete: float = 0.
     dates = df.where(F.col("source") == "S1").groupBy(*chunk, "date").agg(F.countDistinct(y).alias("cover"))
     judged = dates.join(shape, list(chunk)).groupBy(*chunk).agg(F.count(F.lit(1)).alias("n_dates"), F.median("cover").alias("cover_median"), F.max("cover").alias("cover_max"), F.count_if(F.col("cover") >= complete * F.col("n_rows")).alias("n_complete"))
     points = df.groupBy(*chunk, "point_id").agg(F.count_if(F.col("source") == "S1").alias("n1")).groupBy(*chunk).agg(F.count_if(F.col("n1") >= least).alias("n_enough"))
-    out = shape.join(points, list(chunk)).join(judged, list(chunk), "left").fillna(0, ["n_dates", "n_complete"])
-    enough = 100 * F.col("n_enough") / F.col("n_points")
-    verdict = F.when(F.col("n_dates") == 0, "S1_MISS").when(F.col("n_complete") < share_of_dates * F.col("n_dates"), F.when((enough >= 90) & (F.col("cover_median") < 0.5 * F.col("n_rows")), "S1_TRUNC_OK").otherwise("S1_INCOMPLETE")).otherwise("OK")
+    out = shape.join(points, list(chunk)).join(judged, list(chunk), "left")
+    if listed is not None:
+        out = listed.select(*chunk).distinct().join(out, list(chunk), "full")
+    out = out.fillna(0, ["n_points", "n_rows", "n_enough", "n_dates", "n_complete"])
+    enough = F.try_divide(100 * F.col("n_enough"), F.col("n_points"))
+    verdict = F.when(F.col("n_points") == 0, "EMPTY").when(F.col("n_dates") == 0, "S1_MISS").when(F.col("n_complete") < share_of_dates * F.col("n_dates"), F.when((enough >= 90) & (F.col("cover_median") < 0.5 * F.col("n_rows")), "S1_TRUNC_OK").otherwise("S1_INCOMPLETE")).otherwise("OK")
     return out.withColumn("verdict", verdict)

@@ -163,7 +163,7 @@ _CHUNK_SQL = """c AS (SELECT file_id, point_id, date, source, regexp_extract(poi
 def chunk_quality(spark, d):
     from gridwake.operators.checks import chunk_completeness
 
-    return chunk_completeness(table(spark, d, "chunk_rows"), ["file_id"], least=2)
+    return chunk_completeness(table(spark, d, "chunk_rows"), ["file_id"], listed=table(spark, d, "chunk_reports"))
 
 
 @R.add("agg_20", "WITH " + _CHUNK_SQL + " SELECT * FROM al")

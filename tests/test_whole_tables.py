@@ -54,3 +54,15 @@ def test_streams_deliver_late_observations_once(spark, tmp_path):
     df.repartitionByRange(39, "file").drop("file").write.parquet(f"{tmp_path}/observations.parquet")
     assert len(list(Path(f"{tmp_path}/observations.parquet").glob("*.parquet"))) == 39
     assert sorted(r.obs_id for r in QUERIES["stream_01"](spark, str(tmp_path)).collect()) == list(range(400))
+
+
+def test_empty_files_and_least_radar_readings(spark, tmp_path):
+    # File 1: two rows of the grid, the second seen on three of four dates. File 2: both on all four. File 3: no radar. File 4: no records.
+    seen = {1: {1: (1, 2, 3, 4), 2: (1, 2, 3)}, 2: {1: (1, 2, 3, 4), 2: (1, 2, 3, 4)}}
+    rows = [(f, f"x_1_{y}", date(2020, 1, day), "S1", 0.1) for f, by_row in seen.items() for y, days in by_row.items() for day in days] + [(3, "x_1_1", date(2020, 1, 1), "S2", 0.1)]
+    spark.createDataFrame(rows, "file_id long, point_id string, date date, source string, value double").write.parquet(f"{tmp_path}/chunk_rows.parquet")
+    spark.createDataFrame([(f,) for f in (1, 2, 3, 4)], "file_id long").write.parquet(f"{tmp_path}/chunk_reports.parquet")
+    assert {r.file_id: r.verdict for r in QUERIES["dq_13"](spark, str(tmp_path)).collect()} == {1: "S1_INCOMPLETE", 2: "OK", 3: "S1_MISS", 4: "EMPTY"}
+    columns = ("file_id", "n_points", "n_rows", "n_enough", "n_dates", "cover_median", "cover_max", "n_complete")
+    want = [(1, 2, 2, 1, 4, 2.0, 2, 3), (2, 2, 2, 2, 4, 2.0, 2, 4), (3, 1, 1, 0, 0, None, None, 0), (4, 0, 0, 0, 0, None, None, 0)]
+    assert sorted(map(tuple, QUERIES["agg_20"](spark, str(tmp_path)).select(*columns).collect())) == want

@@ -172,7 +172,7 @@ def perplexity(docs: DataFrame, doc_id: str, text: str, lang: str, model: DataFr
 
     ``model`` comes from ``kneser_ney`` over a corpus that holds ``docs``. A model of at most ``broadcast_rows``
     triples (checked) is sent to all tasks as sorted hash arrays; a larger one is joined with the documents'
-    triples by a shuffle, with the same result.
+    triples by a shuffle, with the same result. Every row of ``docs`` is scored for itself, whatever its doc_id.
     """
     kind = dict(docs.dtypes)[doc_id]
     slim = docs.select(F.col(doc_id).alias("doc_id"), language_key(F.col(lang)).alias("lang"), F.col(text).alias("text"))
@@ -188,7 +188,7 @@ def perplexity(docs: DataFrame, doc_id: str, text: str, lang: str, model: DataFr
 
     if at_most(rows, broadcast_rows):
         table = rows.toArrow()
-        keys, logs = table.column("key").to_numpy().view(np.uint64), table.column("log_p").to_numpy().astype(np.float32)
+        keys, logs = table.column("key").to_numpy().view(np.uint64), table.column("log_p").to_numpy()
         order = np.argsort(keys)
         keys, logs = keys[order], logs[order]
         sent = docs.sparkSession.sparkContext.broadcast((keys, logs))
@@ -208,12 +208,17 @@ def perplexity(docs: DataFrame, doc_id: str, text: str, lang: str, model: DataFr
     def spread(batches):
         for batch in batches:
             for first, count, owner, _, found in grams(batch):
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + first)), _signed(found)], names=["doc_id", "key"])
-
-    tokens = slim.mapInArrow(spread, f"doc_id {kind}, key long").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
-    sums = tokens.join(rows, "key").groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * F.col("log_p")).alias("s"))
-    return slim.select("doc_id", "lang").join(sums, "doc_id", "left").select("doc_id", "lang", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.exp(-F.col("s") / F.col("n_words")).alias("perplexity"))
+                # A text without words leaves one row without a key, so that no row of the table is lost.
+                bare = np.setdiff1d(np.arange(count), owner)
+                at = pa.array(np.concatenate([owner, bare]).astype(np.int64) + first)
+                key = pa.concat_arrays([_signed(found), pa.nulls(len(bare), pa.int64())])
+                yield pa.RecordBatch.from_arrays([batch.column(3).take(at), batch.column(0).take(at), batch.column(1).take(at), key], names=["_row", "doc_id", "lang", "key"])
+
+    own = ["_row", "doc_id", "lang"]
+    tokens = slim.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(spread, f"_row long, doc_id {kind}, lang string, key long").groupBy(*own, "key").agg(F.count(F.lit(1)).alias("n"))
+    words = F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("n"))), F.lit(0))
+    sums = tokens.join(rows, "key", "left").groupBy(*own).agg(words.alias("n_words"), F.sum(F.col("n") * F.col("log_p")).alias("s"))
+    return sums.select("doc_id", "lang", "n_words", F.exp(-F.col("s") / F.nullif(F.col("n_words"), F.lit(0))).alias("perplexity"))
 
 
 def bands(scored: DataFrame, low: float, high: float) -> DataFrame:

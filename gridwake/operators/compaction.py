@@ -145,7 +145,7 @@ def compact(spark: SparkSession, root: str, keys: Sequence[str], identity: Seque
     touched = ["/".join(f"{k}={v}" for k, v in zip(keys, t)) for t in listed]
     others = [c for c in table.columns if c not in (*keys, *identity)]
     n_out = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / target_rows))
-    picked = table.join(chosen.select(*keys, n_out.alias("_n")), list(keys))
+    picked = table.alias("t").join(chosen.select(*keys, n_out.alias("_n")).alias("c"), [F.col(f"t.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]).select("t.*", "_n")
     once = picked.groupBy(*keys, *identity).agg(F.max("_n").alias("_n"), *([F.min(F.struct(*others)).alias("_o")] if others else []))
     once = once.withColumn("_file", F.pmod(F.xxhash64(*identity), F.col("_n")))
     flat = once.select(*identity, *[F.col(f"_o.{c}").alias(c) for c in others], *keys, "_file")

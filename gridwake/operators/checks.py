@@ -86,15 +86,27 @@ def report(df: DataFrame, box: Sequence[float], expected: int) -> DataFrame:
 
 
 def region_tags(df: DataFrame) -> DataFrame:
-    """Per region the faults of its rows: repeated, sparse, few observations, missing bands, out of range, no radar, radar scale."""
-    optical, radar = F.col("source") == "S2", F.col("source") == "S1"
-    per_point = df.groupBy("region_id", "point_id").agg(F.count(F.lit(1)).alias("n"))
-    obs = per_point.groupBy("region_id").agg(F.count(F.lit(1)).alias("n_points"), F.min("n").alias("obs_min"), F.median("n").alias("obs_median"), F.max("n").alias("obs_max"))
-    dups = df.groupBy("region_id", "point_id", "date", "source").count().groupBy("region_id").agg(F.sum(F.col("count") - 1).alias("n_dup"))
-    facts = df.groupBy("region_id").agg(F.count(F.lit(1)).alias("n_obs"), F.count_if(optical & F.col("B08").isNull()).alias("n_null"), F.count_if(radar).alias("n_radar"), F.median(F.when(radar, F.col("vh"))).alias("vh_median"), F.count_if(~F.col("B08").between(0, 15_000)).alias("n_range"))
-    joined = facts.join(obs, "region_id").join(dups, "region_id")
-    tags = F.array_compact(F.array(F.when(F.col("n_dup") > 0, "DUPES"), F.when(F.col("n_points") < 5, "SPARSE"), F.when(F.col("obs_median") < 4, "LOW_OBS"), F.when(F.col("n_null") > 0, "NAN"), F.when(F.col("n_range") > 0, "RANGE"), F.when(F.col("n_radar") == 0, "S1_MISS"), F.when((F.col("vh_median") <= 0) | (F.col("vh_median") > 1), "S1_SCALE")))
-    return joined.withColumn("tags", F.array_join(tags, ","))
+    """Per region the facts about its optical rows and the faults they show, as ``tags``.
+
+    DUPES (a point and day twice), SPARSE (under 5 points), LOW_OBS (a point under 4 rows), NAN (null bands), RANGE (a band's mean
+    outside 0 .. 12000), S1_MISS (no radar), S1_SCALE (radar median above 1: not linear power); EMPTY alone where
+    a region has no optical rows. Regions may hold most of the table: their median of radar values comes from the
+    distributed sort, and the other facts combine before the shuffle.
+    """
+    from gridwake.operators.order_stats import percentiles, value_counts
+
+    optical, radar = df.where(F.col("source") == "S2"), df.where(F.col("source") == "S1")
+    per_day = optical.groupBy("region_id", "point_id", "date").agg(F.count(F.lit(1)).alias("c"))
+    per_point = per_day.groupBy("region_id", "point_id").agg(F.sum("c").alias("n"), F.sum(F.col("c") - 1).alias("again"))
+    points = per_point.groupBy("region_id").agg(F.count(F.lit(1)).alias("n_points"), F.min("n").alias("obs_min"), F.median("n").alias("obs_median"), F.max("n").alias("obs_max"), F.sum("again").alias("n_dup"))
+    mean, std = [F.avg(b) for b in indices.BANDS], [F.stddev_samp(b) for b in indices.BANDS]
+    total = lambda parts: functools.reduce(Column.__add__, parts)
+    facts = optical.groupBy("region_id").agg(F.count(F.lit(1)).alias("n_obs"), total([F.count_if(F.col(b).isNull()) for b in indices.BANDS]).alias("n_null"), (total(mean) / len(mean)).alias("band_mean"), (total(std) / len(std)).alias("band_std"), F.greatest(*mean).alias("top"), F.least(*mean).alias("bottom"))
+    middle = percentiles(value_counts(radar, ["region_id"], "vh"), ["region_id"], {"vh_median": 0.5}).drop("n_rows")
+    joined = df.select("region_id").distinct().join(facts, "region_id", "left").join(points, "region_id", "left").join(middle, "region_id", "left")
+    found = [("DUPES", "n_dup > 0"), ("SPARSE", "n_points < 5"), ("LOW_OBS", "obs_min < 4"), ("NAN", "n_null > 0"), ("RANGE", "top > 12000 OR bottom < 0"), ("S1_MISS", "vh_median IS NULL"), ("S1_SCALE", "vh_median > 1")]
+    tags = F.array_join(F.array_compact(F.array(*[F.when(F.expr(test), name) for name, test in found])), ",")
+    return joined.withColumn("tags", F.when(F.col("n_obs").isNull(), "EMPTY").otherwise(tags))
 
 
 def chunk_completeness(df: DataFrame, chunk: Sequence[str], complete: float = 0.95, share_of_dates: float = 0.95, least: int = 4, listed: DataFrame | None = None) -> DataFrame:

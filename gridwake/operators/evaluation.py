@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwake.operators.order_stats import numbered, running_totals
+from gridwake.operators.order_stats import numbered, percentiles, running_totals, value_counts
 
 
 def southern_split(points: DataFrame, share: float) -> DataFrame:
@@ -41,18 +41,22 @@ def tail_mean(df: DataFrame, value: str, alpha: float) -> DataFrame:
     return known.withColumn("_r", F.row_number().over(order)).withColumn("_n", n).where(F.col("_r") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * alpha))).agg(F.avg(value).alias("tail_mean"), F.count(F.lit(1)).alias("n_tail"))
 
 
-def _cumulative(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Per distinct score: what is found and what is falsely found at this threshold, and the totals."""
-    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n"))
-    totals = counts.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()  # two numbers
-    down = running_totals(counts.withColumn("_down", -F.col("threshold")), [], ["_down"], ["p", "n"], ["tp", "fp"])
-    return down.select("threshold", "tp", "fp", F.lit(totals["p"]).cast("long").alias("pos"), F.lit(totals["n"]).cast("long").alias("neg"))
+def _cumulative(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Per distinct score: what is found and what is falsely found at this threshold, and the totals of its group."""
+    keys = list(keys)
+    counts = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n"))
+    down = running_totals(counts.withColumn("_down", -F.col("threshold")), keys, ["_down"], ["p", "n"], ["tp", "fp"])
+    if not keys:
+        totals = counts.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()  # two numbers
+        return down.select("threshold", "tp", "fp", F.lit(totals["p"]).cast("long").alias("pos"), F.lit(totals["n"]).cast("long").alias("neg"))
+    totals = counts.groupBy(*keys).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    return down.join(totals, keys).select(*keys, "threshold", "tp", "fp", "pos", "neg")
 
 
-def youden(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """The threshold with the largest sum of sensitivity and specificity; the lowest one wins a tie."""
-    points = _cumulative(df, score, label).withColumn("j", F.round(F.try_divide("tp", "pos") + 1 - F.try_divide("fp", "neg"), 9))
-    return points.agg(F.max(F.struct("j", -F.col("threshold"))).alias("b")).select((-F.col("b.col2")).alias("threshold"), F.col("b.j").alias("j"))
+def youden(df: DataFrame, score: str = "score", label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
+    """The threshold with the largest sum of sensitivity and specificity per group; the lowest one wins a tie."""
+    points = _cumulative(df, score, label, keys).withColumn("j", F.round(F.try_divide("tp", "pos") + 1 - F.try_divide("fp", "neg"), 9))
+    return points.groupBy(*keys).agg(F.max(F.struct("j", -F.col("threshold"))).alias("b")).select(*keys, (-F.col("b.col2")).alias("threshold"), F.col("b.j").alias("j"))
 
 
 def best_f1(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -86,14 +90,42 @@ def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFra
     return ranked.groupBy(*keys).agg(F.corr("_a", "_b").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
-def quartile_overlap(df: DataFrame, value: str, label: str = "label", one: str = "presence", other: str = "absence") -> DataFrame:
-    """Shared length of the two classes' interquartile ranges over their united length; under four values null."""
-    q = lambda name, f: F.percentile(F.when(F.col(label) == name, F.col(value)), F.lit(f))
-    n = lambda name: F.count(F.when(F.col(label) == name, F.col(value)))
-    row = df.agg(q(one, 0.25).alias("a1"), q(one, 0.75).alias("a3"), q(other, 0.25).alias("b1"), q(other, 0.75).alias("b3"), n(one).alias("na"), n(other).alias("nb"))
+def class_stats(df: DataFrame, keys: Sequence[str], value: str, label: str = "label", point: str = "point_id") -> DataFrame:
+    """``(keys, label, n_pixel_years, n_pixels, mean, median, p25, p75, iqr)`` of each class.
+
+    Rows without value, label or key are left out. Groups may hold most rows: percentiles come from the distributed sort of value
+    counts, and points are counted after a first aggregation by point.
+    """
+    by = [*keys, label]
+    known = df.where(F.col(value).isNotNull()).dropna(subset=by)
+    per_point = known.groupBy(*by, point).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"))
+    facts = per_point.groupBy(*by).agg(F.sum("n").alias("n_pixel_years"), F.count(F.lit(1)).alias("n_pixels"), (F.sum("s") / F.sum("n")).alias("mean"))
+    quartiles = percentiles(value_counts(known, by, value), by, {"median": 0.5, "p25": 0.25, "p75": 0.75}).drop("n_rows")
+    return facts.join(quartiles, by).withColumn("iqr", F.col("p75") - F.col("p25"))
+
+
+def quartile_overlap(stats: DataFrame, keys: Sequence[str], label: str = "label", one: str = "presence", other: str = "absence") -> DataFrame:
+    """Per group of ``class_stats``: shared length of the two classes' interquartile ranges over their united length.
+
+    Under four values in a class, or a united length of 0, give null. Groups may be an empty list.
+    """
+    at = lambda name, c: F.max(F.when(F.col(label) == name, F.col(c)))
+    row = stats.groupBy(*keys).agg(at(one, "p25").alias("a1"), at(one, "p75").alias("a3"), at(other, "p25").alias("b1"), at(other, "p75").alias("b3"), F.coalesce(at(one, "n_pixel_years"), F.lit(0)).alias("na"), F.coalesce(at(other, "n_pixel_years"), F.lit(0)).alias("nb"))
     shared = F.greatest(F.lit(0.0), F.least("a3", "b3") - F.greatest("a1", "b1"))
     united = F.greatest("a3", "b3") - F.least("a1", "b1")
-    return row.select(F.when((F.col("na") >= 4) & (F.col("nb") >= 4) & (united > 0), shared / united).alias("overlap"), "na", "nb")
+    return row.select(*keys, F.when((F.col("na") >= 4) & (F.col("nb") >= 4) & (united > 0), shared / united).alias("overlap"), "na", "nb")
+
+
+def residual_auroc(df: DataFrame, keys: Sequence[str], optical: str, radar: str, label: str, thresholds: DataFrame, threshold_keys: Sequence[str], least: int = 8) -> DataFrame:
+    """AUROC of a radar score among the windows that the optical score gets wrong at its threshold, and their number.
+
+    Under ``least`` failures, or failures of one class only, give null. ``thresholds`` comes from ``youden``.
+    """
+    said = F.col(optical) >= F.col("threshold")
+    failed = df.join(thresholds.select(*threshold_keys, "threshold"), list(threshold_keys)).where((F.col(label) == 1) != said)
+    area = auroc(failed, keys, radar, label)
+    n = F.col("n_pos") + F.col("n_neg")
+    return area.select(*keys, n.alias("n_fail"), F.when(n >= least, F.col("auc")).alias("residual_auc"))
 
 
 def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:

@@ -48,10 +48,6 @@ def prepare(df: DataFrame) -> DataFrame:
     return out.withColumns({"year": F.year("date"), "month": F.month("date"), "doy": F.dayofyear("date")})
 
 
-def with_indices(df: DataFrame, names: Sequence[str] = tuple(indices.INDICES)) -> DataFrame:
-    return df.withColumns({f"{n}_": indices.spectral_index(n) for n in names})
-
-
 def optical(df: DataFrame, purity: float = 1.0) -> DataFrame:
     """Optical rows of enough purity; a table without those columns passes whole."""
     if "source" in df.columns:
@@ -108,10 +104,21 @@ def best_per_day(df: DataFrame) -> DataFrame:
     return chosen.unionByName(df.where(F.col("source") != "S2"))
 
 
-def latest_delivery(df: DataFrame, key: str = "obs_id", by: str = "loaded_at") -> DataFrame:
-    """One row per key, the last delivered; rows without a key are left out."""
-    rest = [c for c in df.columns if c not in (key, by)]
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(by, *rest)).alias("r")).select(key, "r.*").select(*df.columns)
+def latest_delivery(df: DataFrame, key: str = "obs_id", by: str | None = "loaded_at") -> DataFrame:
+    """One row per key, the last delivered; rows without a key are left out.
+
+    Without ``by`` (a table that does not say when rows came) the largest row of a key stays, so that the result does
+    not depend on the order of the files. Copies are reduced to one row per task before the shuffle: Spark puts a
+    limit of one row per key in front of it, or combines the aggregation, so a key with a third of all rows
+    sends one row per task. Of deliveries at the same moment any one stays.
+    """
+    known = df.where(F.col(key).isNotNull())
+    if by is None:
+        rest = [c for c in df.columns if c != key]
+        return known.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, "_r.*").select(*df.columns)
+    # A window, not an aggregation of structs: columns that nobody reads afterwards are never shuffled.
+    order = Window.partitionBy(key).orderBy(F.col(by).desc_nulls_last())
+    return known.withColumn("_delivery", F.row_number().over(order)).where("_delivery = 1").drop("_delivery")
 
 
 def merged(*frames: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructType
 
 from gridwake.functions import indices
 from gridwake.operators.grouped import group_codes, over_groups
@@ -36,6 +36,71 @@ def band_summary(value: Column, prefix: str) -> list[Column]:
     return [F.when(few, 0.0).otherwise(F.get(p, F.lit(0))).alias(f"{prefix}_p5"), F.when(few, 0.0).otherwise(F.get(p, F.lit(1))).alias(f"{prefix}_p95"), F.when(few, 1.0).otherwise(F.stddev_pop(value)).alias(f"{prefix}_std")]
 
 
+def _padded(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The values of groups of similar size as the sorted rows of a matrix, with NaN behind them."""
+    place = np.arange(int(size.max()))[None, :]
+    at = np.minimum(first[:, None] + place, len(values) - 1)
+    rows = np.where(place < size[:, None], values[at], np.nan)
+    rows.sort(axis=1)
+    return rows
+
+
+def _spread(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of values, 5th and 95th percentile and population deviation of sorted rows that end in NaN."""
+    n = rows.shape[1] - np.isnan(rows).sum(axis=1)
+    line = np.arange(len(rows))
+
+    def quantile(f: float) -> np.ndarray:
+        at = np.maximum(n - 1, 0) * f
+        low = np.floor(at).astype(np.int64)
+        a, b = rows[line, low], rows[line, np.ceil(at).astype(np.int64)]
+        return a + (b - a) * (at - low)
+
+    mean = np.nansum(rows, axis=1) / np.maximum(n, 1)
+    deviation = np.sqrt(np.nansum(np.square(rows - mean[:, None]), axis=1) / np.maximum(n, 1))
+    return n, quantile(0.05), quantile(0.95), deviation
+
+
+def band_summaries(df: DataFrame, keys: Sequence[str], columns: Sequence[str], needed: str | None = None) -> DataFrame:
+    """As ``band_summary`` for many columns at once: ``(keys, <c>_p5, <c>_p95, <c>_std, ...)``.
+
+    Null and NaN values don't count; fewer than two give 0, 0 and 1. With ``needed``, a yes-or-no column, groups without a
+    yes are left out. One shuffle by the keys; then blocks of whole groups are sorted as matrices, which is
+    several times as fast as one percentile aggregate per column. A group is a point's readings of one year,
+    bounded by how often a sensor passes, and is held whole.
+    """
+    keys, columns = list(keys), list(columns)
+    schema = StructType([df.schema[k] for k in keys])
+    for c in columns:
+        for end in ("p5", "p95", "std"):
+            schema.add(f"{c}_{end}", DoubleType())
+
+    def kernel(table: pa.Table, codes: np.ndarray) -> pa.Table:
+        size = np.bincount(codes)
+        first = np.cumsum(size) - size
+        if needed:
+            yes = table.column(needed).to_numpy().astype(bool)
+            kept = np.flatnonzero(np.bincount(codes, weights=yes) > 0)
+        else:
+            kept = np.arange(len(size))
+        out = {k: table.column(k).take(pa.array(first[kept])) for k in keys}
+        # Groups of similar size share a matrix, so that padding at most doubles the work.
+        kind = np.ceil(np.log2(size[kept])).astype(np.int64)
+        parts = [np.flatnonzero(kind == k) for k in np.unique(kind)]
+        for c in columns:
+            values = table.column(c).to_numpy()
+            p5, p95, std = np.zeros(len(kept)), np.zeros(len(kept)), np.ones(len(kept))
+            for part in parts:
+                n, low, high, deviation = _spread(_padded(values, first[kept[part]], size[kept[part]]))
+                some = n > 1
+                p5[part[some]], p95[part[some]], std[part[some]] = low[some], high[some], deviation[some]
+            out |= {f"{c}_p5": pa.array(p5), f"{c}_p95": pa.array(p95), f"{c}_std": pa.array(std)}
+        return pa.table(out)
+
+    doubles = [F.col(c).cast("double").alias(c) for c in columns]
+    return over_groups(df.select(*keys, *([needed] if needed else []), *doubles), keys, [], kernel, schema)
+
+
 def scale_stats(df: DataFrame, keys: Sequence[str], value: str, sample: bool = False, floor: float = 1e-6) -> DataFrame:
     """``(keys, mean, std)``: no values give 0 and 1; the deviation is at least ``floor``."""
     deviation = F.stddev_samp(value) if sample else F.stddev_pop(value)

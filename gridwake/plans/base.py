@@ -2,21 +2,53 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwake.functions import ids, indices
 from gridwake.operators import observations as ob
-from gridwake.sources.tables import table
+from gridwake.sources import tables
+
+#: Keys under which a row counts once, and the column that says which of its deliveries is the last.
+KEYS = {
+    "observations": ("obs_id", "loaded_at"),
+    "sightings": ("sighting_id", "loaded_at"),
+    "year_summaries": ("summary_id", None),
+    "tam_samples": ("sample_id", None),
+    "science_points": ("point_id", None),
+}
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table whose repeated deliveries count once; tables without a key as they are."""
+    df = tables.table(spark, d, name)
+    return ob.latest_delivery(df, *KEYS[name]) if name in KEYS else df
+
+
+def once(sql: str) -> str:
+    """A DuckDB text whose keyed tables are read as ``table`` reads them."""
+
+    def rows(match: re.Match) -> str:
+        key, by = KEYS[match[2]]
+        order = f"{by} DESC NULLS LAST" if by else key
+        return f"{match[1]} (SELECT * FROM {match[2]} WHERE {key} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {order}) = 1)"
+
+    return re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(KEYS)})\b", rows, sql)
+
 
 #: The box most queries look at.
 BOX = (139.0, -20.0, 144.0, -16.0)
 BANDS = indices.BANDS
 
 
-def obs(spark: SparkSession, d: str) -> DataFrame:
-    """Observations with source filled in, NaN null, dates split, and indices and decibels beside them."""
-    df = ob.prepare(table(spark, d, "observations"))
+def obs(spark: SparkSession, d: str, repeated: bool = False) -> DataFrame:
+    """Observations with source filled in, NaN null, dates split, and indices and decibels beside them.
+
+    Every obs_id counts once, as last delivered; ``repeated`` keeps all deliveries, for checks that look for them.
+    """
+    df = ob.prepare((tables.table if repeated else table)(spark, d, "observations"))
     df = df.withColumns({f"i_{n.lower()}": indices.spectral_index(n) for n in (*indices.INDICES, "NDSVI", "B12_B11")})
     vh, vv = F.col("vh"), F.col("vv")
     return df.withColumns({"vh_db": indices.decibel(vh), "vv_db": indices.decibel(vv), "vh_vv": indices.decibel(vh) - indices.decibel(vv), "rvi": indices.radar_vegetation(vh, vv), "label": ids.presence_label(F.col("region_id"))})

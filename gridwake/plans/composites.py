@@ -9,13 +9,12 @@ from gridwake.operators import checks
 from gridwake.operators import observations as ob
 from gridwake.operators import scoring
 from gridwake.operators import windows as wi
-from gridwake.plans.base import BOX, GOOD, obs, with_obs
-from gridwake.plans.evaluations import _FEATURES, _HARM, _SIGNALS, _WAVE, _WEIGHTS, evaluate, features, ml_15, signal_windows, _EVAL, _signal_sql
+from gridwake.plans.base import BOX, GOOD, obs, with_obs, table
+from gridwake.plans.evaluations import _EVALUATED, _FEATURES, _HARM, _WAVE, _WEIGHTS, _evaluation_sql, _signal_sql, evaluate, features, ml_15, signal_windows
 from gridwake.plans.registry import Registry
 from gridwake.plans.scans import _POINTS, points, scratch
 from gridwake.plans.statistics import _SEEN, _SERIES_SQL, _YEARS, reduced, series
 from gridwake.sources import readers
-from gridwake.sources.tables import table
 from gridwake.streaming import ingest
 
 R = Registry()
@@ -87,10 +86,10 @@ def qry_08(spark, d):
     return scoring.to_grid(scores, F.floor(ids.northing(F.col("point_id")) / 16).cast("int"), F.floor(ids.easting(F.col("point_id")) / 16).cast("int"))
 
 
-@R.add("qry_09", "WITH " + ", ".join([with_obs().removeprefix("WITH ").strip()]) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS signal, * FROM ({with_obs(_signal_sql(c)).rstrip()}{_EVAL})" for n, c in _SIGNALS.items()) + ")")
+@R.add("qry_09", with_obs(*_signal_sql(), *_evaluation_sql(["signal", "site"])) + f"SELECT signal, site, {_EVALUATED} FROM jn")
 def qry_09(spark, d):
-    parts = [evaluate(signal_windows(spark, d, c)).withColumn("signal", F.lit(n)) for n, c in _SIGNALS.items()]
-    return ob.merged(*parts)
+    """All signals evaluated site by site, from one aggregation of the observations."""
+    return evaluate(signal_windows(spark, d), ["signal", "site"])
 
 
 @R.add("qry_10", with_obs(_HARM) + "SELECT o.tile_id, o.year, count(*) AS n, round(avg(B08 * coalesce(scale_factor, 1)), 4) AS nir FROM obs o LEFT JOIN (SELECT * FROM co WHERE band = 'B08') c USING (tile_id, year) WHERE B08 IS NOT NULL AND o.tile_id IS NOT NULL GROUP BY ALL")

@@ -10,10 +10,9 @@ from gridwake.operators import evaluation as ev
 from gridwake.operators import observations as ob
 from gridwake.operators import scoring
 from gridwake.operators import windows as wi
-from gridwake.plans.base import BANDS, BOX, GOOD, obs, with_obs
+from gridwake.plans.base import BANDS, BOX, GOOD, obs, with_obs, table
 from gridwake.plans.registry import Registry
-from gridwake.plans.statistics import _CHUNK_SQL, _CURVE, _SITE_AUC, _WAVE, chunk_quality, labelled_scores, rounded, site_auc
-from gridwake.sources.tables import table
+from gridwake.plans.statistics import _CHUNK_SQL, _CURVE, TIE, _REGION_QA, _SITE_AUC, _WAVE, chunk_quality, labelled_scores, rounded, site_auc
 
 R = Registry()
 r6 = lambda c, name: F.round(c, 6).alias(name)
@@ -66,6 +65,9 @@ def ml_08(spark, d):
 
 
 _SIGNALS = {"ndvi": "i_ndvi", "mavi": "i_mavi", "ndre": "i_ndre", "vh": "vh_db"}
+_SITE_OF = "regexp_replace(CASE WHEN regexp_matches(region_id, '_(presence|absence)') THEN regexp_extract(region_id, '^(.+?)_(presence|absence)', 1) ELSE region_id END, '_val$', '')"
+#: Presence windows darker than this in the dry season are left out, and windows with fewer readings of a signal.
+LEAST_VH, LEAST_OBS = -16.0, 6
 
 
 def one_row(*frames):
@@ -74,37 +76,107 @@ def one_row(*frames):
     return union.agg(*[F.max(c).alias(c) for c in union.columns])
 
 
-def signal_windows(spark, d, column):
-    """5th percentile of a signal per window, with its label."""
-    return obs(spark, d).where(F.expr(f"({GOOD}) OR source = 'S1'")).groupBy(*wi.WINDOW).agg(F.min("label").alias("label"), r6(F.percentile(column, F.lit(0.05)), "v"))
+def signal_windows(spark, d, signals=_SIGNALS):
+    """``(signal, site, label, point_id, year, v)``: each signal's 5th percentile per window, after the evaluation's filters.
 
+    One aggregation gives all signals; the rows are stacked after it, when there is one per window.
+    """
+    dry = wi.flags_dry(F.col("doy"))
+    used = obs(spark, d).where(F.expr(f"({GOOD}) OR source = 'S1'"))
+    columns = [x for n, c in signals.items() for x in (r6(F.percentile(c, F.lit(0.05)), f"v_{n}"), F.count(c).alias(f"n_{n}"))]
+    w = used.groupBy(*wi.WINDOW).agg(F.min("region_id").alias("region_id"), F.min("label").alias("label"), F.avg(F.when(dry, F.col("vh_db"))).alias("vh_dry"), *columns)
+    w = w.where("label IN ('presence', 'absence')").where(f"NOT (label = 'presence' AND coalesce(vh_dry < {LEAST_VH}, false))")
+    stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), F.col(f"v_{n}").alias("v"), F.col(f"n_{n}").alias("n")) for n in signals]))
+    tall = w.select(ids.site(F.col("region_id")).alias("site"), "label", *wi.WINDOW, stacked.alias("e"))
+    return tall.where(f"e.n >= {LEAST_OBS} AND e.v IS NOT NULL").select("e.signal", "site", "label", *wi.WINDOW, "e.v")
 
-def _signal_sql(c):
-    return f"sw AS (SELECT point_id, year, min(label) AS label, round(quantile_cont({c}, 0.05), 6) AS v FROM obs WHERE ({GOOD}) OR source = 'S1' GROUP BY point_id, year)"
 
+def _signal_sql(signals=_SIGNALS):
+    columns = ", ".join(f"round(quantile_cont({c}, 0.05), 6) AS v_{n}, count({c}) AS n_{n}" for n, c in signals.items())
+    stacked = " UNION ALL ".join(f"SELECT '{n}' AS signal, site, label, point_id, year, v_{n} AS v FROM wk WHERE n_{n} >= {LEAST_OBS} AND v_{n} IS NOT NULL" for n in signals)
+    return (
+        f"wd AS (SELECT point_id, year, min(region_id) AS region_id, min(label) AS label, avg(vh_db) FILTER (doy BETWEEN 121 AND 304) AS vh_dry, {columns} FROM obs WHERE ({GOOD}) OR source = 'S1' GROUP BY point_id, year)",
+        f"wk AS (SELECT *, {_SITE_OF} AS site FROM wd WHERE label IN ('presence', 'absence') AND NOT (label = 'presence' AND coalesce(vh_dry < {LEAST_VH}, false)))",
+        f"sw AS ({stacked})",
+    )
 
-_EVAL = """, rk AS (SELECT CASE WHEN label = 'presence' THEN 1 ELSE 0 END AS y, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS r FROM sw WHERE v IS NOT NULL AND label IN ('presence', 'absence')),
- qa AS (SELECT quantile_cont(v, 0.25) FILTER (label = 'presence') AS a1, quantile_cont(v, 0.75) FILTER (label = 'presence') AS a3, quantile_cont(v, 0.25) FILTER (label = 'absence') AS b1, quantile_cont(v, 0.75) FILTER (label = 'absence') AS b3, count(v) FILTER (label = 'presence') AS na, count(v) FILTER (label = 'absence') AS nb FROM sw)
-SELECT round(greatest(0, least(a3, b3) - greatest(a1, b1)) / (greatest(a3, b3) - least(a1, b1)), 6) AS overlap, na, nb, (SELECT round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) FROM rk) AS auc FROM qa"""
 
+def _evaluation_sql(keys):
+    by = ", ".join(keys)
+    stats = f"count(*) AS n, count(DISTINCT point_id) AS np, avg(v) AS m, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3"
+    return (
+        f"cs AS (SELECT {by}, label, {stats} FROM sw GROUP BY {by}, label)",
+        f"rk AS (SELECT {by}, CASE WHEN label = 'presence' THEN 1 ELSE 0 END AS y, rank() OVER (PARTITION BY {by} ORDER BY v) + (count(*) OVER (PARTITION BY {by}, v) - 1) / 2 AS r FROM sw)",
+        f"au AS (SELECT {by}, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0) AS auc FROM rk GROUP BY {by})",
+        f"jn AS (SELECT {by}, p.n AS n_presence, a.n AS n_absence, p.np AS points_presence, a.np AS points_absence, p.m AS mean_presence, a.m AS mean_absence, p.q2 AS median_presence, a.q2 AS median_absence, "
+        f"p.q3 - p.q1 AS iqr_presence, a.q3 - a.q1 AS iqr_absence, p.q1 AS p1, p.q3 AS p3, a.q1 AS a1, a.q3 AS a3, auc FROM au LEFT JOIN (SELECT * FROM cs WHERE label = 'presence') p USING ({by}) LEFT JOIN (SELECT * FROM cs WHERE label = 'absence') a USING ({by}))",
+    )
 
-def evaluate(df):
-    """A signal's quartile overlap and AUROC between the classes, in one row."""
-    labelled = df.where(F.col("label").isin("presence", "absence")).withColumn("y", F.when(F.col("label") == "presence", 1).otherwise(0))
-    area = ev.auroc(labelled, [], "v", "y").select(r6("auc", "auc"))
-    return one_row(ev.quartile_overlap(df, "v").select(r6("overlap", "overlap"), "na", "nb"), area)
 
+_EVALUATED = "coalesce(n_presence, 0) AS n_presence, coalesce(n_absence, 0) AS n_absence, points_presence, points_absence, " + ", ".join(f"round({c} + {TIE}, 6) AS {c}" for k in ("mean", "median", "iqr") for c in (f"{k}_presence", f"{k}_absence")) + ", CASE WHEN n_presence >= 4 AND n_absence >= 4 AND greatest(p3, a3) - least(p1, a1) > 0 THEN round(greatest(0, least(p3, a3) - greatest(p1, a1)) / (greatest(p3, a3) - least(p1, a1)), 6) END AS overlap, round(auc, 6) AS auc"
 
-for _name, _column in _SIGNALS.items():
-    R.add(f"ml_09_{_name}", with_obs(_signal_sql(_column)).rstrip("\n") + _EVAL)(lambda spark, d, c=_column: evaluate(signal_windows(spark, d, c)))
 
-R.add("fn_25", with_obs(_signal_sql("i_evi")).rstrip("\n") + _EVAL.replace(", na, nb, (SELECT round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) FROM rk) AS auc", ", na, nb"))(lambda spark, d: ev.quartile_overlap(signal_windows(spark, d, "i_evi"), "v").select(r6("overlap", "overlap"), "na", "nb"))
+def evaluate(df, keys):
+    """Per group: the two classes' statistics of a signal, their quartile overlap and the AUROC between them."""
+    stats = ev.class_stats(df, keys, "v")
+    wide = stats.groupBy(*keys).agg(
+        *[F.coalesce(F.max(F.when(F.col("label") == k, F.col("n_pixel_years"))), F.lit(0)).alias(f"n_{k}") for k in ("presence", "absence")],
+        *[F.max(F.when(F.col("label") == k, F.col("n_pixels"))).alias(f"points_{k}") for k in ("presence", "absence")],
+        *[r6(F.max(F.when(F.col("label") == k, F.col(c))) + TIE, f"{c}_{k}") for c in ("mean", "median", "iqr") for k in ("presence", "absence")],
+    )
+    overlap = ev.quartile_overlap(stats, keys).select(*keys, r6("overlap", "overlap"))
+    area = ev.auroc(df.withColumn("y", F.when(F.col("label") == "presence", 1).otherwise(0)), keys, "v", "y").select(*keys, r6("auc", "auc"))
+    return wide.join(overlap, keys).join(area, keys)
 
 
-@R.add("ml_10", with_obs("w AS (SELECT point_id, year, round(quantile_cont(i_ndvi, 0.05) FILTER (" + GOOD + "), 6) AS a, round(avg(vh_db) FILTER (doy BETWEEN 121 AND 304), 6) AS b FROM obs GROUP BY ALL)", "k AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM w WHERE a IS NOT NULL AND b IS NOT NULL)") + "SELECT round(corr(ra, rb), 6) AS rho, count(*) AS n FROM k")
+for _name, _column in _SIGNALS.items():
+    R.add(f"ml_09_{_name}", with_obs(*_signal_sql({_name: _column}), *_evaluation_sql(["site"])) + f"SELECT site, {_EVALUATED} FROM jn")(
+        lambda spark, d, s={_name: _column}: evaluate(signal_windows(spark, d, s), ["site"])
+    )
+
+
+@R.add("fn_25", with_obs(*_signal_sql({"evi": "i_evi"}), *_evaluation_sql(["signal"])) + f"SELECT overlap, n_presence AS na, n_absence AS nb FROM (SELECT {_EVALUATED} FROM jn)")
+def fn_25(spark, d):
+    """Quartile overlap of one signal over all sites."""
+    stats = ev.class_stats(signal_windows(spark, d, {"evi": "i_evi"}), [], "v")
+    return ev.quartile_overlap(stats, []).select(r6("overlap", "overlap"), "na", "nb")
+
+
+_OPTICAL_SIGNALS, _RADAR_SIGNALS = {"ndvi": "i_ndvi", "mavi": "i_mavi"}, {"vh": "vh_db", "rvi": "rvi"}
+_PAIRS = (
+    "w AS (SELECT point_id, year, min(label) AS label, " + ", ".join(f"round(quantile_cont({c}, 0.05) FILTER ({GOOD}), 6) AS o_{n}" for n, c in _OPTICAL_SIGNALS.items()) + ", "
+    + ", ".join(f"round(avg({c}) FILTER (doy BETWEEN 121 AND 304), 6) AS r_{n}" for n, c in _RADAR_SIGNALS.items()) + " FROM obs GROUP BY point_id, year)",
+    f"b AS (SELECT *, CASE WHEN label = 'presence' THEN 1 ELSE 0 END AS y FROM w WHERE label IN ('presence', 'absence') AND NOT (label = 'presence' AND r_vh < {LEAST_VH}) AND " + " AND ".join(f"{c} IS NOT NULL" for c in [*(f"o_{n}" for n in _OPTICAL_SIGNALS), *(f"r_{n}" for n in _RADAR_SIGNALS)]) + ")",
+    "os AS (" + " UNION ALL ".join(f"SELECT '{n}' AS optical, o_{n} AS a, y FROM b" for n in _OPTICAL_SIGNALS) + ")",
+    "oc AS (SELECT optical, a, sum(y) AS p, sum(1 - y) AS n FROM os GROUP BY ALL)",
+    "ou AS (SELECT optical, a, round(sum(p) OVER d / nullif(sum(p) OVER g, 0) + 1 - sum(n) OVER d / nullif(sum(n) OVER g, 0), 9) AS j FROM oc WINDOW d AS (PARTITION BY optical ORDER BY a DESC), g AS (PARTITION BY optical))",
+    "th AS (SELECT optical, a AS threshold FROM ou QUALIFY row_number() OVER (PARTITION BY optical ORDER BY j DESC NULLS LAST, a) = 1)",
+    "t AS (" + " UNION ALL ".join(f"SELECT '{o}' AS optical, '{r}' AS radar, o_{o} AS a, r_{r} AS b, y FROM b" for o in _OPTICAL_SIGNALS for r in _RADAR_SIGNALS) + ")",
+    "ranked AS (SELECT *, rank() OVER (PARTITION BY optical, radar ORDER BY a) + (count(*) OVER (PARTITION BY optical, radar, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY optical, radar ORDER BY b) + (count(*) OVER (PARTITION BY optical, radar, b) - 1) / 2 AS rb FROM t)",
+    "rho AS (SELECT optical, radar, round(corr(ra, rb), 6) AS rho, count(*) AS n FROM ranked GROUP BY ALL)",
+    "fl AS (SELECT t.*, rank() OVER (PARTITION BY optical, radar ORDER BY b) + (count(*) OVER (PARTITION BY optical, radar, b) - 1) / 2 AS r FROM t JOIN th USING (optical) WHERE (y = 1) != (a >= threshold))",
+    "ra AS (SELECT optical, radar, count(*) AS n_fail, CASE WHEN count(*) >= 8 THEN round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0), 6) END AS residual_auc FROM fl GROUP BY ALL)",
+)
+
+
+@R.add("ml_10", with_obs(*_PAIRS) + "SELECT optical, radar, n, rho, n_fail, residual_auc FROM rho LEFT JOIN ra USING (optical, radar)")
 def ml_10(spark, d):
-    w = obs(spark, d).groupBy(*wi.WINDOW).agg(r6(F.percentile(F.when(F.expr(GOOD), F.col("i_ndvi")), F.lit(0.05)), "a"), r6(F.avg(F.when(wi.flags_dry(F.col("doy")), F.col("vh_db"))), "b"))
-    return ev.spearman(w, "a", "b").select(r6("rho", "rho"), "n")
+    """How much radar scores add to optical ones: rank correlation, and AUROC among the optical score's failures."""
+    dry = wi.flags_dry(F.col("doy"))
+    w = obs(spark, d).groupBy(*wi.WINDOW).agg(
+        F.min("label").alias("label"),
+        *[r6(F.percentile(F.when(F.expr(GOOD), F.col(c)), F.lit(0.05)), f"o_{n}") for n, c in _OPTICAL_SIGNALS.items()],
+        *[r6(F.avg(F.when(dry, F.col(c))), f"r_{n}") for n, c in _RADAR_SIGNALS.items()],
+    )
+    base = w.where(f"label IN ('presence', 'absence') AND NOT (label = 'presence' AND r_vh < {LEAST_VH})").dropna()
+    base = base.withColumn("y", F.when(F.col("label") == "presence", 1).otherwise(0))
+    stacked = lambda names, kind, out: F.explode(F.array(*[F.struct(F.lit(n).alias(kind), F.col(f"{kind[0]}_{n}").alias(out)) for n in names]))
+    one = base.select("y", *[f"r_{n}" for n in _RADAR_SIGNALS], stacked(_OPTICAL_SIGNALS, "optical", "a").alias("o")).select("y", *[f"r_{n}" for n in _RADAR_SIGNALS], "o.*")
+    both = one.select("y", "optical", "a", stacked(_RADAR_SIGNALS, "radar", "b").alias("s")).select("y", "optical", "a", "s.*")
+    keys = ["optical", "radar"]
+    residual = ev.residual_auroc(both, keys, "a", "b", "y", ev.youden(one, "a", "y", ["optical"]), ["optical"])
+    rho = ev.spearman(both, "a", "b", keys).select(*keys, "n", r6("rho", "rho"))
+    return rho.join(residual, keys, "left").select(*keys, "n", "rho", "n_fail", r6("residual_auc", "residual_auc"))
 
 
 def features(spark, d):
@@ -223,9 +295,9 @@ def join_11(spark, d):
 # ---- data quality -----------------------------------------------------------------------------------------------------
 
 
-def _dq(name, measure, fail, warn, f, check):
+def _dq(name, measure, fail, warn, f, check, repeated=False):
     verdict = f"CASE WHEN coalesce({fail}, false) THEN 'FAIL' WHEN coalesce({warn}, false) THEN 'WARN' ELSE 'PASS' END"
-    R.add(name, with_obs(f"m AS ({measure})") + f"SELECT '{check}' AS check_name, {verdict} AS status, round(measure::DOUBLE, 6) AS measure FROM m")(lambda spark, d: f(obs(spark, d)))
+    R.add(name, with_obs(f"m AS ({measure})") + f"SELECT '{check}' AS check_name, {verdict} AS status, round(measure::DOUBLE, 6) AS measure FROM m", repeated=repeated)(lambda spark, d: f(obs(spark, d, repeated)))
 
 
 def _worst(test, among="source = 'S2'"):
@@ -239,7 +311,7 @@ _dq("dq_05", "SELECT " + _worst("count(*) FILTER ({among} AND {b} IS NULL) / nul
 _dq("dq_06", "SELECT " + _worst("count(*) FILTER ({b} NOT BETWEEN 0 AND 15000)") + " AS measure FROM obs", "measure > 0", "false", checks.band_range, "band_range")
 _dq("dq_07", "SELECT greatest(" + ", ".join(f"count(*) FILTER (i_{n} NOT BETWEEN -1 AND 1)" for n in ("ndvi", "ndwi", "ndre")) + ") AS measure FROM obs", "measure > 0", "false", checks.index_range, "index_range")
 _dq("dq_08", "SELECT avg(scl_purity) AS measure FROM obs", "measure = 0", "measure < 0.5", checks.purity, "purity")
-_dq("dq_09", "SELECT count(*) AS measure FROM (SELECT point_id, date, source FROM obs GROUP BY ALL HAVING count(*) > 1)", "measure > 0", "false", checks.duplicates, "duplicates")
+_dq("dq_09", "SELECT count(*) AS measure FROM (SELECT point_id, date, source FROM obs GROUP BY ALL HAVING count(*) > 1)", "measure > 0", "false", checks.duplicates, "duplicates", repeated=True)
 _dq("dq_10", "SELECT count(*) FILTER (source = 'S1' AND B02 IS NOT NULL) + count(*) FILTER (source = 'S1' AND orbit IS NULL) AS measure FROM obs", "measure > 0", "false", checks.radar_integrity, "radar_integrity")
 _dq("dq_12", f"SELECT count(*) FILTER (NOT (lon BETWEEN {BOX[0]} - 0.02 AND {BOX[2]} + 0.02 AND lat BETWEEN {BOX[1]} - 0.02 AND {BOX[3]} + 0.02)) AS measure FROM obs", "measure > 0", "false", lambda df: checks.outside_box(df, BOX), "outside_box")
 
@@ -257,15 +329,14 @@ def dq_02(spark, d):
     return spark.createDataFrame(rows, "column_name string, expected string, found string, status string")
 
 
-@R.add("dq_13", "WITH " + _CHUNK_SQL + " SELECT file_id, CASE WHEN n_dates = 0 THEN 'S1_MISS' WHEN n_complete < 0.95 * n_dates THEN CASE WHEN 100 * n_enough / n_points >= 90 AND cover_median < 0.5 * n_rows THEN 'S1_TRUNC_OK' ELSE 'S1_INCOMPLETE' END ELSE 'OK' END AS verdict FROM al")
+@R.add("dq_13", "WITH " + _CHUNK_SQL + " SELECT file_id, CASE WHEN n_points = 0 THEN 'EMPTY' WHEN n_dates = 0 THEN 'S1_MISS' WHEN n_complete < 0.95 * n_dates THEN CASE WHEN 100 * n_enough / n_points >= 90 AND cover_median < 0.5 * n_rows THEN 'S1_TRUNC_OK' ELSE 'S1_INCOMPLETE' END ELSE 'OK' END AS verdict FROM al")
 def dq_13(spark, d):
     return chunk_quality(spark, d).select("file_id", "verdict")
 
 
-@R.add("dq_14", with_obs("pp AS (SELECT region_id, point_id, count(*) AS n FROM obs GROUP BY ALL)", "pa AS (SELECT region_id, count(*) AS n_points, median(n) AS obs_median FROM pp GROUP BY 1)", "dp AS (SELECT region_id, sum(c - 1) AS n_dup FROM (SELECT region_id, point_id, date, source, count(*) AS c FROM obs GROUP BY ALL) GROUP BY 1)", "fa AS (SELECT region_id, count(*) FILTER (source = 'S2' AND B08 IS NULL) AS n_null, count(*) FILTER (source = 'S1') AS n_radar, median(vh) FILTER (source = 'S1') AS m, count(*) FILTER (B08 NOT BETWEEN 0 AND 15000) AS n_range FROM obs GROUP BY 1)")
-       + "SELECT region_id, concat_ws(',', CASE WHEN n_dup > 0 THEN 'DUPES' END, CASE WHEN n_points < 5 THEN 'SPARSE' END, CASE WHEN obs_median < 4 THEN 'LOW_OBS' END, CASE WHEN n_null > 0 THEN 'NAN' END, CASE WHEN n_range > 0 THEN 'RANGE' END, CASE WHEN n_radar = 0 THEN 'S1_MISS' END, CASE WHEN m <= 0 OR m > 1 THEN 'S1_SCALE' END) AS tags FROM fa JOIN pa USING (region_id) JOIN dp USING (region_id)")
+@R.add("dq_14", with_obs(*_REGION_QA) + "SELECT region_id, CASE WHEN n_obs IS NULL THEN 'EMPTY' ELSE concat_ws(',', CASE WHEN n_dup > 0 THEN 'DUPES' END, CASE WHEN n_points < 5 THEN 'SPARSE' END, CASE WHEN obs_min < 4 THEN 'LOW_OBS' END, CASE WHEN n_null > 0 THEN 'NAN' END, CASE WHEN top > 12000 OR bottom < 0 THEN 'RANGE' END, CASE WHEN vh_median IS NULL THEN 'S1_MISS' END, CASE WHEN vh_median > 1 THEN 'S1_SCALE' END) END AS tags FROM qa", repeated=True)
 def dq_14(spark, d):
-    return checks.region_tags(obs(spark, d)).select("region_id", "tags")
+    return checks.region_tags(obs(spark, d, repeated=True)).select("region_id", "tags")
 
 
 @R.add("dq_15", with_obs() + f"SELECT count(*) FILTER (NOT i_ndvi BETWEEN -1 AND 1) AS n_outside, round(count(*) FILTER (i_ndvi IS NULL) / count(*), 6) AS null_share, round(median(i_ndvi), 6) AS middle FROM obs WHERE {GOOD}")

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from gridwake.functions import geodesy, ids, indices
 from gridwake.operators import observations as ob
 from gridwake.operators import scoring
-from gridwake.plans.base import BANDS, BOX, GOOD, obs, with_obs
+from gridwake.plans.base import BANDS, BOX, GOOD, obs, with_obs, table
 from gridwake.plans.registry import Registry
-from gridwake.sources.tables import table
 
 R = Registry()
 r6 = lambda c, name: F.round(c, 6).alias(name)

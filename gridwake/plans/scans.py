@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from gridwake.functions import geodesy, ids, indices
 from gridwake.operators import observations as ob
 from gridwake.operators import scoring
-from gridwake.plans.base import BANDS, BOX, GOOD, obs, regions, with_obs
+from gridwake.plans.base import BANDS, BOX, GOOD, obs, regions, with_obs, table
 from gridwake.plans.registry import Registry
 from gridwake.session import shared_folder
-from gridwake.sources import readers
-from gridwake.sources.tables import table
+from gridwake.sources import readers, tables
 
 R = Registry()
 LON, LAT = f"lon BETWEEN {BOX[0]} AND {BOX[2]}", f"lat BETWEEN {BOX[1]} AND {BOX[3]}"
@@ -549,7 +548,7 @@ def srt_05(spark, d):
     return ob.merged(rows.where("file_id % 2 = 0"), rows.where("file_id % 2 = 1")).sort("file_id", "point_id", "date")
 
 
-@R.add("srt_06", "SELECT file_id, row_number() OVER (ORDER BY chunk_row, chunk_col, file_id)::INT AS place FROM chunk_reports WHERE year = 2020 AND tile = '56JFE' OR file_id <= 50")
+@R.add("srt_06", "SELECT file_id, row_number() OVER (ORDER BY chunk_row NULLS FIRST, chunk_col NULLS FIRST, file_id)::INT AS place FROM chunk_reports")
 def srt_06(spark, d):
     from gridwake.operators.order_stats import numbered
 
@@ -590,9 +589,9 @@ def set_04(spark, d):
     return df.where("source = 'S1'").select("date").distinct().join(df.where("source = 'S2'").select("date").distinct(), "date", "left_anti")
 
 
-@R.add("set_05", "SELECT point_id, date, count(*) AS n FROM observations GROUP BY ALL HAVING count(*) > 1")
+@R.add("set_05", "SELECT point_id, date, count(*) AS n FROM observations GROUP BY ALL HAVING count(*) > 1", repeated=True)
 def set_05(spark, d):
-    return table(spark, d, "observations").groupBy("point_id", "date").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return tables.table(spark, d, "observations").groupBy("point_id", "date").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 @R.add("set_06", "SELECT region_id, tile_id FROM (SELECT DISTINCT region_id, tile_id FROM observations WHERE tile_id IS NOT NULL AND region_id NOT LIKE 'l%') UNION ALL SELECT DISTINCT region_id, 'new' FROM observations WHERE region_id LIKE 'l%'")

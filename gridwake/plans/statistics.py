@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,8 @@ from gridwake.operators import evaluation as ev
 from gridwake.operators import observations as ob
 from gridwake.operators import scoring
 from gridwake.operators import windows as wi
-from gridwake.plans.base import BANDS, BOX, GOOD, obs, with_obs
+from gridwake.plans.base import BANDS, BOX, GOOD, obs, with_obs, table
 from gridwake.plans.registry import Registry
-from gridwake.sources.tables import table
 
 R = Registry()
 r6 = lambda c, name: F.round(c, 6).alias(name)
@@ -27,6 +28,21 @@ def rounded(df, keys):
     return df.select(*keys, *[F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns if c not in keys])
 
 
+#: Added before rounding where exact ties are common (means of few decimals, medians of pairs), so that they round alike
+#: whatever the last bit of the sum.
+TIE = 1e-9
+
+
+def steady(df, keys, digits=6):
+    """As ``rounded``, with ties upwards."""
+    kinds = dict(df.dtypes)
+    return df.select(*keys, *[F.round(F.col(c) + TIE, digits).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns if c not in keys])
+
+
+def steady_sql(x, digits=6):
+    return f"round({x} + {TIE}, {digits})"
+
+
 @R.add("agg_01", with_obs() + f"SELECT point_id, year, {q('i_ndvi', 0.05)} AS p05, {q('i_ndvi', 0.25)} AS p25, {q('i_ndvi', 0.5)} AS p50, {q('i_ndvi', 0.75)} AS p75, {q('i_ndvi', 0.95)} AS p95, round(stddev_pop(i_ndvi), 6) AS std, round(quantile_cont(i_ndvi, 0.95) - quantile_cont(i_ndvi, 0.05), 6) AS amplitude, count(i_ndvi) AS n_obs FROM obs WHERE {GOOD} GROUP BY ALL")
 def agg_01(spark, d):
     return rounded(ob.optical(obs(spark, d)).groupBy(*wi.WINDOW).agg(*wi.summarise(F.col("i_ndvi"))), wi.WINDOW)
@@ -38,10 +54,44 @@ def agg_02(spark, d):
     return rounded(df, wi.WINDOW)
 
 
-@R.add("agg_03", with_obs() + "SELECT point_id, year, " + ", ".join(f"CASE WHEN count({c}) < 2 THEN 0.0 ELSE {q(c, 0.05)} END AS {c}_p5, CASE WHEN count({c}) < 2 THEN 0.0 ELSE {q(c, 0.95)} END AS {c}_p95, CASE WHEN count({c}) < 2 THEN 1.0 ELSE round(stddev_pop({c}), 6) END AS {c}_std" for c in ("i_ndvi", "i_mavi", "vh_db")) + " FROM obs GROUP BY ALL")
+#: The sixteen optical features: bands as reflectance, then indices; and the four of radar.
+OPTICAL = {**{b: f"r_{b}" for b in BANDS}, **{n.lower(): f"i_{n.lower()}" for n in indices.INDICES}}
+RADAR = {"s1_vh": "vh_db", "s1_vv": "vv_db", "s1_vh_vv": "vh_vv", "s1_rvi": "rvi"}
+
+
+_IS_RADAR = "source = 'S1'"
+
+
+def _value_sql(column):
+    return f"{column[2:]} / 10000.0::DOUBLE" if column.startswith("r_") else column
+
+
+def _value(column):
+    return indices.reflectance(column[2:]) if column.startswith("r_") else F.col(column)
+
+
+def _summary_sql(features, gate):
+    parts = []
+    for name, column in features.items():
+        x = f"({_value_sql(column)})"
+        few = f"count({x}) FILTER ({gate}) < 2"
+        quantile = f"CASE WHEN {few} THEN 0.0 ELSE round(quantile_cont({x}, {{}}) FILTER ({gate}), 6) END AS {name}_p{{}}"
+        parts += [quantile.format(0.05, 5), quantile.format(0.95, 95)]
+        parts.append(f"CASE WHEN {few} THEN 1.0 ELSE round(stddev_pop({x}) FILTER ({gate}), 6) END AS {name}_std")
+    return ", ".join(parts)
+
+
+def annual_summaries(df):
+    """5th and 95th percentile and deviation of all features per window that has an optical reading of enough purity."""
+    good, radar = F.expr(GOOD), F.col("source") == "S1"
+    columns = {n: F.when(good, _value(c)) for n, c in OPTICAL.items()} | {n: F.when(radar, F.col(c)) for n, c in RADAR.items()}
+    used = df.where(good | radar).select(*wi.WINDOW, good.alias("_good"), *[c.alias(n) for n, c in columns.items()])
+    return wi.band_summaries(used, wi.WINDOW, list(columns), needed="_good")
+
+
+@R.add("agg_03", with_obs() + f"SELECT point_id, year, {_summary_sql(OPTICAL, GOOD)}, {_summary_sql(RADAR, _IS_RADAR)} FROM obs GROUP BY point_id, year HAVING count(*) FILTER ({GOOD}) > 0")
 def agg_03(spark, d):
-    columns = [x for c in ("i_ndvi", "i_mavi", "vh_db") for x in wi.band_summary(F.col(c), c)]
-    return rounded(obs(spark, d).groupBy(*wi.WINDOW).agg(*columns), wi.WINDOW)
+    return rounded(annual_summaries(obs(spark, d)), wi.WINDOW)
 
 
 def _stat(name, keys, value, fn, floor, where="true", sample=False):
@@ -52,8 +102,71 @@ def _stat(name, keys, value, fn, floor, where="true", sample=False):
 _stat("agg_04", ["point_id", "year", "source"], "i_ndvi", "stddev_pop", 1e-6)
 _stat("agg_06", ["point_id", "year"], "i_mavi", "stddev_samp", 1e-6, "source = 'S2' AND scl_purity >= 1", True)
 _stat("agg_08", ["point_id"], "vh_db", "stddev_samp", 0.1, "source = 'S1'", True)
-_stat("agg_09", ["point_id"], "i_ndvi", "stddev_samp", 1e-6, "source = 'S2'", True)
-_stat("agg_10", ["source"], "i_evi", "stddev_samp", 1e-6, "true", True)
+
+#: In this pass three indices have a denominator of at least 1e-6, as the scorer's own normalisation has.
+_HELD = {"ndvi": ("B08 - B04", "B08 + B04"), "ndwi": ("B03 - B08", "B03 + B08"), "evi": ("2.5 * (B08 - B04)", "B08 + 6.0 * B04 - 7.5 * B02 + 1.0")}
+
+
+def _held_value(name, column):
+    if name not in _HELD:
+        return _value(column)
+    top, bottom = (F.expr(re.sub(r"\b(B[01][0-9])\b", r"(CAST(\1 AS DOUBLE) / 10000D)", x)) for x in _HELD[name])
+    return F.when(top.isNotNull() & bottom.isNotNull(), top / F.greatest(bottom, F.lit(1e-6)))
+
+
+def _held_sql(name, column):
+    if name not in _HELD:
+        return f"({_value_sql(column)})"
+    top, bottom = (re.sub(r"\b(B[01][0-9])\b", r"(\1 / 10000.0::DOUBLE)", re.sub(r"\b([0-9]+\.[0-9]+)\b", r"\1::DOUBLE", x)) for x in _HELD[name])
+    return f"(CASE WHEN {top} IS NOT NULL AND {bottom} IS NOT NULL THEN ({top}) / greatest({bottom}, 1e-6::DOUBLE) END)"
+
+
+_POINT_SQL = ", ".join(
+    f"{steady_sql(f'coalesce(avg({x}), 0)')} AS {n}_mean, {steady_sql(f'greatest(coalesce(stddev_samp({x}), 1.0), 1e-6)')} AS {n}_std"
+    for n, x in ((n, _held_sql(n, c)) for n, c in OPTICAL.items())
+)
+
+
+def point_scales(df):
+    """Mean and sample deviation of all sixteen features per point over all years, optical rows of enough purity.
+
+    No value gives mean 0; a deviation that isn't known (fewer than two values) is 1, and one below 1e-6 is 1e-6.
+    """
+    flat = ob.optical(df).select("point_id", *[_held_value(n, c).alias(n) for n, c in OPTICAL.items()])
+    columns = []
+    for n in OPTICAL:
+        columns.append(F.coalesce(F.avg(n), F.lit(0.0)).alias(f"{n}_mean"))
+        columns.append(F.greatest(F.coalesce(F.stddev_samp(n), F.lit(1.0)), F.lit(1e-6)).alias(f"{n}_std"))
+    return flat.groupBy("point_id").agg(*columns)
+
+
+@R.add("agg_09", with_obs() + f"SELECT point_id, {_POINT_SQL} FROM obs WHERE {GOOD} GROUP BY point_id")
+def agg_09(spark, d):
+    return steady(point_scales(obs(spark, d)), ["point_id"])
+
+
+_SOURCES = {"S2": OPTICAL, "S1": RADAR}
+_GLOBAL_SQL = " UNION ALL ".join(
+    f"SELECT '{kind}' AS source, '{n}' AS feature, round(coalesce(avg({x}), 0), 6) AS mean, round(CASE WHEN coalesce(stddev_samp({x}), 0) < 1e-6 THEN 1.0 ELSE stddev_samp({x}) END, 6) AS std FROM obs WHERE source = '{kind}'"
+    for kind, features in _SOURCES.items() for n, x in ((n, f"({_value_sql(c)})") for n, c in features.items())
+)
+
+
+def global_scales(df):
+    """``(source, feature, mean, std)`` over the whole table in one aggregation; a deviation below 1e-6 or unknown is 1."""
+    columns, out = [], []
+    for kind, features in _SOURCES.items():
+        for n, c in features.items():
+            x = F.when(F.col("source") == kind, _value(c))
+            columns += [F.avg(x).alias(f"{n}_m"), F.stddev_samp(x).alias(f"{n}_s")]
+            std = F.when(F.coalesce(f"{n}_s", F.lit(0.0)) < 1e-6, 1.0).otherwise(F.col(f"{n}_s"))
+            out.append(F.struct(F.lit(kind).alias("source"), F.lit(n).alias("feature"), F.coalesce(f"{n}_m", F.lit(0.0)).alias("mean"), std.alias("std")))
+    return df.agg(*columns).select(F.explode(F.array(*out)).alias("e")).select("e.*")
+
+
+@R.add("agg_10", with_obs() + _GLOBAL_SQL)
+def agg_10(spark, d):
+    return rounded(global_scales(obs(spark, d)), ["source", "feature"])
 
 
 @R.add("agg_05", with_obs() + "SELECT point_id, year, count(*) FILTER (source = 'S2') AS n_s2, count(*) FILTER (source = 'S1') AS n_s1 FROM obs GROUP BY ALL")
@@ -108,17 +221,24 @@ def agg_16(spark, d):
 
 
 _SERIES_PARTS = [("ndvi", "i_ndvi", "source = 'S2' AND scl_purity >= 1"), ("mavi", "i_mavi", "source = 'S2' AND scl_purity >= 1"), ("vh_vv", "vh_vv", "source = 'S1'")]
-_SERIES_SQL = ", ".join(f"round(avg({c}) FILTER ({w}), 6) AS {n}, round(quantile_cont({c}, 0.25) FILTER ({w}), 6) AS {n}_p25, round(quantile_cont({c}, 0.75) FILTER ({w}), 6) AS {n}_p75" for n, c, w in _SERIES_PARTS)
+_SERIES_SQL = ", ".join(
+    f"{steady_sql(f'avg(round({c} + {TIE}, 5)) FILTER ({w})')} AS {n}, {steady_sql(f'quantile_cont(round({c} + {TIE}, 5), 0.25) FILTER ({w})')} AS {n}_p25, {steady_sql(f'quantile_cont(round({c} + {TIE}, 5), 0.75) FILTER ({w})')} AS {n}_p75"
+    for n, c, w in _SERIES_PARTS
+)
 _SEEN = "(source = 'S1' OR scl_purity >= 1)"
 
 
 def series(df, *keys):
-    """Mean and quartiles per date of both sensors, in one aggregation over the dates of either."""
+    """Mean and quartiles per date of both sensors, in one aggregation over the dates of either.
+
+    Values are taken to five decimals (an error of 5e-6 at most), so a date's state is its counts of at most some
+    200,000 different index values, however many points were seen on it.
+    """
     columns = []
     for name, c, where in _SERIES_PARTS:
-        value = F.when(F.expr(where), F.col(c))
+        value = F.when(F.expr(where), F.round(F.col(c) + TIE, 5))
         columns += [F.avg(value).alias(name), F.percentile(value, F.lit(0.25)).alias(f"{name}_p25"), F.percentile(value, F.lit(0.75)).alias(f"{name}_p75")]
-    return rounded(ob.mixed(df).groupBy(*keys, "date").agg(*columns), [*keys, "date"])
+    return steady(ob.mixed(df).groupBy(*keys, "date").agg(*columns), [*keys, "date"])
 
 
 @R.add("agg_17", with_obs() + f"SELECT date, {_SERIES_SQL} FROM obs WHERE {_SEEN} GROUP BY date")
@@ -127,8 +247,8 @@ def agg_17(spark, d):
 
 
 _YEARS = f"""s AS (SELECT region_id, date, year(date) AS year, month(date) AS month, {_SERIES_SQL} FROM obs WHERE {_SEEN} GROUP BY region_id, date),
- ys AS (SELECT region_id, year::INT AS year, round(max(ndvi) FILTER (month BETWEEN 1 AND 5), 6) AS wet_peak, round(min(ndvi) FILTER (month BETWEEN 6 AND 10), 6) AS dry_floor,
-   round(avg(vh_vv) FILTER (month BETWEEN 6 AND 10), 6) AS vhvv_dry, round(max(ndvi_p75 - ndvi_p25), 6) AS iqr_max, count(*) FILTER (month BETWEEN 1 AND 5 AND ndvi < 0.05) AS n_notes FROM s GROUP BY ALL)"""
+ ys AS (SELECT region_id, year::INT AS year, round(1e-9 + max(ndvi) FILTER (month BETWEEN 1 AND 5), 6) AS wet_peak, round(1e-9 + min(ndvi) FILTER (month BETWEEN 6 AND 10), 6) AS dry_floor,
+   round(avg(vh_vv) FILTER (month BETWEEN 6 AND 10) + 1e-9, 6) AS vhvv_dry, round(max(ndvi_p75 - ndvi_p25) + 1e-9, 6) AS iqr_max, count(*) FILTER (month BETWEEN 1 AND 5 AND ndvi < 0.05) AS n_notes FROM s GROUP BY ALL)"""
 
 
 def reduced(df):
@@ -136,7 +256,7 @@ def reduced(df):
     s = series(df, "region_id").withColumn("year", F.year("date")).withColumn("month", F.month("date"))
     wet, dry = F.col("month").between(1, 5), F.col("month").between(6, 10)
     out = s.groupBy("region_id", "year").agg(F.max(F.when(wet, F.col("ndvi"))).alias("wet_peak"), F.min(F.when(dry, F.col("ndvi"))).alias("dry_floor"), F.avg(F.when(dry, F.col("vh_vv"))).alias("vhvv_dry"), F.max(F.col("ndvi_p75") - F.col("ndvi_p25")).alias("iqr_max"), F.count_if(wet & (F.col("ndvi") < 0.05)).alias("n_notes"))
-    return rounded(out, ["region_id", "year"])
+    return steady(out, ["region_id", "year"])
 
 
 @R.add("agg_18", with_obs(_YEARS) + "SELECT *, round(wet_peak - dry_floor, 6) AS delta FROM ys")
@@ -144,20 +264,35 @@ def agg_18(spark, d):
     return reduced(obs(spark, d)).withColumn("delta", F.round(F.col("wet_peak") - F.col("dry_floor"), 6))
 
 
-@R.add("agg_19", with_obs("pp AS (SELECT region_id, point_id, count(*) AS n FROM obs GROUP BY ALL)", "dp AS (SELECT region_id, sum(c - 1) AS n_dup FROM (SELECT region_id, point_id, date, source, count(*) AS c FROM obs GROUP BY ALL) GROUP BY 1)", "pa AS (SELECT region_id, count(*) AS n_points, min(n) AS obs_min, median(n) AS obs_median, max(n) AS obs_max FROM pp GROUP BY 1)")
-       + "SELECT region_id, n_points, count(*) AS n_obs, any_value(n_dup)::BIGINT AS n_dup, any_value(obs_min) AS obs_min, any_value(obs_median) AS obs_median, any_value(obs_max) AS obs_max, count(*) FILTER (source = 'S2' AND B08 IS NULL) AS n_null, round(median(vh) FILTER (source = 'S1'), 6) AS vh_median FROM obs JOIN pa USING (region_id) JOIN dp USING (region_id) GROUP BY region_id, n_points")
+_REGION_QA = (
+    "s2 AS (SELECT * FROM obs WHERE source = 'S2')",
+    "pp AS (SELECT region_id, point_id, count(*) AS n FROM s2 GROUP BY ALL)",
+    "pa AS (SELECT region_id, count(*) AS n_points, min(n) AS obs_min, median(n) AS obs_median, max(n) AS obs_max FROM pp GROUP BY 1)",
+    "dp AS (SELECT region_id, sum(c - 1)::BIGINT AS n_dup FROM (SELECT region_id, point_id, date, count(*) AS c FROM s2 GROUP BY ALL) GROUP BY 1)",
+    "fa AS (SELECT region_id, count(*) AS n_obs, (" + " + ".join(f"count(*) FILTER ({b} IS NULL)" for b in BANDS) + ") AS n_null, "
+    + f"({' + '.join(f'avg({b})' for b in BANDS)}) / {len(BANDS)} AS band_mean, ({' + '.join(f'stddev_samp({b})' for b in BANDS)}) / {len(BANDS)} AS band_std, "
+    + f"greatest({', '.join(f'avg({b})' for b in BANDS)}) AS top, least({', '.join(f'avg({b})' for b in BANDS)}) AS bottom FROM s2 GROUP BY 1)",
+    "vm AS (SELECT region_id, median(vh) AS vh_median FROM obs WHERE source = 'S1' AND vh IS NOT NULL GROUP BY 1)",
+    "qa AS (SELECT region_id, n_points, n_obs, n_dup, obs_min, obs_median, obs_max, n_null, band_mean, band_std, top, bottom, vh_median FROM (SELECT DISTINCT region_id FROM obs) LEFT JOIN fa USING (region_id) LEFT JOIN pa USING (region_id) LEFT JOIN dp USING (region_id) LEFT JOIN vm USING (region_id))",
+)
+
+
+@R.add("agg_19", with_obs(*_REGION_QA) + "SELECT region_id, n_points, n_obs, n_dup, obs_min, obs_median, obs_max, n_null, round(band_mean, 4) AS band_mean, round(band_std, 4) AS band_std, round(vh_median, 6) AS vh_median FROM qa", repeated=True)
 def agg_19(spark, d):
+    """Quality of each region's optical rows as delivered, repeated rows included: they are what is looked for."""
     from gridwake.operators.checks import region_tags
 
-    return region_tags(obs(spark, d)).select("region_id", "n_points", "n_obs", "n_dup", "obs_min", "obs_median", "obs_max", "n_null", r6("vh_median", "vh_median"))
+    qa = region_tags(obs(spark, d, repeated=True))
+    return qa.select("region_id", "n_points", "n_obs", "n_dup", "obs_min", "obs_median", "obs_max", "n_null", F.round("band_mean", 4).alias("band_mean"), F.round("band_std", 4).alias("band_std"), r6("vh_median", "vh_median"))
 
 
 _CHUNK_SQL = """c AS (SELECT file_id, point_id, date, source, regexp_extract(point_id, '_([0-9]+)$', 1)::INT AS y FROM chunk_rows),
  sh AS (SELECT file_id, count(DISTINCT point_id) AS n_points, count(DISTINCT y) AS n_rows FROM c GROUP BY 1),
- pt AS (SELECT file_id, count(*) FILTER (n1 >= 2) AS n_enough FROM (SELECT file_id, point_id, count(*) FILTER (source = 'S1') AS n1 FROM c GROUP BY ALL) GROUP BY 1),
+ pt AS (SELECT file_id, count(*) FILTER (n1 >= 4) AS n_enough FROM (SELECT file_id, point_id, count(*) FILTER (source = 'S1') AS n1 FROM c GROUP BY ALL) GROUP BY 1),
  dt AS (SELECT file_id, date, count(DISTINCT y) AS cover FROM c WHERE source = 'S1' GROUP BY ALL),
  ju AS (SELECT file_id, count(*) AS n_dates, median(cover) AS cover_median, max(cover) AS cover_max, count(*) FILTER (cover >= 0.95 * n_rows) AS n_complete FROM dt JOIN sh USING (file_id) GROUP BY 1),
- al AS (SELECT file_id, n_points, n_rows, n_enough, coalesce(n_dates, 0) AS n_dates, cover_median, cover_max, coalesce(n_complete, 0) AS n_complete FROM sh JOIN pt USING (file_id) LEFT JOIN ju USING (file_id))"""
+ al AS (SELECT file_id, coalesce(n_points, 0) AS n_points, coalesce(n_rows, 0) AS n_rows, coalesce(n_enough, 0) AS n_enough, coalesce(n_dates, 0) AS n_dates, cover_median, cover_max, coalesce(n_complete, 0) AS n_complete
+   FROM (SELECT DISTINCT file_id FROM chunk_reports) FULL JOIN sh USING (file_id) LEFT JOIN pt USING (file_id) LEFT JOIN ju USING (file_id))"""
 
 
 def chunk_quality(spark, d):
@@ -182,10 +317,10 @@ def agg_22(spark, d):
     return obs(spark, d).groupBy(F.round("lat", 1).alias("band")).agg(F.count(F.lit(1)).alias("n_obs"), F.countDistinct("point_id").alias("n_points"), r6(F.count(F.lit(1)) / F.countDistinct("point_id"), "per_point"), r6(F.avg(F.when(~dry, F.col("B08"))), "wet"), r6(F.avg(F.when(dry, F.col("B08"))), "dry"), r6(F.avg("B08"), "every"))
 
 
-@R.add("agg_23", with_obs(_YEARLY, "p AS (SELECT point_id, round(min(lat), 1) AS band FROM obs GROUP BY 1)") + "SELECT band, round(median(score), 6) AS score_median, round(stddev_samp(score), 6) AS score_std FROM y JOIN p USING (point_id) GROUP BY 1")
+@R.add("agg_23", with_obs(_YEARLY, "p AS (SELECT point_id, round(min(lat), 1) AS band FROM obs GROUP BY 1)") + "SELECT band, round(median(score) + 1e-9, 6) AS score_median, round(stddev_samp(score), 6) AS score_std FROM y JOIN p USING (point_id) GROUP BY 1")
 def agg_23(spark, d):
     bands = obs(spark, d).groupBy("point_id").agg(F.round(F.min("lat"), 1).alias("band"))
-    return yearly(spark, d).join(bands, "point_id").groupBy("band").agg(r6(F.median("score"), "score_median"), r6(F.stddev_samp("score"), "score_std"))
+    return yearly(spark, d).join(bands, "point_id").groupBy("band").agg(r6(F.median("score") + TIE, "score_median"), r6(F.stddev_samp("score"), "score_std"))
 
 
 @R.add("agg_24", with_obs() + "SELECT point_id, count(*) AS n, round(avg(doy), 6) AS doy_mean, round(stddev_pop(doy), 6) AS doy_std, min(doy) AS doy_min, max(doy) AS doy_max, max(doy) - min(doy) AS doy_range, count(*) FILTER (doy >= 305 OR doy <= 90) AS n_wet, count(*) FILTER (doy BETWEEN 121 AND 273) AS n_dry, round(avg(B11), 6) AS b11_mean, round(stddev_pop(B11), 6) AS b11_std FROM obs WHERE source = 'S2' GROUP BY 1")
@@ -208,11 +343,11 @@ def agg_26(spark, d):
     return table(spark, d, "observations").where("tile_id IS NOT NULL").groupBy("tile_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tile_id").limit(1)
 
 
-@R.add("agg_27", with_obs() + "SELECT a.tile_id, a.year, count(*) AS n, round(median(a.B08 / b.B08), 6) AS ratio FROM obs a JOIN obs b ON a.point_id = b.point_id AND a.date = b.date AND a.tile_id != b.tile_id WHERE a.B08 > 0 AND b.B08 > 0 GROUP BY ALL")
+@R.add("agg_27", with_obs() + "SELECT a.tile_id, a.year, count(*) AS n, round(median(round(a.B08 / b.B08 + 1e-9, 5)), 6) AS ratio FROM obs a JOIN obs b ON a.point_id = b.point_id AND a.date = b.date AND a.tile_id != b.tile_id WHERE a.B08 > 0 AND b.B08 > 0 GROUP BY ALL")
 def agg_27(spark, d):
     side = obs(spark, d).where("B08 > 0 AND tile_id IS NOT NULL").select("point_id", "date", "tile_id", "year", "B08")
     pairs = side.alias("a").join(side.alias("b"), ["point_id", "date"]).where("a.tile_id <> b.tile_id")
-    return pairs.groupBy("a.tile_id", "a.year").agg(F.count(F.lit(1)).alias("n"), r6(F.median(F.col("a.B08") / F.col("b.B08")), "ratio"))
+    return pairs.groupBy("a.tile_id", "a.year").agg(F.count(F.lit(1)).alias("n"), r6(F.median(F.round(F.col("a.B08") / F.col("b.B08") + TIE, 5)), "ratio"))
 
 
 @R.add("agg_28", "SELECT site, signal, min(median) AS weighted_median FROM (SELECT site, signal, median, sum(n_pixels) OVER (PARTITION BY site, signal ORDER BY median) AS c, sum(n_pixels) OVER (PARTITION BY site, signal) AS t FROM class_stats WHERE median IS NOT NULL) WHERE c * 2 >= t GROUP BY ALL")
@@ -230,7 +365,6 @@ def agg_30(spark, d):
     return ob.optical(obs(spark, d)).agg(r6(F.avg("i_ndvi"), "mean"), r6(F.greatest(F.stddev_samp("i_ndvi"), F.lit(1e-6)), "std"), F.count("i_ndvi").alias("n"))
 
 
-_FLOWER = "greatest(least(((B07 - B05) / (B07 + B05 + 1e-5) + (B08 - B11) / (B08 + B11 + 1e-5)) / 2, 1), -1)"
 _WAVE = f"""u AS (SELECT point_id, year, doy, obs_id, i_ndvi * scl_purity AS w FROM obs WHERE source = 'S2' AND scl_purity >= 0.3 AND doy BETWEEN 200 AND 340 AND i_ndvi IS NOT NULL),
  pk AS (SELECT point_id, year, max(w) AS peak, arg_max(doy, struct_pack(w := w, a := -doy)) AS peak_doy, count(*) FILTER (w >= 0.075) AS long FROM u GROUP BY ALL HAVING max(w) >= 0.15)"""
 
@@ -289,17 +423,44 @@ def agg_38(spark, d):
     return ob.optical(obs(spark, d)).where(wi.flags_dry(F.col("doy"))).groupBy("label").agg(r6(F.avg("i_mavi"), "mean"), r6(F.stddev_samp("i_mavi"), "std"), r6(F.min("i_mavi"), "low"))
 
 
-@R.add("agg_39", with_obs(_YEARLY, "l AS (SELECT point_id, min(label) AS label FROM obs GROUP BY 1)") + "SELECT label, count(*) AS n, round(avg(score), 6) AS mean, round(max(score), 6) AS top, round(quantile_disc(score, 0.75), 6) AS p75, round(quantile_disc(score, 0.95), 6) AS p95 FROM y JOIN l USING (point_id) GROUP BY 1")
-def agg_39(spark, d):
-    labels = obs(spark, d).groupBy("point_id").agg(F.min("label").alias("label"))
-    disc = lambda f, n: F.round(F.expr(f"percentile_disc({f}) WITHIN GROUP (ORDER BY score)"), 6).alias(n)
-    return yearly(spark, d).join(labels, "point_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("score"), "mean"), r6(F.max("score"), "top"), disc(0.75, "p75"), disc(0.95, "p95"))
+_SCENE = with_obs(
+    _YEARLY,
+    "l AS (SELECT point_id, min(label) AS label FROM obs GROUP BY 1)",
+    "f AS (SELECT point_id, max(score) AS score FROM y GROUP BY 1)",
+    "j AS (SELECT label, score FROM f LEFT JOIN l USING (point_id) WHERE score IS NOT NULL)",
+    "k AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER () AS n FROM j)",
+)
 
 
-@R.add("agg_40", with_obs("w AS (SELECT point_id, year, region_id, count(*) FILTER (source = 'S2') AS n2, count(*) FILTER (source = 'S1') AS n1 FROM obs GROUP BY ALL)") + "SELECT regexp_replace(CASE WHEN regexp_matches(region_id, '_(presence|absence)') THEN regexp_extract(region_id, '^(.+?)_(presence|absence)', 1) ELSE region_id END, '_val$', '') AS site, CASE WHEN contains(region_id, '_presence') THEN 'presence' WHEN contains(region_id, '_absence') THEN 'absence' ELSE 'unknown' END AS class, count(*) AS n, count(*) FILTER (n2 >= 40 AND n1 >= 20) AS kept FROM w GROUP BY ALL")
+@R.add("agg_39", _SCENE + """SELECT label AS part, count(*) AS n, round(avg(score), 6) AS mean, round(median(score) + 1e-9, 6) AS median, round(stddev_samp(score), 6) AS std, NULL::DOUBLE AS p75, NULL::DOUBLE AS p90, NULL::DOUBLE AS p95 FROM j WHERE label IN ('presence', 'absence') GROUP BY label
+UNION ALL SELECT 'scene', count(*), round(avg(score), 6), round(median(score) + 1e-9, 6), round(stddev_samp(score), 6), """ + ", ".join(f"max(score) FILTER (i = floor({f} * (n - 1) + 0.5))" for f in (0.75, 0.90, 0.95)) + " FROM k")
+def agg_39(spark, d):
+    """Mean, median and deviation of the points' scores per class, and of the whole scene with its upper percentiles.
+
+    Percentiles are order statistics by the nearest rank, from the distributed sort of the scores' counts.
+    """
+    from gridwake.operators.order_stats import order_statistics, percentiles, value_counts
+
+    df = obs(spark, d)
+    labels = df.groupBy("point_id").agg(F.min("label").alias("label"))
+    scores = yearly(spark, d).groupBy("point_id").agg(F.max("score").alias("score")).join(labels, "point_id", "left").where("score IS NOT NULL")
+    parts = F.array_compact(F.array(F.lit("scene"), F.when(F.col("label").isin("presence", "absence"), F.col("label"))))
+    tall = scores.select(F.explode(parts).alias("part"), "score")
+    counts = value_counts(tall, ["part"], "score")
+    nearest = lambda f: lambda n: F.floor(F.lit(f) * (n - 1) + 0.5) + 1
+    upper = order_statistics(counts.where("part = 'scene'"), ["part"], {f"p{p}": nearest(p / 100) for p in (75, 90, 95)}).drop("n_rows")
+    middle = percentiles(counts, ["part"], {"median": 0.5}).drop("n_rows")
+    facts = tall.groupBy("part").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("score"), "mean"), r6(F.stddev_samp("score"), "std"))
+    return facts.join(middle, "part").join(upper, "part", "left").select("part", "n", "mean", r6(F.col("median") + TIE, "median"), "std", "p75", "p90", "p95")
+
+
+@R.add("agg_40", with_obs("w AS (SELECT point_id, year, region_id, min(lat) AS lat, min(label) AS label, count(*) FILTER (source = 'S2') AS n2, count(*) FILTER (source = 'S1') AS n1 FROM obs GROUP BY point_id, year, region_id)", "pt AS (SELECT point_id, min(lat) AS lat, min(label) AS label FROM w GROUP BY 1)", "sp AS (SELECT point_id, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY lat, point_id) <= greatest(1, floor(count(*) OVER (PARTITION BY label) * 0.2)) THEN 'validation' ELSE 'train' END AS split FROM pt)") + "SELECT regexp_replace(CASE WHEN regexp_matches(region_id, '_(presence|absence)') THEN regexp_extract(region_id, '^(.+?)_(presence|absence)', 1) ELSE region_id END, '_val$', '') AS site, CASE WHEN contains(region_id, '_presence') THEN 'presence' WHEN contains(region_id, '_absence') THEN 'absence' ELSE 'unknown' END AS class, split, count(*) AS n, count(*) FILTER (n2 >= 40 AND n1 >= 20) AS kept, count(*) FILTER (NOT (n2 >= 40 AND n1 >= 20)) AS dropped FROM w JOIN sp USING (point_id) GROUP BY ALL")
 def agg_40(spark, d):
-    w = obs(spark, d).groupBy("point_id", "year", "region_id").agg(F.count_if(F.col("source") == "S2").alias("n2"), F.count_if(F.col("source") == "S1").alias("n1"))
-    return w.groupBy(ids.site(F.col("region_id")).alias("site"), ids.site_class(F.col("region_id")).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("n2") >= 40) & (F.col("n1") >= 20)).alias("kept"))
+    """Windows kept and dropped for their number of readings, by site, class and split."""
+    w = obs(spark, d).groupBy("point_id", "year", "region_id").agg(F.min("lat").alias("lat"), F.min("label").alias("label"), F.count_if(F.col("source") == "S2").alias("n2"), F.count_if(F.col("source") == "S1").alias("n1"))
+    splits = ev.southern_split(w.groupBy("point_id").agg(F.min("lat").alias("lat"), F.min("label").alias("label")), 0.2).select("point_id", "split")
+    kept = (F.col("n2") >= 40) & (F.col("n1") >= 20)
+    return w.join(splits, "point_id").groupBy(ids.site(F.col("region_id")).alias("site"), ids.site_class(F.col("region_id")).alias("class"), "split").agg(F.count(F.lit(1)).alias("n"), F.count_if(kept).alias("kept"), F.count_if(~kept).alias("dropped"))
 
 
 @R.add("agg_41", with_obs() + "SELECT point_id, min(lon) AS lon, min(lat) AS lat FROM obs GROUP BY 1")
@@ -326,9 +487,9 @@ def agg_43(spark, d):
 # ---- window functions ---------------------------------------------------------------------------------------------
 
 
-@R.add("win_01", with_obs() + "SELECT obs_id, round(quantile_cont(vh, 0.5) OVER w, 8) AS vh, round(quantile_cont(vv, 0.5) OVER w, 8) AS vv FROM obs WHERE source = 'S1' AND obs_id IN (SELECT obs_id FROM observations GROUP BY 1 HAVING count(*) = 1) WINDOW w AS (PARTITION BY point_id ORDER BY date, obs_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
+@R.add("win_01", with_obs() + "SELECT obs_id, round(quantile_cont(vh, 0.5) OVER w, 8) AS vh, round(quantile_cont(vv, 0.5) OVER w, 8) AS vv FROM obs WHERE source = 'S1' WINDOW w AS (PARTITION BY point_id ORDER BY date, obs_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
 def win_01(spark, d):
-    df = ob.latest_delivery(ob.radar(obs(spark, d)).select("obs_id", "point_id", "date", "vh", "vv", "loaded_at"))
+    df = ob.radar(obs(spark, d)).select("obs_id", "point_id", "date", "vh", "vv")
     return wi.despeckle(df, ["vh", "vv"], 5).select("obs_id", F.round("vh", 8).alias("vh"), F.round("vv", 8).alias("vv"))
 
 

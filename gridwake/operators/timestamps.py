@@ -22,10 +22,10 @@ MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 _ZONE = r"(?:\s*(Z|UTC|GMT|AEST|AEDT|ACST|ACDT|AWST|[+-][0-9]{2}(?::?[0-9]{2})?))?"
 _CLOCK = r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]{1,9}))?)?"
 ISO = rf"(?i)^([0-9]{{4}})-([0-9]{{1,2}})-([0-9]{{1,2}})(?:(?:T|\s+){_CLOCK}{_ZONE})?(?:/.*)?$"
-COMPACT = rf"(?i)^([0-9]{{4}})([0-9]{{2}})([0-9]{{2}})(?:T([0-9]{{2}})([0-9]{{2}})(?:([0-9]{{2}})(?:[.,]([0-9]{{1,9}}))?)?{_ZONE})?$"
+COMPACT = rf"(?i)^([0-9]{{4}})(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])(?:T([0-9]{{2}})([0-9]{{2}})(?:([0-9]{{2}})(?:[.,]([0-9]{{1,9}}))?)?{_ZONE})?$"
 NUMERIC = rf"(?i)^([0-9]{{1,2}})[/.-]([0-9]{{1,2}})[/.-]([0-9]{{4}}|[0-9]{{2}})(?:,?\s+{_CLOCK}\s*([AP]\.?M\.?)?{_ZONE})?$"
 NAMED = rf"(?i)^([0-9]{{1,2}})[\s-]+({'|'.join(MONTHS)})[a-z]*\.?,?[\s-]+([0-9]{{4}})(?:,?\s+{_CLOCK}\s*([AP]\.?M\.?)?{_ZONE})?$"
-EPOCH = r"^-?[0-9]{9,19}$"
+EPOCH = r"^-?(?!(?:1[5-9]|20)[0-9]{2}(?:0[1-9]|1[0-2])$)[0-9]{5,19}$"
 DAY = 86_400_000_000
 
 
@@ -34,7 +34,8 @@ def parse_moments(df: DataFrame, text: str, month: str | None = None, wall: str
 
     Read are ISO dates and times (also compact, with fractions, as ranges: their first day), ``d/m/y`` and
     ``m/d/y`` with / . or -, named months, 12-hour clocks, and bare numbers since 1970 (seconds,
-    milliseconds, microseconds or nanoseconds by their number of digits). Where day and month could be
+    milliseconds, microseconds or nanoseconds by their number of digits; at least five digits that name neither a
+    compact date nor a year and month). Where day and month could be
     confused the column ``month`` decides; if it is null or fits neither, a 12-hour clock means m/d/y and
     anything else d/m/y. Two-digit years are 20xx. Null, empty and other texts, and days or times that don't
     exist, give null. All other columns pass through.
@@ -83,21 +84,32 @@ def offset_periods(zone: str, first: int, last: int) -> list[tuple[int, int, int
     tz, epoch = ZoneInfo(zone), datetime(1970, 1, 1, tzinfo=timezone.utc)
     at = lambda s: int((epoch + timedelta(seconds=s)).astimezone(tz).utcoffset().total_seconds())
     begin, end = (int((datetime(y, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds()) for y in (first, last + 1))
-    periods, start, step = [], begin, 86_400 * 3
+    periods, start, step, held = [], begin, 86_400 * 3, at(begin)
     for s in range(begin, end, step):
-        if at(s) != at(s + step):
-            change = bisect_left(range(s, s + step), True, key=lambda x, o=at(s): at(x) != o) + s
-            periods.append((start, change, at(s)))
-            start = change
-    return [*periods, (start, end, at(start))]
+        after = at(s + step)
+        if after != held:
+            change = bisect_left(range(s, s + step), True, key=lambda x, o=held: at(x) != o) + s
+            periods.append((start, change, held))
+            start, held = change, after
+    return [*periods, (start, end, held)]
 
 
-def zone_intervals(spark: SparkSession, zones: Iterable[str], first: int = 1900, last: int = 2100) -> DataFrame:
+#: Years of the interval table. Before the first no zone had changed its local mean time. From some year before 2100 on,
+#: zones follow rules of month and weekday, which repeat with the calendar every 400 years; so later years
+#: are looked up in the table's last 400.
+FIRST_YEAR, LAST_YEAR, CYCLE = 1830, 2499, 400
+CYCLE_US = 146_097 * DAY
+LONG_AGO = -(1 << 62)
+
+
+def zone_intervals(spark: SparkSession, zones: Iterable[str], first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
     """Per zone and year of local time, the offset intervals that touch it or come before it.
 
-    ``(zone, local_year, intervals)`` with intervals ``(lo, hi, offset_s)`` in wall microseconds. Unknown zones
-    are left out.
+    ``(zone, local_year, intervals)`` with intervals ``(lo, hi, offset_s)`` in wall microseconds. The first interval of a
+    zone has no beginning. Unknown zones are left out. A narrower range than the default gives no instants outside it.
     """
+    start = datetime(1970, 1, 1)
+    new_year = [int((datetime(y, 1, 1) - start).total_seconds()) * 1_000_000 for y in range(first, last + 2)]
     rows = []
     for zone in sorted(set(zones)):
         try:
@@ -105,9 +117,16 @@ def zone_intervals(spark: SparkSession, zones: Iterable[str], first: int = 1900,
         except (KeyError, ValueError, OSError):
             continue
         local = [((s + o) * 1_000_000, (e + o) * 1_000_000, o) for s, e, o in periods]
+        local[0] = (LONG_AGO, *local[0][1:])
+        at = 0
         for year in range(first, last + 1):
-            lo, hi = (int((datetime(y, 1, 1) - datetime(1970, 1, 1)).total_seconds()) * 1_000_000 for y in (year, year + 1))
-            near = [p for p in local if p[0] < hi + 2 * DAY and p[1] > lo - 2 * DAY]
+            lo, hi = new_year[year - first], new_year[year - first + 1]
+            while local[at][1] <= lo - 2 * DAY:
+                at += 1
+            near, k = [], at
+            while k < len(local) and local[k][0] < hi + 2 * DAY:
+                near.append(local[k])
+                k += 1
             rows.append((zone, year, near))
     return spark.createDataFrame(rows, "zone string, local_year int, intervals array<struct<lo:long,hi:long,offset_s:int>>")
 
@@ -115,21 +134,24 @@ def zone_intervals(spark: SparkSession, zones: Iterable[str], first: int = 1900,
 def to_instants(df: DataFrame, zones: DataFrame, wall: str = "wall_us", offset: str = "offset_s", zone: str = "zone", utc: str = "utc_us", state: str = "zone_state") -> DataFrame:
     """``df`` with the UTC instant of each wall time, and how it was found.
 
+    Every year has an instant: the zone's first offset holds for all time before it, and its last rule for all time after.
     States: ``stated`` (the offset was given), ``exact``, ``ambiguous`` (the earlier instant is taken),
     ``skipped`` (the offset in force before the change is used), ``unknown`` (no wall time, or neither an
     offset nor a known zone: the instant is null). No row is lost or doubled. The interval table is joined
     on zone and year, so each row meets the two or three intervals around it and nothing else.
     """
     year = F.year(F.timestamp_micros(F.col(wall)))
-    marked = df.withColumn("__y", year)
+    turns = F.when(year > LAST_YEAR, F.ceil((year - LAST_YEAR) / CYCLE)).otherwise(0).cast("long")
+    marked = df.withColumn("__turns", turns).withColumn("__y", F.greatest(year - F.col("__turns") * CYCLE, F.lit(FIRST_YEAR)).cast("int"))
     renamed = zones.select(F.col("zone").alias("__zone"), F.col("local_year").alias("__ly"), F.col("intervals").alias("__iv"))
     joined = marked.join(renamed, (F.col(zone) == F.col("__zone")) & (F.col("__y") == F.col("__ly")) & F.col(offset).isNull(), "left")
     t = F.col(wall)
-    hits = F.filter("__iv", lambda x: (x.lo <= t) & (t < x.hi))
+    joined = joined.withColumn("__t", t - F.col("__turns") * CYCLE_US)
+    hits = F.filter("__iv", lambda x: (x.lo <= F.col("__t")) & (F.col("__t") < x.hi))
     joined = joined.withColumn("__hits", hits)
     count = F.size("__hits")
-    before = F.filter("__iv", lambda x: x.hi <= t)
+    before = F.filter("__iv", lambda x: x.hi <= F.col("__t"))
     before = F.array_max(F.transform(before, lambda x: F.struct(x.hi.alias("hi"), x.offset_s.alias("offset_s"))))
     used = F.when(F.col(offset).isNotNull(), F.col(offset)).when(count >= 1, F.array_max(F.transform("__hits", lambda x: x.offset_s))).when(count == 0, before.offset_s)
     name = F.when(t.isNull(), "unknown").when(F.col(offset).isNotNull(), "stated").when(F.col("__iv").isNull(), "unknown").when(count >= 2, "ambiguous").when(count == 1, "exact").otherwise("skipped")
-    return joined.withColumn(utc, t - used.cast("long") * 1_000_000).withColumn(state, name).drop("__y", "__zone", "__ly", "__iv", "__hits")
+    return joined.withColumn(utc, t - used.cast("long") * 1_000_000).withColumn(state, name).drop("__y", "__turns", "__t", "__zone", "__ly", "__iv", "__hits")

@@ -22,12 +22,21 @@ OPTICAL_RADAR = [
 RATIO = [spikes.Channel("vhvv_dry", "vhvv_dry", -40.0, 0.0)]
 
 
-def p2_faults(spark: SparkSession, d: str) -> DataFrame:
-    """Implausible readings with the kind of fault and, where that is the measure, the usual deviations."""
+def _faults(spark: SparkSession, d: str, confirm: float | None) -> DataFrame:
     observations = table(spark, d, "observations").withColumn("judged_ndvi", F.when(F.col("scl_purity") == 1, F.col("NDVI")))
     summaries = table(spark, d, "year_summaries")
-    found = spikes.flag_implausible(observations, ["point_id"], "date", "obs_id", OPTICAL_RADAR).withColumn("tab", F.lit("observations"))
-    return found.unionByName(spikes.flag_implausible(summaries, ["bbox_id"], "year", "summary_id", RATIO).withColumn("tab", F.lit("year_summaries")))
+    found = spikes.flag_implausible(observations, ["point_id"], "date", "obs_id", OPTICAL_RADAR, confirm=confirm).withColumn("tab", F.lit("observations"))
+    return found.unionByName(spikes.flag_implausible(summaries, ["bbox_id"], "year", "summary_id", RATIO, confirm=confirm).withColumn("tab", F.lit("year_summaries")))
+
+
+def p2_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Implausible readings with the kind of fault and the usual deviations, spikes confirmed at eight of them."""
+    return _faults(spark, d, 8.0).withColumn("deviations", F.round("deviations", 6))
+
+
+def p2_spikes(spark: SparkSession, d: str) -> DataFrame:
+    """Implausible readings by the phase space alone: spikes stand out in value, first or second difference."""
+    return _faults(spark, d, None)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +121,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return tagged(near, "near").unionByName(tagged(held, "in"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_faults, p3_found, p3_plan, p3_compacted, p5_found, p5_states, p6_found, p6_grid, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_faults, p2_spikes, p3_found, p3_plan, p3_compacted, p5_found, p5_states, p6_found, p6_grid, p7_found)}
 
 _NDVI = "NDVI IS NOT NULL AND NOT isnan(NDVI) AND scl_purity = 1"
 
@@ -124,8 +133,7 @@ WITH r AS (SELECT DISTINCT point_id, obs_id, year(date)::INT AS year, ((dayofyea
      g AS (SELECT point_id, year, unnest(range(lo, hi + 1))::INT AS period FROM e)
 """
 
-SQL = {
-    "p2_found": """
+_JUDGED = """
 WITH o AS (SELECT DISTINCT ON (obs_id) * FROM observations),
      j AS (SELECT 'observations' AS tab, obs_id AS rec_id, 'NDVI' AS field, point_id AS src, date::VARCHAR AS tm, NDVI::DOUBLE AS v FROM o WHERE scl_purity = 1
            UNION ALL SELECT 'observations', obs_id, 'vh', point_id, date::VARCHAR, vh::DOUBLE FROM o
@@ -138,7 +146,11 @@ WITH o AS (SELECT DISTINCT ON (obs_id) * FROM observations),
                   CASE WHEN field IN ('vh', 'vv') THEN CASE WHEN v > 0 THEN 10 * log10(v) END ELSE v END AS x FROM k),
      m AS (SELECT field, src, median(x) AS mid FROM l WHERE NOT wrong AND NOT stuck GROUP BY ALL),
      u AS (SELECT field, src, any_value(mid) AS mid, 1.4826 * median(abs(x - mid)) AS usual FROM l JOIN m USING (field, src) WHERE NOT wrong AND NOT stuck GROUP BY ALL)
-SELECT tab, rec_id, field FROM l LEFT JOIN u USING (field, src) WHERE wrong OR stuck OR abs(x - mid) > 8 * usual""",
+"""
+
+SQL = {
+    "p2_found": _JUDGED + "SELECT tab, rec_id, field FROM l LEFT JOIN u USING (field, src) WHERE wrong OR stuck OR abs(x - mid) > 8 * usual",
+    "p2_faults": _JUDGED + "SELECT tab, rec_id, field, CASE WHEN wrong THEN 'impossible' WHEN stuck THEN 'stuck' ELSE 'spike' END AS fault, CASE WHEN NOT wrong AND NOT stuck THEN round(abs(x - mid) / usual, 6) END AS deviations FROM l LEFT JOIN u USING (field, src) WHERE wrong OR stuck OR abs(x - mid) > 8 * usual",
     "p3_found": """
 WITH f AS (SELECT DISTINCT file_id, upper(regexp_extract(path, '([0-9]{1,2}[A-Za-z]{3})_r([0-9]+)_c([0-9]+)', 1)) AS t,
                   regexp_extract(path, '[/\\\\]([0-9]{4})[/\\\\]', 1)::INT AS y, regexp_extract(path, '_r([0-9]+)_c([0-9]+)', 1)::INT AS r, regexp_extract(path, '_r([0-9]+)_c([0-9]+)', 2)::INT AS c FROM chunk_reports),

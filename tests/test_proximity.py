@@ -1,7 +1,16 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridwake.operators.proximity import EARTH_M, SlabIndex, locate_in_boxes, near_points
+from gridwake.operators.proximity import EARTH_M, SlabIndex, locate_in_boxes, locate_in_polygons, near_points
+
+
+def level(boxes):
+    """Boxes (x_lo, y_lo, x_hi, y_hi) as trapezoids with level edges."""
+    return boxes[:, [0, 2, 1, 1, 3, 3]]
+
+
+def pairs(index, points, **kw):
+    return {(int(i), int(j)) for found, traps in index.locate(points[:, 0].copy(), points[:, 1].copy(), **kw) for i, j in zip(found, traps)}
 
 
 def test_slabs_against_brute_force():
@@ -10,9 +19,41 @@ def test_slabs_against_brute_force():
     boxes = np.hstack([lo, lo + rng.integers(0, 8, (60, 2))])
     points = rng.integers(-1, 30, (500, 2)) / 1.0
     points = np.vstack([points, points + 0.5])
-    got = set(zip(*map(list, SlabIndex(boxes).locate(points[:, 0], points[:, 1]))))
     want = {(i, j) for i, (x, y) in enumerate(points) for j, b in enumerate(boxes) if b[0] <= x <= b[2] and b[1] <= y <= b[3]}
-    assert got == want
+    assert pairs(SlabIndex(level(boxes)), points) == want
+    assert pairs(SlabIndex(level(boxes)), points, most=7) == want
+
+
+def test_boxes_heaped_on_one_place_stay_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    centre = rng.normal(0, 1e-4, (5000, 2))
+    boxes = np.hstack([centre - 1.5e-3, centre + 1.5e-3])
+    points = rng.normal(0, 1e-3, (400, 2))
+    tracemalloc.start()
+    found = sum(len(a) for a, _ in SlabIndex(level(boxes)).locate(points[:, 0].copy(), points[:, 1].copy()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == sum(int(((boxes[:, 0] <= x) & (x <= boxes[:, 2]) & (boxes[:, 1] <= y) & (y <= boxes[:, 3])).sum()) for x, y in points)
+    assert peak < 200 << 20
+
+
+def crossings(x, y, rings):
+    return sum(1 for r in rings for (x1, y1), (x2, y2) in zip(r, r[1:] + r[:1]) if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+
+
+def test_polygons_with_slopes_holes_and_odd_rings(spark):
+    star = [[float(np.cos(a) * r + 3), float(np.sin(a) * r + 3)] for k, a in enumerate(np.linspace(0, 2 * np.pi, 14, endpoint=False)) for r in [3.0 if k % 2 else 1.2]]
+    hole = [[2.7, 2.7], [3.3, 2.8], [3.1, 3.4]]
+    wide = [[-40.0, 0.5], [40.0, 1.5], [40.0, 2.5], [-40.0, 1.0]]
+    shapes = {"star": [star, hole], "wide": [wide], "flat": [[[0.0, 0.0], [1.0, 0.0]]], "none": None, "bad": [[[0.0, 0.0], None, [1.0, 1.0]]]}
+    polygons = spark.createDataFrame(list(shapes.items()), "bid string, rings array<array<array<double>>>")
+    rng = np.random.default_rng(8)
+    spots = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-1, 7, (900, 2)))]
+    got = {tuple(r) for r in locate_in_polygons(spark.createDataFrame(spots, "pid int, x double, y double"), polygons, tile=0.5, salt_rows=50, slab_boxes=3).collect()}
+    want = {(i, n) for i, x, y in spots for n in ("star", "wide") if crossings(x, y, shapes[n]) % 2}
+    assert got == want and len(want) > 100
 
 
 def boxes_of(spark, data):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwake.operators import compaction, proximity, regular_grid, spikes, timestamps
 from gridwake.session import shared_folder
+from gridwake.sources import tables
 from gridwake.sources.tables import table
 
 
@@ -48,8 +51,34 @@ def _files_and_records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFram
     return files, compaction.plan_records(files, table(spark, d, "chunk_rows"))
 
 
+#: The table of records is partitioned by these; a chunk's row and column are part of a record.
+PLACE, SAME = ["tile", "year"], ["chunk_row", "chunk_col", "point_id", "date", "source"]
+
+
+def _consolidated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, str]:
+    """The files, the consolidated table of their records, and its folder.
+
+    The records are written as a table of many small files, as they come; partitions with small files are rewritten, where each
+    distinct record stands once, with the smallest file_id that holds it.
+    """
+    root = f"{shared_folder(spark)}/compaction/{uuid.uuid4().hex}"
+    files = compaction.chunk_files(tables.table(spark, d, "chunk_reports"))
+    rows = tables.table(spark, d, "chunk_rows").select("file_id", "point_id", "date", "source", "value")
+    placed = rows.join(files.select("file_id", *compaction.CHUNK), "file_id")
+    # Eight tasks write to every partition, so that there are small files to consolidate.
+    compaction.append(spark, root, placed.repartition(8, "file_id").sortWithinPartitions(*PLACE), PLACE)
+    compaction.compact(spark, root, PLACE, SAME, small_bytes=128 << 20, min_small=1, target_bytes=256 << 20, first=["file_id"])
+    return files, compaction.read(spark, root), root
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return compaction.redundant_files(*_files_and_records(spark, d))
+    """Files that keep no record in the consolidated table.
+
+    The check behind it matters where a partition held well-sized files only and was left alone: a record's smallest file_id keeps it.
+    """
+    files, table, _ = _consolidated(spark, d)
+    kept = table.groupBy(*PLACE, *SAME).agg(F.min("file_id").alias("file_id")).select("file_id").distinct()
+    return files.select("file_id").join(kept, "file_id", "left_anti")
 
 
 def p3_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -58,20 +87,13 @@ def p3_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_compacted(spark: SparkSession, d: str) -> DataFrame:
-    """Writes the tiny files' records as a directory table, consolidates it, and returns what then stands there.
-
-    One row per chunk with its records, distinct points, files and the snapshot that rewrote it.
-    """
-    import uuid
-
-    root = f"{shared_folder(spark)}/compaction/{uuid.uuid4().hex}"
-    files = compaction.chunk_files(table(spark, d, "chunk_reports"))
-    rows = table(spark, d, "chunk_rows").join(files.select("file_id", *compaction.CHUNK), "file_id")
-    # Sixteen tasks write to every chunk, so that there are small files to consolidate.
-    rows.repartition(16, "file_id").write.partitionBy(*compaction.CHUNK).parquet(f"{root}/data")
-    version, _ = compaction.compact(spark, root, compaction.CHUNK, ["point_id", "date", "source"], small_rows=1_000_000, min_small=2, target_rows=5_000_000)
-    after = spark.read.parquet(f"{root}/data")
-    return after.groupBy(*compaction.CHUNK).agg(F.count(F.lit(1)).alias("n_records"), F.countDistinct("point_id").alias("n_points"), F.countDistinct(F.col("_metadata.file_path")).alias("n_files")).withColumn("snapshot", F.lit(version))
+    """One row per chunk of the consolidated table: its records, distinct points, and the files of its partition."""
+    _, table, _ = _consolidated(spark, d)
+    counted = table.withColumn("_file", F.col("_metadata.file_path"))
+    per_file = counted.groupBy(*PLACE).agg(F.countDistinct("_file").alias("n_files"))
+    per_point = counted.groupBy(*compaction.CHUNK, "point_id").agg(F.count(F.lit(1)).alias("n"))
+    chunks = per_point.groupBy(*compaction.CHUNK).agg(F.sum("n").alias("n_records"), F.count("point_id").alias("n_points"))
+    return chunks.join(per_file, PLACE).select(*compaction.CHUNK, "n_records", "n_points", "n_files")
 
 
 def _instants(spark: SparkSession, d: str) -> DataFrame:
@@ -148,14 +170,19 @@ WITH o AS (SELECT DISTINCT ON (obs_id) * FROM observations),
      u AS (SELECT field, src, any_value(mid) AS mid, 1.4826 * median(abs(x - mid)) AS usual FROM l JOIN m USING (field, src) WHERE NOT wrong AND NOT stuck GROUP BY ALL)
 """
 
+_FILES = """
+WITH f AS (SELECT file_id, max(size_bytes) AS size_bytes, any_value(upper(regexp_extract(path, '([0-9]{1,2}[A-Za-z]{3})_r([0-9]+)_c([0-9]+)', 1))) AS t,
+                  any_value(regexp_extract(path, '[/\\\\]([0-9]{4})[/\\\\]', 1)::INT) AS y, any_value(regexp_extract(path, '_r([0-9]+)_c([0-9]+)', 1)::INT) AS r, any_value(regexp_extract(path, '_r([0-9]+)_c([0-9]+)', 2)::INT) AS c FROM chunk_reports GROUP BY file_id),
+     k AS (SELECT t, y, r, c, point_id, date, source, min(file_id) AS file_id FROM f JOIN chunk_rows USING (file_id) GROUP BY ALL)
+"""
+
 SQL = {
     "p2_found": _JUDGED + "SELECT tab, rec_id, field FROM l LEFT JOIN u USING (field, src) WHERE wrong OR stuck OR abs(x - mid) > 8 * usual",
     "p2_faults": _JUDGED + "SELECT tab, rec_id, field, CASE WHEN wrong THEN 'impossible' WHEN stuck THEN 'stuck' ELSE 'spike' END AS fault, CASE WHEN NOT wrong AND NOT stuck THEN round(abs(x - mid) / usual, 6) END AS deviations FROM l LEFT JOIN u USING (field, src) WHERE wrong OR stuck OR abs(x - mid) > 8 * usual",
-    "p3_found": """
-WITH f AS (SELECT DISTINCT file_id, upper(regexp_extract(path, '([0-9]{1,2}[A-Za-z]{3})_r([0-9]+)_c([0-9]+)', 1)) AS t,
-                  regexp_extract(path, '[/\\\\]([0-9]{4})[/\\\\]', 1)::INT AS y, regexp_extract(path, '_r([0-9]+)_c([0-9]+)', 1)::INT AS r, regexp_extract(path, '_r([0-9]+)_c([0-9]+)', 2)::INT AS c FROM chunk_reports),
-     k AS (SELECT t, y, r, c, point_id, date, source, min(file_id) AS file_id FROM f JOIN chunk_rows USING (file_id) GROUP BY ALL)
-SELECT file_id FROM f WHERE file_id NOT IN (SELECT file_id FROM k)""",
+    "p3_found": _FILES + "SELECT file_id FROM f WHERE file_id NOT IN (SELECT file_id FROM k)",
+    "p3_plan": _FILES + """, r AS (SELECT t, y, r, c, count(*) AS n_records FROM k GROUP BY ALL), n AS (SELECT t, y, r, c, count(*) AS n_files, count(*) FILTER (size_bytes < 134217728) AS n_small FROM f GROUP BY ALL)
+SELECT t AS tile, y AS year, r AS chunk_row, c AS chunk_col, n_files, n_small, coalesce(n_records, 0) AS n_records, n_small >= 2 AS rewrite, CASE WHEN n_small >= 2 THEN ceil(coalesce(n_records, 0) / 5000000)::BIGINT ELSE n_files END AS n_out FROM n LEFT JOIN r USING (t, y, r, c)""",
+    "p3_compacted": _FILES + "SELECT t AS tile, y AS year, r AS chunk_row, c AS chunk_col, count(*) AS n_records, count(DISTINCT point_id) AS n_points, 1 AS n_files FROM k GROUP BY ALL",
     "p6_found": _GRID + "SELECT point_id, year, period FROM g ANTI JOIN c USING (point_id, year, period)",
     "p6_grid": _GRID + "SELECT point_id, year, period, n_readings, coalesce(covered, 0.0) AS covered, covered IS NULL AS missing FROM g LEFT JOIN c USING (point_id, year, period)",
     "p7_found": """

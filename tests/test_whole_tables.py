@@ -79,13 +79,3 @@ def test_both_ways_of_scoring_take_every_row_for_itself(spark):
     assert sorted(r[2] for r in sent) == [0, 0, 3, 4, 5, 5]
     for a, b in zip(sorted(sent, key=key), sorted(joined, key=key), strict=True):
         assert a[:3] == b[:3] and a[3] == (b[3] if b[3] is None else pytest.approx(b[3], rel=1e-12))
-
-
-def test_partitions_with_a_null_key_are_consolidated(spark, tmp_path):
-    from gridwake.operators import compaction
-
-    df = spark.range(400).select(F.when(F.col("id") % 2 == 0, "56JFE").alias("tile"), F.when(F.col("id") % 4 > 1, 2020).alias("year"), (F.col("id") % 100).alias("rec"), F.lit("x").alias("v"))
-    df.repartition(8).write.partitionBy("tile", "year").parquet(f"{tmp_path}/data")
-    assert compaction.compact(spark, str(tmp_path), ["tile", "year"], ["rec"], small_rows=1000, min_small=2, target_rows=1000)[0] == 1
-    after = spark.read.parquet(f"{tmp_path}/data").groupBy("tile", "year").agg(F.count(F.lit(1)), F.countDistinct("rec"), F.countDistinct("_metadata.file_path")).collect()
-    assert {tuple(r) for r in after} == {(tile, year, 25, 25, 1) for tile in ("56JFE", None) for year in (2020, None)}

@@ -1,8 +1,9 @@
 """Evaluation texts in a training corpus, by spaced-seed hashing.
 
-A seed is a fixed mask over twelve consecutive words that ignores some of them. The hashes of all seeds of the
-evaluation items are joined with those of every document window; each meeting fixes a diagonal on which item
-and document are compared word by word, tolerant of substitutions, around the hit.
+A seed is a fixed mask over at most twelve consecutive words that ignores some of them. The hashes of all seeds of the
+evaluation items are joined with those of the documents; each meeting fixes a diagonal on which item and document are
+compared word by word, tolerant of substitutions. The corpus is read once: a sieve of the items' hashes lets a document's
+hash pass only if it may be among them, and only what passes is written and joined.
 """
 
 from __future__ import annotations
@@ -11,14 +12,80 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from gridwake.llm.words import blocks, document_of, windows, word_hashes
-from gridwake.operators.order_stats import running_totals
-
-#: Masks over twelve words: 1 is looked at, 0 is ignored. A passage with a substitution still meets the seeds
-#: that ignore its place; twelve equal words meet every seed.
-SEEDS = ("110111001111", "111100111011", "111111000111")
-SPAN = 12
+from pyspark.sql.pandas.types import to_arrow_type
+
+from gridwake.llm.words import blocks, document_of, mix, windows, word_hashes
+from gridwake.session import Scratch
+
+#: Masks: 1 is looked at, 0 is ignored. Seven words of ten or twelve: of passages of 16 to 24 words with a tenth to a fifth of the words
+#: replaced, at least 0.95 meet one of them; twelve equal words meet all.
+SEEDS = ("101100011011", "1111100101", "100011010111")
+#: Bits of the sieve per seed, its smallest and its largest size in bits (2 and 128 MB): more seeds than the largest
+#: holds let more hashes pass into the join, and change no result.
+BITS_PER_SEED, LEAST_BITS, MOST_BITS = 64, 1 << 24, 1 << 30
+PROBES = 4
+
+
+def _places(mask: str) -> tuple[int, ...]:
+    return tuple(i for i, c in enumerate(mask) if c == "1")
+
+
+def _signed(values: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(values).view(np.int64))
+
+
+def _seeds(words: np.ndarray, owner: np.ndarray, masks: tuple[str, ...]):
+    """For each mask the places whose window lies in one text, and the hashes there (different for each mask)."""
+    for k, mask in enumerate(masks):
+        places = _places(mask)
+        span = windows(words, places)
+        if len(span):
+            inside = np.flatnonzero(owner[: len(span)] == owner[places[-1] : places[-1] + len(span)])
+            yield inside, mix(span[inside] + np.uint64(k))
+
+
+def _bits(hashes: np.ndarray, size: int):
+    """The sieve's bits of each hash, one probe after the other."""
+    h = hashes
+    for _ in range(PROBES):
+        yield h & np.uint64(size - 1)
+        h = mix(h + np.uint64(0x9E3779B97F4A7C15))
+
+
+def _pass(sieve: np.ndarray, hashes: np.ndarray, size: int) -> np.ndarray:
+    """Places of the hashes whose bits are all set; later probes look at what is left only."""
+    left = np.arange(len(hashes))
+    h = hashes
+    for _ in range(PROBES):
+        bit = h & np.uint64(size - 1)
+        kept = (sieve[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+        left, h = left[kept], h[kept]
+        if not len(left):
+            break
+        h = mix(h + np.uint64(0x9E3779B97F4A7C15))
+    return left
+
+
+def _sieve(seeds: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A bit array in which the bits of every seed are set, combined by the executors; at most ``MOST_BITS``."""
+    size = LEAST_BITS
+    while size < min(n * BITS_PER_SEED, MOST_BITS):
+        size *= 2
+
+    def run(batches):
+        for batch in batches:
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            bits = np.concatenate([*_bits(hashes, size), np.zeros(0, np.uint64)])
+            slots, at = np.unique(bits >> np.uint64(6), return_inverse=True)
+            values = np.zeros(len(slots), np.uint64)
+            np.bitwise_or.at(values, at, np.uint64(1) << (bits & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([_signed(slots), _signed(values)], names=["slot", "bits"])
+
+    table = seeds.select("hash").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()  # at most MOST_BITS / 64 rows
+    sieve = np.zeros(size // 64, np.uint64)
+    if table.num_rows:
+        sieve[table.column("slot").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return sieve, size
 
 
 def _longest_run(equal: np.ndarray) -> int:
@@ -26,116 +93,108 @@ def _longest_run(equal: np.ndarray) -> int:
     return int((edges[1::2] - edges[::2]).max(initial=0))
 
 
-def _overlap(equal: np.ndarray, at: int, patience: int) -> tuple[int, int]:
-    """The stretch around ``at`` that holds no more than ``patience`` unequal words in a row at any place."""
-    gaps = np.flatnonzero(equal)
-    i = np.searchsorted(gaps, at)
-    wide = np.flatnonzero(np.diff(gaps) > patience + 1)
-    k = np.searchsorted(wide, i)
-    return int(gaps[wide[k - 1] + 1 if k else 0]), int(gaps[wide[k] if k < len(wide) else -1]) + 1
-
-
-class SeedTable:
-    """The seeds of one block of items, in sorted hash arrays."""
-
-    def __init__(self, ids: list, texts: list[str | None], masks: tuple[str, ...]):
-        self.ids = ids
-        self.words, self.ends = word_hashes(texts)
-        self.starts = np.concatenate([[0], self.ends[:-1]])
-        owner = document_of(self.ends)
-        self.owner = owner
-        self.tables = []
-        for mask in masks:
-            places = tuple(i for i, c in enumerate(mask) if c == "1")
-            span = windows(self.words, places)
-            inside = np.flatnonzero(owner[: len(span)] == owner[places[-1] : places[-1] + len(span)]) if len(span) else np.zeros(0, np.int64)
-            order = inside[np.argsort(span[inside], kind="stable")]
-            sieve = np.zeros(1 << 22, bool)
-            sieve[(span[order] & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-            self.tables.append((places, span[order], order, sieve))
-
-    def search(self, words: np.ndarray, owner: np.ndarray, patience: int):
-        """Per (document, item): the words of the best overlap, the equal ones among them, the longest equal run."""
-        hits = []
-        for places, keys, at, sieve in self.tables:
-            span = windows(words, places)
-            maybe = np.flatnonzero(sieve[(span & np.uint64((1 << 22) - 1)).astype(np.int64)])
-            maybe = maybe[owner[maybe] == owner[maybe + places[-1]]]
-            lo, hi = np.searchsorted(keys, span[maybe], "left"), np.searchsorted(keys, span[maybe], "right")
-            n = hi - lo
-            where = np.repeat(maybe, n)
-            hits.append(np.column_stack([where, at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]]))
-        pairs = np.concatenate(hits) if hits else np.zeros((0, 2), np.int64)
-        if not len(pairs):
-            return {}
-        # Hits of one (document, item, diagonal) lie in the same comparison: one of each run is enough to find the stretch.
-        keys = np.column_stack([owner[pairs[:, 0]], self.owner[pairs[:, 1]], pairs[:, 0] - pairs[:, 1], pairs[:, 0]])
-        keys = keys[np.lexsort(keys.T[::-1])]
-        document_starts = np.searchsorted(owner, np.arange(owner[-1] + 2))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        done = (-1, -1, None, -1)
-        for doc, item, shift, pos in keys.tolist():
-            if done[:3] == (doc, item, shift) and pos < done[3]:
-                continue
-            lo = max(document_starts[doc], self.starts[item] + shift)
-            hi = min(document_starts[doc + 1], self.ends[item] + shift)
-            equal = words[lo:hi] == self.words[lo - shift : hi - shift]
-            if not equal[pos - lo]:  # a mere clash of hashes
-                continue
-            a, b = _overlap(equal, pos - lo, patience)
-            done = (doc, item, shift, lo + b)
-            found = (b - a, int(equal[a:b].sum()), _longest_run(equal[a:b]))
-            old = best.get((doc, item), (0, 0, 0))
-            best[doc, item] = (max(old, found)[0], max(old, found)[1], max(old[2], found[2]))
-        return best
-
-
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, masks: tuple[str, ...] = SEEDS, patience: int = 2, block_chars: int = 20_000_000) -> DataFrame:
+def _overlap(equal: np.ndarray, patience: int) -> tuple[int, int]:
+    """Length and equal words of the longest stretch with no more than ``patience`` unequal words in a row."""
+    at = np.flatnonzero(equal)
+    if not len(at):
+        return 0, 0
+    wide = np.flatnonzero(np.diff(at) > patience + 1)
+    first, last = np.concatenate([[0], wide + 1]), np.concatenate([wide, [len(at) - 1]])
+    length, words = at[last] - at[first] + 1, last - first + 1
+    best = np.lexsort((words, length))[-1]
+    return int(length[best]), int(words[best])
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, masks: tuple[str, ...] = SEEDS, patience: int = 2) -> DataFrame:
     """``(doc_id, item_id, overlap_words, equal_words, longest_run)`` for each document that meets an item's seed.
 
     ``overlap_words`` is the length of the longest overlap, with at most ``patience`` substituted words in a row;
     ``equal_words`` the equal ones in it; ``longest_run`` the most consecutive equal words of any overlap. Every passage of
-    at least twelve equal words is found, whatever its place. Items and texts of fewer words, null and empty ones match
-    nothing; a null id is kept as it is; repeated rows give repeated results. Texts are compared whole. Other columns
-    are ignored. The corpus is read once per block of items of ``block_chars`` characters, which is sent to
-    all tasks: 160 MB of words and seeds at most, and usually one block holds all items. No document is
-    shuffled, so a source with a third of all rows is no different from others.
+    at least twelve equal words is found, whatever its place. Items and texts of fewer words than a mask looks at, null and
+    empty ones match nothing; a null id is kept as it is; repeated rows give repeated results. Texts are compared whole.
+    Other columns are ignored.
+
+    The corpus is read once, whatever the size of the items, and no document is shuffled that meets no seed. Those that do are written
+    with their words; their hashes are joined with the items' by a shuffle (or by broadcast, where Catalyst finds the
+    written table of seeds small), so a phrase of very many documents is spread by their numbers after the join.
     """
-    it = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
-    total = it.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    if total > block_chars:
-        placed = running_totals(it.withColumn("n", F.length("text").cast("long")), [], ["item_id", "n"], "n", "upto")
-        numbered = placed.select("item_id", "text", F.floor((F.col("upto") - 1) / block_chars).alias("block"))
-        chunks = [numbered.where(F.col("block") == b).drop("block") for b in range(-(-total // block_chars))]
-    else:
-        chunks = [it]
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "leakage")
     dtype, itype = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    schema = f"doc_id {dtype}, item_id {itype}, overlap_words int, equal_words int, longest_run int"
+
+    def to_words(batches):
+        for batch in batches:
+            for block in blocks(enumerate(batch.column(1).to_pylist()), 1):
+                words, ends = word_hashes([t for _, t in block])
+                parts = np.split(words, ends[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block[0][0], len(block)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["item_id", "words"])
+
+    known = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
+    worded = scratch.cut(known.mapInArrow(to_words, f"item_id {itype}, words binary").withColumn("item_no", F.monotonically_increasing_id()))
+
+    def to_seeds(batches):
+        for batch in batches:
+            held = [np.frombuffer(b, np.uint64) for b in batch.column("words").to_pylist()]
+            words = np.concatenate([*held, np.zeros(0, np.uint64)])
+            ends = np.cumsum([len(h) for h in held]) if held else np.zeros(0, np.int64)
+            owner, starts = document_of(ends), np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            numbers = batch.column("item_no").to_numpy()
+            for at, hashes in _seeds(words, owner, masks):
+                yield pa.RecordBatch.from_arrays([_signed(hashes), pa.array(numbers[owner[at]]), pa.array((at - starts[owner[at]]).astype(np.int32))], names=["hash", "item_no", "item_at"])
+
+    seeds = scratch.cut(worded.mapInArrow(to_seeds, "hash long, item_no long, item_at int"))
+    sieve, size = _sieve(seeds, seeds.count())
+    sent = spark.sparkContext.broadcast(sieve)
+
+    def read(batches):
+        sieve = sent.value
+        for batch in batches:
+            for block in blocks(enumerate(batch.column(1).to_pylist()), 1):
+                words, ends = word_hashes([t for _, t in block])
+                owner, starts = document_of(ends), np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                found = [(at[kept], hashes[kept]) for at, hashes in _seeds(words, owner, masks) if len(kept := _pass(sieve, hashes, size))]
+                if not found:
+                    continue
+                at, hashes = (np.concatenate(x) for x in zip(*found))
+                order = np.argsort(owner[at], kind="stable")
+                at, hashes = at[order], hashes[order]
+                which, first = np.unique(owner[at], return_index=True)
+                offsets = pa.array(np.append(first, len(at)).astype(np.int32))
+                ids = batch.column(0).take(pa.array([block[i][0] for i in which]))
+                texts = pa.array([words[starts[i] : ends[i]].tobytes() for i in which], pa.binary())
+                local = pa.array((at - starts[owner[at]]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids, texts, pa.ListArray.from_arrays(offsets, _signed(hashes)), pa.ListArray.from_arrays(offsets, local)], names=["doc_id", "words", "hashes", "places"])
+
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
-    result = None
-    for chunk in chunks:
-        rows = chunk.collect()  # a block: bounded by block_chars
-        ids, texts = [r["item_id"] for r in rows], [r["text"] for r in rows]
-
-        def run(batches, ids=ids, texts=texts):
-            table = SeedTable(ids, texts, masks)
-            for batch in batches:
-                doc_ids = batch.column(0)
-                for block in blocks(enumerate(batch.column(1).to_pylist()), 1):
-                    words, ends = word_hashes([t for _, t in block])
-                    if not len(words):
-                        continue
-                    found = table.search(words, document_of(ends), patience)
-                    if not found:
-                        continue
-                    at = pa.array([block[d][0] for d, _ in found])
-                    values = np.array(list(found.values()), np.int32)
-                    items_ = pa.array([table.ids[i] for _, i in found], item_arrow)
-                    yield pa.RecordBatch.from_arrays([doc_ids.take(at), items_, *(pa.array(values[:, k]) for k in range(3))], names=["doc_id", "item_id", "overlap_words", "equal_words", "longest_run"])
-
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        item_arrow = to_arrow_type(items.schema[item_id].dataType)
-        part = slim.mapInArrow(run, schema)
-        result = part if result is None else result.unionByName(part)
-    return result
+    met = scratch.cut(slim.mapInArrow(read, f"doc_id {dtype}, words binary, hashes array<long>, places array<int>").withColumn("row", F.monotonically_increasing_id()))
+    hits = met.select("row", F.explode(F.arrays_zip("hashes", "places")).alias("h")).select("row", F.col("h.hashes").alias("hash"), F.col("h.places").alias("at"))
+    diagonals = hits.join(seeds, "hash").groupBy("row", "item_no", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count(F.lit(1)).alias("n_seeds"))
+    named = diagonals.join(worded.withColumnRenamed("words", "item_words"), "item_no").select("row", "item_no", "item_id", "item_words", "shift")
+    both = met.select("row", F.lit(0).alias("kind"), "doc_id", "words").unionByName(named.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    item_arrow, doc_arrow = to_arrow_type(items.schema[item_id].dataType), to_arrow_type(docs.schema[doc_id].dataType)
+
+    def compare(batches):
+        row, words, name = None, None, None
+        for batch in batches:
+            marks = batch.column("row").to_numpy()
+            kinds = batch.column("kind").to_numpy()
+            out: list[tuple] = []
+            for i in range(batch.num_rows):
+                if kinds[i] == 0:
+                    row, words, name = marks[i], np.frombuffer(batch.column("words")[i].as_py(), np.uint64), batch.column("doc_id")[i].as_py()
+                    continue
+                item, shift = np.frombuffer(batch.column("item_words")[i].as_py(), np.uint64), batch.column("shift")[i].as_py()
+                lo, hi = max(0, shift), min(len(words), len(item) + shift)
+                equal = words[lo:hi] == item[lo - shift : hi - shift]
+                length, n = _overlap(equal, patience)
+                out.append((row, name, batch.column("item_no")[i].as_py(), batch.column("item_id")[i].as_py(), length, n, _longest_run(equal)))
+            if out:
+                columns = list(zip(*out))
+                kinds_ = [pa.int64(), doc_arrow, pa.int64(), item_arrow, pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_)], names=["row", "doc_id", "item_no", "item_id", "overlap_words", "equal_words", "longest_run"])
+
+    ordered = both.repartition("row").sortWithinPartitions("row", "kind")
+    compared = ordered.mapInArrow(compare, f"row long, doc_id {dtype}, item_no long, item_id {itype}, overlap_words int, equal_words int, longest_run int")
+    # A seed's hash may clash; its diagonal then shows no run of words that would have met a mask.
+    best = compared.groupBy("row", "doc_id", "item_no", "item_id").agg(F.max(F.struct("overlap_words", "equal_words")).alias("b"), F.max("longest_run").alias("longest_run"))
+    return best.where(F.col("b.equal_words") >= min(m.count("1") for m in masks)).select("doc_id", "item_id", "b.overlap_words", "b.equal_words", "longest_run")

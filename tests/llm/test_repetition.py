@@ -75,27 +75,56 @@ def plain_model(texts):
     s1, r1 = level({(c,): n for c, n in uni.items()})
     s2, r2 = level(bi)
     s3, r3 = level(tri)
-    return lambda a, b, c: math.log(s3((a, b, c)) + r3((a, b)) * (s2((b, c)) + r2((b,)) * (s1((c,)) + r1(()) / (len(uni) + 1))))
+    bases = {g[:-1] for g in bi}, {g[:-1] for g in tri}
+
+    def log_p(a, b, c):
+        p = (s1((c,)) if c in uni else 0) + r1(()) / (len(uni) + 1)
+        if (b,) in bases[0]:
+            p = (s2((b, c)) if (b, c) in bi else 0) + r2((b,)) * p
+        if (a, b) in bases[1]:
+            p = (s3((a, b, c)) if (a, b, c) in tri else 0) + r3((a, b)) * p
+        return math.log(p)
+
+    return log_p
+
+
+def perplexity_of(w, log_p):
+    padded = ["", "", *w]
+    return math.exp(-sum(log_p(*g) for g in zip(padded, padded[1:], padded[2:])) / len(w))
 
 
 @pytest.mark.parametrize("limit", [10**6, 1])
 def test_perplexity_against_the_textbook(spark, limit):
     texts = corpus()
-    data = [(i, " ".join(w), "en" if i % 2 else "EN ") for i, w in enumerate(texts)] + [(900, None, None), (901, "", "en"), (902, "solo", None)]
-    df = frame(spark, data)
-    model = kneser_ney(count_trigrams(df.repartition(3), "text", "lang"))
-    got = {r.doc_id: r for r in perplexity(df, "doc_id", "text", "lang", model, broadcast_rows=limit).collect()}
+    data = [(i, " ".join(w), "en" if i % 2 else "EN ") for i, w in enumerate(texts)]
+    # Of these the model has seen nothing, some words, some pairs, and all but the order.
+    foreign = ["six words no one ever wrote".split(), [*texts[0][:5], "never", *texts[1][:4]], texts[2][::-1], ["w1", "never", "w2"], ["solo"]]
+    extra = [(800 + i, " ".join(w), "en") for i, w in enumerate(foreign)] + [(900, None, "en"), (901, "", "en"), (902, "of another language", "xx")]
+    model = kneser_ney(count_trigrams(frame(spark, data).repartition(3), "text", "lang"))
+    got = {r.doc_id: r for r in perplexity(frame(spark, data + extra), "doc_id", "text", "lang", model, broadcast_rows=limit).collect()}
     log_p = plain_model(texts)
-    for i, w in enumerate(texts):
-        padded = ["", "", *w]
-        want = math.exp(-sum(log_p(*g) for g in zip(padded, padded[1:], padded[2:])) / len(w))
-        assert got[i].perplexity == pytest.approx(want, rel=1e-4) and got[i].n_words == len(w)
-    assert got[900].perplexity is None and got[901].perplexity is None and got[902].n_words == 1
+    for i, w in [*enumerate(texts), *((800 + i, w) for i, w in enumerate(foreign))]:
+        assert got[i].perplexity == pytest.approx(perplexity_of(w, log_p), rel=1e-9) and got[i].n_words == len(w)
+    assert [(got[i].n_words, got[i].perplexity) for i in (900, 901, 902)] == [(0, None), (0, None), (3, None)]
 
 
-def test_probabilities_sum_to_one_at_most(spark):
-    model = kneser_ney(count_trigrams(frame(spark, [(i, " ".join(w), "en") for i, w in enumerate(corpus())]), "text", "lang"))
-    assert model.groupBy("w1", "w2").agg(F.sum(F.exp("log_p")).alias("s")).where("s > 1.000001").count() == 0
+def test_both_ways_of_scoring_take_every_row_for_itself(spark):
+    texts = ["one two three four", "one two three five six", "six six six", "", None, "two three four one two"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in zip((1, 1, None, None, 2, 3), texts)], "doc_id long, text string, lang string").coalesce(1)
+    model = kneser_ney(count_trigrams(docs, "text", "lang"))
+    sent, joined = ([tuple(r) for r in perplexity(docs, "doc_id", "text", "lang", model, n).collect()] for n in (6_000_000, 0))
+    key = lambda r: (r[2], r[3] or 0, r[0] or 0)
+    assert sorted(r[2] for r in sent) == [0, 0, 3, 4, 5, 5]
+    for a, b in zip(sorted(sent, key=key), sorted(joined, key=key), strict=True):
+        assert a[:3] == b[:3] and a[3] == (b[3] if b[3] is None else pytest.approx(b[3], rel=1e-12))
+
+
+def test_probabilities_sum_to_one(spark):
+    texts = corpus()
+    log_p = plain_model(texts)
+    words = {x for w in texts for x in w} | {"never"}
+    for a, b in [("", ""), ("", texts[0][0]), (texts[0][0], "never"), ("never", texts[0][0]), tuple(texts[3][:2]) if len(texts[3]) > 1 else ("", "")]:
+        assert sum(math.exp(log_p(a, b, c)) for c in words) == pytest.approx(1)
 
 
 def test_bands(spark):

@@ -66,16 +66,3 @@ def test_empty_files_and_least_radar_readings(spark, tmp_path):
     columns = ("file_id", "n_points", "n_rows", "n_enough", "n_dates", "cover_median", "cover_max", "n_complete")
     want = [(1, 2, 2, 1, 4, 2.0, 2, 3), (2, 2, 2, 2, 4, 2.0, 2, 4), (3, 1, 1, 0, 0, None, None, 0), (4, 0, 0, 0, 0, None, None, 0)]
     assert sorted(map(tuple, QUERIES["agg_20"](spark, str(tmp_path)).select(*columns).collect())) == want
-
-
-def test_both_ways_of_scoring_take_every_row_for_itself(spark):
-    from gridwake.llm import repetition
-
-    texts = ["one two three four", "one two three five six", "six six six", "", None, "two three four one two"]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in zip((1, 1, None, None, 2, 3), texts)], "doc_id long, text string, lang string").coalesce(1)
-    model = repetition.kneser_ney(repetition.count_trigrams(docs, "text", "lang"))
-    sent, joined = ([tuple(r) for r in repetition.perplexity(docs, "doc_id", "text", "lang", model, n).collect()] for n in (6_000_000, 0))
-    key = lambda r: (r[2], r[3] or 0, r[0] or 0)
-    assert sorted(r[2] for r in sent) == [0, 0, 3, 4, 5, 5]
-    for a, b in zip(sorted(sent, key=key), sorted(joined, key=key), strict=True):
-        assert a[:3] == b[:3] and a[3] == (b[3] if b[3] is None else pytest.approx(b[3], rel=1e-12))

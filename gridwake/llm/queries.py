@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwake.llm import components, leakage, packing, repetition
-from gridwake.operators import order_stats
+from gridwake.llm import components, leakage, packing, percentiles, repetition
 from gridwake.sources.tables import table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -83,12 +82,18 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _readings(spark: SparkSession, d: str) -> DataFrame:
-    """Usable readings as ``(batch_no, site, signal, label, v)``, each obs_id once."""
-    wanted = table(spark, d, "observations").where("obs_id IS NOT NULL").select("obs_id", "batch_no", region_of(F.col("point_id")).alias("id"), F.when((F.col("scl_purity") == 1) & F.col("NDVI").between(-1, 1), F.col("NDVI")).alias("ndvi"), F.when((F.col("vh") > 0) & ~F.isnan("vh"), F.col("vh")).alias("vh"))
-    once = wanted.where("(ndvi IS NOT NULL AND NOT isnan(ndvi)) OR vh IS NOT NULL").dropDuplicates(["obs_id"])
+    """Usable readings as ``(batch_no, site, signal, label, v)``, each obs_id once.
+
+    Regions are joined first, while that is a look-up; then a reading's latest delivery is kept by its number, which spreads evenly.
+    """
+    ndvi = F.when((F.col("scl_purity") == 1) & F.col("NDVI").between(-1, 1) & ~F.isnan("NDVI"), F.col("NDVI"))
+    vh = F.when((F.col("vh") > 0) & ~F.isnan("vh"), F.col("vh"))
+    wanted = table(spark, d, "observations").where("obs_id IS NOT NULL").select("obs_id", "batch_no", region_of(F.col("point_id")).alias("id"), ndvi.alias("ndvi"), vh.alias("vh"))
     regions = table(spark, d, "training_regions").where("id IS NOT NULL").groupBy("id").agg(F.min("label").alias("label")).withColumn("site", site_of(F.col("id")))
-    both = once.join(regions, "id").select("batch_no", "site", "label", F.explode(F.array(F.struct(F.lit("ndvi").alias("signal"), F.col("ndvi").alias("v")), F.struct(F.lit("s1_vh").alias("signal"), F.col("vh").alias("v")))).alias("r"))
-    return both.select("batch_no", "site", "r.signal", "label", "r.v")
+    placed = wanted.where("ndvi IS NOT NULL OR vh IS NOT NULL").join(regions, "id")
+    once = placed.groupBy("obs_id").agg(F.min(F.struct("batch_no", "site", "label", "ndvi", "vh")).alias("r")).select("r.*")
+    signals = F.array(F.struct(F.lit("ndvi").alias("signal"), F.col("ndvi").alias("v")), F.struct(F.lit("s1_vh").alias("signal"), F.col("vh").alias("v")))
+    return once.select("batch_no", "site", "label", F.explode(signals).alias("r")).select("batch_no", "site", "r.signal", "label", "r.v").where("v IS NOT NULL")
 
 
 BATCH, ALL = ["batch_no", "site", "signal", "label"], ["site", "signal", "label"]
@@ -97,14 +102,13 @@ QUARTERS = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Stated percentiles against the order statistics at the edges of the allowed ranks (4 % of the readings)."""
-    counts = order_stats.value_counts(_readings(spark, d), BATCH, "v")
     ranks = {}
     for name, percent in (("p25", 25), ("median", 50), ("p75", 75)):
         # More than f + 0.04 of the readings lie below v just if this one does, in whole numbers.
         ranks[f"below_{name}"] = lambda n, p=percent + 4: F.expr(f"(n_rows * {p}) DIV 100 + 1")
         # Fewer than f - 0.04 lie at or below v just if this one lies above it.
         ranks[f"above_{name}"] = lambda n, p=percent - 4: F.expr(f"(n_rows * {p} + 99) DIV 100")
-    found = order_stats.order_statistics(counts, BATCH, ranks)
+    found = percentiles.order_statistics(_readings(spark, d), BATCH, "v", ranks)
     stated = table(spark, d, "class_stats")
     wrong = None
     for name in QUARTERS:
@@ -119,13 +123,13 @@ def _rounded(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact quartiles per batch, site, signal and label."""
-    return _rounded(order_stats.percentiles(order_stats.value_counts(_readings(spark, d), BATCH, "v"), BATCH, QUARTERS), BATCH)
+    return _rounded(percentiles.percentiles(_readings(spark, d), BATCH, "v", QUARTERS), BATCH)
 
 
 def p4_combined(spark: SparkSession, d: str) -> DataFrame:
     """Exact quartiles per site, signal and label, combined from the summaries of the batches."""
-    batches = order_stats.value_counts(_readings(spark, d), BATCH, "v")
-    return _rounded(order_stats.percentiles(order_stats.value_counts(batches, ALL, "value", "n"), ALL, QUARTERS), ALL)
+    batches = percentiles.summary(_readings(spark, d), BATCH, "v")
+    return _rounded(percentiles.percentiles(percentiles.summary(batches, ALL, "value", "n"), ALL, "value", QUARTERS, "n"), ALL)
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwake.operators.order_stats import running_totals
+from gridwake.operators.order_stats import numbered, running_totals
 from gridwake.session import Scratch
 
 
@@ -36,14 +36,23 @@ def _leaves(live: DataFrame) -> DataFrame:
     return single.join(mutual, "to", "left").where(F.col("both").isNull() | (F.col("from") > F.col("to"))).select("from", "to")
 
 
+def _renamed(live: DataFrame, moves: DataFrame) -> DataFrame:
+    """Edges between the new names, each once as (smaller, larger), without loops."""
+    for end in ("u", "v"):
+        named = moves.select(F.col("from").alias(end), F.col("to").alias("new"))
+        live = live.join(named, end, "left").select(*[F.coalesce("new", end).alias(end) if c == end else F.col(c) for c in ("u", "v")])
+    return live.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, most_rounds: int = 200) -> DataFrame:
     """``(vertex, component)`` from undirected ``edges (a, b)``; isolated ones come from ``vertices (vertex)``.
 
-    Components are named by one of their vertices. First, vertices with a single neighbour collapse into it. Then, in
-    each round, every vertex throws a coin; a vertex with tails and a neighbour with heads collapses into its smallest
-    such neighbour. Edges are rewritten to the new names, loops and doubles vanish, and the rounds end when no edge
-    is left (a quarter of the vertices collapse per round on average). Each round's collapses are kept, and
-    unwinding them from the last to the first gives each vertex its component.
+    Components are whole numbers, the same for all vertices of one. Vertices are numbered first, by a distributed sort, and all
+    rounds work on the numbers. Vertices with a single neighbour collapse into it. Then, in each round, every vertex throws a
+    coin; a vertex with tails and a neighbour with heads collapses into its smallest such neighbour. Edges are rewritten to the
+    new names, loops and doubles vanish, and the rounds end when no edge is left (a quarter of the vertices collapse per
+    round on average). Each round writes its edges once; its collapses follow from the round before's edges and the coins, so
+    unwinding computes them again, from the last round to the first, and gives each vertex its component.
 
     Null ends make no edge; loops make a vertex; repeated edges count once; empty input gives an
     empty result. A vertex with a third of all edges (a hub) costs no more than the others: neighbours are chosen by a
@@ -54,34 +63,34 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, mo
     if vertices is not None:
         every = every.unionByName(vertices.select("vertex").where("vertex IS NOT NULL"))
     scratch = Scratch(edges.sparkSession, "components")
-    # One direction is enough: a pair is kept as (smaller, larger).
-    live = scratch.cut(both.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    named = scratch.cut(numbered(every.distinct(), [], ["vertex"], "id"))
+    lettered = both.where("u <> v").distinct()
+    for end in ("u", "v"):
+        lettered = lettered.join(named.select(F.col("vertex").alias(end), F.col("id").alias(f"{end}_id")), end)
+    live = scratch.cut(lettered.select(F.least("u_id", "v_id").alias("u"), F.greatest("u_id", "v_id").alias("v")).distinct())
     collapses: list[DataFrame] = []
     for round_ in range(-1, most_rounds):
         if live.isEmpty():
             break
-        moves = scratch.cut(_leaves(live) if round_ < 0 else _mates(live, round_))
+        moves = _leaves(live) if round_ < 0 else _mates(live, round_)
         collapses.append(moves)
-        for end in ("u", "v"):
-            named = moves.select(F.col("from").alias(end), F.col("to").alias("new"))
-            live = live.join(named, end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
-        live = scratch.cut(live.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        live = scratch.cut(_renamed(live, moves))
     else:
         raise RuntimeError(f"edges are left after {most_rounds} rounds")
     # Vertices collapsed in a round take the name that their target has at the end of all later rounds.
     settled: DataFrame | None = None
     for moves in reversed(collapses):
         if settled is None:
-            settled = scratch.cut(moves.select(F.col("from").alias("vertex"), F.col("to").alias("component")))
+            settled = scratch.cut(moves.select(F.col("from").alias("id"), F.col("to").alias("component")))
             continue
-        later = settled.select(F.col("vertex").alias("to"), "component")
-        now = moves.join(later, "to", "left").select(F.col("from").alias("vertex"), F.coalesce("component", "to").alias("component"))
+        later = settled.select(F.col("id").alias("to"), "component")
+        now = moves.join(later, "to", "left").select(F.col("from").alias("id"), F.coalesce("component", "to").alias("component"))
         settled = scratch.cut(settled.unionByName(now))
-    scratch.drop_all_but_last()
-    every = every.distinct()
     if settled is None:
-        return every.withColumn("component", F.col("vertex"))
-    return every.join(settled, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component"))
+        return named.select("vertex", F.col("id").alias("component"))
+    result = scratch.cut(named.join(settled, "id", "left").select("vertex", F.coalesce("component", "id").alias("component")))
+    scratch.drop_all_but_last()
+    return result
 
 
 def split_groups(groups: DataFrame, group: str, weight: str, shares: dict[str, float], seed: int = 42, heavy: float = 0.05) -> DataFrame:

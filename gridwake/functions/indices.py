@@ -105,7 +105,7 @@ def doy_encoding(doy: Column, k: int = 1) -> tuple[Column, Column]:
     return F.when(doy == 0, 0.0).otherwise(F.sin(angle)), F.when(doy == 0, 0.0).otherwise(F.cos(angle))
 
 
-def shift_doy(doy: Column, days: int) -> Column:
+def shift_doy(doy: Column, days: int | Column) -> Column:
     return F.least(F.greatest(F.pmod(doy - 1 + days, F.lit(365)) + 1, F.lit(1)), F.lit(365))
 
 
@@ -160,14 +160,31 @@ def li_sparse(sun: Column, view: Column, azimuth: Column) -> Column:
 def brdf_factor(band: str, sun: Column, view: Column, azimuth: Column) -> Column:
     """Reflectance under the standard geometry (sun 45 degrees, nadir) over that under the given one, 0.5 .. 2.
 
-    Angles in degrees. A modelled reflectance under 1e-6 is replaced by 1.
+    Angles in degrees. A modelled reflectance under 1e-6 is replaced by 1; an unknown angle gives null.
     """
     iso, geo, vol = BRDF[band]
     sun, view, azimuth = F.radians(sun), F.radians(view), F.radians(azimuth)
     model = lambda s, v, a: iso + vol * ross_thick(s, v, a) + geo * li_sparse(s, v, a)
     target = model(F.lit(math.radians(45.0)), F.lit(0.0), F.lit(0.0))
     seen = model(sun, view, azimuth)
-    return _limit(target / F.when(seen < 1e-6, 1.0).otherwise(seen), 0.5, 2.0)
+    return clamp(target / F.when(seen < 1e-6, 1.0).otherwise(seen), 0.5, 2.0)
+
+
+def brdf_sql(band: str) -> str:
+    """``brdf_factor`` as a DuckDB expression over columns s, v and a, the angles in radians; written out on its own."""
+    iso, geo, vol = BRDF[band]
+
+    def kernels(s: str, v: str, a: str) -> str:
+        cos_xi = f"least(greatest(cos({s}) * cos({v}) + sin({s}) * sin({v}) * cos({a}), -1), 1)"
+        ross = f"((pi() / 2 - acos({cos_xi})) * {cos_xi} + sin(acos({cos_xi}))) / (cos({s}) + cos({v})) - pi() / 4"
+        sec = f"(1 / cos({s}) + 1 / cos({v}))"
+        cos_t = f"least(greatest(2 * sqrt(greatest(tan({s}) ** 2 + tan({v}) ** 2 - 2 * tan({s}) * tan({v}) * cos({a}) + (tan({s}) * tan({v}) * sin({a})) ** 2, 0)) / {sec}, -1), 1)"
+        over = f"greatest((acos({cos_t}) - sin(acos({cos_t})) * {cos_t}) * {sec} / pi(), 0)"
+        return f"({iso} + {vol} * ({ross}) + {geo} * ({over} - {sec} + 0.5 * (1 + {cos_xi}) * ({sec} - {over})))"
+
+    seen = kernels("s", "v", "a")
+    target = kernels("radians(45.0::DOUBLE)", "0.0::DOUBLE", "0.0::DOUBLE")
+    return f"CASE WHEN s IS NOT NULL AND v IS NOT NULL AND a IS NOT NULL THEN least(greatest({target} / CASE WHEN {seen} < 1e-6 THEN 1 ELSE {seen} END, 0.5), 2) END"
 
 
 # The stops of the red-yellow-green score colours, from low to high.

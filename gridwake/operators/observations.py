@@ -89,12 +89,24 @@ def contaminated_dates(df: DataFrame, months: Sequence[int] = (1, 2, 3, 4, 5), b
     return df.where(F.col("month").isin(*months)).groupBy("date").agg(F.avg("index").alias("mean_index")).where(F.col("mean_index") < below)
 
 
-def every_nth_point(points: DataFrame, n: int) -> DataFrame:
-    """Every n-th of the distinct points in the order of latitude and longitude, by a distributed numbering."""
+def every_nth_point(points: DataFrame, n: int, exempt: Column | None = None) -> DataFrame:
+    """Every n-th of the distinct points in the order of latitude and longitude, by a distributed numbering; exempt ones all stay."""
     from gridwake.operators.order_stats import numbered
 
-    placed = numbered(points.select("point_id", "lon", "lat"), [], ["lat", "lon", "point_id"], "_place")
-    return placed.where((F.col("_place") - 1) % n == 0).select("point_id", "lon", "lat")
+    slim = points.select("point_id", "lon", "lat")
+    counted = slim if exempt is None else slim.where(~F.coalesce(exempt, F.lit(False)))
+    placed = numbered(counted, [], ["lat", "lon", "point_id"], "_place").where((F.col("_place") - 1) % n == 0).select("point_id", "lon", "lat")
+    return placed if exempt is None else placed.unionByName(slim.where(exempt))
+
+
+def pin_years(df: DataFrame, points: DataFrame, regions: DataFrame) -> DataFrame:
+    """Rows of ``df`` but those whose point lies in a region's box and whose year is outside the region's first to last year."""
+    from gridwake.operators.proximity import locate_in_boxes
+
+    boxes = regions.select(F.struct(F.array_min("years").alias("lo"), F.array_max("years").alias("hi"), "id").alias("bid"), *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("x_lo", "y_lo", "x_hi", "y_hi"))])
+    held = locate_in_boxes(points.select(F.col("point_id").alias("pid"), F.col("lon").alias("x"), F.col("lat").alias("y")), boxes)
+    years = held.groupBy(F.col("pid").alias("point_id")).agg(F.max("bid.lo").alias("_lo"), F.min("bid.hi").alias("_hi"))
+    return df.join(years, "point_id", "left").where(~F.coalesce((F.col("year") < F.col("_lo")) | (F.col("year") > F.col("_hi")), F.lit(False))).drop("_lo", "_hi")
 
 
 def best_per_day(df: DataFrame) -> DataFrame:
@@ -126,9 +138,17 @@ def merged(*frames: DataFrame) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+STORAGE_ORDER = ("_y", "point_id", "date", "_impure")
+
+
+def with_storage_order(df: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``STORAGE_ORDER``: northing, and a number that puts the purest first and unknown purity last."""
+    return df.withColumns({"_y": ids.northing(F.col("point_id")), "_impure": F.coalesce(-F.col("scl_purity"), F.lit(1))})
+
+
 def by_northing(df: DataFrame) -> DataFrame:
     """Spread by northing and sorted within each part, ready to be written so that scans prune well."""
-    return df.withColumn("_y", ids.northing(F.col("point_id"))).repartitionByRange("_y", "point_id").sortWithinPartitions("_y", "point_id", "date", F.desc("scl_purity")).drop("_y")
+    return with_storage_order(df).repartitionByRange("_y", "point_id").sortWithinPartitions(*STORAGE_ORDER).drop("_y", "_impure")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -144,10 +164,3 @@ def label_by_box(points: DataFrame, regions: DataFrame) -> DataFrame:
     held = locate_in_boxes(points.select(F.col("point_id").alias("pid"), F.col("lon").alias("x"), F.col("lat").alias("y")), boxes)
     labels = held.groupBy("pid").agg(F.max_by("bid.label", "bid.ordinal").alias("label"))
     return points.join(labels.withColumnRenamed("pid", "point_id"), "point_id", "left")
-
-
-def in_polygon(lon: Column, lat: Column, ring: Sequence[tuple[float, float]]) -> Column:
-    """Even-odd rule over the ring's edges; a bounded number of terms, all inside one generated expression."""
-    edges = F.array(*[F.struct(F.lit(a[0]).alias("x1"), F.lit(a[1]).alias("y1"), F.lit(b[0]).alias("x2"), F.lit(b[1]).alias("y2")) for a, b in zip(ring, [*ring[1:], ring[0]])])
-    crossed = F.filter(edges, lambda e: ((e.y1 > lat) != (e.y2 > lat)) & (lon < (e.x2 - e.x1) * (lat - e.y1) / F.nullif(e.y2 - e.y1, F.lit(0.0)) + e.x1))
-    return F.size(crossed) % 2 == 1

@@ -60,7 +60,8 @@ def harmonise(df: DataFrame, bands: Sequence[str], low: float = 0.85, high: floa
     """Correction factors ``(tile_id, band, year, scale_factor)`` that fit each tile to the one with most rows.
 
     Tiles are compared where they saw the same 10 m cell on the same day; the factor is one over the median ratio to the reference
-    tile, within limits. A single tile, or no common cells, gives an empty table.
+    tile, within limits. Ratios are limited to 0.5 .. 2, well beyond those limits, and taken to five decimals, so that a median's
+    state is the counts of 150,001 values at most. A single tile, or no common cells, gives an empty table.
     """
     cells = df.where("tile_id IS NOT NULL").select("tile_id", "year", "date", F.round(F.col("lon") * 10_000).alias("cx"), F.round(F.col("lat") * 10_000).alias("cy"), *bands)
     # One row: the tile with most rows, the first in the alphabet if several.
@@ -69,7 +70,7 @@ def harmonise(df: DataFrame, bands: Sequence[str], low: float = 0.85, high: floa
     mine = tall.groupBy("tile_id", "year", "date", "cx", "cy", "band").agg(F.avg("v").alias("v"))
     ours = mine.join(F.broadcast(reference), F.col("tile_id") == F.col("ref"), "left_semi").select("year", "date", "cx", "cy", "band", F.col("v").alias("rv"))
     others = mine.join(F.broadcast(reference), F.col("tile_id") == F.col("ref"), "left_anti")
-    ratios = others.join(ours, ["year", "date", "cx", "cy", "band"]).withColumn("ratio", F.col("v") / F.col("rv"))
+    ratios = others.join(ours, ["year", "date", "cx", "cy", "band"]).withColumn("ratio", F.round(indices.clamp(F.col("v") / F.col("rv"), 0.5, 2.0) + 1e-9, 5))
     return ratios.groupBy("tile_id", "band", "year").agg(F.median("ratio").alias("m")).where("m > 0").select("tile_id", "band", "year", F.least(F.greatest(1 / F.col("m"), F.lit(low)), F.lit(high)).alias("scale_factor"))
 
 

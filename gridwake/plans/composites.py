@@ -9,10 +9,10 @@ from gridwake.operators import checks
 from gridwake.operators import observations as ob
 from gridwake.operators import scoring
 from gridwake.operators import windows as wi
-from gridwake.plans.base import BOX, GOOD, obs, with_obs, table
-from gridwake.plans.evaluations import _EVALUATED, _FEATURES, _HARM, _WAVE, _WEIGHTS, _evaluation_sql, _signal_sql, evaluate, features, ml_15, signal_windows
+from gridwake.plans.base import BANDS, BOX, GOOD, obs, with_obs, table
+from gridwake.plans.evaluations import _EVALUATED, _FEATURES, _HARM, _WAVE, _WEIGHTS, _WIDE_FACTORS, _evaluation_sql, _signal_sql, evaluate, features, ml_15, signal_windows
 from gridwake.plans.registry import Registry
-from gridwake.plans.scans import _POINTS, points, scratch
+from gridwake.plans.scans import _POINTS, COVER_SQL, COVERED, covered_name, points, scratch
 from gridwake.plans.statistics import _SEEN, _SERIES_SQL, _YEARS, reduced, series
 from gridwake.sources import readers
 from gridwake.streaming import ingest
@@ -92,11 +92,12 @@ def qry_09(spark, d):
     return evaluate(signal_windows(spark, d), ["signal", "site"])
 
 
-@R.add("qry_10", with_obs(_HARM) + "SELECT o.tile_id, o.year, count(*) AS n, round(avg(B08 * coalesce(scale_factor, 1)), 4) AS nir FROM obs o LEFT JOIN (SELECT * FROM co WHERE band = 'B08') c USING (tile_id, year) WHERE B08 IS NOT NULL AND o.tile_id IS NOT NULL GROUP BY ALL")
+@R.add("qry_10", with_obs(_HARM, _WIDE_FACTORS) + "SELECT o.tile_id, o.year, count(*) AS n, " + ", ".join(f"round(avg({b} * coalesce(f_{b}, 1)), 4) AS {b}" for b in BANDS) + " FROM obs o LEFT JOIN wd USING (tile_id, year) WHERE o.tile_id IS NOT NULL GROUP BY ALL")
 def qry_10(spark, d):
-    df = obs(spark, d).where("B08 IS NOT NULL")
-    fitted = scoring.apply_corrections(df, scoring.harmonise(obs(spark, d), ["B04", "B08"]), ["B08"])
-    return fitted.where("tile_id IS NOT NULL").groupBy("tile_id", "year").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("B08"), 4).alias("nir"))
+    """Tiles harmonised: mean of each band per tile and year after the corrections."""
+    df = obs(spark, d)
+    fitted = scoring.apply_corrections(df, scoring.harmonise(df, BANDS), BANDS)
+    return fitted.where("tile_id IS NOT NULL").groupBy("tile_id", "year").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(b), 4).alias(b) for b in BANDS])
 
 
 @R.add("qry_11")
@@ -144,18 +145,21 @@ def verdict(cover, years):
 
 def _verdict_sql() -> str:
     fails, flags = [], ["coalesce(iqr_max > 0.12, false)"]
-    for name, (low, high) in zip(_MEASURES, EXPECTED["presence"]):
-        fails.append(f"coalesce({name} NOT BETWEEN {low} AND {high}, false)")
-        flags.append(f"coalesce({name} BETWEEN {low} AND {high} AND (({name} - {low}) / ({high} - {low}) < 0.1 OR ({high} - {name}) / ({high} - {low}) < 0.1), false)")
-    return f"CASE WHEN wet_peak IS NULL AND dry_floor IS NULL THEN 'none' WHEN {' OR '.join(fails)} THEN 'fail' WHEN {' OR '.join(flags)} THEN 'flag' ELSE 'pass' END"
+    for kind, ranges in EXPECTED.items():
+        for name, (low, high) in zip(_MEASURES, ranges):
+            fails.append(f"(cover = '{kind}' AND coalesce({name} NOT BETWEEN {low} AND {high}, false))")
+            flags.append(f"(cover = '{kind}' AND coalesce({name} BETWEEN {low} AND {high} AND (({name} - {low}) / ({high} - {low}) < 0.1 OR ({high} - {name}) / ({high} - {low}) < 0.1), false))")
+    water = "CASE WHEN wet_peak IS NULL THEN 'none' WHEN wet_peak >= 0.1 OR coalesce(dry_floor >= 0.1, false) THEN 'fail' WHEN wet_peak >= 0 THEN 'flag' ELSE 'pass' END"
+    return f"CASE WHEN cover = 'water' THEN {water} WHEN wet_peak IS NULL AND dry_floor IS NULL THEN 'none' WHEN {' OR '.join(fails)} THEN 'fail' WHEN {' OR '.join(flags)} THEN 'flag' ELSE 'pass' END"
 
 
-_AUDIT = with_obs(_YEARS, "yd AS (SELECT *, round(wet_peak - dry_floor, 6) AS delta FROM ys)")
+_AUDIT = with_obs(_YEARS, f"yd AS (SELECT *, {COVER_SQL} AS cover FROM (SELECT *, round(wet_peak - dry_floor, 6) AS delta, {COVERED} AS name FROM ys))")
 
 
 def audited(spark, d):
+    """Verdicts per region and year; regions are named after all cover types in turn, so that every range is met."""
     years = reduced(obs(spark, d)).withColumn("delta", F.round(F.col("wet_peak") - F.col("dry_floor"), 6))
-    return verdict(ids.cover_type(F.col("region_id")), years)
+    return verdict(ids.cover_type(covered_name(F.col("region_id"))), years)
 
 
 R.add("fn_26", _AUDIT + f"SELECT region_id, year, {_verdict_sql()} AS verdict FROM yd")(lambda spark, d: audited(spark, d).select("region_id", "year", "verdict"))

@@ -11,6 +11,7 @@ from gridwake.operators import observations as ob
 from gridwake.operators import scoring
 from gridwake.operators import windows as wi
 from gridwake.plans.base import BANDS, BOX, GOOD, obs, with_obs, table
+from gridwake.plans.formulas import unit, unit_sql
 from gridwake.plans.registry import Registry
 from gridwake.plans.statistics import _CHUNK_SQL, _CURVE, TIE, _REGION_QA, _SITE_AUC, _WAVE, chunk_quality, labelled_scores, rounded, site_auc
 
@@ -228,13 +229,25 @@ def ml_13(spark, d):
     return gated.select(*wi.WINDOW, r6("score", "score"))
 
 
-@R.add("ml_14")
+_AUGMENTED = {"drop": 0.1, "noise": 0.02, "jitter": 3, "shift": 10, "gate": 8}
+
+
+@R.add("ml_14", with_obs("a AS (SELECT *, floor(" + unit_sql("obs_id", repr("jitter")) + " * 7)::INT - 3 AS jitter, floor(" + unit_sql("point_id", "year", repr("shift")) + " * 21)::INT - 10 AS shift, (" + unit_sql("point_id", "year", repr("noise")) + " - 0.5) * 0.02 AS noise FROM obs WHERE " + GOOD + " AND " + unit_sql("obs_id", repr("drop")) + " >= 0.1)")
+       + "SELECT obs_id, least(greatest(((doy - 1 + shift + jitter + 365) % 365) + 1, 1), 365)::INT AS doy, round(B08 / 10000.0::DOUBLE + noise, 6) AS B08, round(B04 / 10000.0::DOUBLE + noise, 6) AS B04, row_number() OVER (PARTITION BY point_id, year ORDER BY " + unit_sql("obs_id", repr("gate")) + ", obs_id) <= 8 AS in_gate FROM a")
 def ml_14(spark, d):
-    """Seeded augmentation: a tenth of the rows dropped, days shifted and bands offset per window."""
-    unit = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1_000_000)) / 1_000_000.0
-    df = ob.optical(obs(spark, d)).where(unit("obs_id", F.lit(1)) >= 0.1)
-    shift = F.floor(unit("point_id", "year", F.lit(2)) * 21).cast("int") - 10
-    return df.select("obs_id", indices.shift_doy(F.col("doy"), 0).alias("plain_doy"), (F.pmod(F.col("doy") - 1 + shift, F.lit(365)) + 1).alias("doy"), F.round(indices.reflectance("B08") + (unit("point_id", "year", F.lit(3)) - 0.5) * 0.02, 6).alias("B08"))
+    """Seeded augmentation of the training rows.
+
+    A tenth of the rows is dropped; days move by a phase per window and a jitter per row; bands get an offset per window; and eight
+    random rows of each window make the gate's short view.
+    """
+    from pyspark.sql import Window
+
+    df = ob.optical(obs(spark, d)).where(unit("obs_id", F.lit("drop")) >= _AUGMENTED["drop"])
+    between = lambda u, most: F.floor(u * (2 * most + 1)).cast("int") - most
+    shift, jitter = between(unit("point_id", "year", F.lit("shift")), _AUGMENTED["shift"]), between(unit("obs_id", F.lit("jitter")), _AUGMENTED["jitter"])
+    noise = (unit("point_id", "year", F.lit("noise")) - 0.5) * _AUGMENTED["noise"]
+    view = F.row_number().over(Window.partitionBy(*wi.WINDOW).orderBy(unit("obs_id", F.lit("gate")), "obs_id")) <= _AUGMENTED["gate"]
+    return df.select("obs_id", indices.shift_doy(F.col("doy"), shift + jitter).alias("doy"), *[F.round(indices.reflectance(b) + noise, 6).alias(b) for b in ("B08", "B04")], view.alias("in_gate"))
 
 
 _VECTOR = with_obs(_WAVE, "wf AS (SELECT point_id, round(max(peak), 6) AS peak_value, round(avg(long), 6) AS spike_duration, count(*) AS years_detected FROM pk GROUP BY 1 HAVING count(*) >= 2)", "mq AS (SELECT point_id, round(coalesce(avg(scl_purity * (aot / 100.0::DOUBLE)), 0), 6) AS mean_quality FROM obs GROUP BY 1)")
@@ -275,21 +288,22 @@ def ml_18(spark, d):
     return scoring.dry_heuristic(obs(spark, d), -16.0).select("point_id", r6("vh_dry", "vh_dry"), "score")
 
 
-_HARM = """cl AS (SELECT tile_id, year, date, round(lon * 10000) AS cx, round(lat * 10000) AS cy, B04, B08 FROM obs WHERE tile_id IS NOT NULL),
+_HARM = f"""cl AS (SELECT tile_id, year, date, round(lon * 10000) AS cx, round(lat * 10000) AS cy, {', '.join(BANDS)} FROM obs WHERE tile_id IS NOT NULL),
  rf AS (SELECT tile_id AS ref FROM cl GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
- ta AS (SELECT tile_id, year, date, cx, cy, band, avg(v)::DOUBLE AS v FROM (SELECT * FROM cl UNPIVOT (v FOR band IN (B04, B08))) WHERE v > 0 GROUP BY ALL),
- co AS (SELECT a.tile_id, a.band, a.year, least(greatest(1 / median(a.v / b.v), 0.85), 1.15) AS scale_factor FROM ta a JOIN ta b USING (year, date, cx, cy, band) WHERE a.tile_id != (SELECT ref FROM rf) AND b.tile_id = (SELECT ref FROM rf) GROUP BY ALL)"""
+ ta AS (SELECT tile_id, year, date, cx, cy, band, avg(v)::DOUBLE AS v FROM (SELECT * FROM cl UNPIVOT (v FOR band IN ({', '.join(BANDS)}))) WHERE v > 0 GROUP BY ALL),
+ co AS (SELECT a.tile_id, a.band, a.year, least(greatest(1 / median(round(least(greatest(a.v / b.v, 0.5), 2) + 1e-9, 5)), 0.85), 1.15) AS scale_factor FROM ta a JOIN ta b USING (year, date, cx, cy, band) WHERE a.tile_id != (SELECT ref FROM rf) AND b.tile_id = (SELECT ref FROM rf) GROUP BY ALL)"""
+_WIDE_FACTORS = "wd AS (SELECT tile_id, year, " + ", ".join(f"max(scale_factor) FILTER (band = '{b}') AS f_{b}" for b in BANDS) + " FROM co GROUP BY ALL)"
 
 
 @R.add("ml_20", with_obs(_HARM) + "SELECT tile_id, band, year, round(scale_factor, 6) AS scale_factor FROM co")
 def ml_20(spark, d):
-    return scoring.harmonise(obs(spark, d), ["B04", "B08"]).select("tile_id", "band", "year", r6("scale_factor", "scale_factor"))
+    return scoring.harmonise(obs(spark, d), BANDS).select("tile_id", "band", "year", r6("scale_factor", "scale_factor"))
 
 
-@R.add("join_11", with_obs(_HARM, "wd AS (SELECT tile_id, year, max(scale_factor) FILTER (band = 'B04') AS f4, max(scale_factor) FILTER (band = 'B08') AS f8 FROM co GROUP BY ALL)") + "SELECT obs_id, round(B04 * coalesce(f4, 1), 4) AS B04, round(B08 * coalesce(f8, 1), 4) AS B08 FROM obs LEFT JOIN wd USING (tile_id, year)")
+@R.add("join_11", with_obs(_HARM, _WIDE_FACTORS) + "SELECT obs_id, " + ", ".join(f"round({b} * coalesce(f_{b}, 1), 4) AS {b}" for b in BANDS) + " FROM obs LEFT JOIN wd USING (tile_id, year)")
 def join_11(spark, d):
     df = obs(spark, d)
-    return scoring.apply_corrections(df, scoring.harmonise(df, ["B04", "B08"]), ["B04", "B08"]).select("obs_id", F.round("B04", 4).alias("B04"), F.round("B08", 4).alias("B08"))
+    return scoring.apply_corrections(df, scoring.harmonise(df, BANDS), BANDS).select("obs_id", *[F.round(b, 4).alias(b) for b in BANDS])
 
 
 # ---- data quality -----------------------------------------------------------------------------------------------------

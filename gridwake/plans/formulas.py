@@ -57,25 +57,10 @@ def fn_17(spark, d):
     return obs(spark, d).where("source = 'S2'").select("obs_id", r6(indices.aerosol_quality(F.col("aot")), "aot_q"), r6(indices.zenith_quality(F.col("view_zenith")), "zenith_q"))
 
 
-def _brdf_sql(band: str) -> str:
-    iso, geo, vol = indices.BRDF[band]
-
-    def kernels(s: str, v: str, a: str) -> str:
-        cos_xi = f"least(greatest(cos({s}) * cos({v}) + sin({s}) * sin({v}) * cos({a}), -1), 1)"
-        ross = f"((pi() / 2 - acos({cos_xi})) * {cos_xi} + sin(acos({cos_xi}))) / (cos({s}) + cos({v})) - pi() / 4"
-        sec = f"(1 / cos({s}) + 1 / cos({v}))"
-        cos_t = f"least(greatest(2 * sqrt(greatest(tan({s}) ** 2 + tan({v}) ** 2 - 2 * tan({s}) * tan({v}) * cos({a}) + (tan({s}) * tan({v}) * sin({a})) ** 2, 0)) / {sec}, -1), 1)"
-        over = f"greatest((acos({cos_t}) - sin(acos({cos_t})) * {cos_t}) * {sec} / pi(), 0)"
-        return f"({iso} + {vol} * ({ross}) + {geo} * ({over} - {sec} + 0.5 * (1 + {cos_xi}) * ({sec} - {over})))"
-
-    seen = kernels("s", "v", "a")
-    return f"round(least(greatest({kernels('radians(45.0::DOUBLE)', '0.0::DOUBLE', '0.0::DOUBLE')} / CASE WHEN {seen} < 1e-6 THEN 1 ELSE {seen} END, 0.5), 2), 6)"
-
-
-@R.add("fn_18", with_obs("g AS (SELECT obs_id, radians(sun_zenith * 0.6) AS s, radians(view_zenith * 0.1) AS v, radians((doy * 7 % 180)::DOUBLE) AS a FROM obs WHERE source = 'S2')") + "SELECT obs_id, " + ", ".join(f"{_brdf_sql(b)} AS c_{b}" for b in ("B04", "B08")) + " FROM g")
+@R.add("fn_18", with_obs("g AS (SELECT obs_id, radians(sun_zenith * 0.6) AS s, radians(view_zenith * 0.1) AS v, radians((doy * 7 % 180)::DOUBLE) AS a FROM obs WHERE source = 'S2')") + "SELECT obs_id, " + ", ".join(f"round({indices.brdf_sql(b)}, 6) AS c_{b}" for b in BANDS) + " FROM g")
 def fn_18(spark, d):
     sun, view, azimuth = F.col("sun_zenith") * 0.6, F.col("view_zenith") * 0.1, (F.col("doy") * 7 % 180).cast("double")
-    return obs(spark, d).where("source = 'S2'").select("obs_id", *[r6(indices.brdf_factor(b, sun, view, azimuth), f"c_{b}") for b in ("B04", "B08")])
+    return obs(spark, d).where("source = 'S2'").select("obs_id", *[r6(indices.brdf_factor(b, sun, view, azimuth), f"c_{b}") for b in BANDS])
 
 
 _GRID = "an AS (SELECT i, j, (i * 3 + j * j % 11)::DOUBLE AS angle FROM range(23) a(i), range(23) b(j))"
@@ -331,14 +316,24 @@ def fn_65(spark, d):
     return table(spark, d, "observations").where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select("obs_id")
 
 
-@R.add("fn_66")
+#: A number in [0, 1) from a text, the same in every engine: the first 32 bits of its MD5.
+def unit(*parts):
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def unit_sql(*parts):
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+@R.add("fn_66", f"SELECT region_id, point_id, round((u - 0.5) * 0.02, 9) AS noise FROM (SELECT *, {unit_sql('point_id', repr('noise'))} AS u, row_number() OVER (PARTITION BY region_id ORDER BY {unit_sql('point_id', repr('42'))}, point_id) AS k FROM (SELECT DISTINCT region_id, point_id FROM observations)) WHERE k <= 3")
 def fn_66(spark, d):
-    """A seeded sample of three points per region: a sampling operator, so its limit is the feature."""
+    """A seeded sample of three points per region, with seeded noise: a sampling operator, so its limit is the feature."""
     from pyspark.sql import Window
 
     points = table(spark, d, "observations").select("region_id", "point_id").distinct()
-    order = Window.partitionBy("region_id").orderBy(F.xxhash64("point_id", F.lit(42)), "point_id")
-    return points.withColumn("k", F.row_number().over(order)).where("k <= 3").drop("k")
+    order = Window.partitionBy("region_id").orderBy(unit("point_id", F.lit("42")), "point_id")
+    chosen = points.withColumn("k", F.row_number().over(order)).where("k <= 3").drop("k")
+    return chosen.withColumn("noise", F.round((unit("point_id", F.lit("noise")) - 0.5) * 0.02, 9))
 
 
 # ---- spatial ------------------------------------------------------------------------------------------------------------

@@ -182,11 +182,18 @@ def snk_06(spark, d):
     return back.select("region_id", F.size("s").cast("long").alias("n_dates"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x.n).alias("n_obs"))
 
 
-@R.add("snk_09", "SELECT (regexp_extract(point_id, '_([0-9]+)_([0-9]+)$', 2)::BIGINT * 65536 + regexp_extract(point_id, '_([0-9]+)_([0-9]+)$', 1)::BIGINT) AS key, round(avg(least(greatest((vh - 0.002) / (0.040 - 0.002), 0), 1)), 6) AS val FROM (SELECT point_id, vh::DOUBLE AS vh FROM observations WHERE vh IS NOT NULL AND NOT isnan(vh)) GROUP BY ALL")
+_GRID_KEY = "(split_part(point_id, '_', -1)::BIGINT * 65536 + split_part(point_id, '_', -2)::BIGINT)"
+_LIMITS = {"vh": (0.002, 0.040), "vv": (0.014, 0.151)}
+
+
+@R.add("snk_09", with_obs() + "SELECT *, row_number() OVER (PARTITION BY band ORDER BY key) AS place FROM (" + " UNION ALL ".join(f"SELECT '{b}' AS band, {_GRID_KEY} AS key, round(avg(least(greatest(({b} - {lo}) / ({hi} - {lo}), 0), 1)), 6) AS val FROM obs WHERE {b} IS NOT NULL GROUP BY ALL" for b, (lo, hi) in _LIMITS.items()) + ")")
 def snk_09(spark, d):
-    seen = obs(spark, d).where("vh IS NOT NULL")
+    """A sorted grid of keys and normalised values for each radar band; the place shows the order it is stored in."""
     key = ids.northing(F.col("point_id")).cast("long") * 65536 + ids.easting(F.col("point_id"))
-    return seen.groupBy(key.alias("key")).agg(F.round(F.avg(indices.min_max(F.col("vh"), 0.002, 0.040)), 6).alias("val")).orderBy("key")
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), indices.min_max(F.col(b), lo, hi).alias("v")) for b, (lo, hi) in _LIMITS.items()])
+    tall = obs(spark, d).select(key.alias("key"), F.explode(bands).alias("e")).where("e.v IS NOT NULL")
+    grid = tall.groupBy("e.band", "key").agg(F.round(F.avg("e.v"), 6).alias("val"))
+    return placed(grid, ["key"], "key", "val", groups=["band"])
 
 
 @R.add("snk_10")
@@ -198,12 +205,18 @@ def snk_10(spark, d):
     return spark.read.parquet(path)
 
 
-@R.add("snk_08", with_obs() + f"""SELECT tx, ty, count(*) AS n_cells, max(v) AS best FROM (
-  SELECT floor((lon + 180) / 360 * 4096)::INT AS tx, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 4096)::INT AS ty, point_id, round(max(i_ndvi), 6) AS v FROM obs WHERE {GOOD} GROUP BY ALL) GROUP BY ALL""")
+_PYRAMID = """cells AS (SELECT point_id, any_value(lon) AS lon, any_value(lat) AS lat, round(max(i_ndvi), 6) AS v FROM (SELECT point_id, min(lon) OVER (PARTITION BY point_id) AS lon, min(lat) OVER (PARTITION BY point_id) AS lat, i_ndvi FROM obs WHERE """ + GOOD + """) GROUP BY 1),
+ px AS (SELECT z, v, floor((lon + 180) / 360 * 2.0 ** z * 256)::BIGINT AS px, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 2.0 ** z * 256)::BIGINT AS py FROM cells, range(8, 17) r(z))"""
+
+
+@R.add("snk_08", with_obs(_PYRAMID) + "SELECT z::INT AS z, px // 256 AS tx, py // 256 AS ty, count(DISTINCT (px, py)) AS n_pixels, max(v) AS best, count(*) AS n_cells FROM px GROUP BY ALL")
 def snk_08(spark, d):
-    x, y = geodesy.slippy(F.col("lon"), F.col("lat"), 12)
-    cells = ob.optical(obs(spark, d)).groupBy(x.alias("tx"), y.alias("ty"), "point_id").agg(F.round(F.max("i_ndvi"), 6).alias("v"))
-    return cells.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n_cells"), F.max("v").alias("best"))
+    """The pyramid of map tiles, zoom 8 to 16: per tile its pixels of 256 x 256 that hold a value, and the highest."""
+    cells = ob.optical(obs(spark, d)).groupBy("point_id").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"), F.round(F.max("i_ndvi"), 6).alias("v"))
+    levels = F.array(*[F.struct(F.lit(z).alias("z"), *[c.cast("long").alias(n) for n, c in zip(("px", "py"), geodesy.slippy(F.col("lon"), F.col("lat"), z + 8))]) for z in range(8, 17)])
+    pixels = cells.select("v", F.explode(levels).alias("e")).groupBy("e.z", "e.px", "e.py").agg(F.max("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    tile = lambda c: F.floor(F.col(c) / 256)
+    return pixels.groupBy("z", tile("px").alias("tx"), tile("py").alias("ty")).agg(F.count(F.lit(1)).alias("n_pixels"), F.max("v").alias("best"), F.sum("n").alias("n_cells"))
 
 
 @R.add("snk_07")
@@ -224,12 +237,13 @@ def prj_02(spark, d):
     return table(spark, d, "observations").select("obs_id", indices.to_storage(F.col("NDVI").cast("double")).alias("stored"))
 
 
-@R.add("prj_03", "SELECT point_id, lon::FLOAT AS lon, lat::FLOAT AS lat, NULL::DATE AS date, label::VARCHAR AS source FROM science_points")
-def prj_03(spark, d):
-    from pyspark.sql import types as T
+_STORED = {"string": "VARCHAR", "float": "FLOAT", "date": "DATE", "int": "INTEGER", "tinyint": "TINYINT", "smallint": "SMALLINT"}
+
 
-    schema = T.StructType([T.StructField("point_id", T.StringType()), T.StructField("lon", T.FloatType()), T.StructField("lat", T.FloatType()), T.StructField("date", T.DateType()), T.StructField("source", T.StringType())])
-    return ob.conform(table(spark, d, "science_points").withColumnRenamed("label", "source"), schema)
+@R.add("prj_03", "SELECT " + ", ".join(f"{f.name if f.name in ('point_id', 'lon', 'lat') else 'NULL'}::{_STORED[f.dataType.simpleString()]} AS {f.name}" for f in ob.SCHEMA) + " FROM science_points")
+def prj_03(spark, d):
+    """Another table brought into the canonical 25 columns: missing ones null, others cast, the rest dropped."""
+    return ob.conform(table(spark, d, "science_points"))
 
 
 @R.add("prj_04", "SELECT point_id, lon, lat, label::TINYINT AS label FROM science_points")
@@ -276,9 +290,20 @@ def prj_11(spark, d):
     return table(spark, d, "observations").select("obs_id", ids.tile_or_item(F.col("tile_id"), F.col("item_id")).alias("tile"))
 
 
-@R.add("prj_12", with_obs() + "SELECT region_id, any_value(label) AS label, 'presence' AS cover FROM obs GROUP BY region_id")
+#: Regions carry no cover words, so these queries name them after the cover types in turn, by the length of the id.
+COVERED = "region_id || ['', '_mangrove_1', '_bare_2', '_riparian_3', '_water_4'][length(region_id) % 5 + 1]"
+COVER_SQL = "CASE WHEN contains(name, '_mangrove') THEN 'mangrove' WHEN contains(name, '_bare') THEN 'bare' WHEN contains(name, '_riparian') THEN 'riparian' WHEN contains(name, '_water') THEN 'water' ELSE 'presence' END"
+
+
+def covered_name(region_id):
+    words = F.array(*[F.lit(w) for w in ("", "_mangrove_1", "_bare_2", "_riparian_3", "_water_4")])
+    return F.concat(region_id, F.get(words, F.length(region_id) % 5))
+
+
+@R.add("prj_12", with_obs(f"n AS (SELECT region_id, any_value(label) AS label, any_value({COVERED}) AS name FROM obs GROUP BY region_id)") + f"SELECT region_id, label, {COVER_SQL} AS cover FROM n")
 def prj_12(spark, d):
-    return obs(spark, d).groupBy("region_id").agg(F.min("label").alias("label")).withColumn("cover", ids.cover_type(F.col("region_id")))
+    regions_ = obs(spark, d).groupBy("region_id").agg(F.min("label").alias("label"))
+    return regions_.withColumn("cover", ids.cover_type(covered_name(F.col("region_id"))))
 
 
 @R.add("prj_13", with_obs() + "SELECT CASE WHEN month BETWEEN 4 AND 9 THEN 'dry' ELSE 'wet' END AS season, count(*) AS n FROM obs GROUP BY ALL")
@@ -286,10 +311,22 @@ def prj_13(spark, d):
     return obs(spark, d).groupBy(F.when(F.col("month").between(4, 9), "dry").otherwise("wet").alias("season")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("prj_14", "SELECT id, coalesce(list_filter(tags, lambda t: NOT contains(lower(t), 'crew'))[1], label) AS tag_class FROM training_regions")
+# Tags that tell nothing apart.
+COMMON_TAGS = ("arid", "semi-arid", "monsoonal", "riparian", "savanna", "gps_surveyed")
+_POINTS = "pts AS (SELECT point_id, min(lon) AS lon, min(lat) AS lat FROM obs GROUP BY point_id)"
+
+
+def tag_class(label, tags):
+    """The label, followed by the first tag that tells regions apart."""
+    first = F.get(F.filter(tags, lambda t: ~t.isin(*COMMON_TAGS)), F.lit(0))
+    return F.concat(label, F.coalesce(F.concat(F.lit("/"), first), F.lit("")))
+
+
+@R.add("prj_14", with_obs(_POINTS, "tc AS (SELECT id, bbox, label || coalesce('/' || list_filter(tags, lambda t: t NOT IN (" + ", ".join(f"'{t}'" for t in COMMON_TAGS) + "))[1], '') AS tag_class FROM training_regions)") + "SELECT point_id, max_by(tag_class, id) AS tag_class FROM pts JOIN tc ON lon BETWEEN bbox[1] AND bbox[3] AND lat BETWEEN bbox[2] AND bbox[4] GROUP BY point_id")
 def prj_14(spark, d):
-    plain = F.filter("tags", lambda t: ~F.lower(t).contains("crew"))
-    return table(spark, d, "training_regions").select("id", F.coalesce(F.get(plain, F.lit(0)), "label").alias("tag_class"))
+    """Each point's class by the last region whose box holds it; points outside all are left out."""
+    named = regions(spark, d).withColumn("label", tag_class(F.col("label"), F.col("tags")))
+    return ob.label_by_box(points(spark, d), named).where("label IS NOT NULL").select("point_id", F.col("label").alias("tag_class"))
 
 
 @R.add("prj_15", with_obs(_SCORES) + "SELECT point_id, round_even(least(greatest(score, 0), 1) * 100, 0)::INT AS prob FROM scores")
@@ -324,10 +361,13 @@ def flt_11(spark, d):
     return table(spark, d, "observations").withColumn("_region", ids.region(F.col("point_id"))).join(wanted, "_region", "left_semi").select("obs_id")
 
 
-@R.add("flt_12", with_obs() + "SELECT o.obs_id FROM obs o JOIN training_regions t ON o.region_id = t.id WHERE year BETWEEN list_min(years) AND list_max(years)")
+@R.add("flt_12", with_obs(_POINTS, "pn AS (SELECT point_id, max(list_min(years)) AS lo, min(list_max(years)) AS hi FROM pts JOIN training_regions ON lon BETWEEN bbox[1] AND bbox[3] AND lat BETWEEN bbox[2] AND bbox[4] GROUP BY 1)") + "SELECT obs_id FROM obs LEFT JOIN pn USING (point_id) WHERE NOT coalesce(year < lo OR year > hi, false)")
 def flt_12(spark, d):
-    years = table(spark, d, "training_regions").select(F.col("id").alias("region_id"), F.array_min("years").alias("lo"), F.array_max("years").alias("hi"))
-    return obs(spark, d).join(years, "region_id").where(F.col("year").between(F.col("lo"), F.col("hi"))).select("obs_id")
+    """Without rows that lie in a region's box outside its years; rows outside all boxes stay.
+
+    Points are located once; of overlapping regions the latest beginning and the earliest end decide.
+    """
+    return ob.pin_years(obs(spark, d), points(spark, d), regions(spark, d)).select("obs_id")
 
 
 _N2, _N1 = "count(*) FILTER (source = 'S2')", "count(*) FILTER (source = 'S1')"
@@ -363,16 +403,17 @@ def flt_17(spark, d):
     return table(spark, d, "training_regions").where(geodesy.overlaps(tuple(F.get("bbox", F.lit(i)) for i in range(4)), tuple(F.lit(x) for x in BOX))).select("id")
 
 
-_POINTS = "pts AS (SELECT point_id, min(lon) AS lon, min(lat) AS lat FROM obs GROUP BY point_id)"
-
-
 def points(spark, d):
     return obs(spark, d).groupBy("point_id").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"))
 
 
-@R.add("flt_18", with_obs(_POINTS) + "SELECT point_id FROM (SELECT *, row_number() OVER (ORDER BY lat, lon, point_id) AS n FROM pts) WHERE (n - 1) % 5 = 0")
+EXEMPT = ("luninya_spur", "quoribo_bend")
+
+
+@R.add("flt_18", with_obs(_POINTS, "k AS (SELECT *, regexp_replace(regexp_extract(point_id, '^(.+?)_(presence|absence)', 1), '_val$', '') IN ('luninya_spur', 'quoribo_bend') AS exempt FROM pts)") + "SELECT point_id FROM (SELECT *, row_number() OVER (ORDER BY lat, lon, point_id) AS n FROM k WHERE NOT exempt) WHERE (n - 1) % 5 = 0 UNION ALL SELECT point_id FROM k WHERE exempt")
 def flt_18(spark, d):
-    return ob.every_nth_point(points(spark, d), 5).select("point_id")
+    """Every fifth point from south to north; points of exempt sites all stay."""
+    return ob.every_nth_point(points(spark, d), 5, exempt=ids.site(F.col("point_id")).isin(*EXEMPT)).select("point_id")
 
 
 # ---- joins ----------------------------------------------------------------------------------------------------
@@ -410,11 +451,15 @@ def join_04(spark, d):
     return df.select("point_id", "year").distinct().join(df.groupBy("point_id").agg(F.min("label").alias("label")), "point_id").select("point_id", "year", "label")
 
 
-@R.add("join_05", "SELECT point_id, 1 AS shards FROM observations GROUP BY 1")
+@R.add("join_05", "WITH m AS (SELECT point_id, ((row_number() OVER (ORDER BY point_id) - 1) % 16)::INT AS shard FROM (SELECT DISTINCT point_id FROM observations)) SELECT shard, count(*) AS n_rows, count(DISTINCT point_id) AS n_points, min(point_id) AS first FROM observations JOIN m USING (point_id) GROUP BY 1")
 def join_05(spark, d):
-    """Rows routed to shards by point: one shuffle, and the shard each point went to."""
-    routed = obs(spark, d).select("point_id").repartition(16, "point_id").withColumn("shard", F.spark_partition_id())
-    return routed.groupBy("point_id").agg(F.countDistinct("shard").alias("shards"))
+    """Rows routed to shards by a shard map of the points, and what each shard then holds."""
+    from gridwake.operators.order_stats import numbered
+
+    rows = table(spark, d, "observations").select("obs_id", "point_id")
+    shards = numbered(rows.select("point_id").distinct(), [], ["point_id"], "_n").select("point_id", ((F.col("_n") - 1) % 16).cast("int").alias("shard"))
+    per_point = rows.join(shards, "point_id", "left").groupBy("shard", "point_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_point.groupBy("shard").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_points"), F.min("point_id").alias("first"))
 
 
 @R.add("join_06", with_obs("s AS (SELECT obs_id, loaded_at, quantile_cont(vh, 0.5) OVER (PARTITION BY point_id ORDER BY date, obs_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM obs WHERE source = 'S1')") + "SELECT o.obs_id, round(coalesce(s.smooth, o.vh), 8) AS vh FROM (SELECT * FROM obs WHERE source = 'S1') o LEFT JOIN s USING (obs_id, loaded_at)")
@@ -482,12 +527,17 @@ def join_15(spark, d):
     return ob.label_by_box(points(spark, d), regions(spark, d)).select("point_id", "label")
 
 
-RING = [(138.0, -24.0), (146.5, -23.0), (145.0, -14.0), (141.0, -18.0)]
-
-
-@R.add("join_16", with_obs(_POINTS, "e AS (SELECT * FROM (VALUES (138.0, -24.0, 146.5, -23.0), (146.5, -23.0, 145.0, -14.0), (145.0, -14.0, 141.0, -18.0), (141.0, -18.0, 138.0, -24.0)) t(x1, y1, x2, y2))") + "SELECT point_id FROM pts JOIN e ON ((y1 > lat) != (y2 > lat)) AND lon < (x2 - x1)::DOUBLE * (lat - y1) / nullif((y2 - y1)::DOUBLE, 0) + x1 GROUP BY point_id HAVING count(*) % 2 = 1")
+@R.add("join_16", with_obs(_POINTS) + "SELECT point_id, id FROM pts JOIN training_regions ON lon BETWEEN bbox[1] AND bbox[3] AND abs(lon - (bbox[1] + bbox[3]) / 2) / ((bbox[3] - bbox[1]) / 2) + abs(lat - (bbox[2] + bbox[4]) / 2) / ((bbox[4] - bbox[2]) / 2) <= 1")
 def join_16(spark, d):
-    return points(spark, d).where(ob.in_polygon(F.col("lon"), F.col("lat"), RING)).select("point_id")
+    """Points in a table of polygons: here each region's diamond, whose corners are the middles of its box's sides."""
+    from gridwake.operators.proximity import locate_in_polygons
+
+    w, s, e, n = (F.get("bbox", F.lit(i)) for i in range(4))
+    x, y = (w + e) / 2, (s + n) / 2
+    ring = F.array(F.array(w, y), F.array(x, s), F.array(e, y), F.array(x, n))
+    polygons = table(spark, d, "training_regions").select(F.col("id").alias("bid"), F.array(ring).alias("rings"))
+    found = locate_in_polygons(points(spark, d).select(F.col("point_id").alias("pid"), F.col("lon").alias("x"), F.col("lat").alias("y")), polygons)
+    return found.select(F.col("pid").alias("point_id"), F.col("bid").alias("id"))
 
 
 @R.add("join_17", with_obs(_POINTS) + "SELECT o.obs_id, o.date FROM obs o JOIN (SELECT point_id FROM pts ORDER BY (lon - 142.0) ** 2 + (lat + 18.0) ** 2, point_id LIMIT 1) USING (point_id)")
@@ -495,9 +545,12 @@ def join_17(spark, d):
     return readers.at_nearest(obs(spark, d), points(spark, d), 142.0, -18.0).select("obs_id", "date")
 
 
-@R.add("join_18", "SELECT obs_id FROM observations ANTI JOIN science_points USING (point_id)")
+@R.add("join_18", "SELECT sample_id, point_id IN (SELECT point_id FROM science_points) AS included FROM tam_samples")
 def join_18(spark, d):
-    return table(spark, d, "observations").join(table(spark, d, "science_points"), "point_id", "left_anti").select("obs_id")
+    """Samples whose point is in a set of ids, and those whose point is not."""
+    samples, wanted = table(spark, d, "tam_samples").select("sample_id", "point_id"), table(spark, d, "science_points").select("point_id")
+    sides = [readers.restrict(samples, **{side: wanted}).select("sample_id", F.lit(side == "include").alias("included")) for side in ("include", "exclude")]
+    return ob.merged(*sides)
 
 
 @R.add("join_19", with_obs("st AS (SELECT point_id, avg(i_ndvi) AS m, stddev_samp(i_ndvi) AS s FROM obs WHERE " + GOOD + " AND year <= 2016 GROUP BY 1)") + f"SELECT obs_id, round((i_ndvi - coalesce(m, 0)) / coalesce(s, 1), 4) AS z FROM obs LEFT JOIN st USING (point_id) WHERE {GOOD}")
@@ -517,35 +570,58 @@ def join_20(spark, d):
 # ---- order, sets, merges -----------------------------------------------------------------------------------------
 
 
-@R.add("srt_01", "SELECT obs_id, regexp_extract(point_id, '_([0-9]+)$', 1)::INT AS northing FROM observations")
+def placed(df, order, *keep, groups=()):
+    """The columns ``keep`` and each row's place in the order, so that the order itself can be compared."""
+    from gridwake.operators.order_stats import numbered
+
+    return numbered(df, list(groups), order, "place").select(*keep, *groups, "place")
+
+
+_NORTHING = "coalesce(try_cast(split_part(point_id, '_', -1) AS INT), 0)"
+_SORTED = "coalesce(-scl_purity, 1), obs_id"
+
+
+@R.add("srt_01", f"SELECT obs_id, row_number() OVER (ORDER BY {_NORTHING}, point_id, date, {_SORTED}) AS place FROM observations")
 def srt_01(spark, d):
-    df = ob.by_northing(table(spark, d, "observations").select("obs_id", "point_id", "date", "scl_purity"))
-    return df.select("obs_id", ids.northing(F.col("point_id")).alias("northing"))
+    """The order in which observations are stored: northing, point, date, purest first."""
+    df = table(spark, d, "observations").select("obs_id", "point_id", "date", "scl_purity")
+    return placed(ob.with_storage_order(df), [*ob.STORAGE_ORDER, "obs_id"], "obs_id")
 
 
-@R.add("srt_02", "SELECT obs_id, point_id, date FROM observations")
+@R.add("srt_02", f"SELECT obs_id, row_number() OVER (ORDER BY {_NORTHING}, date, point_id, obs_id) AS place, vh IS NOT NULL AS has_vh, scl_purity IS NOT NULL AS has_purity FROM (SELECT obs_id, point_id, date, NULL AS scl_purity, vh FROM observations WHERE source = 'S1' UNION ALL SELECT obs_id, point_id, date, scl_purity, NULL FROM observations WHERE source IS DISTINCT FROM 'S1')")
 def srt_02(spark, d):
-    df = table(spark, d, "observations").select("obs_id", "point_id", "date", "scl_purity", "vh")
-    return ob.by_northing(ob.merged(df.where("source = 'S1'").drop("scl_purity"), df.where("source IS DISTINCT FROM 'S1'").drop("vh"))).select("obs_id", "point_id", "date")
+    """Two tables of different columns merged in the order of northing and date."""
+    df = table(spark, d, "observations").select("obs_id", "point_id", "date", "scl_purity", "vh", "source")
+    both = ob.merged(df.where("source = 'S1'").drop("scl_purity"), df.where("source IS DISTINCT FROM 'S1'").drop("vh"))
+    both = both.withColumn("_y", ids.northing(F.col("point_id"))).withColumns({"has_vh": F.col("vh").isNotNull(), "has_purity": F.col("scl_purity").isNotNull()})
+    return placed(both, ["_y", "date", "point_id", "obs_id"], "obs_id", "has_vh", "has_purity")
 
 
-@R.add("srt_03", "SELECT obs_id, coalesce(source, 'S2') AS source FROM observations")
+@R.add("srt_03", f"SELECT obs_id, coalesce(source, 'S2') AS source, row_number() OVER (ORDER BY {_NORTHING}, point_id, date, coalesce(source, 'S2'), obs_id) AS place FROM observations")
 def srt_03(spark, d):
+    """Optical and radar tables merged, tagged with their source, in the order of northing, point and date."""
     df = table(spark, d, "observations")
     s2 = df.where("source IS DISTINCT FROM 'S1'").select("obs_id", "point_id", "date", F.lit("S2").alias("source"))
-    return ob.merged(s2, df.where("source = 'S1'").select("obs_id", "point_id", "date", F.lit("S1").alias("source"))).select("obs_id", "source")
+    both = ob.merged(s2, df.where("source = 'S1'").select("obs_id", "point_id", "date", F.lit("S1").alias("source")))
+    return placed(both.withColumn("_y", ids.northing(F.col("point_id"))), ["_y", "point_id", "date", "source", "obs_id"], "obs_id", "source")
 
 
-@R.add("srt_04", "SELECT (regexp_extract(point_id, '_([0-9]+)$', 1)::INT // 64)::BIGINT AS band, count(DISTINCT point_id) AS n_points, count(*) AS n FROM observations GROUP BY 1")
+@R.add("srt_04", f"SELECT obs_id, ({_NORTHING} // 64)::BIGINT AS band, row_number() OVER (PARTITION BY {_NORTHING} // 64 ORDER BY point_id, date, {_SORTED}) AS place, n_points FROM observations JOIN (SELECT {_NORTHING} // 64 AS b, count(DISTINCT point_id) AS n_points FROM observations GROUP BY 1) ON b = {_NORTHING} // 64")
 def srt_04(spark, d):
-    band = F.floor(ids.northing(F.col("point_id")) / 64).alias("band")
-    return table(spark, d, "observations").groupBy(band).agg(F.countDistinct("point_id").alias("n_points"), F.count(F.lit(1)).alias("n"))
+    """Scenes merged within bands of 64 rows, in the order of point, date and purity, with each band's number of points."""
+    df = table(spark, d, "observations").select("obs_id", "point_id", "date", "scl_purity").withColumn("band", F.floor(ids.northing(F.col("point_id")) / 64))
+    sizes = df.groupBy("band").agg(F.countDistinct("point_id").alias("n_points"))
+    ordered = placed(ob.with_storage_order(df), ["point_id", "date", "_impure", "obs_id"], "obs_id", groups=["band"])
+    return ordered.join(sizes, "band").select("obs_id", "band", "place", "n_points")
 
 
-@R.add("srt_05", "SELECT file_id, point_id, date, source, value FROM chunk_rows")
+@R.add("srt_05", "SELECT file_id, point_id, date, source, value, row_number() OVER (ORDER BY file_id % 2, file_id, point_id, date NULLS FIRST, source NULLS FIRST, value NULLS FIRST) AS place FROM chunk_rows")
 def srt_05(spark, d):
+    """Two strips one after the other, each in its own order."""
     rows = table(spark, d, "chunk_rows")
-    return ob.merged(rows.where("file_id % 2 = 0"), rows.where("file_id % 2 = 1")).sort("file_id", "point_id", "date")
+    strips = [rows.where(f"file_id % 2 = {k}").withColumn("_strip", F.lit(k)) for k in (0, 1)]
+    columns = ["file_id", "point_id", "date", "source", "value"]
+    return placed(ob.merged(*strips), ["_strip", *columns], *columns)
 
 
 @R.add("srt_06", "SELECT file_id, row_number() OVER (ORDER BY chunk_row NULLS FIRST, chunk_col NULLS FIRST, file_id)::INT AS place FROM chunk_reports")
@@ -583,10 +659,12 @@ def set_03(spark, d):
     return table(spark, d, "observations").select("point_id", F.year("date").alias("year")).distinct()
 
 
-@R.add("set_04", "(SELECT DISTINCT date FROM observations WHERE source = 'S1' EXCEPT SELECT DISTINCT date FROM observations WHERE source = 'S2')")
+@R.add("set_04", "WITH a AS (SELECT DISTINCT date FROM observations WHERE source = 'S1'), b AS (SELECT DISTINCT date FROM observations WHERE source = 'S2') SELECT 'difference' AS kind, date FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'intersection', date FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'union', date FROM (SELECT * FROM a UNION SELECT * FROM b)")
 def set_04(spark, d):
-    df = table(spark, d, "observations")
-    return df.where("source = 'S1'").select("date").distinct().join(df.where("source = 'S2'").select("date").distinct(), "date", "left_anti")
+    """Dates that radar alone saw, that both saw, and that either saw, from one aggregation."""
+    seen = table(spark, d, "observations").where("source IN ('S1', 'S2')").groupBy("date").agg(F.max(F.col("source") == "S1").alias("a"), F.max(F.col("source") == "S2").alias("b"))
+    kinds = F.array(F.when(F.col("a") & ~F.col("b"), "difference"), F.when(F.col("a") & F.col("b"), "intersection"), F.lit("union"))
+    return seen.select(F.explode(F.array_compact(kinds)).alias("kind"), "date")
 
 
 @R.add("set_05", "SELECT point_id, date, count(*) AS n FROM observations GROUP BY ALL HAVING count(*) > 1", repeated=True)
@@ -612,17 +690,49 @@ def srt_09(spark, d):
 # ---- extraction ----------------------------------------------------------------------------------------------------
 
 
-@R.add("ext_01", with_obs() + "SELECT item_id, round(avg(CASE WHEN scl IN (4, 5, 6, 11) THEN 1.0 ELSE 0.0 END), 6) AS purity, count(*) AS n FROM obs WHERE item_id IS NOT NULL AND scl IS NOT NULL GROUP BY item_id HAVING count(*) FILTER (scl IN (4, 5, 6, 11)) > 0")
+_CHIP_BANDS = ("B04", "B08", "B11")
+
+
+@R.add("ext_01", with_obs("ch AS (SELECT item_id, region_id, avg(CASE WHEN scl IN (4, 5, 6, 11) THEN 1.0 ELSE 0.0 END) AS purity, avg(least(greatest(1 - aot * 0.001::DOUBLE, 0), 1)) AS aot, avg(greatest(0, 1 - view_zenith / 90.0::DOUBLE)) AS view, "
+       + ", ".join(f"min_by({b}, struct_pack(p := point_id, o := obs_id)) FILTER ({b} IS NOT NULL) AS {b}" for b in _CHIP_BANDS) + ", count(*) AS n FROM obs WHERE source = 'S2' AND item_id IS NOT NULL AND scl IS NOT NULL GROUP BY ALL)")
+       + "SELECT item_id, region_id, n, round(purity, 6) AS purity, round(coalesce(aot, 1), 6) AS aot, round(coalesce(view, 1), 6) AS view, " + ", ".join(f"{b} / 10000.0::DOUBLE AS {b}" for b in _CHIP_BANDS) + " FROM ch WHERE purity > 0 AND (" + " OR ".join(f"{b} IS NOT NULL" for b in _CHIP_BANDS) + ")")
 def ext_01(spark, d):
+    """Chips (a scene over a region) as observations: purity, qualities with default 1, and bands of the chip's first point as a map.
+
+    A chip without scene classes or without a clear pixel is dropped; bands that are not there are left out of the map, and a chip
+    with none is dropped.
+    """
     clear = F.col("scl").isin(*indices.CLEAR_SCENE_CLASSES)
-    scenes = obs(spark, d).where("item_id IS NOT NULL AND scl IS NOT NULL").groupBy("item_id").agg(r6(F.avg(F.when(clear, 1.0).otherwise(0.0)), "purity"), F.count(F.lit(1)).alias("n"))
-    return scenes.where("purity > 0")
+    rows = obs(spark, d).where("source = 'S2' AND item_id IS NOT NULL AND scl IS NOT NULL")
+    first = lambda b: F.min(F.when(F.col(b).isNotNull(), F.struct("point_id", "obs_id", b)))[b]
+    chips = rows.groupBy("item_id", "region_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(clear, 1.0).otherwise(0.0)).alias("purity"), F.avg(indices.clamp(1.0 - F.col("aot") * 0.001, 0.0, 1.0)).alias("aot"), F.avg(F.when(F.col("view_zenith").isNotNull(), indices.zenith_quality(F.col("view_zenith")))).alias("view"), *[first(b).alias(b) for b in _CHIP_BANDS])
+    bands = F.map_filter(F.create_map(*[x for b in _CHIP_BANDS for x in (F.lit(b), F.col(b) / 10_000.0)]), lambda _, v: v.isNotNull())
+    seen = chips.where("purity > 0").withColumn("bands", bands).where(F.size("bands") > 0)
+    one = lambda c: F.round(F.coalesce(c, F.lit(1.0)), 6).alias(c)
+    return seen.select("item_id", "region_id", "n", r6("purity"), one("aot"), one("view"), *[F.try_element_at("bands", F.lit(b)).alias(b) for b in _CHIP_BANDS])
+
+
+_ANGLES = "radians(sun_zenith * 0.6) AS s, radians(view_zenith * 0.1) AS v, radians((doy * 7 % 180)::DOUBLE) AS a"
 
 
-@R.add("ext_02", with_obs() + "SELECT obs_id, scl IN (4, 5, 6, 11) AS clear, round(1 - least(aot * 0.001::DOUBLE, 1.0), 6) AS aot_quality, round(B08 / 10000.0::DOUBLE, 6) AS nir FROM obs WHERE source = 'S2' AND NOT (" + " AND ".join(f"{b} IS NULL" for b in BANDS) + ")")
+@R.add("ext_02", with_obs("cl AS (SELECT *, (" + " OR ".join(f"{b} IS NOT NULL" for b in BANDS) + f") AS has_value, {_ANGLES} FROM obs WHERE source = 'S2' AND scl IN (4, 5, 6, 11))", "sc AS (SELECT item_id FROM cl GROUP BY 1 HAVING bool_or(has_value))")
+       + "SELECT obs_id, 1 AS scl_purity, round_even(least(greatest(1 - aot * 0.001::DOUBLE, 0), 1) * 100, 0)::INT AS aot, round_even(coalesce(greatest(0, 1 - sun_zenith * 0.6 / 90.0::DOUBLE), 1) * 100, 0)::INT AS sun_zenith, round_even(coalesce(greatest(0, 1 - view_zenith * 0.1 / 90.0::DOUBLE), 1) * 100, 0)::INT AS view_zenith, "
+       + ", ".join(f"round(CASE WHEN {b} IS NOT NULL THEN least(greatest({b} / 10000.0::DOUBLE * coalesce({indices.brdf_sql(b)}, 1), 0), 1) END, 6) AS {b}" for b in BANDS) + " FROM cl WHERE item_id IN (SELECT item_id FROM sc) OR item_id IS NULL")
 def ext_02(spark, d):
-    seen = obs(spark, d).where("source = 'S2'").dropna(how="all", subset=BANDS)
-    return seen.select("obs_id", F.col("scl").isin(*indices.CLEAR_SCENE_CLASSES).alias("clear"), r6(indices.aerosol_quality(F.col("aot")), "aot_quality"), r6(indices.reflectance("B08"), "nir"))
+    """A scene's clear pixels, corrected to the standard geometry; a scene without any value in its clear pixels is dropped whole.
+
+    The reflectance times the correction is limited to 0 .. 1; where the factor is unknown the value stays. Angles follow from the
+    table's own columns by a rule, as it has no angle grids.
+    """
+    df = obs(spark, d).where((F.col("source") == "S2") & F.col("scl").isin(*indices.CLEAR_SCENE_CLASSES))
+    some = F.coalesce(*BANDS).isNotNull()
+    scenes = df.groupBy("item_id").agg(F.max(some).alias("some")).where("some OR item_id IS NULL").select("item_id")
+    kept = df.alias("d").join(scenes.alias("s"), F.col("d.item_id").eqNullSafe(F.col("s.item_id")), "left_semi")
+    sun, view, azimuth = F.col("sun_zenith") * 0.6, F.col("view_zenith") * 0.1, (F.col("doy") * 7 % 180).cast("double")
+    whole = lambda c: F.bround(c * 100, 0).cast("int")
+    corrected = [F.round(indices.clamp(indices.reflectance(b) * F.coalesce(indices.brdf_factor(b, sun, view, azimuth), F.lit(1.0)), 0.0, 1.0), 6).alias(b) for b in BANDS]
+    zenith = lambda c: F.coalesce(F.when(c.isNotNull(), indices.zenith_quality(c)), F.lit(1.0))
+    return kept.select("obs_id", F.lit(1).alias("scl_purity"), whole(indices.clamp(1.0 - F.col("aot") * 0.001, 0.0, 1.0)).alias("aot"), whole(zenith(sun)).alias("sun_zenith"), whole(zenith(view)).alias("view_zenith"), *corrected)
 
 
 @R.add("ext_03", with_obs() + "SELECT obs_id, nullif(vh, 0) AS vh, nullif(vv, 0) AS vv, 'S1' AS source FROM obs WHERE source = 'S1' AND (nullif(vh, 0) IS NOT NULL OR nullif(vv, 0) IS NOT NULL)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,12 +91,20 @@ def ensure_sorted(df: DataFrame, path: str) -> bool:
     return True
 
 
-def covered(scores: DataFrame, coords: DataFrame, key: str, worst: float) -> DataFrame:
-    """Scores with their coordinates; fails if more than ``worst`` of them have none."""
+def covered(scores: DataFrame, coords: DataFrame, key: str, worst: float = 0.05, doubtful: float = 0.001) -> DataFrame:
+    """Scores with their coordinates.
+
+    Fails if no score has any, or more than ``worst`` of them have none, and warns beyond ``doubtful``; no scores at all are no fault.
+    """
     joined = scores.join(coords, key, "left")
-    missing = joined.agg(F.avg(F.when(F.col("lon").isNull(), 1.0).otherwise(0.0)).alias("m")).first()["m"] or 0.0
-    if missing > worst:
-        raise ValueError(f"{missing:.1%} of the scores have no coordinates")
+    facts = joined.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lon").isNull()).alias("missing")).first()
+    share = facts["missing"] / facts["n"] if facts["n"] else 0.0
+    if facts["n"] and facts["missing"] == facts["n"]:
+        raise ValueError("none of the scores has coordinates")
+    if share > worst:
+        raise ValueError(f"{share:.1%} of the scores have no coordinates")
+    if share > doubtful:
+        warnings.warn(f"{share:.2%} of the scores have no coordinates", stacklevel=2)
     return joined.where("lon IS NOT NULL")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridwake.functions import indices
 
@@ -76,13 +77,61 @@ def outside_box(df, box: Sequence[float], margin: float = 0.02):
     return row(df, "outside_box", F.count_if(outside), lambda m: m > 0)
 
 
-def report(df: DataFrame, box: Sequence[float], expected: int) -> DataFrame:
-    """All checks and the overall verdict, the worst of them."""
-    rows = [row_count(df), radar_presence(df), pixel_ratio(df, expected), null_bands(df), band_range(df), index_range(df), purity(df), duplicates(df), radar_integrity(df), date_cover(df), outside_box(df, box)]
-    every = functools.reduce(DataFrame.unionByName, rows)
-    worst = every.agg(F.max(F.when(F.col("status") == "FAIL", 2).when(F.col("status") == "WARN", 1).otherwise(0)).alias("w"))
+def schema(df: DataFrame, wanted: T.StructType) -> DataFrame:
+    """``(column_name, expected, status)`` for each column of a schema, from the table's own; no data is read."""
+    have = dict(df.dtypes)
+    rows = [(f.name, f.dataType.simpleString(), "PASS" if have.get(f.name) == f.dataType.simpleString() else "FAIL") for f in wanted]
+    return df.sparkSession.createDataFrame(rows, "column_name string, expected string, status string")
+
+
+def verdicts(rows: DataFrame) -> DataFrame:
+    """The rows and the overall verdict, the worst of them."""
+    worst = rows.agg(F.max(F.when(F.col("status") == "FAIL", 2).when(F.col("status") == "WARN", 1).otherwise(0)).alias("w"))
     overall = worst.select(F.lit("overall").alias("check_name"), F.when(F.col("w") == 2, "FAIL").when(F.col("w") == 1, "WARN").otherwise("PASS").alias("status"), F.lit(None).cast("double").alias("measure"))
-    return every.unionByName(overall)
+    return rows.unionByName(overall)
+
+
+def report(df: DataFrame, box: Sequence[float], expected: int, wanted: T.StructType | None = None, margin: float = 0.02) -> DataFrame:
+    """All checks of a prepared table as ``(check_name, status, measure)``.
+
+    An empty table fails at once, and one without the wanted columns or types after it: the other checks are not run then. They take
+    two passes: one aggregation for everything that is counted by row, and one by point, day and source.
+    """
+    spark, text = df.sparkSession, "check_name string, status string, measure double"
+    if df.isEmpty():
+        return spark.createDataFrame([("row_count", "FAIL", 0.0)], text)
+    first = spark.createDataFrame([], text)
+    if wanted is not None:
+        have = dict(df.dtypes)
+        bad = sum(have.get(f.name) != f.dataType.simpleString() for f in wanted)
+        first = spark.createDataFrame([("schema", "FAIL" if bad else "PASS", float(bad))], text)
+        if bad:
+            return first
+    optical, radar = F.col("source") == "S2", F.col("source") == "S1"
+    inside = F.col("lon").between(box[0] - margin, box[2] + margin) & F.col("lat").between(box[1] - margin, box[3] + margin)
+    never = lambda m: F.lit(False)
+    counted = [
+        ("row_count", F.count(F.lit(1)), lambda m: m == 0, never),
+        ("radar_presence", F.count_if(radar), never, lambda m: m == 0),
+        ("null_bands", F.greatest(*[share(F.col(b).isNull(), optical) for b in indices.BANDS]), lambda m: m > 0.20, lambda m: m > 0.01),
+        ("band_range", F.greatest(*[F.count_if(~indices.reflectance(b).between(0.0, 1.5)) for b in indices.BANDS]), lambda m: m > 0, never),
+        ("index_range", F.greatest(*[F.count_if(~indices.spectral_index(n).between(-1.0, 1.0)) for n in ("NDVI", "NDWI", "NDRE")]), lambda m: m > 0, never),
+        ("purity", F.avg("scl_purity"), lambda m: m == 0, lambda m: m < 0.5),
+        ("radar_integrity", F.count_if(radar & F.col("B02").isNotNull()) + F.count_if(radar & F.col("orbit").isNull()), lambda m: m > 0, never),
+        ("dates", F.size(F.collect_set("date")), lambda m: m < 10, never),  # days and months: some thousands at most
+        ("months", F.size(F.collect_set("month")), never, lambda m: m < 6),
+        ("outside_box", F.count_if(~inside), lambda m: m > 0, never),
+    ]
+    by_point = [("pixel_ratio", F.count("point_id") / expected, lambda m: m < 0.30, lambda m: m < 0.80), ("duplicates", F.coalesce(F.sum("again"), F.lit(0)), lambda m: m > 0, never)]
+    per_point = df.groupBy("point_id", "date", "source").count().groupBy("point_id").agg(F.count_if(F.col("count") > 1).alias("again"))
+    return first.unionByName(_stacked(df, counted)).unionByName(_stacked(per_point, by_point))
+
+
+def _stacked(df: DataFrame, rules: list) -> DataFrame:
+    """One aggregation, and a row for each of its measures."""
+    row = df.agg(*[measure.cast("double").alias(name) for name, measure, _, _ in rules])
+    parts = [F.struct(F.lit(name).alias("check_name"), _status(fail(F.col(name)), warn(F.col(name))).alias("status"), F.round(name, 6).alias("measure")) for name, _, fail, warn in rules]
+    return row.select(F.explode(F.array(*parts)).alias("e")).select("e.*")
 
 
 def region_tags(df: DataFrame) -> DataFrame:

@@ -221,6 +221,18 @@ def waveform(df: DataFrame, index: str, quality: str, window: tuple[int, int] =
     return found.join(years.select("point_id"), "point_id", "left_semi").select("point_id", F.col("b.peak").alias("peak_value"), F.col("b.peak_doy").alias("peak_doy"), "spike_duration", "peak_doy_mean", "peak_doy_sd", "years_detected")
 
 
+def feature_vector(wave: DataFrame, structure: DataFrame, quality: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(point_id, *names)`` of the points with a waveform: waveform, structure and quality side by side, in the given order.
+
+    A feature that is null or has no column fails the query and is named.
+    """
+    joined = wave.join(structure, "point_id", "left").join(quality, "point_id", "left")
+    if missing := [n for n in names if n not in joined.columns]:
+        raise ValueError(f"missing features: {missing}")
+    needed = lambda n: F.coalesce(F.col(n).cast("double"), F.raise_error(F.lit(f"{n} is missing")).cast("double")).alias(n)
+    return joined.select("point_id", *[needed(n) for n in names])
+
+
 def composite(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
     """Weighted mean; where all weights are 0 the plain mean."""
     w = F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))

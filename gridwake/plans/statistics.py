@@ -59,7 +59,7 @@ OPTICAL = {**{b: f"r_{b}" for b in BANDS}, **{n.lower(): f"i_{n.lower()}" for n
 RADAR = {"s1_vh": "vh_db", "s1_vv": "vv_db", "s1_vh_vv": "vh_vv", "s1_rvi": "rvi"}
 
 
-_IS_RADAR = "source = 'S1'"
+IS_RADAR = "source = 'S1'"
 
 
 def _value_sql(column):
@@ -70,14 +70,16 @@ def _value(column):
     return indices.reflectance(column[2:]) if column.startswith("r_") else F.col(column)
 
 
-def _summary_sql(features, gate):
+def summary_sql(features, gate, digits=6):
+    """The annual summaries of features in SQL, rounded unless ``digits`` is None."""
+    at = (lambda x: x) if digits is None else (lambda x: f"round({x}, {digits})")
     parts = []
     for name, column in features.items():
         x = f"({_value_sql(column)})"
         few = f"count({x}) FILTER ({gate}) < 2"
-        quantile = f"CASE WHEN {few} THEN 0.0 ELSE round(quantile_cont({x}, {{}}) FILTER ({gate}), 6) END AS {name}_p{{}}"
-        parts += [quantile.format(0.05, 5), quantile.format(0.95, 95)]
-        parts.append(f"CASE WHEN {few} THEN 1.0 ELSE round(stddev_pop({x}) FILTER ({gate}), 6) END AS {name}_std")
+        for f, end in ((0.05, "p5"), (0.95, "p95")):
+            parts.append(f"CASE WHEN {few} THEN 0.0 ELSE {at(f'quantile_cont({x}, {f}) FILTER ({gate})')} END AS {name}_{end}")
+        parts.append(f"CASE WHEN {few} THEN 1.0 ELSE {at(f'stddev_pop({x}) FILTER ({gate})')} END AS {name}_std")
     return ", ".join(parts)
 
 
@@ -89,7 +91,7 @@ def annual_summaries(df):
     return wi.band_summaries(used, wi.WINDOW, list(columns), needed="_good")
 
 
-@R.add("agg_03", with_obs() + f"SELECT point_id, year, {_summary_sql(OPTICAL, GOOD)}, {_summary_sql(RADAR, _IS_RADAR)} FROM obs GROUP BY point_id, year HAVING count(*) FILTER ({GOOD}) > 0")
+@R.add("agg_03", with_obs() + f"SELECT point_id, year, {summary_sql(OPTICAL, GOOD)}, {summary_sql(RADAR, IS_RADAR)} FROM obs GROUP BY point_id, year HAVING count(*) FILTER ({GOOD}) > 0")
 def agg_03(spark, d):
     return rounded(annual_summaries(obs(spark, d)), wi.WINDOW)
 

@@ -345,17 +345,8 @@ def pts(spark, d):
     return obs(spark, d).groupBy("point_id").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"))
 
 
-def _utm_sql(zone: str) -> str:
-    e2, p2, a = repr(geodesy.E2), repr(geodesy.EP2), f"(cos(phi) * radians(lon - ({zone} * 6 - 183)))"
-    n, t, c = f"(6378137.0 / sqrt(1 - {e2} * sin(phi) ** 2))", "(tan(phi) ** 2)", f"({p2} * cos(phi) ** 2)"
-    e = geodesy.E2
-    arc = f"(6378137.0 * ({1 - e / 4 - 3 * e**2 / 64 - 5 * e**3 / 256!r} * phi - {3 * e / 8 + 3 * e**2 / 32 + 45 * e**3 / 1024!r} * sin(2 * phi) + {15 * e**2 / 256 + 45 * e**3 / 1024!r} * sin(4 * phi) - {35 * e**3 / 3072!r} * sin(6 * phi)))"
-    east = f"0.9996 * {n} * ({a} + (1 - {t} + {c}) * {a} ** 3 / 6 + (5 - 18 * {t} + {t} ** 2 + 72 * {c} - 58 * {p2}) * {a} ** 5 / 120) + 500000"
-    north = f"0.9996 * ({arc} + {n} * tan(phi) * ({a} ** 2 / 2 + (5 - {t} + 9 * {c} + 4 * {c} ** 2) * {a} ** 4 / 24 + (61 - 58 * {t} + {t} ** 2 + 600 * {c} - 330 * {p2}) * {a} ** 6 / 720)) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END"
-    return f"round({east}, 2) AS east, round({north}, 2) AS north"
-
-
-_UTM = "u AS (SELECT *, (floor((lon + 180) / 6) + 1)::INT AS zone, radians(lat) AS phi FROM pts)"
+_UTM = "u AS (SELECT *, (floor((lon + 180) / 6) + 1)::INT AS zone FROM pts)"
+_EAST, _NORTH = geodesy.utm_sql("lon", "lat", "zone")
 
 
 def projected(spark, d):
@@ -364,17 +355,29 @@ def projected(spark, d):
     return p.select("point_id", "zone", F.round(east, 2).alias("east"), F.round(north, 2).alias("north"))
 
 
-@R.add("geo_02", with_obs(_PTS, _UTM) + f"SELECT point_id, zone, {_utm_sql('zone')} FROM u")
+@R.add("geo_02", with_obs(_PTS, _UTM) + f"SELECT point_id, zone, round({_EAST}, 2) AS east, round({_NORTH}, 2) AS north FROM u")
 def geo_02(spark, d):
     return projected(spark, d)
 
 
-@R.add("geo_01", with_obs(_PTS, _UTM, f"m AS (SELECT point_id, zone, {_utm_sql('zone')} FROM u)") + "SELECT zone, x0, y0, dx FROM (SELECT DISTINCT zone, (floor(east / 1000) * 1000)::BIGINT AS x0, (floor(north / 1000) * 1000)::BIGINT AS y0 FROM m), range(0, 1000, 500) r(dx)")
+_BOXES = "bb AS (SELECT id, bbox[1] AS w, bbox[2] AS s, bbox[3] AS e, bbox[4] AS n, (floor(((bbox[1] + bbox[3]) / 2 + 180) / 6) + 1)::INT AS zone FROM training_regions)"
+_LOW, _HIGH = geodesy.utm_sql("w", "s", "zone"), geodesy.utm_sql("e", "n", "zone")
+STEP = 1000.0
+_SNAPPED = f"gr AS (SELECT *, floor(x0 / {STEP}) * {STEP} AS xs, floor(y0 / {STEP}) * {STEP} AS ys FROM (SELECT *, {_LOW[0]} AS x0, {_LOW[1]} AS y0, {_HIGH[0]} AS x1, {_HIGH[1]} AS y1 FROM bb))"
+
+
+def boxes(spark, d):
+    return table(spark, d, "training_regions").select("id", *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate("wsen")])
+
+
+@R.add("geo_01", "WITH " + ", ".join((_BOXES, _SNAPPED)) + f", px AS (SELECT id, zone, i, j, xs + i * {STEP} AS x, ys + j * {STEP} AS y FROM gr, LATERAL (SELECT unnest(range(ceil((x1 - xs) / {STEP})::BIGINT)) AS i), LATERAL (SELECT unnest(range(ceil((y1 - ys) / {STEP})::BIGINT)) AS j)) SELECT id, printf('px_%04d_%04d', i, j) AS point_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({geodesy.utm_inverse_sql('px', 'x', 'y', 'zone')})")
 def geo_01(spark, d):
-    """Snapped grid cells around the points, opened into a finer grid by sequences."""
-    m = projected(spark, d)
-    cells = m.select("zone", (F.floor(F.col("east") / 1000) * 1000).alias("x0"), (F.floor(F.col("north") / 1000) * 1000).alias("y0")).distinct()
-    return cells.withColumn("dx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long"), F.lit(500).cast("long"))))
+    """A snapped grid of pixels for each box: projected, opened along both axes, and turned back to degrees."""
+    g = geodesy.pixel_grid(boxes(spark, d), STEP)
+    steps = lambda lo, hi: F.explode(F.sequence(F.lit(0), (F.ceil((F.col(hi) - F.col(lo)) / STEP) - 1).cast("int")))
+    px = g.where("x1 > xs AND y1 > ys").withColumn("i", steps("xs", "x1")).withColumn("j", steps("ys", "y1"))
+    lon, lat = geodesy.utm_inverse(F.col("xs") + F.col("i") * STEP, F.col("ys") + F.col("j") * STEP, F.col("zone"), F.col("south"))
+    return px.select("id", ids.point_name("px", F.col("i"), F.col("j")).alias("point_id"), r6(lon, "lon"), r6(lat, "lat"))
 
 
 @R.add("geo_03", with_obs(_PTS) + "SELECT point_id, (CASE WHEN lat < 0 THEN 32700 ELSE 32600 END + floor((lon + 180) / 6) + 1)::INT AS epsg FROM pts")
@@ -382,25 +385,52 @@ def geo_03(spark, d):
     return pts(spark, d).select("point_id", geodesy.utm_epsg(F.col("lon"), F.col("lat")).cast("int").alias("epsg"))
 
 
-_CHUNKS = "ck AS (SELECT id, x::INT AS cx, y::INT AS cy FROM training_regions, LATERAL (SELECT unnest(range(floor(bbox[1] * 10)::BIGINT, floor(bbox[3] * 10)::BIGINT + 1)) AS x), LATERAL (SELECT unnest(range(floor(bbox[2] * 10)::BIGINT, floor(bbox[4] * 10)::BIGINT + 1)) AS y))"
+CHUNK_PX = 8
+_BLOCK = STEP * CHUNK_PX
+_CHUNKS = (
+    _BOXES,
+    _SNAPPED,
+    f"an AS (SELECT *, floor(x0 / 100000) * 100000 AS tile_x, ceil(y1 / 100000) * 100000 AS tile_y, xs + (ceil((x1 - xs) / {STEP}) - 1) * {STEP} AS lx, ys + (ceil((y1 - ys) / {STEP}) - 1) * {STEP} AS ly FROM gr)",
+    f"op AS (SELECT *, tile_x + chunk_col * {_BLOCK} AS x_left, tile_y - (chunk_row + 1) * {_BLOCK} AS y_lower FROM an, LATERAL (SELECT unnest(range(floor((xs - tile_x) / {_BLOCK})::BIGINT, floor((lx - tile_x) / {_BLOCK})::BIGINT + 1))::INT AS chunk_col), LATERAL (SELECT unnest(range(ceil((tile_y - ly) / {_BLOCK})::BIGINT - 1, ceil((tile_y - ys) / {_BLOCK})::BIGINT))::INT AS chunk_row))",
+    f"ck AS (SELECT *, greatest(x_left, xs) AS px0, greatest(y_lower, ys) AS py0, least(x_left + {_BLOCK - STEP}, lx) AS px1, least(y_lower + {_BLOCK - STEP}, ly) AS py1 FROM op WHERE greatest(x_left, xs) <= least(x_left + {_BLOCK - STEP}, lx) AND greatest(y_lower, ys) <= least(y_lower + {_BLOCK - STEP}, ly))",
+    f"co AS (SELECT id, chunk_row, chunk_col, zone, unnest([px0, px0, px1, px1]) AS cx, unnest([py0, py1, py0, py1]) AS cy FROM ck)",
+    f"cd AS (SELECT id, chunk_row, chunk_col, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM ({geodesy.utm_inverse_sql('co', 'cx', 'cy', 'zone')}) GROUP BY ALL)",
+    "sl AS (SELECT cd.* FROM cd JOIN bb USING (id) WHERE greatest(west - (w + e) / 2, (w + e) / 2 - east, 0) / ((e - w) / 2) + greatest(south - (s + n) / 2, (s + n) / 2 - north, 0) / ((n - s) / 2) <= 1)",
+)
 
 
-def chunk_grid(spark, d):
-    side = lambda lo, hi: F.sequence(F.floor(F.get("bbox", F.lit(lo)) * 10).cast("int"), F.floor(F.get("bbox", F.lit(hi)) * 10).cast("int"))
-    return table(spark, d, "training_regions").select("id", "bbox", F.explode(side(0, 2)).alias("cx")).select("id", "cx", F.explode(side(1, 3)).alias("cy"))
+def chunks(spark, d):
+    """The chunks of each region that meet its polygon, here the diamond inside its box."""
+    g = geodesy.chunk_grid(boxes(spark, d), STEP, CHUNK_PX)
+    box = geodesy.degree_box(F.col("zone"), F.col("south"), *[F.col(c) for c in ("px0", "py0", "px1", "py1")])
+    g = g.withColumns(dict(zip(("west", "low", "east", "high"), box)))
+    away = lambda lo, hi, a, b: F.greatest(F.col(lo) - (F.col(a) + F.col(b)) / 2, (F.col(a) + F.col(b)) / 2 - F.col(hi), F.lit(0.0)) / ((F.col(b) - F.col(a)) / 2)
+    return g.where(away("west", "east", "w", "e") + away("low", "high", "s", "n") <= 1)
 
 
-@R.add("geo_04", "WITH " + _CHUNKS + " SELECT * FROM ck")
+@R.add("geo_04", "WITH " + ", ".join(_CHUNKS) + " SELECT id, chunk_row, chunk_col, round(west, 6) AS west, round(south, 6) AS south, round(east, 6) AS east, round(north, 6) AS north, row_number() OVER (PARTITION BY id ORDER BY chunk_row, chunk_col) AS place FROM sl")
 def geo_04(spark, d):
-    return chunk_grid(spark, d)
+    """Chunks on the tile's own grid, in rows from the north, with the box of their pixels."""
+    from gridwake.operators.order_stats import numbered
+
+    g = chunks(spark, d).select("id", "chunk_row", "chunk_col", r6(F.col("west"), "west"), r6(F.col("low"), "south"), r6(F.col("east"), "east"), r6(F.col("high"), "north"))
+    return numbered(g, ["id"], ["chunk_row", "chunk_col"], "place")
+
 
+_SPAN = 10_980 * 10.0 + 20_000.0
 
-@R.add("geo_05", "WITH " + _CHUNKS + " SELECT DISTINCT cx, cy, printf('px_%04d_%04d', cx * 2 + i, -cy * 2 + j) AS point_id FROM ck, range(2) a(i), range(2) b(j)")
+
+@R.add("geo_05", "WITH " + ", ".join(_CHUNKS) + f" SELECT id, chunk_row, chunk_col, printf('px_%04d_%04d', round((x - tile_x) / {STEP})::BIGINT, round((y - (tile_y - {_SPAN})) / {STEP})::BIGINT) AS point_id, x >= xs AND x <= lx AND y >= ys AND y <= ly AS clipped FROM (SELECT ck.*, x_left + i * {STEP} AS x, y_lower + j * {STEP} AS y FROM ck SEMI JOIN sl USING (id, chunk_row, chunk_col), range({CHUNK_PX}) a(i), range({CHUNK_PX}) b(j))")
 def geo_05(spark, d):
-    cells = chunk_grid(spark, d).select("cx", "cy").distinct()
-    i = F.explode(F.sequence(F.lit(0), F.lit(1)))
-    opened = cells.withColumn("i", i).withColumn("j", i)
-    return opened.select("cx", "cy", ids.point_name("px", F.col("cx") * 2 + F.col("i"), -F.col("cy") * 2 + F.col("j")).alias("point_id"))
+    """All points of the chunks, named from the tile's corner, so that two requests give a place the same name.
+
+    ``clipped`` tells which of them lie inside the request: those alone are fetched unless full chunks are asked for.
+    """
+    opened = chunks(spark, d).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(CHUNK_PX - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(CHUNK_PX - 1))))
+    x, y = F.col("x_left") + F.col("i") * STEP, F.col("y_lower") + F.col("j") * STEP
+    index = lambda c: F.round(c / STEP).cast("long")
+    name = ids.point_name("px", index(x - F.col("tile_x")), index(y - (F.col("tile_y") - _SPAN)))
+    return opened.select("id", "chunk_row", "chunk_col", name.alias("point_id"), (x.between(F.col("xs"), F.col("lx")) & y.between(F.col("ys"), F.col("ly"))).alias("clipped"))
 
 
 @R.add("geo_06", with_obs() + f"SELECT (regexp_extract(point_id, '_([0-9]+)$', 1)::INT // 16)::INT AS row, (regexp_extract(point_id, '_([0-9]+)_[0-9]+$', 1)::INT // 16)::INT AS col, max(round(i_ndvi, 6)) AS value FROM obs WHERE {GOOD} GROUP BY ALL")
@@ -415,26 +445,57 @@ def geo_07(spark, d):
     return pts(spark, d).select("point_id", x.alias("x"), y.alias("y")).select("point_id", "x", "y", r6(geodesy.slippy_bounds(F.col("x"), F.col("y"), 10)["west"], "west"))
 
 
-@R.add("geo_08", with_obs(_PTS, "g AS (SELECT floor((lon + 180) / 360 * 1048576)::BIGINT AS px, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 1048576)::BIGINT AS py, point_id FROM pts)") + "SELECT px // 256 AS tx, py // 256 AS ty, count(DISTINCT (px, py)) AS n_pixels FROM g GROUP BY ALL")
-def geo_08(spark, d):
-    """Points warped to web map pixels (zoom 12, 256 a tile); tiles without pixels aren't made."""
-    x, y = geodesy.slippy(F.col("lon"), F.col("lat"), 20)
-    g = pts(spark, d).select(x.cast("long").alias("px"), y.cast("long").alias("py")).distinct()
-    return g.groupBy(F.floor(F.col("px") / 256).alias("tx"), F.floor(F.col("py") / 256).alias("ty")).agg(F.count(F.lit(1)).alias("n_pixels"))
+_N = 256.0 * 2**8
+_MERC = "(1 - ln(tan(radians({y})) + 1 / cos(radians({y}))) / pi()) / 2"
+_WARP = (
+    f"gr AS (SELECT round(lon * 100 + 1e-9)::BIGINT AS cx, round(lat * 100 + 1e-9)::BIGINT AS cy, max(round(i_ndvi, 6)) AS v FROM obs WHERE {GOOD} GROUP BY ALL)",
+    f"cd AS (SELECT *, unnest(range(floor((cx / 100.0::DOUBLE - 0.005 + 180) / 360 * {_N})::BIGINT, floor((cx / 100.0::DOUBLE + 0.005 + 180) / 360 * {_N})::BIGINT + 1)) AS px, floor({_MERC.format(y='(cy / 100.0::DOUBLE + 0.005)')} * {_N})::BIGINT AS p0, floor({_MERC.format(y='(cy / 100.0::DOUBLE - 0.005)')} * {_N})::BIGINT AS p1 FROM gr WHERE v IS NOT NULL)",
+    "pp AS (SELECT *, unnest(range(p0, p1 + 1)) AS py FROM cd)",
+    f"pc AS (SELECT *, (px + 0.5) / {_N} * 360 - 180 AS x, degrees(atan(sinh(pi() * (1 - 2 * (py + 0.5) / {_N})))) AS y FROM pp)",
+)
 
 
-@R.add("geo_09", with_obs("t AS (SELECT tile_id, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM obs WHERE tile_id IS NOT NULL GROUP BY 1)") + "SELECT id, tile_id FROM training_regions, t WHERE bbox[1] <= e AND bbox[3] >= w AND bbox[2] <= n AND bbox[4] >= s")
-def geo_09(spark, d):
+@R.add("geo_08", with_obs(*_WARP) + "SELECT px // 256 AS tx, py // 256 AS ty, count(*) AS n_pixels, round(sum(v), 4) AS total FROM pc WHERE round(x * 100 + 1e-9) = cx AND round(y * 100 + 1e-9) = cy GROUP BY ALL")
+def geo_08(spark, d):
+    """A grid in degrees warped to map pixels by the nearest cell, zoom 8 and 256 pixels a tile; tiles without pixels aren't made.
+
+    Each cell opens into the few pixels it may cover, and keeps those whose middle it is nearest to, so no pixel is computed
+    that holds nothing.
+    """
+    cell = lambda c: F.round(F.col(c) * 100 + 1e-9).cast("long")
+    grid = ob.optical(obs(spark, d)).groupBy(cell("lon").alias("cx"), cell("lat").alias("cy")).agg(F.max(F.round("i_ndvi", 6)).alias("v")).where("v IS NOT NULL")
+    x, y = F.col("cx") / 100.0, F.col("cy") / 100.0
+    (x0, y0), (x1, y1) = geodesy.slippy(x - 0.005, y + 0.005, 16), geodesy.slippy(x + 0.005, y - 0.005, 16)
+    opened = grid.withColumn("px", F.explode(F.sequence(x0, x1))).withColumn("py", F.explode(F.sequence(y0, y1)))
+    middle = geodesy.slippy_bounds(F.col("px") + 0.5, F.col("py") + 0.5, 16)
+    kept = opened.withColumns({"x": middle["west"], "y": middle["north"]}).where((cell("x") == F.col("cx")) & (cell("y") == F.col("cy")))
+    tile = lambda c: F.floor(F.col(c) / 256)
+    return kept.groupBy(tile("px").alias("tx"), tile("py").alias("ty")).agg(F.count(F.lit(1)).alias("n_pixels"), F.round(F.sum("v"), 4).alias("total"))
+
+
+def meeting_tiles(spark, d):
     """Tiles that meet each region's box, compared only where both touch the same cell of a degree."""
     tiles = obs(spark, d).where("tile_id IS NOT NULL").groupBy("tile_id").agg(F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n"))
-    boxes = table(spark, d, "training_regions").select("id", *[F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate(("bw", "bs", "be", "bn"))])
+    areas = table(spark, d, "training_regions").select("id", *[F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate(("bw", "bs", "be", "bn"))])
 
     def cells(df, w, s, e, n):
         span = lambda a, b: F.explode(F.sequence(F.floor(a).cast("int"), F.floor(b).cast("int")))
         return df.withColumn("cx", span(w, e)).withColumn("cy", span(s, n))
 
-    near = cells(boxes, "bw", "bs", "be", "bn").join(cells(tiles, "w", "s", "e", "n"), ["cx", "cy"])
-    return near.where(geodesy.overlaps(tuple(F.col(c) for c in ("bw", "bs", "be", "bn")), tuple(F.col(c) for c in "wsen"))).select("id", "tile_id").distinct()
+    near = cells(areas, "bw", "bs", "be", "bn").join(cells(tiles, "w", "s", "e", "n"), ["cx", "cy"])
+    met = near.where(geodesy.overlaps(tuple(F.col(c) for c in ("bw", "bs", "be", "bn")), tuple(F.col(c) for c in "wsen")))
+    return met.select("id", "tile_id", "bw", "bs", "be", "bn", *"wsen").distinct()
+
+
+R.add("geo_09", with_obs("t AS (SELECT tile_id, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM obs WHERE tile_id IS NOT NULL GROUP BY 1)") + "SELECT id, tile_id FROM training_regions, t WHERE bbox[1] <= e AND bbox[3] >= w AND bbox[2] <= n AND bbox[4] >= s")(lambda spark, d: meeting_tiles(spark, d).select("id", "tile_id"))
+
+
+@R.add("geo_09_needed")
+def geo_09_needed(spark, d):
+    """Of the tiles that meet a region, those that are needed: one whose share of the region its kept neighbours cover is dropped."""
+    from gridwake.operators.tiles import needed_tiles
+
+    return needed_tiles(meeting_tiles(spark, d))
 
 
 @R.add("geo_10", f"SELECT id, (bbox[1] <= {BOX[2]} AND bbox[3] >= {BOX[0]} AND bbox[2] <= {BOX[3]} AND bbox[4] >= {BOX[1]}) AS hit FROM training_regions")
@@ -449,10 +510,37 @@ def geo_11(spark, d):
     return table(spark, d, "training_regions").select("id", F.round((e - w) * kx, 3).alias("width"), F.round((n - s) * ky, 3).alias("height"))
 
 
-@R.add("geo_12", "SELECT id, k::INT AS k, round(bbox[1] + (bbox[3] - bbox[1]) * k / 4, 6) AS west FROM training_regions, range(4) r(k)")
+_TILE_M = 2560.0
+_L55, _H55 = geodesy.utm_sql("w", "s", "55"), geodesy.utm_sql("e", "n", "55")
+_SUBDIVIDED = (
+    "bb AS (SELECT id, bbox[1] AS w, bbox[2] AS s, bbox[3] AS e, bbox[4] AS n FROM training_regions)",
+    f"pr AS (SELECT *, {_L55[0]} AS x0, {_L55[1]} AS y0, {_H55[0]} AS x1, {_H55[1]} AS y1 FROM bb)",
+    f"nt AS (SELECT *, greatest(ceil((x1 - x0) / {_TILE_M}), 1)::BIGINT AS n_cols, greatest(ceil((y1 - y0) / {_TILE_M}), 1)::BIGINT AS n_rows FROM pr)",
+    "op AS (SELECT *, unnest(range(n_cols)) AS col FROM nt)",
+    f"tl AS (SELECT *, x0 + col * {_TILE_M} AS a0, least(x0 + (col + 1) * {_TILE_M}, x1) AS a1, y0 + row * {_TILE_M} AS b0, least(y0 + (row + 1) * {_TILE_M}, y1) AS b1 FROM (SELECT *, unnest(range(n_rows)) AS row FROM op))",
+    "cn AS (SELECT *, unnest([a0, a0, a1, a1]) AS cx, unnest([b0, b1, b0, b1]) AS cy, 55 AS zone FROM tl)",
+    f"gb AS (SELECT id, row, col, n_cols, n_rows, w, s, e, n, min(lon) AS g0, min(lat) AS h0, max(lon) AS g1, max(lat) AS h1 FROM ({geodesy.utm_inverse_sql('cn', 'cx', 'cy', 'zone')}) GROUP BY ALL)",
+)
+
+
+@R.add("geo_12", "WITH " + ", ".join(_SUBDIVIDED) + " SELECT id, row, col, round(CASE WHEN col = 0 THEN w ELSE greatest(g0, w) END, 6) AS west, round(CASE WHEN row = 0 THEN s ELSE greatest(h0, s) END, 6) AS south, round(CASE WHEN col = n_cols - 1 THEN e ELSE least(g1, e) END, 6) AS east, round(CASE WHEN row = n_rows - 1 THEN n ELSE least(h1, n) END, 6) AS north FROM gb")
 def geo_12(spark, d):
-    w, e = F.get("bbox", F.lit(0)), F.get("bbox", F.lit(2))
-    return table(spark, d, "training_regions").select("id", w.alias("w"), e.alias("e"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("id", "k", F.round(F.col("w") + (F.col("e") - F.col("w")) * F.col("k") / 4, 6).alias("west"))
+    """A box cut into tiles of a projected size; the outermost edges are the box's own, so that the tiles cover it without a gap."""
+    g = geodesy.pixel_grid(boxes(spark, d), 1.0, zone=55)
+    count = lambda lo, hi: F.greatest(F.ceil((F.col(hi) - F.col(lo)) / _TILE_M), F.lit(1))
+    g = g.withColumns({"n_cols": count("x0", "x1"), "n_rows": count("y0", "y1")})
+    g = g.withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_cols") - 1))).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1)))
+    edge = lambda o, k, top: (F.col(o) + F.col(k) * _TILE_M, F.least(F.col(o) + (F.col(k) + 1) * _TILE_M, F.col(top)))
+    (a0, a1), (b0, b1) = edge("x0", "col", "x1"), edge("y0", "row", "y1")
+    west, low, east, high = geodesy.degree_box(F.lit(55), F.lit(True), a0, b0, a1, b1)
+    first, last = lambda k: F.col(k) == 0, lambda k: F.col(k) == F.col(f"n_{k}s") - 1
+    return g.select(
+        "id", "row", "col",
+        r6(F.when(first("col"), F.col("w")).otherwise(F.greatest(west, F.col("w"))), "west"),
+        r6(F.when(first("row"), F.col("s")).otherwise(F.greatest(low, F.col("s"))), "south"),
+        r6(F.when(last("col"), F.col("e")).otherwise(F.least(east, F.col("e"))), "east"),
+        r6(F.when(last("row"), F.col("n")).otherwise(F.least(high, F.col("n"))), "north"),
+    )
 
 
 @R.add("geo_14", with_obs() + "SELECT obs_id, round(lon * 10000)::BIGINT AS cx, round(lat * 10000)::BIGINT AS cy FROM obs")
@@ -460,10 +548,13 @@ def geo_14(spark, d):
     return obs(spark, d).select("obs_id", *[F.round(F.col(c) * 10000).cast("long").alias(n) for c, n in (("lon", "cx"), ("lat", "cy"))])
 
 
-@R.add("geo_15", "SELECT id, [[bbox[1], bbox[2]], [bbox[3], bbox[2]], [bbox[3], bbox[4]], [bbox[1], bbox[4]], [bbox[1], bbox[2]]] AS ring FROM training_regions")
+@R.add("geo_15", "WITH " + ", ".join((*_CHUNKS, f"rg AS (SELECT id, chunk_row, chunk_col, zone, unnest([0, 1, 2, 3, 4]) AS k, unnest([x_left, x_left + {_BLOCK}, x_left + {_BLOCK}, x_left, x_left]) AS cx, unnest([y_lower, y_lower, y_lower + {_BLOCK}, y_lower + {_BLOCK}, y_lower]) AS cy FROM ck SEMI JOIN sl USING (id, chunk_row, chunk_col))")) + f" SELECT id, chunk_row, chunk_col, list([round(lon, 6), round(lat, 6)] ORDER BY k) AS ring FROM ({geodesy.utm_inverse_sql('rg', 'cx', 'cy', 'zone')}) GROUP BY ALL")
 def geo_15(spark, d):
-    w, s, e, n = (F.get("bbox", F.lit(i)) for i in range(4))
-    return table(spark, d, "training_regions").select("id", F.array(*[F.array(*p) for p in ((w, s), (e, s), (e, n), (w, n), (w, s))]).alias("ring"))
+    """The ring of each chunk's block in degrees, closed, from its projected corners."""
+    x0, y0 = F.col("x_left"), F.col("y_lower")
+    corners = [(x0, y0), (x0 + _BLOCK, y0), (x0 + _BLOCK, y0 + _BLOCK), (x0, y0 + _BLOCK), (x0, y0)]
+    ring = [F.array(*[F.round(c, 6) for c in geodesy.utm_inverse(x, y, F.col("zone"), F.col("south"))]) for x, y in corners]
+    return chunks(spark, d).select("id", "chunk_row", "chunk_col", F.array(*ring).alias("ring"))
 
 
 QUERIES, SQL = R.queries, R.sql

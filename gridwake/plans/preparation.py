@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwake.operators import compaction, proximity, regular_grid, spikes, timestamps
@@ -131,6 +131,21 @@ def p6_grid(spark: SparkSession, d: str) -> DataFrame:
     return _ndvi_series(spark, d).select("point_id", "year", F.col("cell").cast("int").alias("period"), F.col("increment").alias("n_readings"), "covered", "missing")
 
 
+def p6_counters(spark: SparkSession, d: str) -> DataFrame:
+    """A counter that starts anew each year, on a grid of 16 days: how many usable readings a point has had this year.
+
+    Increments come from the differences of consecutive readings and from the resets, and are shared out over the days since the reading
+    before, 32 at most; cells that no reading covers are marked.
+    """
+    usable = usable_ndvi(table(spark, d, "observations")).select("obs_id", "point_id", "date").dropDuplicates(["obs_id"])
+    days = usable.groupBy("point_id", "date").agg(F.count(F.lit(1)).alias("n"))
+    # At most 366 days a point and year.
+    order = Window.partitionBy("point_id", F.year("date")).orderBy("date")
+    counter = days.select("point_id", F.unix_date("date").alias("day"), F.sum("n").over(order).alias("so_far"))
+    series = regular_grid.regularise(counter, ["point_id"], "day", "so_far", step=16, max_span=32)
+    return series.select("point_id", "cell", F.round(F.col("increment") + 1e-9, 6).alias("increment"), "covered", "missing")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     sightings = table(spark, d, "sightings").where("sighting_id IS NOT NULL").groupBy("sighting_id").agg(F.max(F.struct("loaded_at", "lon", "lat", "year")).alias("r")).select("sighting_id", "r.*")
     science = table(spark, d, "science_points").where("point_id IS NOT NULL").groupBy("point_id").agg(F.max(F.struct("lon", "lat")).alias("r")).select("point_id", "r.*")
@@ -143,7 +158,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return tagged(near, "near").unionByName(tagged(held, "in"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_faults, p2_spikes, p3_found, p3_plan, p3_compacted, p5_found, p5_states, p6_found, p6_grid, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_faults, p2_spikes, p3_found, p3_plan, p3_compacted, p5_found, p5_states, p6_found, p6_grid, p6_counters, p7_found)}
 
 _NDVI = "NDVI IS NOT NULL AND NOT isnan(NDVI) AND scl_purity = 1"
 
@@ -185,6 +200,15 @@ SELECT t AS tile, y AS year, r AS chunk_row, c AS chunk_col, n_files, n_small, c
     "p3_compacted": _FILES + "SELECT t AS tile, y AS year, r AS chunk_row, c AS chunk_col, count(*) AS n_records, count(DISTINCT point_id) AS n_points, 1 AS n_files FROM k GROUP BY ALL",
     "p6_found": _GRID + "SELECT point_id, year, period FROM g ANTI JOIN c USING (point_id, year, period)",
     "p6_grid": _GRID + "SELECT point_id, year, period, n_readings, coalesce(covered, 0.0) AS covered, covered IS NULL AS missing FROM g LEFT JOIN c USING (point_id, year, period)",
+    "p6_counters": f"""
+WITH u AS (SELECT DISTINCT ON (obs_id) point_id, date FROM observations WHERE {_NDVI} AND NDVI BETWEEN -1 AND 1),
+     c AS (SELECT point_id, date_diff('day', DATE '1970-01-01', date) AS t, sum(count(*)) OVER (PARTITION BY point_id, year(date) ORDER BY date)::DOUBLE AS v FROM u GROUP BY point_id, date),
+     l AS (SELECT *, lag(t) OVER w AS pt, lag(v) OVER w AS pv FROM c WINDOW w AS (PARTITION BY point_id ORDER BY t)),
+     s AS (SELECT point_id, t, greatest(t - 32, coalesce(pt, t - 32)) AS lo, CASE WHEN pv IS NULL OR v < pv THEN v ELSE v - pv END AS gain FROM l),
+     k AS (SELECT *, unnest(range(floor(lo / 16)::BIGINT, ceil(t / 16)::BIGINT)) AS cell FROM s WHERE lo < t),
+     g AS (SELECT point_id, cell, sum(gain * (least(t, (cell + 1) * 16) - greatest(lo, cell * 16)) / (t - lo)) AS increment, sum(least(t, (cell + 1) * 16) - greatest(lo, cell * 16))::DOUBLE AS covered FROM k GROUP BY ALL),
+     f AS (SELECT point_id, unnest(range(min(cell), max(cell) + 1)) AS cell FROM g GROUP BY point_id)
+SELECT point_id, cell, round(increment + 1e-9, 6) AS increment, coalesce(covered, 0) AS covered, covered IS NULL AS missing FROM f LEFT JOIN g USING (point_id, cell)""",
     "p7_found": """
 WITH s AS (SELECT DISTINCT ON (sighting_id) * FROM sightings ORDER BY sighting_id, loaded_at DESC), p AS (SELECT DISTINCT ON (point_id) * FROM science_points)
 SELECT 'near' AS rel, sighting_id, point_id AS other_id FROM s JOIN p ON s.lat BETWEEN -90 AND 90 AND p.lat BETWEEN -90 AND 90 AND abs(s.lat - p.lat) < 0.01

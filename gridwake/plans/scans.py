@@ -196,7 +196,7 @@ def snk_09(spark, d):
     return placed(grid, ["key"], "key", "val", groups=["band"])
 
 
-@R.add("snk_10")
+@R.add("snk_10", with_obs() + f"SELECT point_id, year, count(*) AS n_obs, list(doy ORDER BY doy, obs_id)[1:64] AS doys, list(round(i_ndvi, 6) ORDER BY doy, obs_id)[1:64] AS \"values\" FROM obs WHERE {GOOD} GROUP BY ALL")
 def snk_10(spark, d):
     from gridwake.operators import windows
 
@@ -219,7 +219,7 @@ def snk_08(spark, d):
     return pixels.groupBy("z", tile("px").alias("tx"), tile("py").alias("ty")).agg(F.count(F.lit(1)).alias("n_pixels"), F.max("v").alias("best"), F.sum("n").alias("n_cells"))
 
 
-@R.add("snk_07")
+@R.add("snk_07", "SELECT unnest(['| verdict | n |', '| --- | --- |']) AS line UNION ALL SELECT '| ' || coalesce(verdict, '-') || ' | ' || n || ' |' FROM (SELECT verdict, count(*) AS n FROM year_summaries GROUP BY 1)")
 def snk_07(spark, d):
     return readers.markdown(table(spark, d, "year_summaries").groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).orderBy("verdict"), "verdict", "n")
 
@@ -679,7 +679,7 @@ def set_06(spark, d):
     return ob.upsert(old, df.where("region_id LIKE 'l%'").select("region_id", F.lit("new").alias("tile_id")).distinct(), ["region_id"])
 
 
-@R.add("srt_09")
+@R.add("srt_09", "SELECT count(*) AS n, 1 AS sorts FROM observations WHERE source = 'S1'")
 def srt_09(spark, d):
     """Sorted once: the second call finds the sorted table and does nothing."""
     path, df = scratch(spark, "srt_09"), table(spark, d, "observations").where("source = 'S1'").select("obs_id", "point_id", "date", "scl_purity")

@@ -179,7 +179,24 @@ WITH o AS (SELECT DISTINCT ON (obs_id) * FROM observations),
            UNION ALL SELECT batch_no, site, 's1_vh', label, vh::DOUBLE FROM a JOIN t USING (id) WHERE vh > 0 AND NOT isnan(vh))
 """
 
+_PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g'), '_')"
+_SITE = "CASE WHEN regexp_matches({0}, '^.+?_(presence|absence)') THEN regexp_replace(regexp_extract({0}, '^(.+?)_(presence|absence)', 1), '_val$', '') ELSE {0} END"
+_GROUPS = f"""
+WITH RECURSIVE t AS (SELECT id, p, {_SITE.format('p')} AS site, tags FROM (SELECT id, {_PLAIN.format('id')} AS p, tags FROM training_regions)),
+     c AS (SELECT id, regexp_replace(lower(regexp_extract(tag, '(?i)^[^a-z0-9]*crew([^a-z].*|[a-z]*[0-9].*)$', 1)), '[^a-z0-9]', '', 'g') AS crew FROM (SELECT id, unnest(tags) AS tag FROM t)),
+     e AS (SELECT x.id AS a, y.id AS b FROM t x JOIN t y USING (site) UNION SELECT x.id, y.id FROM c x JOIN c y USING (crew) WHERE crew != ''),
+     reach(a, b) AS (SELECT id, id FROM t UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+     g AS (SELECT p, site, min(b) AS grp FROM reach JOIN t ON t.id = a GROUP BY ALL),
+     w AS (SELECT site, min(grp) AS grp FROM g GROUP BY 1),
+     s AS (SELECT sample_id, max(label) AS label, {_PLAIN.format('max(point_id)')} AS p FROM tam_samples WHERE sample_id IS NOT NULL GROUP BY 1),
+     k AS (SELECT {_PLAIN.format('point_id')} AS p, coalesce(nullif(regexp_replace(lower(max(recordedBy)), '[^a-z0-9]', '', 'g'), ''), point_id) AS grp FROM science_points WHERE point_id IS NOT NULL GROUP BY point_id),
+     r AS (SELECT s.*, k.grp AS point_grp, regexp_replace(s.p, '_[0-9]+_[0-9]+$', '') AS base FROM s LEFT JOIN k USING (p))
+"""
+_GROUP = f"coalesce(point_grp, g.grp, w.grp, base) AS grp FROM r LEFT JOIN g ON g.p = base LEFT JOIN w ON w.site = {_SITE.format('base')}"
+
 SQL = {
+    "p1_found": _GROUPS + f"SELECT sample_id, {_GROUP}",
+    "p1_groups": _GROUPS + f"SELECT sample_id, label, {_GROUP}",
     "p4_found": _READINGS + """, s AS (SELECT * FROM class_stats UNPIVOT (v FOR q IN (p25, median, p75)))
 SELECT DISTINCT batch_no, site, signal, label FROM
  (SELECT s.batch_no, s.site, s.signal, s.label, CASE q WHEN 'p25' THEN 25 WHEN 'median' THEN 50 ELSE 75 END AS f, count(*) AS n, count(*) FILTER (r.v < s.v) AS below, count(*) FILTER (r.v <= s.v) AS upto

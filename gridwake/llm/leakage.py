@@ -81,7 +81,9 @@ def _sieve(seeds: DataFrame, n: int) -> tuple[np.ndarray, int]:
             np.bitwise_or.at(values, at, np.uint64(1) << (bits & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([_signed(slots), _signed(values)], names=["slot", "bits"])
 
-    table = seeds.select("hash").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()  # at most MOST_BITS / 64 rows
+    table = seeds.select("hash").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(
+        F.expr("bit_or(bits)").alias("bits")
+    ).toArrow()  # at most MOST_BITS / 64 rows
     sieve = np.zeros(size // 64, np.uint64)
     if table.num_rows:
         sieve[table.column("slot").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
@@ -105,7 +107,10 @@ def _overlap(equal: np.ndarray, patience: int) -> tuple[int, int]:
     return int(length[best]), int(words[best])
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, masks: tuple[str, ...] = SEEDS, patience: int = 2) -> DataFrame:
+def leaks(
+    docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str,
+    masks: tuple[str, ...] = SEEDS, patience: int = 2
+) -> DataFrame:
     """``(doc_id, item_id, overlap_words, equal_words, longest_run)`` for each document that meets an item's seed.
 
     ``overlap_words`` is the length of the longest overlap, with at most ``patience`` substituted words in a row;
@@ -127,10 +132,20 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
             for block in blocks(enumerate(batch.column(1).to_pylist()), 1):
                 words, ends = word_hashes([t for _, t in block])
                 parts = np.split(words, ends[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block[0][0], len(block)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["item_id", "words"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(block[0][0], len(block)),
+                        pa.array([p.tobytes() for p in parts], pa.binary())
+                    ],
+                    names=["item_id", "words"]
+                )
 
     known = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
-    worded = scratch.cut(known.mapInArrow(to_words, f"item_id {itype}, words binary").withColumn("item_no", F.monotonically_increasing_id()))
+    worded = scratch.cut(
+        known.mapInArrow(to_words, f"item_id {itype}, words binary").withColumn(
+            "item_no", F.monotonically_increasing_id()
+        )
+    )
 
     def to_seeds(batches):
         for batch in batches:
@@ -140,7 +155,13 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
             owner, starts = document_of(ends), np.concatenate([[0], ends[:-1]]).astype(np.int64)
             numbers = batch.column("item_no").to_numpy()
             for at, hashes in _seeds(words, owner, masks):
-                yield pa.RecordBatch.from_arrays([_signed(hashes), pa.array(numbers[owner[at]]), pa.array((at - starts[owner[at]]).astype(np.int32))], names=["hash", "item_no", "item_at"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        _signed(hashes), pa.array(numbers[owner[at]]),
+                        pa.array((at - starts[owner[at]]).astype(np.int32))
+                    ],
+                    names=["hash", "item_no", "item_at"]
+                )
 
     seeds = scratch.cut(worded.mapInArrow(to_seeds, "hash long, item_no long, item_at int"))
     sieve, size = _sieve(seeds, seeds.count())
@@ -152,7 +173,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
             for block in blocks(enumerate(batch.column(1).to_pylist()), 1):
                 words, ends = word_hashes([t for _, t in block])
                 owner, starts = document_of(ends), np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                found = [(at[kept], hashes[kept]) for at, hashes in _seeds(words, owner, masks) if len(kept := _pass(sieve, hashes, size))]
+                found = [
+                    (at[kept], hashes[kept]) for at,
+                    hashes in _seeds(words, owner, masks) if len(kept := _pass(sieve, hashes, size))
+                ]
                 if not found:
                     continue
                 at, hashes = (np.concatenate(x) for x in zip(*found))
@@ -163,14 +187,32 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
                 ids = batch.column(0).take(pa.array([block[i][0] for i in which]))
                 texts = pa.array([words[starts[i] : ends[i]].tobytes() for i in which], pa.binary())
                 local = pa.array((at - starts[owner[at]]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([ids, texts, pa.ListArray.from_arrays(offsets, _signed(hashes)), pa.ListArray.from_arrays(offsets, local)], names=["doc_id", "words", "hashes", "places"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids, texts, pa.ListArray.from_arrays(offsets, _signed(hashes)),
+                        pa.ListArray.from_arrays(offsets, local)
+                    ],
+                    names=["doc_id", "words", "hashes", "places"]
+                )
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
-    met = scratch.cut(slim.mapInArrow(read, f"doc_id {dtype}, words binary, hashes array<long>, places array<int>").withColumn("row", F.monotonically_increasing_id()))
-    hits = met.select("row", F.explode(F.arrays_zip("hashes", "places")).alias("h")).select("row", F.col("h.hashes").alias("hash"), F.col("h.places").alias("at"))
-    diagonals = hits.join(seeds, "hash").groupBy("row", "item_no", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count(F.lit(1)).alias("n_seeds"))
-    named = diagonals.join(worded.withColumnRenamed("words", "item_words"), "item_no").select("row", "item_no", "item_id", "item_words", "shift")
-    both = met.select("row", F.lit(0).alias("kind"), "doc_id", "words").unionByName(named.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    met = scratch.cut(
+        slim.mapInArrow(
+            read, f"doc_id {dtype}, words binary, hashes array<long>, places array<int>"
+        ).withColumn("row", F.monotonically_increasing_id())
+    )
+    hits = met.select("row", F.explode(F.arrays_zip("hashes", "places")).alias("h")).select(
+        "row", F.col("h.hashes").alias("hash"), F.col("h.places").alias("at")
+    )
+    diagonals = hits.join(seeds, "hash").groupBy(
+        "row", "item_no", (F.col("at") - F.col("item_at")).alias("shift")
+    ).agg(F.count(F.lit(1)).alias("n_seeds"))
+    named = diagonals.join(
+        worded.withColumnRenamed("words", "item_words"), "item_no"
+    ).select("row", "item_no", "item_id", "item_words", "shift")
+    both = met.select("row", F.lit(0).alias("kind"), "doc_id", "words").unionByName(
+        named.withColumn("kind", F.lit(1)), allowMissingColumns=True
+    )
     item_arrow, doc_arrow = to_arrow_type(items.schema[item_id].dataType), to_arrow_type(docs.schema[doc_id].dataType)
 
     def compare(batches):
@@ -181,20 +223,39 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
             out: list[tuple] = []
             for i in range(batch.num_rows):
                 if kinds[i] == 0:
-                    row, words, name = marks[i], np.frombuffer(batch.column("words")[i].as_py(), np.uint64), batch.column("doc_id")[i].as_py()
+                    row, words, name = marks[i], np.frombuffer(
+                        batch.column("words")[i].as_py(), np.uint64
+                    ), batch.column("doc_id")[i].as_py()
                     continue
-                item, shift = np.frombuffer(batch.column("item_words")[i].as_py(), np.uint64), batch.column("shift")[i].as_py()
+                item, shift = np.frombuffer(
+                    batch.column("item_words")[i].as_py(), np.uint64
+                ), batch.column("shift")[i].as_py()
                 lo, hi = max(0, shift), min(len(words), len(item) + shift)
                 equal = words[lo:hi] == item[lo - shift : hi - shift]
                 length, n = _overlap(equal, patience)
-                out.append((row, name, batch.column("item_no")[i].as_py(), batch.column("item_id")[i].as_py(), length, n, _longest_run(equal)))
+                out.append(
+                    (
+                        row, name, batch.column("item_no")[i].as_py(), batch.column("item_id")[i].as_py(), length, n,
+                        _longest_run(equal)
+                    )
+                )
             if out:
                 columns = list(zip(*out))
                 kinds_ = [pa.int64(), doc_arrow, pa.int64(), item_arrow, pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_)], names=["row", "doc_id", "item_no", "item_id", "overlap_words", "equal_words", "longest_run"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, kinds_)],
+                    names=["row", "doc_id", "item_no", "item_id", "overlap_words", "equal_words", "longest_run"]
+                )
 
     ordered = both.repartition("row").sortWithinPartitions("row", "kind")
-    compared = ordered.mapInArrow(compare, f"row long, doc_id {dtype}, item_no long, item_id {itype}, overlap_words int, equal_words int, longest_run int")
+    compared = ordered.mapInArrow(
+        compare,
+        f"row long, doc_id {dtype}, item_no long, item_id {itype}, overlap_words int, equal_words int, longest_run int"
+    )
     # A seed's hash may clash; its diagonal then shows no run of words that would have met a mask.
-    best = compared.groupBy("row", "doc_id", "item_no", "item_id").agg(F.max(F.struct("overlap_words", "equal_words")).alias("b"), F.max("longest_run").alias("longest_run"))
-    return best.where(F.col("b.equal_words") >= min(m.count("1") for m in masks)).select("doc_id", "item_id", "b.overlap_words", "b.equal_words", "longest_run")
+    best = compared.groupBy("row", "doc_id", "item_no", "item_id").agg(
+        F.max(F.struct("overlap_words", "equal_words")).alias("b"), F.max("longest_run").alias("longest_run")
+    )
+    return best.where(F.col("b.equal_words") >= min(m.count("1") for m in masks)).select(
+        "doc_id", "item_id", "b.overlap_words", "b.equal_words", "longest_run"
+    )

@@ -30,7 +30,9 @@ def _parts(text: str):
     at = 0
     while len(text) - at > PART:
         end = at + PART
-        while end < len(text) and not (text[end] == " " and text[end - 1] > " " and end + 1 < len(text) and text[end + 1] > " "):
+        while end < len(text) and not (
+            text[end] == " " and text[end - 1] > " " and end + 1 < len(text) and text[end + 1] > " "
+        ):
             end += 1
         yield text[at:end]
         at = end
@@ -48,8 +50,13 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKEN
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
-            counts = [sum(len(encoding.encode_ordinary(p)) for p in _parts(t)) if t else 0 for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
+            counts = [
+                sum(len(encoding.encode_ordinary(p)) for p in _parts(t)) if t else 0
+                for t in batch.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"]
+            )
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(run, f"doc_id {kind}, n_tokens long")
 
@@ -83,8 +90,12 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tupl
     large = sorted((s for s in left if s * 3 > capacity), reverse=True)
     for i, size in enumerate(large):
         while left[size]:
-            partner = next((s for s in large[i:] if s <= capacity - size and left[s] and (s != size or left[s] > 1)), None)
-            count = left[size] if partner is None else left[size] // 2 if partner == size else min(left[size], left[partner])
+            partner = next(
+                (s for s in large[i:] if s <= capacity - size and left[s] and (s != size or left[s] > 1)), None
+            )
+            count = left[size] if partner is None else left[size] // 2 if partner == size else min(
+                left[size], left[partner]
+            )
             put(size, count, containers)
             if partner:
                 put(partner, count, containers)
@@ -126,7 +137,12 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     few rows per size and gap, whatever the number of documents.
     """
     sizes = sizes.select("doc_id", F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))
-    rest = sizes.withColumn("rest", F.when((F.col("n_tokens") % capacity == 0) & (F.col("n_tokens") > 0), F.lit(capacity)).otherwise(F.col("n_tokens") % capacity))
+    rest = sizes.withColumn(
+        "rest",
+        F.when(
+            (F.col("n_tokens") % capacity == 0) & (F.col("n_tokens") > 0), F.lit(capacity)
+        ).otherwise(F.col("n_tokens") % capacity)
+    )
     fulls = ((F.col("n_tokens") - F.col("rest")) / capacity).cast("long")
     based = cut(_part_ranks(rest.withColumn("full", fulls)))
     histogram = {r["rest"]: r["n"] for r in based.groupBy("rest").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
@@ -139,8 +155,12 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     counts = based.groupBy("rest", "part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(window), F.lit(0))).drop("n")
     # Full pieces get consecutive numbers; one row per partition decides where a partition's begin.
-    full_before = based.groupBy("part").agg(F.sum("full").alias("f")).withColumn("full_before", F.coalesce(F.sum("f").over(whole), F.lit(0))).drop("f")
-    ranked = based.join(before, ["rest", "part"]).join(full_before, "part").withColumn("rank", F.col("local") + F.col("before"))
+    full_before = based.groupBy("part").agg(F.sum("full").alias("f")).withColumn(
+        "full_before", F.coalesce(F.sum("f").over(whole), F.lit(0))
+    ).drop("f")
+    ranked = based.join(before, ["rest", "part"]).join(full_before, "part").withColumn(
+        "rank", F.col("local") + F.col("before")
+    )
     key = np.array(sorted((s, r, c) for s, r, n, c in plan), dtype=np.int64).reshape(-1, 3)
     sizes_, ranks_, firsts_ = key[:, 0].copy(), key[:, 1].copy(), key[:, 2].copy()
     starts = np.searchsorted(sizes_, np.arange(capacity + 2))
@@ -159,12 +179,30 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
                     where[order[a:b]] = firsts_[at] + r[a:b] - ranks_[at]
                 else:
                     where[order[a:b]] = r[a:b] % containers
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(where)], names=[*batch.schema.names, "container"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(where)], names=[*batch.schema.names, "container"]
+            )
 
     kind = dict(sizes.dtypes)["doc_id"]
-    slim = ranked.select("doc_id", "rest", "rank", "full", (F.col("full_upto") + F.col("full_before")).alias("full_first"))
-    placed = slim.mapInArrow(look_up, f"doc_id {kind}, rest long, rank long, full long, full_first long, container long")
-    pieces = F.concat(F.when(F.col("full") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("full") - 1), lambda i: F.struct(i.alias("piece"), F.lit(capacity).cast("long").alias("n_tokens"), (F.lit(containers) + F.col("full_first") + i).alias("container")))).otherwise(F.array()), F.array(F.struct(F.col("full").alias("piece"), F.col("rest").alias("n_tokens"), F.col("container"))))
+    slim = ranked.select(
+        "doc_id", "rest", "rank", "full", (F.col("full_upto") + F.col("full_before")).alias("full_first")
+    )
+    placed = slim.mapInArrow(
+        look_up, f"doc_id {kind}, rest long, rank long, full long, full_first long, container long"
+    )
+    pieces = F.concat(
+        F.when(
+            F.col("full") > 0,
+            F.transform(
+                F.sequence(F.lit(0).cast("long"), F.col("full") - 1),
+                lambda i: F.struct(
+                    i.alias("piece"), F.lit(capacity).cast("long").alias("n_tokens"),
+                    (F.lit(containers) + F.col("full_first") + i).alias("container")
+                )
+            )
+        ).otherwise(F.array()),
+        F.array(F.struct(F.col("full").alias("piece"), F.col("rest").alias("n_tokens"), F.col("container")))
+    )
     return placed.select("doc_id", F.explode(pieces).alias("p")).select("doc_id", "p.*")
 
 
@@ -188,6 +226,14 @@ def _part_ranks(df: DataFrame) -> DataFrame:
                 seen[int(s[a])] += b - a
             before = fulls + np.cumsum(full) - full
             fulls += int(full.sum())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(s), part, np.int32)), pa.array(local), pa.array(before.astype(np.int64))], names=[*batch.schema.names, "part", "local", "full_upto"])
-
-    return df.mapInArrow(run, f"doc_id {kind}, n_tokens long, rest long, full long, part int, local long, full_upto long")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns, pa.array(np.full(len(s), part, np.int32)), pa.array(local),
+                    pa.array(before.astype(np.int64))
+                ],
+                names=[*batch.schema.names, "part", "local", "full_upto"]
+            )
+
+    return df.mapInArrow(
+        run, f"doc_id {kind}, n_tokens long, rest long, full long, part int, local long, full_upto long"
+    )

@@ -52,13 +52,22 @@ def _placed(df: DataFrame, groups: Sequence[str]) -> DataFrame:
             if last is not None and tuple(batch.column(g)[0].as_py() for g in groups) == last:
                 upto[codes == 0] += carried
             last, carried = tuple(batch.column(g)[-1].as_py() for g in groups), int(upto[-1])
-            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow)), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(upto)], schema=arrow)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(c.cast(f.type) for c, f in zip(batch.columns, arrow)),
+                    pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(upto)
+                ],
+                schema=arrow
+            )
 
     keys = [*groups, "value"]
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def order_statistics(df: DataFrame, groups: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]], weight: str | None = None) -> DataFrame:
+def order_statistics(
+    df: DataFrame, groups: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]],
+    weight: str | None = None
+) -> DataFrame:
     """``(groups, n_rows, *ranks)``: the values at given ranks of every group, one row per group.
 
     ``ranks`` maps an output column to a function of the group's size that gives a rank, counted from 1; a rank outside
@@ -68,7 +77,10 @@ def order_statistics(df: DataFrame, groups: Sequence[str], value: str, ranks: di
     """
     groups = list(groups)
     names = [f"_g{i}" for i in range(len(groups))]
-    slim = df.select(*[F.col(g).alias(n) for g, n in zip(groups, names)], F.col(value).cast("double").alias("value"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"))
+    slim = df.select(
+        *[F.col(g).alias(n) for g, n in zip(groups, names)], F.col(value).cast("double").alias("value"),
+        (F.col(weight) if weight else F.lit(1)).cast("long").alias("n")
+    )
     scratch = Scratch(df.sparkSession, "percentiles")
     placed = scratch.cut(_placed(slim.where("value IS NOT NULL AND NOT isnan(value) AND n > 0"), names))
     # One row per partition that holds some of a group: few rows, even for a group with most of the table.
@@ -76,21 +88,41 @@ def order_statistics(df: DataFrame, groups: Sequence[str], value: str, ranks: di
     whole = Window.partitionBy(*[F.col(n) for n in names])
     before = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = per_part.withColumn("_before", before).withColumn("n_rows", F.sum("_n").over(whole))
-    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), f(F.col("n_rows")).cast("long").alias("rank")) for k, f in ranks.items()]))
+    wanted = F.explode(
+        F.array(
+            *[F.struct(F.lit(k).alias("name"), f(F.col("n_rows")).cast("long").alias("rank")) for k, f in ranks.items()]
+        )
+    )
     targets = offsets.select(*names, "_part", "_n", "_before", "n_rows", wanted.alias("w"))
     here = (F.col("w.rank") > F.col("_before")) & (F.col("w.rank") <= F.col("_before") + F.col("_n"))
     # A row per group and rank at most; written, so that its size is known and Catalyst decides how to join it.
-    targets = scratch.cut(targets.where(here).select(*names, "_part", F.col("w.name").alias("_name"), (F.col("w.rank") - F.col("_before")).alias("_at")))
-    match = (F.col("p._part") == F.col("t._part")) & (F.col("t._at") <= F.col("p._upto")) & (F.col("t._at") > F.col("p._upto") - F.col("p.n"))
+    targets = scratch.cut(
+        targets.where(here).select(
+            *names, "_part", F.col("w.name").alias("_name"), (F.col("w.rank") - F.col("_before")).alias("_at")
+        )
+    )
+    match = (F.col("p._part") == F.col("t._part")) & (F.col("t._at") <= F.col("p._upto")) & (
+        F.col("t._at") > F.col("p._upto") - F.col("p.n")
+    )
     for n in names:
         match &= F.col(f"p.{n}").eqNullSafe(F.col(f"t.{n}"))
-    found = placed.alias("p").join(targets.alias("t"), match).select(*[F.col(f"p.{n}") for n in names], "_name", "value", F.lit(None).cast("long").alias("n_rows"))
-    sizes = per_part.groupBy(*names).agg(F.sum("_n").alias("n_rows")).select(*names, F.lit(None).cast("string").alias("_name"), F.lit(None).cast("double").alias("value"), "n_rows")
-    both = found.unionByName(sizes).groupBy(*names).agg(F.max("n_rows").alias("n_rows"), *[F.max(F.when(F.col("_name") == k, F.col("value"))).alias(k) for k in ranks])
-    return both.where("n_rows IS NOT NULL").select(*[F.col(n).alias(g) for n, g in zip(names, groups)], "n_rows", *ranks)
-
-
-def percentiles(df: DataFrame, groups: Sequence[str], value: str, fractions: dict[str, float], weight: str | None = None) -> DataFrame:
+    found = placed.alias("p").join(targets.alias("t"), match).select(
+        *[F.col(f"p.{n}") for n in names], "_name", "value", F.lit(None).cast("long").alias("n_rows")
+    )
+    sizes = per_part.groupBy(*names).agg(F.sum("_n").alias("n_rows")).select(
+        *names, F.lit(None).cast("string").alias("_name"), F.lit(None).cast("double").alias("value"), "n_rows"
+    )
+    both = found.unionByName(sizes).groupBy(*names).agg(
+        F.max("n_rows").alias("n_rows"), *[F.max(F.when(F.col("_name") == k, F.col("value"))).alias(k) for k in ranks]
+    )
+    return both.where("n_rows IS NOT NULL").select(
+        *[F.col(n).alias(g) for n, g in zip(names, groups)], "n_rows", *ranks
+    )
+
+
+def percentiles(
+    df: DataFrame, groups: Sequence[str], value: str, fractions: dict[str, float], weight: str | None = None
+) -> DataFrame:
     """``(groups, n_rows, *fractions)``: exact percentiles, linear between the two order statistics around the position."""
     ranks = {}
     for name, f in fractions.items():
@@ -100,5 +132,7 @@ def percentiles(df: DataFrame, groups: Sequence[str], value: str, fractions: dic
     columns = []
     for name, f in fractions.items():
         at = (F.col("n_rows") - 1) * F.lit(f)
-        columns.append((F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * (at - F.floor(at))).alias(name))
+        columns.append(
+            (F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * (at - F.floor(at))).alias(name)
+        )
     return found.select(*groups, "n_rows", *columns)

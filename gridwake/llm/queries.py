@@ -37,32 +37,50 @@ def _entities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     A name is what a group may be called after: a region's id, a recorder's code, or the id of a point
     without recorder. Regions meet over their sites and crews, never in pairs.
     """
-    regions = table(spark, d, "training_regions").where("id IS NOT NULL").select("id", "tags", plain(F.col("id")).alias("p"))
+    regions = table(spark, d, "training_regions").where("id IS NOT NULL").select(
+        "id", "tags", plain(F.col("id")).alias("p")
+    )
     node = lambda kind, c: F.concat(F.lit(kind), c)
     vertices = regions.select(node("r:", F.col("p")).alias("vertex"), F.col("id").alias("name"))
     edges = regions.select(node("r:", F.col("p")).alias("a"), node("s:", site_of(F.col("p"))).alias("b"))
     tags = regions.select("p", F.explode("tags").alias("tag"))
-    crew = code_of(F.nullif(F.regexp_extract(F.col("tag"), "(?i)^[^a-z0-9]*crew([^a-z].*|[a-z]*[0-9].*)$", 1), F.lit("")))
+    crew = code_of(
+        F.nullif(F.regexp_extract(F.col("tag"), "(?i)^[^a-z0-9]*crew([^a-z].*|[a-z]*[0-9].*)$", 1), F.lit(""))
+    )
     edges = edges.unionByName(tags.select(node("r:", F.col("p")).alias("a"), node("c:", crew).alias("b")))
-    points = table(spark, d, "science_points").where("point_id IS NOT NULL").groupBy("point_id").agg(F.max("recordedBy").alias("by")).select("point_id", plain(F.col("point_id")).alias("p"), code_of(F.col("by")).alias("code"))
-    vertices = vertices.unionByName(points.select(node("p:", F.col("p")).alias("vertex"), F.coalesce("code", "point_id").alias("name")))
+    points = table(spark, d, "science_points").where("point_id IS NOT NULL").groupBy("point_id").agg(
+        F.max("recordedBy").alias("by")
+    ).select(
+        "point_id", plain(F.col("point_id")).alias("p"), code_of(F.col("by")).alias("code")
+    )
+    vertices = vertices.unionByName(
+        points.select(node("p:", F.col("p")).alias("vertex"), F.coalesce("code", "point_id").alias("name"))
+    )
     edges = edges.unionByName(points.select(node("p:", F.col("p")).alias("a"), node("k:", F.col("code")).alias("b")))
     return vertices, edges
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "tam_samples").where("sample_id IS NOT NULL").groupBy("sample_id").agg(F.max("point_id").alias("point_id"), F.max("label").alias("label"))
+    return table(spark, d, "tam_samples").where("sample_id IS NOT NULL").groupBy("sample_id").agg(
+        F.max("point_id").alias("point_id"), F.max("label").alias("label")
+    )
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every sample with its label and group; a sample of an unknown region belongs to that region's site."""
     vertices, edges = _entities(spark, d)
     samples = _samples(spark, d).withColumn("p", plain(F.col("point_id")))
-    known = vertices.where("vertex LIKE 'p:%'").select(F.substring("vertex", 3, 1 << 20).alias("p"), F.lit(True).alias("is_point")).distinct()
-    samples = samples.join(known, "p", "left").withColumn("at", F.when(F.col("is_point"), F.col("p")).otherwise(region_of(F.col("p"))))
+    known = vertices.where("vertex LIKE 'p:%'").select(
+        F.substring("vertex", 3, 1 << 20).alias("p"), F.lit(True).alias("is_point")
+    ).distinct()
+    samples = samples.join(known, "p", "left").withColumn(
+        "at", F.when(F.col("is_point"), F.col("p")).otherwise(region_of(F.col("p")))
+    )
     samples = samples.withColumn("vertex", F.concat(F.when(F.col("is_point"), "p:").otherwise("r:"), "at"))
     strays = samples.where("is_point IS NULL AND at IS NOT NULL").select("at").distinct()
-    edges = edges.unionByName(strays.select(F.concat(F.lit("r:"), "at").alias("a"), F.concat(F.lit("s:"), site_of(F.col("at"))).alias("b")))
+    edges = edges.unionByName(
+        strays.select(F.concat(F.lit("r:"), "at").alias("a"), F.concat(F.lit("s:"), site_of(F.col("at"))).alias("b"))
+    )
     found = components.connected_components(edges, vertices.select("vertex"))
     names = found.join(vertices, "vertex").groupBy("component").agg(F.min("name").alias("grp"))
     named = found.join(names, "component", "left").select("vertex", "grp")
@@ -78,7 +96,9 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     samples = p1_groups(spark, d)
     weights = samples.groupBy("grp").agg(F.count(F.lit(1)).alias("weight"))
     splits = components.split_groups(weights, "grp", "weight", SHARES)
-    return samples.join(splits.select("grp", "split"), "grp", "left").select("sample_id", "label", "grp", F.coalesce("split", F.lit("train")).alias("split"))
+    return samples.join(splits.select("grp", "split"), "grp", "left").select(
+        "sample_id", "label", "grp", F.coalesce("split", F.lit("train")).alias("split")
+    )
 
 
 def _readings(spark: SparkSession, d: str) -> DataFrame:
@@ -88,12 +108,23 @@ def _readings(spark: SparkSession, d: str) -> DataFrame:
     """
     ndvi = F.when((F.col("scl_purity") == 1) & F.col("NDVI").between(-1, 1) & ~F.isnan("NDVI"), F.col("NDVI"))
     vh = F.when((F.col("vh") > 0) & ~F.isnan("vh"), F.col("vh"))
-    wanted = table(spark, d, "observations").where("obs_id IS NOT NULL").select("obs_id", "batch_no", region_of(F.col("point_id")).alias("id"), ndvi.alias("ndvi"), vh.alias("vh"))
-    regions = table(spark, d, "training_regions").where("id IS NOT NULL").groupBy("id").agg(F.min("label").alias("label")).withColumn("site", site_of(F.col("id")))
+    wanted = table(spark, d, "observations").where("obs_id IS NOT NULL").select(
+        "obs_id", "batch_no", region_of(F.col("point_id")).alias("id"), ndvi.alias("ndvi"), vh.alias("vh")
+    )
+    regions = table(spark, d, "training_regions").where("id IS NOT NULL").groupBy("id").agg(
+        F.min("label").alias("label")
+    ).withColumn("site", site_of(F.col("id")))
     placed = wanted.where("ndvi IS NOT NULL OR vh IS NOT NULL").join(regions, "id")
-    once = placed.groupBy("obs_id").agg(F.min(F.struct("batch_no", "site", "label", "ndvi", "vh")).alias("r")).select("r.*")
-    signals = F.array(F.struct(F.lit("ndvi").alias("signal"), F.col("ndvi").alias("v")), F.struct(F.lit("s1_vh").alias("signal"), F.col("vh").alias("v")))
-    return once.select("batch_no", "site", "label", F.explode(signals).alias("r")).select("batch_no", "site", "r.signal", "label", "r.v").where("v IS NOT NULL")
+    once = placed.groupBy("obs_id").agg(
+        F.min(F.struct("batch_no", "site", "label", "ndvi", "vh")).alias("r")
+    ).select("r.*")
+    signals = F.array(
+        F.struct(F.lit("ndvi").alias("signal"), F.col("ndvi").alias("v")),
+        F.struct(F.lit("s1_vh").alias("signal"), F.col("vh").alias("v"))
+    )
+    return once.select(
+        "batch_no", "site", "label", F.explode(signals).alias("r")
+    ).select("batch_no", "site", "r.signal", "label", "r.v").where("v IS NOT NULL")
 
 
 BATCH, ALL = ["batch_no", "site", "signal", "label"], ["site", "signal", "label"]
@@ -112,7 +143,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     stated = table(spark, d, "class_stats")
     wrong = None
     for name in QUARTERS:
-        this = F.coalesce(F.col(f"below_{name}") < F.col(name), F.lit(False)) | F.coalesce(F.col(f"above_{name}") > F.col(name), F.lit(False))
+        this = F.coalesce(F.col(f"below_{name}") < F.col(name), F.lit(False)) | F.coalesce(
+            F.col(f"above_{name}") > F.col(name), F.lit(False)
+        )
         wrong = this if wrong is None else wrong | this
     return stated.join(found, BATCH).where(wrong).select(*BATCH).distinct()
 
@@ -129,7 +162,9 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def p4_combined(spark: SparkSession, d: str) -> DataFrame:
     """Exact quartiles per site, signal and label, combined from the summaries of the batches."""
     batches = percentiles.summary(_readings(spark, d), BATCH, "v")
-    return _rounded(percentiles.percentiles(percentiles.summary(batches, ALL, "value", "n"), ALL, "value", QUARTERS, "n"), ALL)
+    return _rounded(
+        percentiles.percentiles(percentiles.summary(batches, ALL, "value", "n"), ALL, "value", QUARTERS, "n"), ALL
+    )
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +175,10 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     """How well the containers are filled: their number, the least possible number, and the used share."""
     used = p8_packed(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("n"))
-    return used.agg(F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("n") / CAPACITY).alias("at_least"), F.max("n").alias("fullest"), F.round(F.sum("n") / (F.count(F.lit(1)) * CAPACITY), 6).alias("used"))
+    return used.agg(
+        F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("n") / CAPACITY).alias("at_least"),
+        F.max("n").alias("fullest"), F.round(F.sum("n") / (F.count(F.lit(1)) * CAPACITY), 6).alias("used")
+    )
 
 
 def p9_overlaps(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +207,13 @@ def p10_perplexity(spark: SparkSession, d: str) -> DataFrame:
     return repetition.bands(repetition.perplexity(docs, "doc_id", "text", "lang", model), 0.01, 0.99)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p1_splits, p4_found, p4_percentiles, p4_combined, p8_packed, p8_fill, p9_found, p9_overlaps, p10_found, p10_shares, p10_perplexity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_groups, p1_splits, p4_found, p4_percentiles, p4_combined, p8_packed, p8_fill, p9_found,
+        p9_overlaps, p10_found, p10_shares, p10_perplexity
+    )
+}
 
 _READINGS = """
 WITH o AS (SELECT DISTINCT ON (obs_id) * FROM observations),
@@ -201,6 +245,10 @@ SQL = {
 SELECT DISTINCT batch_no, site, signal, label FROM
  (SELECT s.batch_no, s.site, s.signal, s.label, CASE q WHEN 'p25' THEN 25 WHEN 'median' THEN 50 ELSE 75 END AS f, count(*) AS n, count(*) FILTER (r.v < s.v) AS below, count(*) FILTER (r.v <= s.v) AS upto
   FROM s JOIN r USING (batch_no, site, signal, label) GROUP BY ALL) WHERE 100 * below > (f + 4) * n OR 100 * upto < (f - 4) * n""",
-    "p4_percentiles": _READINGS + "SELECT batch_no, site, signal, label, count(*) AS n, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS p75 FROM r GROUP BY ALL",
-    "p4_combined": _READINGS + "SELECT site, signal, label, count(*) AS n, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS p75 FROM r GROUP BY ALL",
+    "p4_percentiles": _READINGS
+    + "SELECT batch_no, site, signal, label, count(*) AS n, round(quantile_cont(v, 0.25), 6) AS p25, "
+    "round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS p75 FROM r GROUP BY ALL",
+    "p4_combined": _READINGS
+    + "SELECT site, signal, label, count(*) AS n, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, "
+    "0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS p75 FROM r GROUP BY ALL",
 }

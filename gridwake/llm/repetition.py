@@ -58,9 +58,14 @@ def repetition(docs: DataFrame, doc_id: str, text: str, run: int = 8) -> DataFra
                 n = np.diff(np.concatenate([[0], ends]))
                 repeated = repeated_words(words, ends, run)
                 ids = batch.column(0).slice(block[0][0], len(block))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(repeated), pa.array(repeated / np.maximum(n, 1))], names=["doc_id", "n_words", "n_repeated", "share"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(n), pa.array(repeated), pa.array(repeated / np.maximum(n, 1))],
+                    names=["doc_id", "n_words", "n_repeated", "share"]
+                )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(score, f"doc_id {kind}, n_words long, n_repeated long, share double")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(
+        score, f"doc_id {kind}, n_words long, n_repeated long, share double"
+    )
 
 
 # ---- modified Kneser-Ney ------------------------------------------------------------------------------
@@ -73,7 +78,9 @@ def language_key(lang: Column) -> Column:
 def _trigrams(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The two words before each word (0 before a text's first), and the word."""
     starts = np.concatenate([[0], ends[:-1]])
-    w1, w2 = np.concatenate([[0, 0], words[:-2]])[: len(words)].astype(np.uint64), np.concatenate([[0], words[:-1]])[: len(words)].astype(np.uint64)
+    w1, w2 = np.concatenate(
+        [[0, 0], words[:-2]]
+    )[: len(words)].astype(np.uint64), np.concatenate([[0], words[:-1]])[: len(words)].astype(np.uint64)
     full = starts[starts < ends]
     w1[full] = 0
     w2[full] = 0
@@ -103,9 +110,18 @@ def count_trigrams(docs: DataFrame, text: str, lang: str) -> DataFrame:
                     grams = np.column_stack(_trigrams(words, ends))
                     key = mix(grams[:, 0] * np.uint64(3) + mix(grams[:, 1] * np.uint64(5) + mix(grams[:, 2])))
                     _, at, n = np.unique(key, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(at), pa.string()), *(_signed(np.ascontiguousarray(grams[at, i])) for i in range(3)), pa.array(n.astype(np.int64))], names=["lang", "w1", "w2", "w3", "n"])
-
-    counted = docs.select(language_key(F.col(lang)).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, w1 long, w2 long, w3 long, n long")
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([lang_] * len(at), pa.string()),
+                            *(_signed(np.ascontiguousarray(grams[at, i])) for i in range(3)),
+                            pa.array(n.astype(np.int64))
+                        ],
+                        names=["lang", "w1", "w2", "w3", "n"]
+                    )
+
+    counted = docs.select(
+        language_key(F.col(lang)).alias("lang"), F.col(text).alias("text")
+    ).mapInArrow(run, "lang string, w1 long, w2 long, w3 long, n long")
     return counted.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
 
 
@@ -114,7 +130,13 @@ def _discounts(df: DataFrame, order: int) -> DataFrame:
     counts = df.groupBy("lang").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"c{k}") for k in (1, 2, 3, 4)])
     y = F.try_divide(F.col("c1"), F.col("c1") + 2 * F.col("c2"))
     bound = lambda value, k: F.least(F.lit(float(k)), F.greatest(F.lit(0.1 * k), F.coalesce(value, F.lit(0.5 * k))))
-    return counts.select("lang", *[bound(k - (k + 1) * y * F.try_divide(F.col(f"c{k + 1}"), F.col(f"c{k}")), k).alias(f"d{k}_{order}") for k in (1, 2, 3)])
+    return counts.select(
+        "lang",
+        *[
+            bound(k - (k + 1) * y * F.try_divide(F.col(f"c{k + 1}"), F.col(f"c{k}")), k).alias(f"d{k}_{order}")
+            for k in (1, 2, 3)
+        ]
+    )
 
 
 #: Kinds of model rows: the probability of a triple, a pair, a word and of any unknown word, and what is left for the lower
@@ -137,16 +159,23 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
     def contexts(df: DataFrame, keys: list[str], order: int) -> DataFrame:
         kinds = [F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.count_if(F.col("n") >= 3)]
-        return df.groupBy("lang", *keys).agg(F.sum("n").alias(f"total_{order}"), *[k.alias(f"k{i + 1}_{order}") for i, k in enumerate(kinds)])
+        return df.groupBy("lang", *keys).agg(
+            F.sum("n").alias(f"total_{order}"), *[k.alias(f"k{i + 1}_{order}") for i, k in enumerate(kinds)]
+        )
 
-    small = _discounts(tri, 3).join(_discounts(bi, 2), "lang").join(_discounts(uni, 1), "lang").join(uni.groupBy("lang").agg(F.count(F.lit(1)).alias("words")), "lang").join(contexts(uni, [], 1), "lang")
+    small = _discounts(tri, 3).join(_discounts(bi, 2), "lang").join(_discounts(uni, 1), "lang").join(
+        uni.groupBy("lang").agg(F.count(F.lit(1)).alias("words")), "lang"
+    ).join(contexts(uni, [], 1), "lang")
 
     def share(n: Column, order: int) -> Column:
         taken = F.when(n == 1, F.col(f"d1_{order}")).when(n == 2, F.col(f"d2_{order}")).otherwise(F.col(f"d3_{order}"))
         return F.greatest(F.lit(0.0), n - taken) / F.col(f"total_{order}")
 
     def rest(order: int) -> Column:
-        return (F.col(f"d1_{order}") * F.col(f"k1_{order}") + F.col(f"d2_{order}") * F.col(f"k2_{order}") + F.col(f"d3_{order}") * F.col(f"k3_{order}")) / F.col(f"total_{order}")
+        return (
+            F.col(f"d1_{order}") * F.col(f"k1_{order}") + F.col(f"d2_{order}") * F.col(f"k2_{order}")
+            + F.col(f"d3_{order}") * F.col(f"k3_{order}")
+        ) / F.col(f"total_{order}")
 
     discounts = lambda k: small.select("lang", *[f"d{i}_{k}" for i in (1, 2, 3)])
     unknown = rest(1) / (F.col("words") + 1)
@@ -159,7 +188,10 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     none = F.lit(0).cast("long")
 
     def rows(df: DataFrame, kind: int, value: Column, w1=none, w2=none, w3=none) -> DataFrame:
-        return df.select("lang", F.lit(kind).alias("kind"), w1.alias("w1"), w2.alias("w2"), w3.alias("w3"), F.log(value).alias("value"))
+        return df.select(
+            "lang", F.lit(kind).alias("kind"), w1.alias("w1"), w2.alias("w2"), w3.alias("w3"),
+            F.log(value).alias("value")
+        )
 
     w1, w2, w3 = (F.col(c) for c in ("w1", "w2", "w3"))
     parts = [
@@ -184,7 +216,10 @@ def _lang_number(lang: str) -> np.uint64:
 def _looked_up(lang: np.ndarray, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> dict[int, np.ndarray]:
     """The keys under which the model is asked for a triple and for what it may back off to."""
     no = np.zeros(len(w3), np.uint64)
-    parts = {TRIPLE: (w1, w2, w3), PAIR: (no, w2, w3), WORD: (no, no, w3), UNKNOWN: (no, no, no), REST_2: (w1, w2, no), REST_1: (no, w2, no)}
+    parts = {
+        TRIPLE: (w1, w2, w3), PAIR: (no, w2, w3), WORD: (no, no, w3), UNKNOWN: (no, no, no), REST_2: (w1, w2, no),
+        REST_1: (no, w2, no)
+    }
     return {kind: _keys(lang, kind, *words) for kind, words in parts.items()}
 
 
@@ -194,7 +229,9 @@ def _model_rows(model: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             langs = pa.compute.dictionary_encode(batch.column("lang"))
-            numbers = np.array([_lang_number(x) for x in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()] if batch.num_rows else np.zeros(0, np.uint64)
+            numbers = np.array(
+                [_lang_number(x) for x in langs.dictionary.to_pylist()], np.uint64
+            )[langs.indices.to_numpy()] if batch.num_rows else np.zeros(0, np.uint64)
             kinds = batch.column("kind").to_numpy()
             grams = [batch.column(c).to_numpy().view(np.uint64) for c in ("w1", "w2", "w3")]
             keys = np.zeros(batch.num_rows, np.uint64)
@@ -206,7 +243,9 @@ def _model_rows(model: DataFrame) -> DataFrame:
     return model.mapInArrow(run, "key long, value double")
 
 
-def perplexity(docs: DataFrame, doc_id: str, text: str, lang: str, model: DataFrame, broadcast_rows: int = 6_000_000) -> DataFrame:
+def perplexity(
+    docs: DataFrame, doc_id: str, text: str, lang: str, model: DataFrame, broadcast_rows: int = 6_000_000
+) -> DataFrame:
     """``(doc_id, lang, n_words, perplexity)``; texts without words, or of a language the model hasn't seen, have null perplexity.
 
     ``model`` comes from ``kneser_ney`` over any corpus: triples, pairs and words it doesn't hold back off to the next order. A model
@@ -215,7 +254,9 @@ def perplexity(docs: DataFrame, doc_id: str, text: str, lang: str, model: DataFr
     doc_id.
     """
     kind = dict(docs.dtypes)[doc_id]
-    slim = docs.select(F.col(doc_id).alias("doc_id"), language_key(F.col(lang)).alias("lang"), F.col(text).alias("text"))
+    slim = docs.select(
+        F.col(doc_id).alias("doc_id"), language_key(F.col(lang)).alias("lang"), F.col(text).alias("text")
+    )
     rows = cut(_model_rows(model))
 
     def grams(batch):
@@ -224,7 +265,9 @@ def perplexity(docs: DataFrame, doc_id: str, text: str, lang: str, model: DataFr
             names = {x: _lang_number(x) for x in {x for _, x, _ in block}}
             numbers = np.array([names[x] for _, x, _ in block], np.uint64)
             owner = document_of(ends)
-            yield block[0][0], len(block), owner, ends, _looked_up(numbers[owner], *(_trigrams(words, ends) if len(words) else [np.zeros(0, np.uint64)] * 3))
+            yield block[0][0], len(block), owner, ends, _looked_up(
+                numbers[owner], *(_trigrams(words, ends) if len(words) else [np.zeros(0, np.uint64)] * 3)
+            )
 
     if at_most(rows, broadcast_rows):
         table = rows.toArrow()
@@ -255,7 +298,13 @@ def perplexity(docs: DataFrame, doc_id: str, text: str, lang: str, model: DataFr
                     sums = np.bincount(owner, weights=log_p, minlength=count)[:count]
                     n = np.diff(np.concatenate([[0], ends]))
                     value = np.exp(-sums / np.maximum(n, 1))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, count), batch.column(1).slice(first, count), pa.array(n), pa.array(value, mask=(n == 0) | np.isnan(value))], names=["doc_id", "lang", "n_words", "perplexity"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(first, count), batch.column(1).slice(first, count), pa.array(n),
+                            pa.array(value, mask=(n == 0) | np.isnan(value))
+                        ],
+                        names=["doc_id", "lang", "n_words", "perplexity"]
+                    )
 
         return slim.mapInArrow(score, f"doc_id {kind}, lang string, n_words long, perplexity double")
 
@@ -268,23 +317,39 @@ def perplexity(docs: DataFrame, doc_id: str, text: str, lang: str, model: DataFr
                 bare = np.setdiff1d(np.arange(count), owner)
                 at = pa.array(np.concatenate([owner, bare]).astype(np.int64) + first)
                 keys = [pa.concat_arrays([_signed(asked[k]), pa.nulls(len(bare), pa.int64())]) for k in asked_kinds]
-                yield pa.RecordBatch.from_arrays([batch.column(3).take(at), batch.column(0).take(at), batch.column(1).take(at), *keys], names=["_row", "doc_id", "lang", *[f"k{k}" for k in asked_kinds]])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(3).take(at), batch.column(0).take(at), batch.column(1).take(at), *keys],
+                    names=["_row", "doc_id", "lang", *[f"k{k}" for k in asked_kinds]]
+                )
 
     own = ["_row", "doc_id", "lang"]
     all_keys = [f"k{k}" for k in asked_kinds]
-    spread_out = slim.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(spread, f"_row long, doc_id {kind}, lang string, " + ", ".join(f"{k} long" for k in all_keys))
+    spread_out = slim.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(
+        spread, f"_row long, doc_id {kind}, lang string, " + ", ".join(f"{k} long" for k in all_keys)
+    )
     tokens = cut(spread_out.groupBy(*own, *all_keys).agg(F.count(F.lit(1)).alias("n")))
     # Each distinct triple is looked up once, under all its keys in one join.
-    distinct = tokens.where(f"k{TRIPLE} IS NOT NULL").groupBy(f"k{TRIPLE}").agg(*[F.min(k).alias(k) for k in all_keys[1:]])
-    asked = distinct.select(F.col(f"k{TRIPLE}").alias("gram"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"k{k}").alias("key")) for k in asked_kinds])).alias("a")).select("gram", "a.*")
-    got = asked.join(rows, "key").groupBy("gram").agg(*[F.max(F.when(F.col("kind") == k, F.col("value"))).alias(f"v{k}") for k in asked_kinds])
+    distinct = tokens.where(f"k{TRIPLE} IS NOT NULL").groupBy(f"k{TRIPLE}").agg(
+        *[F.min(k).alias(k) for k in all_keys[1:]]
+    )
+    asked = distinct.select(
+        F.col(f"k{TRIPLE}").alias("gram"),
+        F.explode(
+            F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"k{k}").alias("key")) for k in asked_kinds])
+        ).alias("a")
+    ).select("gram", "a.*")
+    got = asked.join(rows, "key").groupBy("gram").agg(
+        *[F.max(F.when(F.col("kind") == k, F.col("value"))).alias(f"v{k}") for k in asked_kinds]
+    )
     word = F.coalesce(f"v{WORD}", f"v{UNKNOWN}")
     pair = F.coalesce(F.col(f"v{PAIR}"), F.coalesce(f"v{REST_1}", F.lit(0.0)) + word)
     log_p = F.coalesce(F.col(f"v{TRIPLE}"), F.coalesce(f"v{REST_2}", F.lit(0.0)) + pair)
     scored = tokens.join(got.select(F.col("gram").alias(f"k{TRIPLE}"), log_p.alias("log_p")), f"k{TRIPLE}", "left")
     n = F.coalesce(F.sum(F.when(F.col(f"k{TRIPLE}").isNotNull(), F.col("n"))), F.lit(0))
     unheard = F.count_if(F.col(f"k{TRIPLE}").isNotNull() & F.col("log_p").isNull())
-    sums = scored.groupBy(*own).agg(n.alias("n_words"), F.sum(F.col("n") * F.col("log_p")).alias("s"), unheard.alias("unheard"))
+    sums = scored.groupBy(*own).agg(
+        n.alias("n_words"), F.sum(F.col("n") * F.col("log_p")).alias("s"), unheard.alias("unheard")
+    )
     value = F.when(F.col("unheard") == 0, F.exp(-F.col("s") / F.nullif(F.col("n_words"), F.lit(0))))
     return sums.select("doc_id", "lang", "n_words", value.alias("perplexity"))
 
@@ -295,7 +360,11 @@ def bands(scored: DataFrame, low: float, high: float) -> DataFrame:
     The band reaches from the ``low`` to the ``high`` percentile of the language's perplexities, found by
     Greenwald-Khanna sketches that combine over partitions (rank error 1/10,000).
     """
-    limits = scored.where("perplexity IS NOT NULL").groupBy("lang").agg(F.percentile_approx("perplexity", [low, high], 10_000).alias("b"))
+    limits = scored.where("perplexity IS NOT NULL").groupBy("lang").agg(
+        F.percentile_approx("perplexity", [low, high], 10_000).alias("b")
+    )
     joined = scored.join(limits, "lang", "left")
-    verdict = F.when(F.col("perplexity") < F.get("b", F.lit(0)), "low").when(F.col("perplexity") > F.get("b", F.lit(1)), "high").otherwise("kept")
+    verdict = F.when(F.col("perplexity") < F.get("b", F.lit(0)), "low").when(
+        F.col("perplexity") > F.get("b", F.lit(1)), "high"
+    ).otherwise("kept")
     return joined.withColumn("verdict", verdict).drop("b")

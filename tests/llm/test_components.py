@@ -34,7 +34,9 @@ def plain(edges, extra=()):
 
 
 def frame(spark, edges):
-    return spark.createDataFrame([(a, b, "clash", "clash") for a, b in edges], "a string, b string, u string, component string")
+    return spark.createDataFrame(
+        [(a, b, "clash", "clash") for a, b in edges], "a string, b string, u string, component string"
+    )
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -57,8 +59,14 @@ SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
 def test_split_shares(spark):
-    df = spark.range(3000).select(F.concat(F.lit("g"), "id").alias("g"), (F.col("id") % 5 + 1).alias("w"), F.lit("clash").alias("split"))
-    df = df.unionByName(spark.createDataFrame([("giant", 4500, ""), (None, 9, ""), ("none", None, "")], "g string, w long, split string"))
+    df = spark.range(3000).select(
+        F.concat(F.lit("g"), "id").alias("g"), (F.col("id") % 5 + 1).alias("w"), F.lit("clash").alias("split")
+    )
+    df = df.unionByName(
+        spark.createDataFrame(
+            [("giant", 4500, ""), (None, 9, ""), ("none", None, "")], "g string, w long, split string"
+        )
+    )
     out = {r.g: (r.w, r.split) for r in split_groups(df, "g", "w", SHARES).collect()}
     total = sum(w for w, _ in out.values())
     assert None not in out and len(out) == 3002 and out["giant"][1] == "train"

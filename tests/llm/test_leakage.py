@@ -11,7 +11,10 @@ ITEMS = "item_id long, text string, doc_id string, block string"
 def run(spark, docs, items, **kw):
     d = spark.createDataFrame([(i, t, "x", "clash") for i, t in docs], DOCS)
     e = spark.createDataFrame([(i, t, "clash", "clash") for i, t in items], ITEMS)
-    return {(r.doc_id, r.item_id): (r.overlap_words, r.equal_words, r.longest_run) for r in leaks(d, e, "doc_id", "text", "item_id", "text", **kw).collect()}
+    return {
+        (r.doc_id, r.item_id): (r.overlap_words, r.equal_words, r.longest_run)
+        for r in leaks(d, e, "doc_id", "text", "item_id", "text", **kw).collect()
+    }
 
 
 def words(n, seed):

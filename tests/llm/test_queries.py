@@ -51,12 +51,20 @@ def test_groups_against_union_find(spark, duck):
                 root[find(i)] = find("c:" + re.sub("[^a-z0-9]", "", t.lower()[4:]))
     for (i,) in duck.sql("SELECT id FROM training_regions").fetchall():
         names[find(i)] = min(i, names.get(find(i), i))
-    points = {p: re.sub("[^a-z0-9]", "", (c or "").lower()) or p for p, c in duck.sql("SELECT DISTINCT point_id, recordedBy FROM science_points").fetchall()}
-    want = {s: points.get(norm(p)) or names[find(re.sub(r"_\d+_\d+$", "", norm(p)))] for s, p in duck.sql("SELECT DISTINCT sample_id, point_id FROM tam_samples").fetchall()}
+    points = {
+        p: re.sub("[^a-z0-9]", "", (c or "").lower()) or p for p,
+        c in duck.sql("SELECT DISTINCT point_id, recordedBy FROM science_points").fetchall()
+    }
+    want = {
+        s: points.get(norm(p)) or names[find(re.sub(r"_\d+_\d+$", "", norm(p)))] for s,
+        p in duck.sql("SELECT DISTINCT sample_id, point_id FROM tam_samples").fetchall()
+    }
     assert {r.sample_id: r.grp for r in queries.p1_found(spark, FOLDER).collect()} == want
 
 
 def test_a_group_has_one_split(spark):
     from pyspark.sql import functions as F
 
-    assert queries.p1_splits(spark, FOLDER).groupBy("grp").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
+    assert queries.p1_splits(spark, FOLDER).groupBy("grp").agg(
+        F.countDistinct("split").alias("n")
+    ).where("n > 1").count() == 0

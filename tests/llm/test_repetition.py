@@ -33,12 +33,20 @@ def test_shares_against_brute_force(spark):
                 a, b = rng.randrange(len(w) - 9), rng.randrange(len(w))
                 w = w[:b] + w[a : a + rng.randrange(6, 12)] + w[b:]
         texts.append(w)
-    got = {r.doc_id: (r.n_words, r.n_repeated) for r in repetition(frame(spark, [(i, " ".join(w), None) for i, w in enumerate(texts)]), "doc_id", "text").collect()}
+    got = {
+        r.doc_id: (r.n_words, r.n_repeated)
+        for r in repetition(
+            frame(spark, [(i, " ".join(w), None) for i, w in enumerate(texts)]), "doc_id", "text"
+        ).collect()
+    }
     assert got == {i: (len(w), plain_share(w)) for i, w in enumerate(texts)}
 
 
 def test_edge_cases(spark):
-    data = [(1, None, None), (2, "", None), (3, "a b c", None), (4, "spam " * 50_000, None), (5, "A a, A-a a; a A a A!", None), (None, "x", None)]
+    data = [
+        (1, None, None), (2, "", None), (3, "a b c", None), (4, "spam " * 50_000, None),
+        (5, "A a, A-a a; a A a A!", None), (None, "x", None)
+    ]
     got = {r.doc_id: (r.n_words, r.share) for r in repetition(frame(spark, data), "doc_id", "text").collect()}
     assert got == {1: (0, 0.0), 2: (0, 0.0), 3: (3, 0.0), 4: (50_000, 1.0), 5: (9, 1.0), None: (1, 0.0)}
     assert repetition(frame(spark, []), "doc_id", "text").count() == 0
@@ -98,10 +106,18 @@ def test_perplexity_against_the_textbook(spark, limit):
     texts = corpus()
     data = [(i, " ".join(w), "en" if i % 2 else "EN ") for i, w in enumerate(texts)]
     # Of these the model has seen nothing, some words, some pairs, and all but the order.
-    foreign = ["six words no one ever wrote".split(), [*texts[0][:5], "never", *texts[1][:4]], texts[2][::-1], ["w1", "never", "w2"], ["solo"]]
-    extra = [(800 + i, " ".join(w), "en") for i, w in enumerate(foreign)] + [(900, None, "en"), (901, "", "en"), (902, "of another language", "xx")]
+    foreign = [
+        "six words no one ever wrote".split(), [*texts[0][:5], "never", *texts[1][:4]], texts[2][::-1],
+        ["w1", "never", "w2"], ["solo"]
+    ]
+    extra = [(800 + i, " ".join(w), "en") for i, w in enumerate(foreign)] + [
+        (900, None, "en"), (901, "", "en"), (902, "of another language", "xx")
+    ]
     model = kneser_ney(count_trigrams(frame(spark, data).repartition(3), "text", "lang"))
-    got = {r.doc_id: r for r in perplexity(frame(spark, data + extra), "doc_id", "text", "lang", model, broadcast_rows=limit).collect()}
+    got = {
+        r.doc_id: r
+        for r in perplexity(frame(spark, data + extra), "doc_id", "text", "lang", model, broadcast_rows=limit).collect()
+    }
     log_p = plain_model(texts)
     for i, w in [*enumerate(texts), *((800 + i, w) for i, w in enumerate(foreign))]:
         assert got[i].perplexity == pytest.approx(perplexity_of(w, log_p), rel=1e-9) and got[i].n_words == len(w)
@@ -110,9 +126,13 @@ def test_perplexity_against_the_textbook(spark, limit):
 
 def test_both_ways_of_scoring_take_every_row_for_itself(spark):
     texts = ["one two three four", "one two three five six", "six six six", "", None, "two three four one two"]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in zip((1, 1, None, None, 2, 3), texts)], "doc_id long, text string, lang string").coalesce(1)
+    docs = spark.createDataFrame(
+        [(i, t, "en") for i, t in zip((1, 1, None, None, 2, 3), texts)], "doc_id long, text string, lang string"
+    ).coalesce(1)
     model = kneser_ney(count_trigrams(docs, "text", "lang"))
-    sent, joined = ([tuple(r) for r in perplexity(docs, "doc_id", "text", "lang", model, n).collect()] for n in (6_000_000, 0))
+    sent, joined = (
+        [tuple(r) for r in perplexity(docs, "doc_id", "text", "lang", model, n).collect()] for n in (6_000_000, 0)
+    )
     key = lambda r: (r[2], r[3] or 0, r[0] or 0)
     assert sorted(r[2] for r in sent) == [0, 0, 3, 4, 5, 5]
     for a, b in zip(sorted(sent, key=key), sorted(joined, key=key), strict=True):
@@ -123,14 +143,22 @@ def test_probabilities_sum_to_one(spark):
     texts = corpus()
     log_p = plain_model(texts)
     words = {x for w in texts for x in w} | {"never"}
-    for a, b in [("", ""), ("", texts[0][0]), (texts[0][0], "never"), ("never", texts[0][0]), tuple(texts[3][:2]) if len(texts[3]) > 1 else ("", "")]:
+    for a, b in [
+        ("", ""), ("", texts[0][0]), (texts[0][0], "never"), ("never", texts[0][0]),
+        tuple(texts[3][:2]) if len(texts[3]) > 1 else ("", "")
+    ]:
         assert sum(math.exp(log_p(a, b, c)) for c in words) == pytest.approx(1)
 
 
 def test_bands(spark):
-    df = spark.createDataFrame([(i, "en", float(i)) for i in range(1, 101)] + [(500, "de", 3.0), (501, "en", None)], "doc_id long, lang string, perplexity double")
+    df = spark.createDataFrame(
+        [(i, "en", float(i)) for i in range(1, 101)] + [(500, "de", 3.0), (501, "en", None)],
+        "doc_id long, lang string, perplexity double"
+    )
     got = {r.doc_id: r.verdict for r in bands(df, 0.05, 0.95).collect()}
-    assert [i for i, v in got.items() if v == "low"] == [1, 2, 3, 4] and sorted(i for i, v in got.items() if v == "high") == [96, 97, 98, 99, 100]
+    assert [i for i, v in got.items() if v == "low"] == [1, 2, 3, 4] and sorted(
+        i for i, v in got.items() if v == "high"
+    ) == [96, 97, 98, 99, 100]
     assert got[500] == "kept" and got[501] == "kept"
 
 

@@ -26,7 +26,9 @@ def test_hashes_stand_for_words(texts):
 
 def test_normal_forms():
     assert words("Ｆｕｌｌ ﬁne soft­hy​phen") == ["full", "fine", "softhyphen"]
-    assert words("exam-\nple exam-\r\n> ple well-known 3.5 snake_case") == ["example", "example", "well", "known", "3", "5", "snake", "case"]
+    assert words("exam-\nple exam-\r\n> ple well-known 3.5 snake_case") == [
+        "example", "example", "well", "known", "3", "5", "snake", "case"
+    ]
     assert words("> a\n> > b «c» STRASSE straße") == ["a", "b", "c", "strasse", "strasse"]
     assert words(unicodedata.normalize("NFD", "Überflüge")) == words("überflüge")
 

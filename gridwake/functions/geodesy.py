@@ -32,9 +32,22 @@ def utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
     n = A / F.sqrt(1 - E2 * s * s)
     g = EP2 * c * c
     a = c * F.radians(lon - (zone * 6 - 183))
-    arc = A * ((1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256) * phi - (3 * E2 / 8 + 3 * E2**2 / 32 + 45 * E2**3 / 1024) * F.sin(2 * phi) + (15 * E2**2 / 256 + 45 * E2**3 / 1024) * F.sin(4 * phi) - (35 * E2**3 / 3072) * F.sin(6 * phi))
-    east = K0 * n * (a + (1 - t + g) * F.pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * g - 58 * EP2) * F.pow(a, 5) / 120) + 500_000
-    north = K0 * (arc + n * F.tan(phi) * (a * a / 2 + (5 - t + 9 * g + 4 * g * g) * F.pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * g - 330 * EP2) * F.pow(a, 6) / 720))
+    arc = A * (
+        (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256) * phi - (
+            3 * E2 / 8 + 3 * E2**2 / 32 + 45 * E2**3 / 1024
+        ) * F.sin(2 * phi)
+        + (15 * E2**2 / 256 + 45 * E2**3 / 1024) * F.sin(4 * phi) - (35 * E2**3 / 3072) * F.sin(6 * phi)
+    )
+    east = K0 * n * (
+        a + (1 - t + g) * F.pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * g - 58 * EP2) * F.pow(a, 5) / 120
+    ) + 500_000
+    north = K0 * (
+        arc
+        + n * F.tan(phi) * (
+            a * a / 2 + (5 - t + 9 * g + 4 * g * g) * F.pow(a, 4) / 24
+            + (61 - 58 * t + t * t + 600 * g - 330 * EP2) * F.pow(a, 6) / 720
+        )
+    )
     return east, F.when(lat < 0, north + 10_000_000).otherwise(north)
 
 
@@ -42,13 +55,21 @@ def utm_inverse(east: Column, north: Column, zone: Column, south: Column) -> tup
     """Longitude and latitude in degrees of a projected place, by the series about the foot-point latitude."""
     e1 = (1 - math.sqrt(1 - E2)) / (1 + math.sqrt(1 - E2))
     mu = F.when(south, north - 10_000_000).otherwise(north) / (K0 * A * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256))
-    foot = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + 151 * e1**3 / 96 * F.sin(6 * mu) + 1097 * e1**4 / 512 * F.sin(8 * mu)
+    foot = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (
+        21 * e1**2 / 16 - 55 * e1**4 / 32
+    ) * F.sin(4 * mu) + 151 * e1**3 / 96 * F.sin(6 * mu) + 1097 * e1**4 / 512 * F.sin(8 * mu)
     s, c, tan = F.sin(foot), F.cos(foot), F.tan(foot)
     t, g = tan * tan, EP2 * c * c
     n, r = A / F.sqrt(1 - E2 * s * s), A * (1 - E2) / F.pow(1 - E2 * s * s, 1.5)
     d = (east - 500_000) / (n * K0)
-    lat = foot - n * tan / r * (d * d / 2 - (5 + 3 * t + 10 * g - 4 * g * g - 9 * EP2) * F.pow(d, 4) / 24 + (61 + 90 * t + 298 * g + 45 * t * t - 252 * EP2 - 3 * g * g) * F.pow(d, 6) / 720)
-    lon = (d - (1 + 2 * t + g) * F.pow(d, 3) / 6 + (5 - 2 * g + 28 * t - 3 * g * g + 8 * EP2 + 24 * t * t) * F.pow(d, 5) / 120) / c
+    lat = foot - n * tan / r * (
+        d * d / 2 - (5 + 3 * t + 10 * g - 4 * g * g - 9 * EP2) * F.pow(d, 4) / 24
+        + (61 + 90 * t + 298 * g + 45 * t * t - 252 * EP2 - 3 * g * g) * F.pow(d, 6) / 720
+    )
+    lon = (
+        d - (1 + 2 * t + g) * F.pow(d, 3) / 6
+        + (5 - 2 * g + 28 * t - 3 * g * g + 8 * EP2 + 24 * t * t) * F.pow(d, 5) / 120
+    ) / c
     return F.degrees(lon) + zone * 6 - 183, F.degrees(lat)
 
 
@@ -61,7 +82,9 @@ def pixel_grid(boxes: DataFrame, resolution: float, zone: int | None = None) ->
     df = boxes.withColumns({"zone": at, "south": (F.col("s") + F.col("n")) / 2 < 0})
     (x0, y0), (x1, y1) = utm(F.col("w"), F.col("s"), F.col("zone")), utm(F.col("e"), F.col("n"), F.col("zone"))
     snap = lambda c: F.floor(c / resolution) * resolution
-    return df.withColumns({"x0": x0, "y0": y0, "x1": x1, "y1": y1}).withColumns({"xs": snap(F.col("x0")), "ys": snap(F.col("y0"))})
+    return df.withColumns({"x0": x0, "y0": y0, "x1": x1, "y1": y1}).withColumns(
+        {"xs": snap(F.col("x0")), "ys": snap(F.col("y0"))}
+    )
 
 
 def chunk_grid(boxes: DataFrame, resolution: float, pixels: int, tile: float = 100_000.0) -> DataFrame:
@@ -71,16 +94,32 @@ def chunk_grid(boxes: DataFrame, resolution: float, pixels: int, tile: float = 1
     y_lower (the block), tile_x, tile_y (the anchors), and the box of the block's pixels inside the bounds: px0, py0, px1, py1.
     """
     block = resolution * pixels
-    g = pixel_grid(boxes, resolution).withColumns({"tile_x": F.floor(F.col("x0") / tile) * tile, "tile_y": F.ceil(F.col("y1") / tile) * tile})
+    g = pixel_grid(boxes, resolution).withColumns(
+        {"tile_x": F.floor(F.col("x0") / tile) * tile, "tile_y": F.ceil(F.col("y1") / tile) * tile}
+    )
     span = lambda lo, hi: F.explode(F.sequence(lo.cast("int"), hi.cast("int")))
     last = lambda lo, hi: lo + (F.ceil((hi - lo) / resolution) - 1) * resolution
-    g = g.withColumns({"lx": last(F.col("xs"), F.col("x1")), "ly": last(F.col("ys"), F.col("y1"))}).where("lx >= xs AND ly >= ys")
-    g = g.withColumn("chunk_col", span(F.floor((F.col("xs") - F.col("tile_x")) / block), F.floor((F.col("lx") - F.col("tile_x")) / block)))
-    g = g.withColumn("chunk_row", span(F.ceil((F.col("tile_y") - F.col("ly")) / block) - 1, F.ceil((F.col("tile_y") - F.col("ys")) / block) - 1))
-    g = g.withColumns({"x_left": F.col("tile_x") + F.col("chunk_col") * block, "y_lower": F.col("tile_y") - (F.col("chunk_row") + 1) * block})
+    g = g.withColumns(
+        {"lx": last(F.col("xs"), F.col("x1")), "ly": last(F.col("ys"), F.col("y1"))}
+    ).where("lx >= xs AND ly >= ys")
+    g = g.withColumn(
+        "chunk_col",
+        span(F.floor((F.col("xs") - F.col("tile_x")) / block), F.floor((F.col("lx") - F.col("tile_x")) / block))
+    )
+    g = g.withColumn(
+        "chunk_row",
+        span(F.ceil((F.col("tile_y") - F.col("ly")) / block) - 1, F.ceil((F.col("tile_y") - F.col("ys")) / block) - 1)
+    )
+    g = g.withColumns(
+        {
+            "x_left": F.col("tile_x") + F.col("chunk_col") * block,
+            "y_lower": F.col("tile_y") - (F.col("chunk_row") + 1) * block
+        }
+    )
     return g.withColumns({
         "px0": F.greatest("x_left", "xs"), "py0": F.greatest("y_lower", "ys"),
-        "px1": F.least(F.col("x_left") + block - resolution, F.col("lx")), "py1": F.least(F.col("y_lower") + block - resolution, F.col("ly")),
+        "px1": F.least(F.col("x_left") + block - resolution, F.col("lx")),
+        "py1": F.least(F.col("y_lower") + block - resolution, F.col("ly")),
     }).where("px0 <= px1 AND py0 <= py1")
 
 
@@ -108,10 +147,15 @@ def utm_inverse_sql(source: str, east: str, north: str, zone: str, lon: str = "l
     e1 = (1 - math.sqrt(1 - E2)) / (1 + math.sqrt(1 - E2))
     scale = K0 * A * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256)
     return (
-        f"SELECT * EXCLUDE (_mu, _f, _t, _g, _n, _r, _d), degrees((_d - (1 + 2 * _t + _g) * _d ** 3 / 6 + (5 - 2 * _g + 28 * _t - 3 * _g ** 2 + 8 * {EP2!r} + 24 * _t ** 2) * _d ** 5 / 120) / cos(_f)) + {zone} * 6 - 183 AS {lon}, "
-        f"degrees(_f - _n * tan(_f) / _r * (_d ** 2 / 2 - (5 + 3 * _t + 10 * _g - 4 * _g ** 2 - 9 * {EP2!r}) * _d ** 4 / 24 + (61 + 90 * _t + 298 * _g + 45 * _t ** 2 - 252 * {EP2!r} - 3 * _g ** 2) * _d ** 6 / 720)) AS {lat} FROM ("
-        f"SELECT *, ({east} - 500000) / (_n * {K0}) AS _d FROM (SELECT *, tan(_f) ** 2 AS _t, {EP2!r} * cos(_f) ** 2 AS _g, {A} / sqrt(1 - {E2!r} * sin(_f) ** 2) AS _n, {A * (1 - E2)!r} / (1 - {E2!r} * sin(_f) ** 2) ** 1.5 AS _r FROM ("
-        f"SELECT *, _mu + {3 * e1 / 2 - 27 * e1**3 / 32!r} * sin(2 * _mu) + {21 * e1**2 / 16 - 55 * e1**4 / 32!r} * sin(4 * _mu) + {151 * e1**3 / 96!r} * sin(6 * _mu) + {1097 * e1**4 / 512!r} * sin(8 * _mu) AS _f FROM ("
+        f"SELECT * EXCLUDE (_mu, _f, _t, _g, _n, _r, _d), degrees((_d - (1 + 2 * _t + _g) * _d ** 3 / 6 + (5 - 2 * "
+        f"_g + 28 * _t - 3 * _g ** 2 + 8 * {EP2!r} + 24 * _t ** 2) * _d ** 5 / 120) / cos(_f)) + {zone} * 6 - 183 AS {lon}, "
+        f"degrees(_f - _n * tan(_f) / _r * (_d ** 2 / 2 - (5 + 3 * _t + 10 * _g - 4 * _g ** 2 - 9 * {EP2!r}) * _d ** "
+        f"4 / 24 + (61 + 90 * _t + 298 * _g + 45 * _t ** 2 - 252 * {EP2!r} - 3 * _g ** 2) * _d ** 6 / 720)) AS {lat} FROM ("
+        f"SELECT *, ({east} - 500000) / (_n * {K0}) AS _d FROM (SELECT *, tan(_f) ** 2 AS _t, {EP2!r} * cos(_f) ** 2 "
+        f"AS _g, {A} / sqrt(1 - {E2!r} * sin(_f) ** 2) AS _n, {A * (1 - E2)!r} / (1 - {E2!r} * sin(_f) ** 2) ** 1.5 "
+        f"AS _r FROM ("
+        f"SELECT *, _mu + {3 * e1 / 2 - 27 * e1**3 / 32!r} * sin(2 * _mu) + {21 * e1**2 / 16 - 55 * e1**4 / 32!r} * "
+        f"sin(4 * _mu) + {151 * e1**3 / 96!r} * sin(6 * _mu) + {1097 * e1**4 / 512!r} * sin(8 * _mu) AS _f FROM ("
         f"SELECT *, ({north} - 10000000) / {scale!r} AS _mu FROM {source}))))"
     )
 

@@ -61,4 +61,6 @@ def cover_type(region_id: Column) -> Column:
 
 
 def presence_label(region_id: Column) -> Column:
-    return F.when(region_id.contains("presence"), "presence").when(region_id.contains("absence"), "absence").otherwise("unknown")
+    return F.when(
+        region_id.contains("presence"), "presence"
+    ).when(region_id.contains("absence"), "absence").otherwise("unknown")

@@ -128,8 +128,10 @@ def sigmoid(x: Column) -> Column:
 
 # BRDF model parameters per band (isotropic, geometric, volumetric), public literature.
 BRDF = {
-    "B02": (0.0774, 0.0079, 0.0372), "B03": (0.1306, 0.0178, 0.0580), "B04": (0.1690, 0.0227, 0.0574), "B05": (0.2085, 0.0256, 0.0845),
-    "B06": (0.2316, 0.0273, 0.1003), "B07": (0.2599, 0.0294, 0.1197), "B08": (0.3093, 0.0330, 0.1535), "B8A": (0.3430, 0.0453, 0.1154),
+    "B02": (0.0774, 0.0079, 0.0372), "B03": (0.1306, 0.0178, 0.0580), "B04": (0.1690, 0.0227, 0.0574),
+    "B05": (0.2085, 0.0256, 0.0845),
+    "B06": (0.2316, 0.0273, 0.1003), "B07": (0.2599, 0.0294, 0.1197), "B08": (0.3093, 0.0330, 0.1535),
+    "B8A": (0.3430, 0.0453, 0.1154),
     "B11": (0.3430, 0.0453, 0.1154), "B12": (0.2658, 0.0387, 0.0639),
 }
 
@@ -189,8 +191,10 @@ def brdf_sql(band: str) -> str:
 
 # The stops of the red-yellow-green score colours, from low to high.
 COLOURS = [
-    (165, 0, 38), (189, 24, 29), (213, 48, 39), (230, 82, 52), (245, 115, 68), (252, 152, 86), (253, 185, 110), (254, 212, 139), (255, 235, 171), (255, 251, 204),
-    (235, 248, 188), (209, 238, 161), (169, 220, 136), (120, 198, 112), (75, 176, 90), (35, 152, 72), (0, 125, 62), (0, 104, 55), (0, 81, 46), (0, 68, 27),
+    (165, 0, 38), (189, 24, 29), (213, 48, 39), (230, 82, 52), (245, 115, 68), (252, 152, 86), (253, 185, 110),
+    (254, 212, 139), (255, 235, 171), (255, 251, 204),
+    (235, 248, 188), (209, 238, 161), (169, 220, 136), (120, 198, 112), (75, 176, 90), (35, 152, 72), (0, 125, 62),
+    (0, 104, 55), (0, 81, 46), (0, 68, 27),
 ]
 
 
@@ -201,4 +205,7 @@ def colour(score: Column) -> Column:
     part = place - low
     stops = lambda k: F.array(*[F.lit(c[k]) for c in COLOURS])
     mixed = [F.rint(F.get(stops(k), low) * (1 - part) + F.get(stops(k), low + 1) * part).cast("int") for k in range(3)]
-    return F.struct(*[F.when(score > 0, m).otherwise(0).alias(n) for n, m in zip("rgb", mixed)], F.when(score > 0, 255).otherwise(0).alias("a"))
+    return F.struct(
+        *[F.when(score > 0, m).otherwise(0).alias(n) for n, m in zip("rgb", mixed)],
+        F.when(score > 0, 255).otherwise(0).alias("a")
+    )

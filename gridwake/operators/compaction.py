@@ -40,8 +40,15 @@ def chunk_of_path(path: Column) -> dict[str, Column]:
 def chunk_files(reports: DataFrame) -> DataFrame:
     """One row per file with its chunk, taken from the path; a null path leaves the chunk to the stated columns."""
     found = chunk_of_path(F.col("path"))
-    stated = {"tile": F.upper("tile"), "year": F.col("year"), "chunk_row": F.when(F.col("chunk_row") >= 0, F.col("chunk_row")), "chunk_col": F.when(F.col("chunk_col") >= 0, F.col("chunk_col"))}
-    return reports.where("file_id IS NOT NULL").groupBy("file_id").agg(F.min("path").alias("path"), *[F.min(stated[c]).alias(c) for c in CHUNK], F.max("size_bytes").alias("size_bytes")).select("file_id", *[F.coalesce(found[c], F.col(c)).alias(c) for c in CHUNK], "size_bytes")
+    stated = {
+        "tile": F.upper("tile"), "year": F.col("year"),
+        "chunk_row": F.when(F.col("chunk_row") >= 0, F.col("chunk_row")),
+        "chunk_col": F.when(F.col("chunk_col") >= 0, F.col("chunk_col"))
+    }
+    return reports.where("file_id IS NOT NULL").groupBy("file_id").agg(
+        F.min("path").alias("path"), *[F.min(stated[c]).alias(c) for c in CHUNK],
+        F.max("size_bytes").alias("size_bytes")
+    ).select("file_id", *[F.coalesce(found[c], F.col(c)).alias(c) for c in CHUNK], "size_bytes")
 
 
 def plan_records(files: DataFrame, rows: DataFrame) -> DataFrame:
@@ -54,7 +61,9 @@ def plan_records(files: DataFrame, rows: DataFrame) -> DataFrame:
     """
     slim = rows.select("file_id", "point_id", "date", "source", "value")
     placed = slim.join(files.select("file_id", *CHUNK), "file_id")
-    return placed.groupBy(*RECORD).agg(F.min(F.struct("file_id", "value")).alias("k")).select(*RECORD, F.col("k.file_id").alias("file_id"), F.col("k.value").alias("value"))
+    return placed.groupBy(*RECORD).agg(F.min(F.struct("file_id", "value")).alias("k")).select(
+        *RECORD, F.col("k.file_id").alias("file_id"), F.col("k.value").alias("value")
+    )
 
 
 def redundant_files(files: DataFrame, records: DataFrame) -> DataFrame:
@@ -62,12 +71,20 @@ def redundant_files(files: DataFrame, records: DataFrame) -> DataFrame:
     return files.select("file_id").join(records.select("file_id").distinct(), "file_id", "left_anti")
 
 
-def plan_partitions(files: DataFrame, records: DataFrame, small_bytes: int, min_small: int, target_rows: int) -> DataFrame:
+def plan_partitions(
+    files: DataFrame, records: DataFrame, small_bytes: int, min_small: int, target_rows: int
+) -> DataFrame:
     """Per chunk: file counts, records, and whether and into how many files it is rewritten."""
-    counts = files.groupBy(*CHUNK).agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("size_bytes") < small_bytes).alias("n_small"))
+    counts = files.groupBy(*CHUNK).agg(
+        F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("size_bytes") < small_bytes).alias("n_small")
+    )
     kept = records.groupBy(*CHUNK).agg(F.count(F.lit(1)).alias("n_records"))
-    joined = counts.alias("c").join(kept.alias("k"), [F.col(f"c.{c}").eqNullSafe(F.col(f"k.{c}")) for c in CHUNK], "left").select("c.*", F.coalesce("n_records", F.lit(0)).alias("n_records"))
-    return joined.withColumn("rewrite", F.col("n_small") >= min_small).withColumn("n_out", F.when(F.col("rewrite"), F.ceil(F.col("n_records") / target_rows)).otherwise(F.col("n_files")))
+    joined = counts.alias("c").join(
+        kept.alias("k"), [F.col(f"c.{c}").eqNullSafe(F.col(f"k.{c}")) for c in CHUNK], "left"
+    ).select("c.*", F.coalesce("n_records", F.lit(0)).alias("n_records"))
+    return joined.withColumn("rewrite", F.col("n_small") >= min_small).withColumn(
+        "n_out", F.when(F.col("rewrite"), F.ceil(F.col("n_records") / target_rows)).otherwise(F.col("n_files"))
+    )
 
 
 # ---- the write side: a directory table with a snapshot log -------------------------------------------
@@ -126,7 +143,9 @@ class SnapshotLog:
         finally:
             stream.close()
         fs = self.jvm.org.apache.hadoop.fs
-        context = fs.FileContext.getFileContext(self.path.makeQualified(self.fs.getUri(), self.fs.getWorkingDirectory()).toUri(), self.conf)
+        context = fs.FileContext.getFileContext(
+            self.path.makeQualified(self.fs.getUri(), self.fs.getWorkingDirectory()).toUri(), self.conf
+        )
         plain = self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
         try:
             context.rename(draft, self._file(f"{number:012d}.json"), plain)
@@ -167,9 +186,13 @@ def _write(spark: SparkSession, root: str, df: DataFrame, keys: Sequence[str]) -
     """
     version = uuid.uuid4().hex
     data = f"{root}/data"
-    df.withColumn("version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys, "version").parquet(data)
+    df.withColumn("version", F.lit(version)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(*keys, "version").parquet(data)
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    found = fs_path(data).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(fs_path(f"{data}/{'*/' * len(keys)}version={version}"))
+    found = fs_path(data).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
+        fs_path(f"{data}/{'*/' * len(keys)}version={version}")
+    )
     depth = len(keys)
     return {"/".join(str(f.getPath().toUri().getPath()).split("/")[-depth - 1 : -1]): version for f in found or []}
 
@@ -199,23 +222,35 @@ def append(spark: SparkSession, root: str, df: DataFrame, keys: Sequence[str]) -
     return log.commit("append", df.schema.json(), _write(spark, root, df, keys))
 
 
-def read(spark: SparkSession, root: str, version: int | None = None, partitions: dict[str, list[str]] | None = None) -> DataFrame:
+def read(
+    spark: SparkSession, root: str, version: int | None = None, partitions: dict[str, list[str]] | None = None
+) -> DataFrame:
     """The table at a snapshot (the latest by default), or the given versions of its partitions."""
     log = SnapshotLog(spark, root)
     live = log.live(version) if partitions is None else partitions
     schema = log.schema(version)
     if not live:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", f"{root}/data").parquet(*_paths(root, live)).select(*schema.names)
+    return spark.read.schema(schema).option(
+        "basePath", f"{root}/data"
+    ).parquet(*_paths(root, live)).select(*schema.names)
 
 
 def file_sizes(spark: SparkSession, root: str, live: dict[str, list[str]]) -> DataFrame:
     """``(partition, bytes)`` of every file, from listings alone: no file is opened."""
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(_paths(root, live)).select("path", "length")
-    return listing.select(F.regexp_extract("path", r"/data/(.+)/version=[0-9a-f]+/[^/]+$", 1).alias("partition"), F.col("length").alias("bytes"))
-
-
-def compact(spark: SparkSession, root: str, keys: Sequence[str], identity: Sequence[str], small_bytes: int, min_small: int, target_bytes: int, first: Sequence[str] = (), before_commit=None) -> int:
+    listing = spark.read.format("binaryFile").option(
+        "pathGlobFilter", "*.parquet"
+    ).load(_paths(root, live)).select("path", "length")
+    return listing.select(
+        F.regexp_extract("path", r"/data/(.+)/version=[0-9a-f]+/[^/]+$", 1).alias("partition"),
+        F.col("length").alias("bytes")
+    )
+
+
+def compact(
+    spark: SparkSession, root: str, keys: Sequence[str], identity: Sequence[str], small_bytes: int, min_small: int,
+    target_bytes: int, first: Sequence[str] = (), before_commit=None
+) -> int:
     """Rewrites the partitions of the table at ``root`` that hold at least ``min_small`` files under ``small_bytes``.
 
     Returns the new snapshot's number (the old one if nothing was to do). Records that agree in ``keys`` and ``identity`` come out
@@ -233,21 +268,32 @@ def compact(spark: SparkSession, root: str, keys: Sequence[str], identity: Seque
     live = log.live(base)
     if not live:
         return base
-    counts = file_sizes(spark, root, live).groupBy("partition").agg(F.count_if(F.col("bytes") < small_bytes).alias("n_small"), F.sum("bytes").alias("bytes"))
-    chosen = {r["partition"]: max(1, -(-r["bytes"] // target_bytes)) for r in counts.where(F.col("n_small") >= min_small).toLocalIterator()}
+    counts = file_sizes(spark, root, live).groupBy("partition").agg(
+        F.count_if(F.col("bytes") < small_bytes).alias("n_small"), F.sum("bytes").alias("bytes")
+    )
+    chosen = {
+        r["partition"]: max(1, -(-r["bytes"] // target_bytes))
+        for r in counts.where(F.col("n_small") >= min_small).toLocalIterator()
+    }
     read_versions = {p: live[p] for p in chosen}
     if not chosen:
         return base
     table = read(spark, root, base, read_versions)
     schema = table.schema
-    outputs = spark.createDataFrame([(*_values(p), n) for p, n in chosen.items()], ", ".join(f"`{k}` string" for k in keys) + ", _outputs long")
+    outputs = spark.createDataFrame(
+        [(*_values(p), n) for p, n in chosen.items()], ", ".join(f"`{k}` string" for k in keys) + ", _outputs long"
+    )
     others = [*first, *[c for c in schema.names if c not in (*keys, *identity, *first)]]
     by = [*keys, *identity]
     once = table.groupBy(*by).agg(F.min(F.struct(*others, F.lit(0).alias("_"))).alias("_o")).alias("t")
     match = functools.reduce(Column.__and__, [F.col(f"t.{k}").cast("string").eqNullSafe(F.col(f"o.{k}")) for k in keys])
     # A left join: a partition whose name reads otherwise than its key still keeps all its rows, in one file.
-    sized = once.join(outputs.alias("o"), match, "left").select("t.*", F.pmod(F.xxhash64(*[f"t.{c}" for c in identity]), F.coalesce("_outputs", F.lit(1))).alias("_file"))
-    flat = sized.select(*by, *[F.col(f"_o.{c}").alias(c) for c in others], "_file").repartition(*keys, "_file").sortWithinPartitions(*keys, *identity)
+    sized = once.join(outputs.alias("o"), match, "left").select(
+        "t.*", F.pmod(F.xxhash64(*[f"t.{c}" for c in identity]), F.coalesce("_outputs", F.lit(1))).alias("_file")
+    )
+    flat = sized.select(
+        *by, *[F.col(f"_o.{c}").alias(c) for c in others], "_file"
+    ).repartition(*keys, "_file").sortWithinPartitions(*keys, *identity)
     written = _write(spark, root, flat.select(*schema.names), keys)
     if before_commit:
         before_commit()
@@ -262,8 +308,13 @@ def expire(spark: SparkSession, root: str, keep: int = 1, older_than_s: float =
     """
     log = SnapshotLog(spark, root)
     latest = log.latest()
-    needed = {(p, v) for number in range(max(latest - keep + 1, 0), latest + 1) for p, versions in log.live(number).items() for v in versions}
-    named = {v for number in range(1, latest + 1) for versions in log.read(number)["partitions"].values() for v in versions}
+    needed = {
+        (p, v) for number in range(max(latest - keep + 1, 0), latest + 1) for p,
+        versions in log.live(number).items() for v in versions
+    }
+    named = {
+        v for number in range(1, latest + 1) for versions in log.read(number)["partitions"].values() for v in versions
+    }
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     deleted = 0
     pending = [fs_path(f"{root}/data")]

@@ -21,7 +21,10 @@ def group_codes(table: pa.Table, names: Sequence[str]) -> np.ndarray:
     return np.cumsum(change)
 
 
-def over_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], kernel: Callable[[pa.Table, np.ndarray], pa.Table | None], schema: StructType, flush: int = 50_000) -> DataFrame:
+def over_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], kernel: Callable[[pa.Table, np.ndarray], pa.Table | None],
+    schema: StructType, flush: int = 50_000
+) -> DataFrame:
     """``kernel(rows, group numbers)`` over blocks of whole groups.
 
     Rows are shuffled by ``keys`` and sorted by keys and ``order``; a block has at least ``flush`` rows or

@@ -15,11 +15,17 @@ from gridwake.functions import ids, indices
 SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("point_id",)]
     + [T.StructField(n, T.FloatType()) for n in ("lon", "lat")]
-    + [T.StructField("date", T.DateType()), T.StructField("item_id", T.StringType()), T.StructField("tile_id", T.StringType())]
+    + [
+        T.StructField("date", T.DateType()), T.StructField("item_id", T.StringType()),
+        T.StructField("tile_id", T.StringType())
+    ]
     + [T.StructField(b, T.IntegerType()) for b in indices.BANDS]
     + [T.StructField("scl_purity", T.ByteType()), T.StructField("scl", T.ByteType())]
     + [T.StructField(n, T.ShortType()) for n in ("aot", "view_zenith", "sun_zenith")]
-    + [T.StructField("source", T.StringType()), T.StructField("vh", T.FloatType()), T.StructField("vv", T.FloatType()), T.StructField("orbit", T.StringType())]
+    + [
+        T.StructField("source", T.StringType()), T.StructField("vh", T.FloatType()), T.StructField("vv", T.FloatType()),
+        T.StructField("orbit", T.StringType())
+    ]
 )
 
 
@@ -80,13 +86,17 @@ def in_box(df: DataFrame, box: Sequence[float]) -> DataFrame:
 def enough(df: DataFrame, optical_min: int = 10, radar_min: int | None = None) -> DataFrame:
     """Rows of those (point, year) windows that have enough observations of each kind."""
     n2, n1 = F.count_if(F.col("source") == "S2"), F.count_if(F.col("source") == "S1")
-    kept = df.groupBy("point_id", "year").agg(n2.alias("n2"), n1.alias("n1")).where((F.col("n2") >= optical_min) & (F.col("n1") >= (radar_min or 0)))
+    kept = df.groupBy("point_id", "year").agg(n2.alias("n2"), n1.alias("n1")).where(
+        (F.col("n2") >= optical_min) & (F.col("n1") >= (radar_min or 0))
+    )
     return df.join(kept.select("point_id", "year"), ["point_id", "year"], "left_semi")
 
 
 def contaminated_dates(df: DataFrame, months: Sequence[int] = (1, 2, 3, 4, 5), below: float = 0.05) -> DataFrame:
     """Dates of the wet months on which the mean index of the whole table is near zero."""
-    return df.where(F.col("month").isin(*months)).groupBy("date").agg(F.avg("index").alias("mean_index")).where(F.col("mean_index") < below)
+    return df.where(F.col("month").isin(*months)).groupBy("date").agg(
+        F.avg("index").alias("mean_index")
+    ).where(F.col("mean_index") < below)
 
 
 def every_nth_point(points: DataFrame, n: int, exempt: Column | None = None) -> DataFrame:
@@ -95,7 +105,9 @@ def every_nth_point(points: DataFrame, n: int, exempt: Column | None = None) ->
 
     slim = points.select("point_id", "lon", "lat")
     counted = slim if exempt is None else slim.where(~F.coalesce(exempt, F.lit(False)))
-    placed = numbered(counted, [], ["lat", "lon", "point_id"], "_place").where((F.col("_place") - 1) % n == 0).select("point_id", "lon", "lat")
+    placed = numbered(
+        counted, [], ["lat", "lon", "point_id"], "_place"
+    ).where((F.col("_place") - 1) % n == 0).select("point_id", "lon", "lat")
     return placed if exempt is None else placed.unionByName(slim.where(exempt))
 
 
@@ -103,15 +115,24 @@ def pin_years(df: DataFrame, points: DataFrame, regions: DataFrame) -> DataFrame
     """Rows of ``df`` but those whose point lies in a region's box and whose year is outside the region's first to last year."""
     from gridwake.operators.proximity import locate_in_boxes
 
-    boxes = regions.select(F.struct(F.array_min("years").alias("lo"), F.array_max("years").alias("hi"), "id").alias("bid"), *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("x_lo", "y_lo", "x_hi", "y_hi"))])
-    held = locate_in_boxes(points.select(F.col("point_id").alias("pid"), F.col("lon").alias("x"), F.col("lat").alias("y")), boxes)
+    boxes = regions.select(
+        F.struct(F.array_min("years").alias("lo"), F.array_max("years").alias("hi"), "id").alias("bid"),
+        *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("x_lo", "y_lo", "x_hi", "y_hi"))]
+    )
+    held = locate_in_boxes(
+        points.select(F.col("point_id").alias("pid"), F.col("lon").alias("x"), F.col("lat").alias("y")), boxes
+    )
     years = held.groupBy(F.col("pid").alias("point_id")).agg(F.max("bid.lo").alias("_lo"), F.min("bid.hi").alias("_hi"))
-    return df.join(years, "point_id", "left").where(~F.coalesce((F.col("year") < F.col("_lo")) | (F.col("year") > F.col("_hi")), F.lit(False))).drop("_lo", "_hi")
+    return df.join(years, "point_id", "left").where(
+        ~F.coalesce((F.col("year") < F.col("_lo")) | (F.col("year") > F.col("_hi")), F.lit(False))
+    ).drop("_lo", "_hi")
 
 
 def best_per_day(df: DataFrame) -> DataFrame:
     """One optical row per point and day: purest first, then by scene and observation; radar rows stay."""
-    order = Window.partitionBy("point_id", "date").orderBy(F.desc_nulls_last("scl_purity"), F.asc_nulls_last("item_id"), "obs_id", "loaded_at")
+    order = Window.partitionBy("point_id", "date").orderBy(
+        F.desc_nulls_last("scl_purity"), F.asc_nulls_last("item_id"), "obs_id", "loaded_at"
+    )
     chosen = df.where(F.col("source") == "S2").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     return chosen.unionByName(df.where(F.col("source") != "S2"))
 
@@ -143,12 +164,16 @@ STORAGE_ORDER = ("_y", "point_id", "date", "_impure")
 
 def with_storage_order(df: DataFrame) -> DataFrame:
     """``df`` with the columns of ``STORAGE_ORDER``: northing, and a number that puts the purest first and unknown purity last."""
-    return df.withColumns({"_y": ids.northing(F.col("point_id")), "_impure": F.coalesce(-F.col("scl_purity"), F.lit(1))})
+    return df.withColumns(
+        {"_y": ids.northing(F.col("point_id")), "_impure": F.coalesce(-F.col("scl_purity"), F.lit(1))}
+    )
 
 
 def by_northing(df: DataFrame) -> DataFrame:
     """Spread by northing and sorted within each part, ready to be written so that scans prune well."""
-    return with_storage_order(df).repartitionByRange("_y", "point_id").sortWithinPartitions(*STORAGE_ORDER).drop("_y", "_impure")
+    return with_storage_order(df).repartitionByRange(
+        "_y", "point_id"
+    ).sortWithinPartitions(*STORAGE_ORDER).drop("_y", "_impure")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -160,7 +185,12 @@ def label_by_box(points: DataFrame, regions: DataFrame) -> DataFrame:
     """The label of the last region (by ``ordinal``) whose box holds the point; null outside all."""
     from gridwake.operators.proximity import locate_in_boxes
 
-    boxes = regions.select(F.struct("ordinal", "label").alias("bid"), *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("x_lo", "y_lo", "x_hi", "y_hi"))])
-    held = locate_in_boxes(points.select(F.col("point_id").alias("pid"), F.col("lon").alias("x"), F.col("lat").alias("y")), boxes)
+    boxes = regions.select(
+        F.struct("ordinal", "label").alias("bid"),
+        *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("x_lo", "y_lo", "x_hi", "y_hi"))]
+    )
+    held = locate_in_boxes(
+        points.select(F.col("point_id").alias("pid"), F.col("lon").alias("x"), F.col("lat").alias("y")), boxes
+    )
     labels = held.groupBy("pid").agg(F.max_by("bid.label", "bid.ordinal").alias("label"))
     return points.join(labels.withColumnRenamed("pid", "point_id"), "point_id", "left")

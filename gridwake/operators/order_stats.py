@@ -25,7 +25,9 @@ def _starts(table: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
     change = np.zeros(n, bool)
     change[0] = True
     for name in names:
-        codes = pa.compute.dictionary_encode(table.column(name), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        codes = pa.compute.dictionary_encode(
+            table.column(name), null_encoding="encode"
+        ).indices.to_numpy(zero_copy_only=False)
         change[1:] |= codes[1:] != codes[:-1]
     return np.flatnonzero(change)
 
@@ -46,19 +48,33 @@ def _local_totals(df: DataFrame, groups: Sequence[str], amounts: Sequence[str])
             if not n:
                 continue
             starts = _starts(batch, groups) if groups else np.array([0])
-            total = np.cumsum(np.stack([batch.column(a).to_numpy(zero_copy_only=False).astype(np.int64) for a in amounts]), axis=1)
-            before = np.repeat(np.concatenate([np.zeros((len(amounts), 1), np.int64), total[:, starts[1:] - 1]], axis=1), np.diff(np.append(starts, n)), axis=1)
+            total = np.cumsum(
+                np.stack([batch.column(a).to_numpy(zero_copy_only=False).astype(np.int64) for a in amounts]), axis=1
+            )
+            before = np.repeat(
+                np.concatenate([np.zeros((len(amounts), 1), np.int64), total[:, starts[1:] - 1]], axis=1),
+                np.diff(np.append(starts, n)), axis=1
+            )
             upto = total - before
             first = tuple(batch.column(g)[0].as_py() for g in groups)
             if first == last:
                 upto[:, : starts[1] if len(starts) > 1 else n] += carried
             last, carried = tuple(batch.column(g)[n - 1].as_py() for g in groups), upto[:, -1:].copy()
-            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow)), pa.array(np.full(n, part, np.int32)), *(pa.array(np.ascontiguousarray(u)) for u in upto)], schema=arrow)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(c.cast(f.type) for c, f in zip(batch.columns, arrow)), pa.array(np.full(n, part, np.int32)),
+                    *(pa.array(np.ascontiguousarray(u)) for u in upto)
+                ],
+                schema=arrow
+            )
 
     return df.mapInArrow(run, schema)
 
 
-def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[str], amount: str | Sequence[str], out: str | Sequence[str] = "upto") -> DataFrame:
+def running_totals(
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], amount: str | Sequence[str],
+    out: str | Sequence[str] = "upto"
+) -> DataFrame:
     """``df`` with the inclusive running sum of one or more whole-number columns per group in ``order``.
 
     Amounts must not be null. Groups may be an empty list: then the whole table is one group. Rows that tie
@@ -71,12 +87,18 @@ def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[str], a
     per_part = local.groupBy(*groups, "_part").agg(*[F.max(f"_upto{k}").alias(f"_sum{k}") for k in range(len(amounts))])
     # One row per partition that holds some of the group: few rows, even for a group with most of the table.
     window = Window.partitionBy(*[F.col(g) for g in groups]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select(*groups, "_part", *[F.coalesce(F.sum(f"_sum{k}").over(window), F.lit(0)).alias(f"_before{k}") for k in range(len(amounts))])
+    offsets = per_part.select(
+        *groups, "_part",
+        *[F.coalesce(F.sum(f"_sum{k}").over(window), F.lit(0)).alias(f"_before{k}") for k in range(len(amounts))]
+    )
     match = F.col("l._part") == F.col("o._part")
     for g in groups:
         match &= F.col(f"l.{g}").eqNullSafe(F.col(f"o.{g}"))
     joined = local.alias("l").join(offsets.alias("o"), match)
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], *[(F.col(f"_upto{k}") + F.col(f"_before{k}")).alias(name) for k, name in enumerate(outs)])
+    return joined.select(
+        *[F.col(f"l.{c}") for c in df.columns],
+        *[(F.col(f"_upto{k}") + F.col(f"_before{k}")).alias(name) for k, name in enumerate(outs)]
+    )
 
 
 def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
@@ -118,8 +140,16 @@ def order_statistics(counts: DataFrame, groups: Sequence[str], ranks: dict[str,
 
 
 def _at_ranks(joined: DataFrame, groups: Sequence[str], ranks: dict[str, callable]) -> DataFrame:
-    hits = {name: F.when((f(F.col("n_rows")) <= F.col("_hi")) & (f(F.col("n_rows")) > F.col("_hi") - F.col("n")), F.col("value")) for name, f in ranks.items()}
-    return joined.groupBy(*groups).agg(F.max("n_rows").alias("n_rows"), *[F.max(hit).alias(name) for name, hit in hits.items()])
+    hits = {
+        name: F.when(
+            (f(F.col("n_rows")) <= F.col("_hi")) & (f(F.col("n_rows")) > F.col("_hi") - F.col("n")), F.col("value")
+        )
+        for name,
+        f in ranks.items()
+    }
+    return joined.groupBy(*groups).agg(
+        F.max("n_rows").alias("n_rows"), *[F.max(hit).alias(name) for name, hit in hits.items()]
+    )
 
 
 def percentiles(counts: DataFrame, groups: Sequence[str], fractions: dict[str, float]) -> DataFrame:
@@ -132,5 +162,7 @@ def percentiles(counts: DataFrame, groups: Sequence[str], fractions: dict[str, f
     columns = []
     for name, f in fractions.items():
         at = (F.col("n_rows") - 1) * F.lit(f)
-        columns.append((F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * (at - F.floor(at))).alias(name))
+        columns.append(
+            (F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * (at - F.floor(at))).alias(name)
+        )
     return found.select(*groups, "n_rows", *columns)

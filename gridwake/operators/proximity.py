@@ -26,7 +26,9 @@ EARTH_M = 6_371_008.8
 def _place(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
     """2 i + 1 for the i-th bound itself, 2 i for what lies below it and above the one before."""
     i = np.searchsorted(bounds, values, "left")
-    on = (i < len(bounds)) & (bounds[np.minimum(i, len(bounds) - 1)] == values) if len(bounds) else np.zeros(len(values), bool)
+    on = (i < len(bounds)) & (
+        bounds[np.minimum(i, len(bounds) - 1)] == values
+    ) if len(bounds) else np.zeros(len(values), bool)
     return 2 * i + on
 
 
@@ -66,7 +68,9 @@ class SlabIndex:
             here = slab[order[a]]
             active = np.flatnonzero((self.first <= here) & (here <= self.last))
             points = order[a:b]
-            lo, hi = np.searchsorted(y[points], self.low[active], "left"), np.searchsorted(y[points], self.high[active], "right")
+            lo, hi = np.searchsorted(y[points], self.low[active], "left"), np.searchsorted(
+                y[points], self.high[active], "right"
+            )
             done = 0
             total = np.cumsum(hi - lo)
             while done < len(active):
@@ -99,7 +103,9 @@ def _sound(*names: str) -> str:
     return " AND ".join(f"{n} IS NOT NULL AND NOT isnan({n}) AND abs({n}) < 1e9" for n in names)
 
 
-def locate_in_boxes(points: DataFrame, boxes: DataFrame, tile: float = 1.0, salt_rows: int = 200_000, slab_boxes: int = 5_000) -> DataFrame:
+def locate_in_boxes(
+    points: DataFrame, boxes: DataFrame, tile: float = 1.0, salt_rows: int = 200_000, slab_boxes: int = 5_000
+) -> DataFrame:
     """Pairs ``(pid, bid)`` of points and closed boxes that hold them, each once.
 
     ``points``: pid, x, y; ``boxes``: bid, x_lo, y_lo, x_hi, y_hi. Null or NaN coordinates, and boxes whose lower
@@ -108,7 +114,10 @@ def locate_in_boxes(points: DataFrame, boxes: DataFrame, tile: float = 1.0, salt
     """
     b = boxes.where(_sound(*_BOX) + " AND x_lo <= x_hi AND y_lo <= y_hi")
     sides = {"x_lo": "x_lo", "x_hi": "x_hi", "b_lo": "y_lo", "b_hi": "y_lo", "t_lo": "y_hi", "t_hi": "y_hi"}
-    return _locate(points, b.select("bid", *[F.col(c).cast("double").alias(n) for n, c in sides.items()]), tile, salt_rows, slab_boxes)
+    return _locate(
+        points, b.select("bid", *[F.col(c).cast("double").alias(n) for n, c in sides.items()]), tile, salt_rows,
+        slab_boxes
+    )
 
 
 def trapezoids(polygons: DataFrame) -> DataFrame:
@@ -154,12 +163,20 @@ def trapezoids(polygons: DataFrame) -> DataFrame:
                 found = cut_up(rings)
                 if len(found):
                     ids = batch.column("bid").take(pa.array([i] * len(found)))
-                    yield pa.RecordBatch.from_arrays([ids.cast(arrow.field("bid").type), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(6))], schema=arrow)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.cast(arrow.field("bid").type),
+                            *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(6))
+                        ],
+                        schema=arrow
+                    )
 
     return polygons.select("bid", "rings").mapInArrow(run, f"bid {kind}, " + ", ".join(f"{c} double" for c in _TRAP))
 
 
-def locate_in_polygons(points: DataFrame, polygons: DataFrame, tile: float = 1.0, salt_rows: int = 200_000, slab_boxes: int = 5_000) -> DataFrame:
+def locate_in_polygons(
+    points: DataFrame, polygons: DataFrame, tile: float = 1.0, salt_rows: int = 200_000, slab_boxes: int = 5_000
+) -> DataFrame:
     """Pairs ``(pid, bid)`` of points and the polygons ``(bid, rings)`` that hold them, each once; edges belong to them."""
     return _locate(points, trapezoids(polygons), tile, salt_rows, slab_boxes).distinct()
 
@@ -180,18 +197,29 @@ def _locate(points: DataFrame, traps: DataFrame, tile: float, salt_rows: int, sl
     t = t.withColumn("level", F.when(width > tile, F.col("level")).otherwise(0))
     side = F.lit(float(tile)) * F.pow(F.lit(2.0), F.col("level"))
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / side).cast("long"), F.floor(hi / side).cast("long")))
-    t = t.select("bid", *_TRAP, "level", cells(F.col("x_lo"), F.col("x_hi")).alias("tx"), bottom.alias("_b"), top.alias("_t"))
+    t = t.select(
+        "bid", *_TRAP, "level", cells(F.col("x_lo"), F.col("x_hi")).alias("tx"), bottom.alias("_b"), top.alias("_t")
+    )
     t = t.withColumn("ty", cells(F.col("_b"), F.col("_t"))).drop("_b", "_t")
     n_t = t.groupBy("level", "tx", "ty").agg(F.ceil(F.count(F.lit(1)) / slab_boxes).cast("int").alias("nb"))
     levels = [r[0] for r in n_t.select("level").distinct().collect()]  # powers of two between a tile and 1e9: some forty
     p = p.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels] or [F.lit(None).cast("int")])))
-    p = p.withColumn("tx", F.floor(F.col("x") / side).cast("long")).withColumn("ty", F.floor(F.col("y") / side).cast("long"))
+    p = p.withColumn("tx", F.floor(F.col("x") / side).cast("long")).withColumn(
+        "ty", F.floor(F.col("y") / side).cast("long")
+    )
     n_p = p.groupBy("level", "tx", "ty").agg(F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("np"))
     shares = n_t.join(n_p, ["level", "tx", "ty"])
     place, keys = ["level", "tx", "ty"], ["level", "tx", "ty", "sp", "sb"]
-    ps = p.join(shares, place).withColumn("sp", F.pmod(F.xxhash64("pid", "x", "y"), F.col("np")).cast("int")).withColumn("sb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    ts = t.join(shares, place).withColumn("sb", F.pmod(F.xxhash64("bid", *_TRAP), F.col("nb")).cast("int")).withColumn("sp", F.explode(F.sequence(F.lit(0), F.col("np") - 1)))
-    both = ts.select(*keys, F.lit(0).alias("kind"), "bid", *_TRAP).unionByName(ps.select(*keys, F.lit(1).alias("kind"), "pid", F.col("x").alias("x_lo"), F.col("y").alias("b_lo")), allowMissingColumns=True)
+    ps = p.join(shares, place).withColumn(
+        "sp", F.pmod(F.xxhash64("pid", "x", "y"), F.col("np")).cast("int")
+    ).withColumn("sb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    ts = t.join(shares, place).withColumn(
+        "sb", F.pmod(F.xxhash64("bid", *_TRAP), F.col("nb")).cast("int")
+    ).withColumn("sp", F.explode(F.sequence(F.lit(0), F.col("np") - 1)))
+    both = ts.select(*keys, F.lit(0).alias("kind"), "bid", *_TRAP).unionByName(
+        ps.select(*keys, F.lit(1).alias("kind"), "pid", F.col("x").alias("x_lo"), F.col("y").alias("b_lo")),
+        allowMissingColumns=True
+    )
     ptype, btype = dict(points.dtypes)["pid"], dict(traps.dtypes)["bid"]
     # The same types with every nested field nullable, which is what the schema text below stands for.
     wanted = to_arrow_schema(T._parse_datatype_string(f"pid {ptype}, bid {btype}"))
@@ -217,16 +245,22 @@ def _locate(points: DataFrame, traps: DataFrame, tile: float, salt_rows: int, sl
                     continue
                 for found, traps_ in index.locate(part.column("x_lo").to_numpy(), part.column("b_lo").to_numpy()):
                     if len(found):
-                        pair = pa.table({"pid": part.column("pid").take(pa.array(found)), "bid": names.take(pa.array(traps_))})
+                        pair = pa.table(
+                            {"pid": part.column("pid").take(pa.array(found)), "bid": names.take(pa.array(traps_))}
+                        )
                         yield from pair.cast(wanted).to_batches()
 
     # Hash of the place and sort by it: a share's trapezoids come first, then its points.
-    return both.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "kind").mapInArrow(run, f"pid {ptype}, bid {btype}")
+    return both.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "kind").mapInArrow(
+        run, f"pid {ptype}, bid {btype}"
+    )
 
 
 def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Metres along the great circle."""
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
+        F.sin(F.radians(lon2 - lon1) / 2), 2
+    )
     return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
@@ -244,10 +278,29 @@ def near_points(points: DataFrame, others: DataFrame, metres: float, tile: float
     reach = math.degrees(metres / EARTH_M) * (1 + 1e-9) + 1e-9
     o = others.where(ok).select("bid", lon.alias("x"), F.col("lat").cast("double").alias("y"))
     widest = F.abs("y") + reach
-    dx = F.when(widest >= 89.9, F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(math.radians(reach))) / F.cos(F.radians("y"))))) * (1 + 1e-9) + 1e-9)
-    spans = F.when(widest >= 89.9, F.array(F.struct(F.lit(-180.0).alias("lo"), F.lit(180.0).alias("hi")))).otherwise(F.filter(F.array(*[F.struct(F.greatest(F.lit(-180.0), F.col("x") - F.col("dx") + turn).alias("lo"), F.least(F.lit(180.0), F.col("x") + F.col("dx") + turn).alias("hi")) for turn in (-360.0, 0.0, 360.0)]), lambda s: s.lo <= s.hi))
+    dx = F.when(widest >= 89.9, F.lit(360.0)).otherwise(
+        F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(math.radians(reach))) / F.cos(F.radians("y"))))) * (1 + 1e-9)
+        + 1e-9
+    )
+    spans = F.when(widest >= 89.9, F.array(F.struct(F.lit(-180.0).alias("lo"), F.lit(180.0).alias("hi")))).otherwise(
+        F.filter(
+            F.array(
+                *[
+                    F.struct(
+                        F.greatest(F.lit(-180.0), F.col("x") - F.col("dx") + turn).alias("lo"),
+                        F.least(F.lit(180.0), F.col("x") + F.col("dx") + turn).alias("hi")
+                    )
+                    for turn in (-360.0, 0.0, 360.0)
+                ]
+            ),
+            lambda s: s.lo <= s.hi
+        )
+    )
     boxes = o.withColumn("dx", dx).withColumn("s", F.explode(spans))
-    boxes = boxes.select(F.struct("bid", "x", "y").alias("bid"), F.col("s.lo").alias("x_lo"), (F.col("y") - reach).alias("y_lo"), F.col("s.hi").alias("x_hi"), (F.col("y") + reach).alias("y_hi"))
+    boxes = boxes.select(
+        F.struct("bid", "x", "y").alias("bid"), F.col("s.lo").alias("x_lo"), (F.col("y") - reach).alias("y_lo"),
+        F.col("s.hi").alias("x_hi"), (F.col("y") + reach).alias("y_hi")
+    )
     held = locate_in_boxes(p.select(F.struct("pid", "x", "y").alias("pid"), "x", "y"), boxes, tile)
     far = great_circle(F.col("pid.x"), F.col("pid.y"), F.col("bid.x"), F.col("bid.y"))
     return held.where(far <= metres).select("pid.pid", "bid.bid")

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def regularise(df: DataFrame, source: Sequence[str], at: str, reading: str, step: float, origin: float = 0.0, max_span: float | None = None, rec_id: str | None = None, delta: bool = False) -> DataFrame:
+def regularise(
+    df: DataFrame, source: Sequence[str], at: str, reading: str, step: float, origin: float = 0.0,
+    max_span: float | None = None, rec_id: str | None = None, delta: bool = False
+) -> DataFrame:
     """A regular series per source from cumulative counter readings.
 
     ``at`` is a numeric position (for example a day of the year), ``reading`` the counter. Consecutive readings
@@ -29,14 +32,19 @@ def regularise(df: DataFrame, source: Sequence[str], at: str, reading: str, step
     """
     keys = [f"s{i}" for i in range(len(source))]
     t, v = F.col(at).cast("double"), F.col(reading).cast("double")
-    slim = df.select(*[F.col(s).alias(k) for s, k in zip(source, keys)], t.alias("t"), v.alias("v"), *([F.col(rec_id).alias("rid")] if rec_id else []))
+    slim = df.select(
+        *[F.col(s).alias(k) for s, k in zip(source, keys)], t.alias("t"), v.alias("v"),
+        *([F.col(rec_id).alias("rid")] if rec_id else [])
+    )
     slim = slim.where("t IS NOT NULL AND v IS NOT NULL AND NOT isnan(t) AND NOT isnan(v)")
     cell = lambda x: (F.ceil((x - origin) / step) - 1).cast("long")
     slim = slim.withColumn("cell", cell(F.col("t")))
     within = Window.partitionBy(*keys, "cell").orderBy("t", "v", *(["rid"] if rec_id else []))
     back = lambda c: F.lag(c).over(within)
     same = (back("rid") == F.col("rid")) if rec_id else (back("t") == F.col("t")) & (back("v") == F.col("v"))
-    stepped = slim.withColumn("again", F.coalesce(same, F.lit(False))).withColumn("pt", back("t")).withColumn("pv", back("v")).where("NOT again")
+    stepped = slim.withColumn(
+        "again", F.coalesce(same, F.lit(False))
+    ).withColumn("pt", back("t")).withColumn("pv", back("v")).where("NOT again")
 
     def gain(v, pv):
         return v if delta else F.when(pv.isNull() | (v < pv), v).otherwise(v - pv)
@@ -56,19 +64,41 @@ def regularise(df: DataFrame, source: Sequence[str], at: str, reading: str, step
     order = Window.partitionBy(*keys).orderBy("cell")
     linked = summary.withColumn("p", F.lag("last").over(order))
     t, v, pt, pv = (F.col(c) for c in ("first.t", "first.v", "p.t", "p.v"))
-    linked = linked.select(*keys, "cell", "gained", "length", t.alias("hi"), start(t, pt).alias("lo"), gain(v, pv).alias("gain"))
+    linked = linked.select(
+        *keys, "cell", "gained", "length", t.alias("hi"), start(t, pt).alias("lo"), gain(v, pv).alias("gain")
+    )
     low = F.floor((F.col("lo") - origin) / step).cast("long")
     zero = F.lit(None).cast("double")
     own = F.struct("cell", F.col("gained").alias("gain"), F.col("length").alias("covered"))
 
     def part(c):
-        overlap = F.greatest(F.lit(0.0), F.least(F.col("hi"), (c + 1) * F.lit(float(step)) + origin) - F.greatest(F.col("lo"), c * F.lit(float(step)) + origin))
-        return F.struct(c.alias("cell"), (F.col("gain") * overlap / (F.col("hi") - F.col("lo"))).alias("gain"), overlap.alias("covered"))
+        overlap = F.greatest(
+            F.lit(0.0),
+            F.least(
+                F.col("hi"), (c + 1) * F.lit(float(step)) + origin
+            ) - F.greatest(F.col("lo"), c * F.lit(float(step)) + origin)
+        )
+        return F.struct(
+            c.alias("cell"), (F.col("gain") * overlap / (F.col("hi") - F.col("lo"))).alias("gain"),
+            overlap.alias("covered")
+        )
 
-    crossing = F.when(F.col("lo") < F.col("hi"), F.transform(F.sequence(low, F.greatest(low, cell(F.col("hi")))), part)).otherwise(F.array(F.struct("cell", zero.alias("gain"), zero.alias("covered"))))
+    crossing = F.when(
+        F.col("lo") < F.col("hi"), F.transform(F.sequence(low, F.greatest(low, cell(F.col("hi")))), part)
+    ).otherwise(F.array(F.struct("cell", zero.alias("gain"), zero.alias("covered"))))
     crossing = F.coalesce(crossing, F.array(F.struct("cell", zero.alias("gain"), zero.alias("covered"))))
-    cells = linked.select(*keys, F.explode(F.concat(F.array(own), crossing)).alias("c")).select(*keys, "c.*").where("covered IS NOT NULL")
+    cells = linked.select(
+        *keys, F.explode(F.concat(F.array(own), crossing)).alias("c")
+    ).select(*keys, "c.*").where("covered IS NOT NULL")
     filled = cells.groupBy(*keys, "cell").agg(F.sum("gain").alias("increment"), F.sum("covered").alias("covered"))
     gaps = filled.withColumn("next", F.coalesce(F.lead("cell").over(order), F.col("cell") + 1))
-    marks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("next") - F.col("cell") - 1), lambda i: F.struct((F.col("cell") + i).alias("cell"), F.when(i == 0, F.col("increment")).alias("increment"), F.when(i == 0, F.col("covered")).otherwise(0.0).alias("covered"), (i > 0).alias("missing")))
-    return gaps.select(*keys, F.explode(marks).alias("m")).select(*[F.col(k).alias(s) for k, s in zip(keys, source)], "m.*")
+    marks = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("next") - F.col("cell") - 1),
+        lambda i: F.struct(
+            (F.col("cell") + i).alias("cell"), F.when(i == 0, F.col("increment")).alias("increment"),
+            F.when(i == 0, F.col("covered")).otherwise(0.0).alias("covered"), (i > 0).alias("missing")
+        )
+    )
+    return gaps.select(*keys, F.explode(marks).alias("m")).select(
+        *[F.col(k).alias(s) for k, s in zip(keys, source)], "m.*"
+    )

@@ -24,7 +24,12 @@ from gridwake.operators.order_stats import numbered, percentiles, value_counts
 from gridwake.session import Scratch
 
 USUAL = 1.4826
-OUT = StructType([StructField("rec_id", LongType()), StructField("field", StringType()), StructField("fault", StringType()), StructField("deviations", DoubleType())])
+OUT = StructType(
+    [
+        StructField("rec_id", LongType()), StructField("field", StringType()), StructField("fault", StringType()),
+        StructField("deviations", DoubleType())
+    ]
+)
 
 
 @dataclass(frozen=True)
@@ -94,7 +99,10 @@ def _phase_space(u: np.ndarray, codes: np.ndarray, groups: int, most: float | No
     return flagged
 
 
-def _judge(channel: Channel, ids: np.ndarray, values: np.ndarray, codes: np.ndarray, run: int, confirm: float | None, rounds: int):
+def _judge(
+    channel: Channel, ids: np.ndarray, values: np.ndarray, codes: np.ndarray, run: int, confirm: float | None,
+    rounds: int
+):
     """(ids, faults, deviations) of the implausible readings of one channel; groups are runs of ``codes``."""
     there = ~np.isnan(values)
     ids, values, codes = ids[there], values[there], codes[there]
@@ -128,7 +136,10 @@ def _once(table: pa.Table, codes: np.ndarray) -> tuple[pa.Table, np.ndarray]:
     return (table, codes) if keep.all() else (table.filter(pa.array(keep)), codes[keep])
 
 
-def flag_implausible(df: DataFrame, source: Sequence[str], time: str, rec_id: str, channels: Sequence[Channel], run: int = 5, confirm: float | None = None, rounds: int = 10, hot: int = 500_000) -> DataFrame:
+def flag_implausible(
+    df: DataFrame, source: Sequence[str], time: str, rec_id: str, channels: Sequence[Channel], run: int = 5,
+    confirm: float | None = None, rounds: int = 10, hot: int = 500_000
+) -> DataFrame:
     """Implausible readings of ``df`` as ``(rec_id, field, fault, deviations)``.
 
     ``df`` has one row per reading time of a source, with a whole-number ``rec_id`` and one value column per
@@ -144,7 +155,10 @@ def flag_implausible(df: DataFrame, source: Sequence[str], time: str, rec_id: st
     source = list(source)
     names = [f"s{i}" for i in range(len(source))]
     values = [F.col(c.value).cast("double").alias(f"v{i}") for i, c in enumerate(channels)]
-    slim = df.select(*[F.col(s).alias(n) for s, n in zip(source, names)], F.col(time).alias("at"), F.col(rec_id).cast("long").alias("rec_id"), *values)
+    slim = df.select(
+        *[F.col(s).alias(n) for s, n in zip(source, names)], F.col(time).alias("at"),
+        F.col(rec_id).cast("long").alias("rec_id"), *values
+    )
     slim = slim.where("rec_id IS NOT NULL AND at IS NOT NULL")
     crowded = slim.groupBy(*names).count().where(F.col("count") > hot).select(*names)
 
@@ -155,7 +169,15 @@ def flag_implausible(df: DataFrame, source: Sequence[str], time: str, rec_id: st
         for i, channel in enumerate(channels):
             values = np.array(table.column(f"v{i}").to_numpy(), dtype=float)
             found, faults, deviations = _judge(channel, ids, values, codes, run, confirm, rounds)
-            parts.append(pa.table({"rec_id": found, "field": pa.array([channel.field] * len(found), pa.string()), "fault": pa.array(faults.tolist(), pa.string()), "deviations": pa.array(deviations, from_pandas=True)}))
+            parts.append(
+                pa.table(
+                    {
+                        "rec_id": found, "field": pa.array([channel.field] * len(found), pa.string()),
+                        "fault": pa.array(faults.tolist(), pa.string()),
+                        "deviations": pa.array(deviations, from_pandas=True)
+                    }
+                )
+            )
         return pa.concat_tables(parts)
 
     if crowded.isEmpty():
@@ -165,7 +187,12 @@ def flag_implausible(df: DataFrame, source: Sequence[str], time: str, rec_id: st
     small, large = _match(slim, crowded, names, "left_anti"), _match(slim, crowded, names, "left_semi")
     result = over_groups(small, names, ["at", "rec_id"], kernel, OUT)
     for i, channel in enumerate(channels):
-        result = result.unionByName(_hot(large.select(*names, "at", "rec_id", F.col(f"v{i}").alias("v")), names, channel, run, confirm, rounds, hot))
+        result = result.unionByName(
+            _hot(
+                large.select(*names, "at", "rec_id", F.col(f"v{i}").alias("v")), names, channel, run, confirm, rounds,
+                hot
+            )
+        )
     return result
 
 
@@ -175,7 +202,9 @@ def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "i
     for k in keys:
         match &= F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     joined = left.alias("l").join(right.alias("r"), match, how)
-    return joined if how in ("left_semi", "left_anti") else joined.select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in keys])
+    return joined if how in ("left_semi", "left_anti") else joined.select(
+        "l.*", *[F.col(f"r.{c}") for c in right.columns if c not in keys]
+    )
 
 
 def _blocks(block: int, rim: int):
@@ -185,10 +214,17 @@ def _blocks(block: int, rim: int):
     return home.alias("home"), F.explode(near).alias("block")
 
 
-def _over_blocks(df: DataFrame, names: Sequence[str], values: Sequence[str], out: dict, block: int, rim: int, compute) -> DataFrame:
+def _over_blocks(
+    df: DataFrame, names: Sequence[str], values: Sequence[str], out: dict, block: int, rim: int, compute
+) -> DataFrame:
     """``(names, idx, rec_id, *out)``: ``compute(table, codes)`` over blocks with overlaps, kept for each block's own rows."""
     spread = df.select(*names, "idx", "rec_id", *values, *_blocks(block, rim))
-    schema = StructType([*[f for f in spread.schema.fields if f.name in names], StructField("idx", LongType()), StructField("rec_id", LongType()), *[StructField(n, t) for n, t in out.items()]])
+    schema = StructType(
+        [
+            *[f for f in spread.schema.fields if f.name in names], StructField("idx", LongType()),
+            StructField("rec_id", LongType()), *[StructField(n, t) for n, t in out.items()]
+        ]
+    )
 
     def kernel(table: pa.Table, codes: np.ndarray) -> pa.Table:
         found = table.select([*names, "idx", "rec_id"])
@@ -199,7 +235,9 @@ def _over_blocks(df: DataFrame, names: Sequence[str], values: Sequence[str], out
     return over_groups(spread, [*names, "block"], ["idx"], kernel, schema)
 
 
-def _hot(df: DataFrame, names: list[str], channel: Channel, run: int, confirm: float | None, rounds: int, block: int) -> DataFrame:
+def _hot(
+    df: DataFrame, names: list[str], channel: Channel, run: int, confirm: float | None, rounds: int, block: int
+) -> DataFrame:
     """As ``_judge`` for sources too large for a task, in blocks of ``block`` readings."""
     scratch = Scratch(df.sparkSession, "spikes")
     readings = df.where(F.col("v").isNotNull() & ~F.isnan("v")).dropDuplicates([*names, "rec_id"])
@@ -210,13 +248,20 @@ def _hot(df: DataFrame, names: list[str], channel: Channel, run: int, confirm: f
         wrong, stuck = channel.impossible(values), _stuck(values, codes, run)
         with np.errstate(divide="ignore", invalid="ignore"):
             x = 10 * np.log10(values) if channel.decibel else values
-        return {"fault": pa.array(np.where(wrong, "impossible", np.where(stuck, "stuck", "")).tolist(), pa.string()), "x": pa.array(x)}
-
-    judged = scratch.cut(_over_blocks(placed, names, ["v"], {"fault": StringType(), "x": DoubleType()}, block, run + 2, first))
+        return {
+            "fault": pa.array(np.where(wrong, "impossible", np.where(stuck, "stuck", "")).tolist(), pa.string()),
+            "x": pa.array(x)
+        }
+
+    judged = scratch.cut(
+        _over_blocks(placed, names, ["v"], {"fault": StringType(), "x": DoubleType()}, block, run + 2, first)
+    )
     clean = judged.where("fault = ''")
     middle = percentiles(value_counts(clean, names, "x"), names, {"middle": 0.5}).drop("n_rows")
     centred = _match(clean, middle, names).select(*names, "rec_id", "idx", (F.col("x") - F.col("middle")).alias("u"))
-    usual = percentiles(value_counts(centred.withColumn("a", F.abs("u")), names, "a"), names, {"usual": 0.5}).drop("n_rows")
+    usual = percentiles(
+        value_counts(centred.withColumn("a", F.abs("u")), names, "a"), names, {"usual": 0.5}
+    ).drop("n_rows")
     centred = _match(centred, usual.withColumn("usual", F.col("usual") * USUAL), names)
     # Numbered anew, so that clean neighbours stand beside each other.
     state = numbered(centred.withColumnRenamed("idx", "at"), names, ["at"], "idx").drop("at")
@@ -226,10 +271,16 @@ def _hot(df: DataFrame, names: list[str], channel: Channel, run: int, confirm: f
         if grown.where("new").isEmpty():
             break
         state = grown.select(*names, "idx", "rec_id", "u", "usual", (F.col("flagged") | F.col("new")).alias("flagged"))
-    spikes = state.where("flagged") if confirm is None else state.where(F.col("flagged") & (F.abs("u") > confirm * F.col("usual")))
+    spikes = state.where("flagged") if confirm is None else state.where(
+        F.col("flagged") & (F.abs("u") > confirm * F.col("usual"))
+    )
     size = F.when(F.col("u") == 0, 0.0).when(F.col("usual") == 0, float("inf")).otherwise(F.abs("u") / F.col("usual"))
-    spikes = spikes.select("rec_id", F.lit(channel.field).alias("field"), F.lit("spike").alias("fault"), size.alias("deviations"))
-    return judged.where("fault <> ''").select("rec_id", F.lit(channel.field).alias("field"), "fault", F.lit(None).cast("double").alias("deviations")).unionByName(spikes)
+    spikes = spikes.select(
+        "rec_id", F.lit(channel.field).alias("field"), F.lit("spike").alias("fault"), size.alias("deviations")
+    )
+    return judged.where("fault <> ''").select(
+        "rec_id", F.lit(channel.field).alias("field"), "fault", F.lit(None).cast("double").alias("deviations")
+    ).unionByName(spikes)
 
 
 def _round(state: DataFrame, names: list[str], confirm: float | None, block: int) -> DataFrame:
@@ -239,13 +290,22 @@ def _round(state: DataFrame, names: list[str], confirm: float | None, block: int
     point it is the last good one of an earlier block, carried on over a table with one row per block.
     """
     home = F.floor((F.col("idx") - 1) / block).alias("home")
-    ends = state.groupBy(*names, home).agg(F.max_by(F.when(~F.col("flagged"), F.col("u")), F.when(~F.col("flagged"), F.col("idx"))).alias("last"))
+    ends = state.groupBy(*names, home).agg(
+        F.max_by(F.when(~F.col("flagged"), F.col("u")), F.when(~F.col("flagged"), F.col("idx"))).alias("last")
+    )
     order = Window.partitionBy(*names).orderBy("home")
-    carry = ends.select(*names, "home", F.coalesce(F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("carry"))
+    carry = ends.select(
+        *names, "home",
+        F.coalesce(
+            F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)
+        ).alias("carry")
+    )
     based = _match(state.withColumn("home", home), carry, [*names, "home"])
 
     def bridge(table: pa.Table, codes: np.ndarray) -> dict:
-        u, flagged, carried = column(table, "u", float), column(table, "flagged").astype(bool), column(table, "carry", float)
+        u, flagged, carried = column(table, "u", float), column(table, "flagged").astype(bool), column(
+            table, "carry", float
+        )
         back = np.maximum.accumulate(np.where(flagged, -1, np.arange(len(u))))
         known = (back >= 0) & (codes[np.maximum(back, 0)] == codes)
         return {"b": pa.array(np.where(flagged, np.where(known, u[np.maximum(back, 0)], carried), u))}
@@ -256,14 +316,25 @@ def _round(state: DataFrame, names: list[str], confirm: float | None, block: int
         du, d2 = _differences(column(table, "b", float), codes)
         return {"bu": table.column("b"), "du": pa.array(du), "d2": pa.array(d2)}
 
-    stepped = _over_blocks(bridged, names, ["b"], {"bu": DoubleType(), "du": DoubleType(), "d2": DoubleType()}, block, 3, differences)
+    stepped = _over_blocks(
+        bridged, names, ["b"], {"bu": DoubleType(), "du": DoubleType(), "d2": DoubleType()}, block, 3, differences
+    )
     points = _match(state, stepped.drop("rec_id"), [*names, "idx"])
     axes = ("bu", "du", "d2")
-    tall = points.where("NOT flagged").select(*names, F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.abs(a).alias("size")) for a in axes])).alias("e")).select(*names, "e.*")
+    tall = points.where("NOT flagged").select(
+        *names, F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.abs(a).alias("size")) for a in axes])).alias("e")
+    ).select(*names, "e.*")
     sizes = percentiles(value_counts(tall, [*names, "axis"], "size"), [*names, "axis"], {"half": 0.5})
-    sizes = sizes.groupBy(*names).agg(F.max("n_rows").alias("n"), *[F.max(F.when(F.col("axis") == a, F.col("half") * USUAL)).alias(f"s_{a}") for a in axes])
+    sizes = sizes.groupBy(*names).agg(
+        F.max("n_rows").alias("n"),
+        *[F.max(F.when(F.col("axis") == a, F.col("half") * USUAL)).alias(f"s_{a}") for a in axes]
+    )
     limit = F.sqrt(2 * F.log(F.greatest(F.col("n"), F.lit(2)).cast("double")))
     limit = limit if confirm is None else F.least(limit, F.lit(float(confirm)))
-    square = lambda a: F.when(F.col(a) == 0, 0.0).when(F.col(f"s_{a}") == 0, float("inf")).otherwise(F.pow(F.col(a) / (limit * F.col(f"s_{a}")), 2))
+    square = lambda a: F.when(F.col(a) == 0, 0.0).when(F.col(f"s_{a}") == 0, float("inf")).otherwise(
+        F.pow(F.col(a) / (limit * F.col(f"s_{a}")), 2)
+    )
     distance = square("bu") + square("du") + square("d2")
-    return _match(points, sizes, names).select(*names, "idx", "rec_id", "u", "usual", "flagged", (~F.col("flagged") & (distance > 1)).alias("new"))
+    return _match(points, sizes, names).select(
+        *names, "idx", "rec_id", "u", "usual", "flagged", (~F.col("flagged") & (distance > 1)).alias("new")
+    )

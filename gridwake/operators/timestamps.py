@@ -29,7 +29,9 @@ EPOCH = r"^-?(?!(?:1[5-9]|20)[0-9]{2}(?:0[1-9]|1[0-2])$)[0-9]{5,19}$"
 DAY = 86_400_000_000
 
 
-def parse_moments(df: DataFrame, text: str, month: str | None = None, wall: str = "wall_us", offset: str = "offset_s") -> DataFrame:
+def parse_moments(
+    df: DataFrame, text: str, month: str | None = None, wall: str = "wall_us", offset: str = "offset_s"
+) -> DataFrame:
     """``df`` with the wall time (microseconds, as if UTC) and the stated offset (seconds, or null).
 
     Read are ISO dates and times (also compact, with fractions, as ranges: their first day), ``d/m/y`` and
@@ -41,11 +43,16 @@ def parse_moments(df: DataFrame, text: str, month: str | None = None, wall: str
     exist, give null. All other columns pass through.
     """
     # One pass per text: each format's groups are put into one order, and the parts are read from that array.
-    layouts = {"c": (COMPACT, "$1|$2|$3|$4|$5|$6|$7||$8"), "i": (ISO, "$1|$2|$3|$4|$5|$6|$7||$8"), "n": (NUMERIC, "$3|$1|$2|$4|$5|$6|$7|$8|$9"), "w": (NAMED, "$3|$2|$1|$4|$5|$6|$7|$8|$9")}
+    layouts = {
+        "c": (COMPACT, "$1|$2|$3|$4|$5|$6|$7||$8"), "i": (ISO, "$1|$2|$3|$4|$5|$6|$7||$8"),
+        "n": (NUMERIC, "$3|$1|$2|$4|$5|$6|$7|$8|$9"), "w": (NAMED, "$3|$2|$1|$4|$5|$6|$7|$8|$9")
+    }
     clean = F.regexp_replace(F.col(text), "^[\\s\u00a0]+|[\\s\u00a0]+$|[\u200b\u2060\ufeff]", "")
     work = df.withColumn("__t", clean)
     t = F.col("__t")
-    kind = F.when(t.rlike(COMPACT), "c").when(t.rlike(EPOCH), "e").when(t.rlike(ISO), "i").when(t.rlike(NUMERIC), "n").when(t.rlike(NAMED), "w")
+    kind = F.when(t.rlike(COMPACT), "c").when(t.rlike(EPOCH), "e").when(t.rlike(ISO), "i").when(
+        t.rlike(NUMERIC), "n"
+    ).when(t.rlike(NAMED), "w")
     work = work.withColumn("__k", kind)
     k = F.col("__k")
     flat = F.lit(None).cast("string")
@@ -54,26 +61,54 @@ def parse_moments(df: DataFrame, text: str, month: str | None = None, wall: str
     work = work.withColumn("__p", F.split(flat, r"\|", -1))
     part = lambda i: F.nullif(F.get("__p", F.lit(i)), F.lit(""))
     month_number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(part(1))).cast("string")
-    numbers = {"y": part(0), "a": F.when(k == "w", month_number).otherwise(part(1)), "b": part(2), "h": part(3), "mi": part(4), "s": part(5)}
-    work = work.withColumns({f"__{n}": c.cast("int") for n, c in numbers.items()} | {"__f": part(6), "__half": F.upper(F.substring(part(7), 1, 1)), "__z": F.when(k == "e", "Z").otherwise(F.upper(part(8)))})
+    numbers = {
+        "y": part(0), "a": F.when(k == "w", month_number).otherwise(part(1)), "b": part(2), "h": part(3), "mi": part(4),
+        "s": part(5)
+    }
+    work = work.withColumns(
+        {f"__{n}": c.cast("int") for n, c in numbers.items()}
+        | {
+            "__f": part(6), "__half": F.upper(F.substring(part(7), 1, 1)),
+            "__z": F.when(k == "e", "Z").otherwise(F.upper(part(8)))
+        }
+    )
     y, a, b, h, mi, s, f, half, z = (F.col(f"__{n}") for n in ("y", "a", "b", "h", "mi", "s", "f", "half", "z"))
     given = F.col(month).cast("int") if month else F.lit(None).cast("int")
-    first = F.when(k != "n", True).when(a > 12, False).when(b > 12, True).when((given == a) & (given != b), True).when((given == b) & (given != a), False).otherwise(half.isNotNull())
+    first = F.when(k != "n", True).when(a > 12, False).when(b > 12, True).when((given == a) & (given != b), True).when(
+        (given == b) & (given != a), False
+    ).otherwise(half.isNotNull())
     work = work.withColumn("__first", first)
     first = F.col("__first")
     hour = F.when(half.isNull(), h).when(~h.between(1, 12), 24).otherwise(h % 12 + F.when(half == "P", 12).otherwise(0))
-    work = work.withColumns({"__year": F.when((k == "n") & (y < 100), y + 2000).otherwise(y), "__month": F.when(first, a).otherwise(b), "__day": F.when(first, b).otherwise(a), "__hour": F.coalesce(hour, F.lit(0))})
+    work = work.withColumns(
+        {
+            "__year": F.when((k == "n") & (y < 100), y + 2000).otherwise(y), "__month": F.when(first, a).otherwise(b),
+            "__day": F.when(first, b).otherwise(a), "__hour": F.coalesce(hour, F.lit(0))
+        }
+    )
     date = F.try_to_date(F.format_string("%04d-%02d-%02d", "__year", "__month", "__day"), "yyyy-MM-dd")
     micros = F.coalesce(F.substring(F.rpad(f, 6, "0"), 1, 6).cast("long"), F.lit(0))
-    work = work.withColumns({"__date": date, "__clock": (F.col("__hour").cast("long") * 3600 + F.coalesce(mi, F.lit(0)) * 60 + F.coalesce(s, F.lit(0))) * 1_000_000 + micros})
+    work = work.withColumns(
+        {
+            "__date": date,
+            "__clock": (
+                F.col("__hour").cast("long") * 3600 + F.coalesce(mi, F.lit(0)) * 60 + F.coalesce(s, F.lit(0))
+            ) * 1_000_000
+            + micros
+        }
+    )
     valid = (F.col("__hour") < 24) & (F.coalesce(mi, F.lit(0)) < 60) & (F.coalesce(s, F.lit(0)) < 60)
     told = F.when(valid, F.unix_date("__date").cast("long") * DAY + F.col("__clock"))
     number = t.try_cast("decimal(20,0)")
     size = F.length(F.regexp_replace(t, "^-", ""))
-    counted = F.when(size <= 11, number * 1_000_000).when(size <= 14, number * 1000).when(size <= 17, number).otherwise(F.floor(number / 1000)).try_cast("long")
+    counted = F.when(
+        size <= 11, number * 1_000_000
+    ).when(size <= 14, number * 1000).when(size <= 17, number).otherwise(F.floor(number / 1000)).try_cast("long")
     named = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
     digits = F.regexp_replace(z, "[^0-9]", "")
-    stated = F.substring(digits, 1, 2).cast("int") * 3600 + F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).cast("int"), F.lit(0)) * 60
+    stated = F.substring(digits, 1, 2).cast("int") * 3600 + F.coalesce(
+        F.nullif(F.substring(digits, 3, 2), F.lit("")).cast("int"), F.lit(0)
+    ) * 60
     seconds = F.when(z.startswith("-"), -stated).when(z.startswith("+"), stated).otherwise(F.try_element_at(named, z))
     out = work.withColumns({wall: F.when(k == "e", counted).otherwise(told), offset: seconds})
     return out.select(*[c for c in out.columns if c in df.columns or c in (wall, offset)])
@@ -102,7 +137,9 @@ CYCLE_US = 146_097 * DAY
 LONG_AGO = -(1 << 62)
 
 
-def zone_intervals(spark: SparkSession, zones: Iterable[str], first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
+def zone_intervals(
+    spark: SparkSession, zones: Iterable[str], first: int = FIRST_YEAR, last: int = LAST_YEAR
+) -> DataFrame:
     """Per zone and year of local time, the offset intervals that touch it or come before it.
 
     ``(zone, local_year, intervals)`` with intervals ``(lo, hi, offset_s)`` in wall microseconds. The first interval of a
@@ -128,10 +165,15 @@ def zone_intervals(spark: SparkSession, zones: Iterable[str], first: int = FIRST
                 near.append(local[k])
                 k += 1
             rows.append((zone, year, near))
-    return spark.createDataFrame(rows, "zone string, local_year int, intervals array<struct<lo:long,hi:long,offset_s:int>>")
+    return spark.createDataFrame(
+        rows, "zone string, local_year int, intervals array<struct<lo:long,hi:long,offset_s:int>>"
+    )
 
 
-def to_instants(df: DataFrame, zones: DataFrame, wall: str = "wall_us", offset: str = "offset_s", zone: str = "zone", utc: str = "utc_us", state: str = "zone_state") -> DataFrame:
+def to_instants(
+    df: DataFrame, zones: DataFrame, wall: str = "wall_us", offset: str = "offset_s", zone: str = "zone",
+    utc: str = "utc_us", state: str = "zone_state"
+) -> DataFrame:
     """``df`` with the UTC instant of each wall time, and how it was found.
 
     Every year has an instant: the zone's first offset holds for all time before it, and its last rule for all time after.
@@ -142,9 +184,15 @@ def to_instants(df: DataFrame, zones: DataFrame, wall: str = "wall_us", offset:
     """
     year = F.year(F.timestamp_micros(F.col(wall)))
     turns = F.when(year > LAST_YEAR, F.ceil((year - LAST_YEAR) / CYCLE)).otherwise(0).cast("long")
-    marked = df.withColumn("__turns", turns).withColumn("__y", F.greatest(year - F.col("__turns") * CYCLE, F.lit(FIRST_YEAR)).cast("int"))
-    renamed = zones.select(F.col("zone").alias("__zone"), F.col("local_year").alias("__ly"), F.col("intervals").alias("__iv"))
-    joined = marked.join(renamed, (F.col(zone) == F.col("__zone")) & (F.col("__y") == F.col("__ly")) & F.col(offset).isNull(), "left")
+    marked = df.withColumn("__turns", turns).withColumn(
+        "__y", F.greatest(year - F.col("__turns") * CYCLE, F.lit(FIRST_YEAR)).cast("int")
+    )
+    renamed = zones.select(
+        F.col("zone").alias("__zone"), F.col("local_year").alias("__ly"), F.col("intervals").alias("__iv")
+    )
+    joined = marked.join(
+        renamed, (F.col(zone) == F.col("__zone")) & (F.col("__y") == F.col("__ly")) & F.col(offset).isNull(), "left"
+    )
     t = F.col(wall)
     joined = joined.withColumn("__t", t - F.col("__turns") * CYCLE_US)
     hits = F.filter("__iv", lambda x: (x.lo <= F.col("__t")) & (F.col("__t") < x.hi))
@@ -152,6 +200,14 @@ def to_instants(df: DataFrame, zones: DataFrame, wall: str = "wall_us", offset:
     count = F.size("__hits")
     before = F.filter("__iv", lambda x: x.hi <= F.col("__t"))
     before = F.array_max(F.transform(before, lambda x: F.struct(x.hi.alias("hi"), x.offset_s.alias("offset_s"))))
-    used = F.when(F.col(offset).isNotNull(), F.col(offset)).when(count >= 1, F.array_max(F.transform("__hits", lambda x: x.offset_s))).when(count == 0, before.offset_s)
-    name = F.when(t.isNull(), "unknown").when(F.col(offset).isNotNull(), "stated").when(F.col("__iv").isNull(), "unknown").when(count >= 2, "ambiguous").when(count == 1, "exact").otherwise("skipped")
-    return joined.withColumn(utc, t - used.cast("long") * 1_000_000).withColumn(state, name).drop("__y", "__turns", "__t", "__zone", "__ly", "__iv", "__hits")
+    used = F.when(F.col(offset).isNotNull(), F.col(offset)).when(
+        count >= 1, F.array_max(F.transform("__hits", lambda x: x.offset_s))
+    ).when(count == 0, before.offset_s)
+    name = F.when(t.isNull(), "unknown").when(
+        F.col(offset).isNotNull(), "stated"
+    ).when(
+        F.col("__iv").isNull(), "unknown"
+    ).when(count >= 2, "ambiguous").when(count == 1, "exact").otherwise("skipped")
+    return joined.withColumn(utc, t - used.cast("long") * 1_000_000).withColumn(state, name).drop(
+        "__y", "__turns", "__t", "__zone", "__ly", "__iv", "__hits"
+    )

@@ -21,7 +21,10 @@ def summarise(value: Column, prefix: str = "") -> list[Column]:
     """Aggregates: five percentiles (linear), population deviation, amplitude and number of values."""
     p = F.percentile(value, F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
     names = ("p05", "p25", "p50", "p75", "p95")
-    return [*[F.get(p, F.lit(i)).alias(prefix + n) for i, n in enumerate(names)], F.stddev_pop(value).alias(prefix + "std"), (F.get(p, F.lit(4)) - F.get(p, F.lit(0))).alias(prefix + "amplitude"), F.count(value).alias(prefix + "n_obs")]
+    return [
+        *[F.get(p, F.lit(i)).alias(prefix + n) for i, n in enumerate(names)], F.stddev_pop(value).alias(prefix + "std"),
+        (F.get(p, F.lit(4)) - F.get(p, F.lit(0))).alias(prefix + "amplitude"), F.count(value).alias(prefix + "n_obs")
+    ]
 
 
 def dry_summary(value: Column, doy: Column) -> list[Column]:
@@ -33,7 +36,11 @@ def band_summary(value: Column, prefix: str) -> list[Column]:
     """5th and 95th percentile and population deviation; fewer than two values give 0, 0 and 1."""
     few = F.count(value) < 2
     p = F.percentile(value, F.array(F.lit(0.05), F.lit(0.95)))
-    return [F.when(few, 0.0).otherwise(F.get(p, F.lit(0))).alias(f"{prefix}_p5"), F.when(few, 0.0).otherwise(F.get(p, F.lit(1))).alias(f"{prefix}_p95"), F.when(few, 1.0).otherwise(F.stddev_pop(value)).alias(f"{prefix}_std")]
+    return [
+        F.when(few, 0.0).otherwise(F.get(p, F.lit(0))).alias(f"{prefix}_p5"),
+        F.when(few, 0.0).otherwise(F.get(p, F.lit(1))).alias(f"{prefix}_p95"),
+        F.when(few, 1.0).otherwise(F.stddev_pop(value)).alias(f"{prefix}_std")
+    ]
 
 
 def _padded(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -108,11 +115,19 @@ def scale_stats(df: DataFrame, keys: Sequence[str], value: str, sample: bool = F
     return df.groupBy(*keys).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), std.alias("std"))
 
 
-def z_score(df: DataFrame, keys: Sequence[str], value: str, out: str, sample: bool = False, floor: float = 1e-6) -> DataFrame:
+def z_score(
+    df: DataFrame, keys: Sequence[str], value: str, out: str, sample: bool = False, floor: float = 1e-6
+) -> DataFrame:
     """Standardised within ``keys``; a null value gives 0."""
     over = Window.partitionBy(*keys)
     deviation = (F.stddev_samp if sample else F.stddev_pop)(value).over(over)
-    return df.withColumn(out, F.coalesce((F.col(value) - F.avg(value).over(over)) / F.greatest(F.coalesce(deviation, F.lit(floor)), F.lit(floor)), F.lit(0.0)))
+    return df.withColumn(
+        out,
+        F.coalesce(
+            (F.col(value) - F.avg(value).over(over)) / F.greatest(F.coalesce(deviation, F.lit(floor)), F.lit(floor)),
+            F.lit(0.0)
+        )
+    )
 
 
 def despeckle(df: DataFrame, columns: Sequence[str], width: int) -> DataFrame:
@@ -139,7 +154,10 @@ def sequences(df: DataFrame, value: Column, most: int) -> DataFrame:
     """One row per window with its readings in order of time, at most ``most`` of them."""
     pairs = F.sort_array(F.collect_list(F.struct("doy", "obs_id", value.alias("v"))))
     short = F.slice(pairs, 1, most)
-    return df.groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("n_obs"), short.alias("s")).select(*WINDOW, "n_obs", F.transform("s", lambda x: x.doy).alias("doys"), F.transform("s", lambda x: x.v).alias("values"))
+    return df.groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("n_obs"), short.alias("s")).select(
+        *WINDOW, "n_obs", F.transform("s", lambda x: x.doy).alias("doys"),
+        F.transform("s", lambda x: x.v).alias("values")
+    )
 
 
 def farthest(doys: np.ndarray, keep: int) -> np.ndarray:
@@ -202,23 +220,46 @@ def is_one_run(df: DataFrame, order: Sequence[str]) -> DataFrame:
                 runs += int(codes[-1]) + 1 - (names[0] == last and runs > 0)
                 first, last = names[0] if first is None else first, names[-1]
         if runs:
-            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "first": [first], "last": [last], "runs": [runs]})
+            yield pa.RecordBatch.from_pydict(
+                {"part": [TaskContext.get().partitionId()], "first": [first], "last": [last], "runs": [runs]}
+            )
 
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).select("point_id").mapInArrow(ends, "part long, first string, last string, runs long")
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).select("point_id").mapInArrow(
+        ends, "part long, first string, last string, runs long"
+    )
     joined = parts.withColumn("again", F.lag("last").over(Window.orderBy("part")) == F.col("first"))  # a row per partition
     runs = joined.agg((F.sum("runs") - F.count_if("again")).alias("runs"))
     points = df.agg(F.countDistinct("point_id").alias("points"))
-    both = runs.select("runs", F.lit(None).cast("long").alias("points")).unionByName(points.select(F.lit(None).cast("long").alias("runs"), "points"))
+    both = runs.select("runs", F.lit(None).cast("long").alias("points")).unionByName(
+        points.select(F.lit(None).cast("long").alias("runs"), "points")
+    )
     return both.agg(F.max("runs").alias("runs"), F.max("points").alias("points"))
 
 
-def waveform(df: DataFrame, index: str, quality: str, window: tuple[int, int] = (200, 340), threshold: float = 0.15, min_quality: float = 0.3, min_years: int = 3) -> DataFrame:
+def waveform(
+    df: DataFrame, index: str, quality: str, window: tuple[int, int] = (200, 340), threshold: float = 0.15,
+    min_quality: float = 0.3, min_years: int = 3
+) -> DataFrame:
     """Per point: the season's peak, its day, and how long and how regularly it comes; two aggregations, no row logic."""
     years = df.groupBy("point_id").agg(F.countDistinct("year").alias("years")).where(F.col("years") >= min_years)
-    usable = df.where((F.col(quality) >= min_quality) & F.col("doy").between(*window)).withColumn("w", F.col(index) * F.col(quality)).where("w IS NOT NULL")
-    peaks = usable.groupBy("point_id", "year").agg(F.max(F.struct("w", -F.col("doy"), -F.col("obs_id"))).alias("m"), F.count_if(F.col("w") >= threshold / 2).alias("long")).select("point_id", "year", F.col("m.w").alias("peak"), (-F.col("m.col2")).alias("peak_doy"), "long").where(F.col("peak") >= threshold)
-    found = peaks.groupBy("point_id").agg(F.max(F.struct("peak", -F.col("year"), "peak_doy")).alias("b"), F.avg("long").alias("spike_duration"), F.avg("peak_doy").alias("peak_doy_mean"), F.stddev_pop("peak_doy").alias("peak_doy_sd"), F.count(F.lit(1)).alias("years_detected")).where(F.col("years_detected") >= min_years)
-    return found.join(years.select("point_id"), "point_id", "left_semi").select("point_id", F.col("b.peak").alias("peak_value"), F.col("b.peak_doy").alias("peak_doy"), "spike_duration", "peak_doy_mean", "peak_doy_sd", "years_detected")
+    usable = df.where(
+        (F.col(quality) >= min_quality) & F.col("doy").between(*window)
+    ).withColumn("w", F.col(index) * F.col(quality)).where("w IS NOT NULL")
+    peaks = usable.groupBy("point_id", "year").agg(
+        F.max(F.struct("w", -F.col("doy"), -F.col("obs_id"))).alias("m"),
+        F.count_if(F.col("w") >= threshold / 2).alias("long")
+    ).select(
+        "point_id", "year", F.col("m.w").alias("peak"), (-F.col("m.col2")).alias("peak_doy"), "long"
+    ).where(F.col("peak") >= threshold)
+    found = peaks.groupBy("point_id").agg(
+        F.max(F.struct("peak", -F.col("year"), "peak_doy")).alias("b"), F.avg("long").alias("spike_duration"),
+        F.avg("peak_doy").alias("peak_doy_mean"), F.stddev_pop("peak_doy").alias("peak_doy_sd"),
+        F.count(F.lit(1)).alias("years_detected")
+    ).where(F.col("years_detected") >= min_years)
+    return found.join(years.select("point_id"), "point_id", "left_semi").select(
+        "point_id", F.col("b.peak").alias("peak_value"), F.col("b.peak_doy").alias("peak_doy"), "spike_duration",
+        "peak_doy_mean", "peak_doy_sd", "years_detected"
+    )
 
 
 def feature_vector(wave: DataFrame, structure: DataFrame, quality: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -229,21 +270,31 @@ def feature_vector(wave: DataFrame, structure: DataFrame, quality: DataFrame, na
     joined = wave.join(structure, "point_id", "left").join(quality, "point_id", "left")
     if missing := [n for n in names if n not in joined.columns]:
         raise ValueError(f"missing features: {missing}")
-    needed = lambda n: F.coalesce(F.col(n).cast("double"), F.raise_error(F.lit(f"{n} is missing")).cast("double")).alias(n)
+    needed = lambda n: F.coalesce(
+        F.col(n).cast("double"), F.raise_error(F.lit(f"{n} is missing")).cast("double")
+    ).alias(n)
     return joined.select("point_id", *[needed(n) for n in names])
 
 
 def composite(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
     """Weighted mean; where all weights are 0 the plain mean."""
     w = F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))
-    return df.groupBy(*keys).agg(F.when(F.coalesce(w, F.lit(0.0)) == 0, F.avg(value)).otherwise(F.sum(F.col(weight) * F.col(value)) / w).alias("composite"))
+    return df.groupBy(*keys).agg(
+        F.when(
+            F.coalesce(w, F.lit(0.0)) == 0, F.avg(value)
+        ).otherwise(F.sum(F.col(weight) * F.col(value)) / w).alias("composite")
+    )
 
 
-def presence_filter(windows: DataFrame, vh_low: float = -21.0, vh_rescue: float = -23.0, ndvi_rescue: float = 0.5) -> DataFrame:
+def presence_filter(
+    windows: DataFrame, vh_low: float = -21.0, vh_rescue: float = -23.0, ndvi_rescue: float = 0.5
+) -> DataFrame:
     """Drops presence windows too dark in the dry season, unless green enough to be rescued; no radar keeps a window."""
     dark = F.col("vh_dry") < vh_low
     rescued = (F.col("vh_dry") >= vh_rescue) & (F.col("ndvi_dry") >= ndvi_rescue)
-    return windows.where(~((F.col("label") == "presence") & F.coalesce(dark & ~F.coalesce(rescued, F.lit(False)), F.lit(False))))
+    return windows.where(
+        ~((F.col("label") == "presence") & F.coalesce(dark & ~F.coalesce(rescued, F.lit(False)), F.lit(False)))
+    )
 
 
 def flags_dry(doy: Column) -> Column:

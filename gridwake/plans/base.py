@@ -51,7 +51,13 @@ def obs(spark: SparkSession, d: str, repeated: bool = False) -> DataFrame:
     df = ob.prepare((tables.table if repeated else table)(spark, d, "observations"))
     df = df.withColumns({f"i_{n.lower()}": indices.spectral_index(n) for n in (*indices.INDICES, "NDSVI", "B12_B11")})
     vh, vv = F.col("vh"), F.col("vv")
-    return df.withColumns({"vh_db": indices.decibel(vh), "vv_db": indices.decibel(vv), "vh_vv": indices.decibel(vh) - indices.decibel(vv), "rvi": indices.radar_vegetation(vh, vv), "label": ids.presence_label(F.col("region_id"))})
+    return df.withColumns(
+        {
+            "vh_db": indices.decibel(vh), "vv_db": indices.decibel(vv),
+            "vh_vv": indices.decibel(vh) - indices.decibel(vv), "rvi": indices.radar_vegetation(vh, vv),
+            "label": ids.presence_label(F.col("region_id"))
+        }
+    )
 
 
 def regions(spark: SparkSession, d: str) -> DataFrame:
@@ -71,12 +77,17 @@ _INDEX_SQL = {
     "b12_b11": f"{_R['B12']} / nullif({_R['B11']}, 0)",
 }
 OBS = (
-    "obs AS (SELECT *, CASE WHEN vh > 0 THEN 10 * log10(vh) END AS vh_db, CASE WHEN vv > 0 THEN 10 * log10(vv) END AS vv_db, "
-    "CASE WHEN vh > 0 AND vv > 0 THEN 10 * log10(vh) - 10 * log10(vv) END AS vh_vv, CASE WHEN vh + vv > 0 THEN 4 * vh / (vh + vv) END AS rvi FROM ("
-    "SELECT obs_id, region_id, point_id, lon::DOUBLE AS lon, lat::DOUBLE AS lat, date, item_id, tile_id, " + ", ".join(BANDS) + ", scl_purity, scl, aot, view_zenith, sun_zenith, coalesce(source, 'S2') AS source, "
-    "CASE WHEN NOT isnan(vh) THEN vh::DOUBLE END AS vh, CASE WHEN NOT isnan(vv) THEN vv::DOUBLE END AS vv, orbit, CASE WHEN NOT isnan(NDVI) THEN NDVI::DOUBLE END AS NDVI, batch_no, loaded_at, "
+    "obs AS (SELECT *, CASE WHEN vh > 0 THEN 10 * log10(vh) END AS vh_db, CASE WHEN vv > 0 THEN 10 * log10(vv) END "
+    "AS vv_db, "
+    "CASE WHEN vh > 0 AND vv > 0 THEN 10 * log10(vh) - 10 * log10(vv) END AS vh_vv, CASE WHEN vh + vv > 0 THEN 4 * "
+    "vh / (vh + vv) END AS rvi FROM ("
+    "SELECT obs_id, region_id, point_id, lon::DOUBLE AS lon, lat::DOUBLE AS lat, date, item_id, tile_id, "
+    + ", ".join(BANDS) + ", scl_purity, scl, aot, view_zenith, sun_zenith, coalesce(source, 'S2') AS source, "
+    "CASE WHEN NOT isnan(vh) THEN vh::DOUBLE END AS vh, CASE WHEN NOT isnan(vv) THEN vv::DOUBLE END AS vv, orbit, "
+    "CASE WHEN NOT isnan(NDVI) THEN NDVI::DOUBLE END AS NDVI, batch_no, loaded_at, "
     "year(date)::INT AS year, month(date)::INT AS month, dayofyear(date)::INT AS doy, "
-    "CASE WHEN contains(region_id, 'presence') THEN 'presence' WHEN contains(region_id, 'absence') THEN 'absence' ELSE 'unknown' END AS label, "
+    "CASE WHEN contains(region_id, 'presence') THEN 'presence' WHEN contains(region_id, 'absence') THEN 'absence' "
+    "ELSE 'unknown' END AS label, "
     + ", ".join(f"{e} AS i_{n}" for n, e in _INDEX_SQL.items())
     + " FROM observations))"
 )

@@ -26,10 +26,18 @@ RATIO = [spikes.Channel("vhvv_dry", "vhvv_dry", -40.0, 0.0)]
 
 
 def _faults(spark: SparkSession, d: str, confirm: float | None) -> DataFrame:
-    observations = table(spark, d, "observations").withColumn("judged_ndvi", F.when(F.col("scl_purity") == 1, F.col("NDVI")))
+    observations = table(spark, d, "observations").withColumn(
+        "judged_ndvi", F.when(F.col("scl_purity") == 1, F.col("NDVI"))
+    )
     summaries = table(spark, d, "year_summaries")
-    found = spikes.flag_implausible(observations, ["point_id"], "date", "obs_id", OPTICAL_RADAR, confirm=confirm).withColumn("tab", F.lit("observations"))
-    return found.unionByName(spikes.flag_implausible(summaries, ["bbox_id"], "year", "summary_id", RATIO, confirm=confirm).withColumn("tab", F.lit("year_summaries")))
+    found = spikes.flag_implausible(
+        observations, ["point_id"], "date", "obs_id", OPTICAL_RADAR, confirm=confirm
+    ).withColumn("tab", F.lit("observations"))
+    return found.unionByName(
+        spikes.flag_implausible(
+            summaries, ["bbox_id"], "year", "summary_id", RATIO, confirm=confirm
+        ).withColumn("tab", F.lit("year_summaries"))
+    )
 
 
 def p2_faults(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +75,9 @@ def _consolidated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, st
     placed = rows.join(files.select("file_id", *compaction.CHUNK), "file_id")
     # Eight tasks write to every partition, so that there are small files to consolidate.
     compaction.append(spark, root, placed.repartition(8, "file_id").sortWithinPartitions(*PLACE), PLACE)
-    compaction.compact(spark, root, PLACE, SAME, small_bytes=128 << 20, min_small=1, target_bytes=256 << 20, first=["file_id"])
+    compaction.compact(
+        spark, root, PLACE, SAME, small_bytes=128 << 20, min_small=1, target_bytes=256 << 20, first=["file_id"]
+    )
     return files, compaction.read(spark, root), root
 
 
@@ -83,7 +93,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_plan(spark: SparkSession, d: str) -> DataFrame:
     """Per chunk, what consolidation will do: files and records before, files after."""
-    return compaction.plan_partitions(*_files_and_records(spark, d), small_bytes=128 << 20, min_small=2, target_rows=5_000_000)
+    return compaction.plan_partitions(
+        *_files_and_records(spark, d), small_bytes=128 << 20, min_small=2, target_rows=5_000_000
+    )
 
 
 def p3_compacted(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +104,9 @@ def p3_compacted(spark: SparkSession, d: str) -> DataFrame:
     counted = table.withColumn("_file", F.col("_metadata.file_path"))
     per_file = counted.groupBy(*PLACE).agg(F.countDistinct("_file").alias("n_files"))
     per_point = counted.groupBy(*compaction.CHUNK, "point_id").agg(F.count(F.lit(1)).alias("n"))
-    chunks = per_point.groupBy(*compaction.CHUNK).agg(F.sum("n").alias("n_records"), F.count("point_id").alias("n_points"))
+    chunks = per_point.groupBy(*compaction.CHUNK).agg(
+        F.sum("n").alias("n_records"), F.count("point_id").alias("n_points")
+    )
     return chunks.join(per_file, PLACE).select(*compaction.CHUNK, "n_records", "n_points", "n_files")
 
 
@@ -100,7 +114,9 @@ def _instants(spark: SparkSession, d: str) -> DataFrame:
     sightings = table(spark, d, "sightings").where("sighting_id IS NOT NULL")
     parsed = timestamps.parse_moments(sightings, "eventDate", "month")
     # Parsed before the aggregation, so that no filter behind it repeats the parsing.
-    latest = parsed.groupBy("sighting_id").agg(F.max(F.struct("loaded_at", "dataResourceName", "wall_us", "offset_s")).alias("r")).select("sighting_id", "r.*")
+    latest = parsed.groupBy("sighting_id").agg(
+        F.max(F.struct("loaded_at", "dataResourceName", "wall_us", "offset_s")).alias("r")
+    ).select("sighting_id", "r.*")
     resources = table(spark, d, "data_resources").groupBy("dataResourceName").agg(F.min("time_zone").alias("zone"))
     placed = latest.join(resources, "dataResourceName", "left")
     # Zone names come from the IANA list: some 600 at most, so their list is bounded.
@@ -118,8 +134,12 @@ def p5_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ndvi_series(spark: SparkSession, d: str) -> DataFrame:
-    readings = usable_ndvi(table(spark, d, "observations")).select("point_id", F.year("date").alias("year"), F.dayofyear("date").alias("doy"), "obs_id", F.lit(1.0).alias("one"))
-    return regular_grid.regularise(readings, ["point_id", "year"], "doy", "one", step=16, max_span=1, rec_id="obs_id", delta=True)
+    readings = usable_ndvi(table(spark, d, "observations")).select(
+        "point_id", F.year("date").alias("year"), F.dayofyear("date").alias("doy"), "obs_id", F.lit(1.0).alias("one")
+    )
+    return regular_grid.regularise(
+        readings, ["point_id", "year"], "doy", "one", step=16, max_span=1, rec_id="obs_id", delta=True
+    )
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +148,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_grid(spark: SparkSession, d: str) -> DataFrame:
     """The regular series: readings and covered days of each 16-day period, missing periods marked."""
-    return _ndvi_series(spark, d).select("point_id", "year", F.col("cell").cast("int").alias("period"), F.col("increment").alias("n_readings"), "covered", "missing")
+    return _ndvi_series(spark, d).select(
+        "point_id", "year", F.col("cell").cast("int").alias("period"), F.col("increment").alias("n_readings"),
+        "covered", "missing"
+    )
 
 
 def p6_counters(spark: SparkSession, d: str) -> DataFrame:
@@ -137,28 +160,57 @@ def p6_counters(spark: SparkSession, d: str) -> DataFrame:
     Increments come from the differences of consecutive readings and from the resets, and are shared out over the days since the reading
     before, 32 at most; cells that no reading covers are marked.
     """
-    usable = usable_ndvi(table(spark, d, "observations")).select("obs_id", "point_id", "date").dropDuplicates(["obs_id"])
+    usable = usable_ndvi(
+        table(spark, d, "observations")
+    ).select("obs_id", "point_id", "date").dropDuplicates(["obs_id"])
     days = usable.groupBy("point_id", "date").agg(F.count(F.lit(1)).alias("n"))
     # At most 366 days a point and year.
     order = Window.partitionBy("point_id", F.year("date")).orderBy("date")
     counter = days.select("point_id", F.unix_date("date").alias("day"), F.sum("n").over(order).alias("so_far"))
     series = regular_grid.regularise(counter, ["point_id"], "day", "so_far", step=16, max_span=32)
-    return series.select("point_id", "cell", F.round(F.col("increment") + 1e-9, 6).alias("increment"), "covered", "missing")
+    return series.select(
+        "point_id", "cell", F.round(F.col("increment") + 1e-9, 6).alias("increment"), "covered", "missing"
+    )
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    sightings = table(spark, d, "sightings").where("sighting_id IS NOT NULL").groupBy("sighting_id").agg(F.max(F.struct("loaded_at", "lon", "lat", "year")).alias("r")).select("sighting_id", "r.*")
-    science = table(spark, d, "science_points").where("point_id IS NOT NULL").groupBy("point_id").agg(F.max(F.struct("lon", "lat")).alias("r")).select("point_id", "r.*")
-    near = proximity.near_points(sightings.select(F.col("sighting_id").alias("pid"), "lon", "lat"), science.select(F.col("point_id").alias("bid"), "lon", "lat"), 150.0)
+    sightings = table(spark, d, "sightings").where("sighting_id IS NOT NULL").groupBy("sighting_id").agg(
+        F.max(F.struct("loaded_at", "lon", "lat", "year")).alias("r")
+    ).select("sighting_id", "r.*")
+    science = table(spark, d, "science_points").where("point_id IS NOT NULL").groupBy("point_id").agg(
+        F.max(F.struct("lon", "lat")).alias("r")
+    ).select("point_id", "r.*")
+    near = proximity.near_points(
+        sightings.select(F.col("sighting_id").alias("pid"), "lon", "lat"),
+        science.select(F.col("point_id").alias("bid"), "lon", "lat"), 150.0
+    )
     regions = table(spark, d, "training_regions")
-    boxes = regions.select(F.struct("id", "years").alias("bid"), *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("x_lo", "y_lo", "x_hi", "y_hi"))])
-    held = proximity.locate_in_boxes(sightings.where("lat BETWEEN -90 AND 90").select(F.struct("sighting_id", "year").alias("pid"), F.col("lon").alias("x"), F.col("lat").alias("y")), boxes)
-    held = held.where(F.array_contains("bid.years", F.col("pid.year"))).select(F.col("pid.sighting_id").alias("pid"), F.col("bid.id").alias("bid")).distinct()
-    tagged = lambda df, rel: df.select(F.lit(rel).alias("rel"), F.col("pid").alias("sighting_id"), F.col("bid").alias("other_id"))
+    boxes = regions.select(
+        F.struct("id", "years").alias("bid"),
+        *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("x_lo", "y_lo", "x_hi", "y_hi"))]
+    )
+    held = proximity.locate_in_boxes(
+        sightings.where("lat BETWEEN -90 AND 90").select(
+            F.struct("sighting_id", "year").alias("pid"), F.col("lon").alias("x"), F.col("lat").alias("y")
+        ),
+        boxes
+    )
+    held = held.where(F.array_contains("bid.years", F.col("pid.year"))).select(
+        F.col("pid.sighting_id").alias("pid"), F.col("bid.id").alias("bid")
+    ).distinct()
+    tagged = lambda df, rel: df.select(
+        F.lit(rel).alias("rel"), F.col("pid").alias("sighting_id"), F.col("bid").alias("other_id")
+    )
     return tagged(near, "near").unionByName(tagged(held, "in"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_faults, p2_spikes, p3_found, p3_plan, p3_compacted, p5_found, p5_states, p6_found, p6_grid, p6_counters, p7_found)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_found, p2_faults, p2_spikes, p3_found, p3_plan, p3_compacted, p5_found, p5_states, p6_found, p6_grid,
+        p6_counters, p7_found
+    )
+}
 
 _NDVI = "NDVI IS NOT NULL AND NOT isnan(NDVI) AND scl_purity = 1"
 
@@ -192,14 +244,22 @@ WITH f AS (SELECT file_id, max(size_bytes) AS size_bytes, any_value(upper(regexp
 """
 
 SQL = {
-    "p2_found": _JUDGED + "SELECT tab, rec_id, field FROM l LEFT JOIN u USING (field, src) WHERE wrong OR stuck OR abs(x - mid) > 8 * usual",
-    "p2_faults": _JUDGED + "SELECT tab, rec_id, field, CASE WHEN wrong THEN 'impossible' WHEN stuck THEN 'stuck' ELSE 'spike' END AS fault, CASE WHEN NOT wrong AND NOT stuck THEN round(abs(x - mid) / usual, 6) END AS deviations FROM l LEFT JOIN u USING (field, src) WHERE wrong OR stuck OR abs(x - mid) > 8 * usual",
+    "p2_found": _JUDGED
+    + "SELECT tab, rec_id, field FROM l LEFT JOIN u USING (field, src) WHERE wrong OR stuck OR abs(x - mid) > 8 * usual",
+    "p2_faults": _JUDGED
+    + "SELECT tab, rec_id, field, CASE WHEN wrong THEN 'impossible' WHEN stuck THEN 'stuck' ELSE 'spike' END AS "
+    "fault, CASE WHEN NOT wrong AND NOT stuck THEN round(abs(x - mid) / usual, 6) END AS deviations FROM l LEFT JOIN "
+    "u USING (field, src) WHERE wrong OR stuck OR abs(x - mid) > 8 * usual",
     "p3_found": _FILES + "SELECT file_id FROM f WHERE file_id NOT IN (SELECT file_id FROM k)",
     "p3_plan": _FILES + """, r AS (SELECT t, y, r, c, count(*) AS n_records FROM k GROUP BY ALL), n AS (SELECT t, y, r, c, count(*) AS n_files, count(*) FILTER (size_bytes < 134217728) AS n_small FROM f GROUP BY ALL)
 SELECT t AS tile, y AS year, r AS chunk_row, c AS chunk_col, n_files, n_small, coalesce(n_records, 0) AS n_records, n_small >= 2 AS rewrite, CASE WHEN n_small >= 2 THEN ceil(coalesce(n_records, 0) / 5000000)::BIGINT ELSE n_files END AS n_out FROM n LEFT JOIN r USING (t, y, r, c)""",
-    "p3_compacted": _FILES + "SELECT t AS tile, y AS year, r AS chunk_row, c AS chunk_col, count(*) AS n_records, count(DISTINCT point_id) AS n_points, 1 AS n_files FROM k GROUP BY ALL",
+    "p3_compacted": _FILES
+    + "SELECT t AS tile, y AS year, r AS chunk_row, c AS chunk_col, count(*) AS n_records, count(DISTINCT point_id) "
+    "AS n_points, 1 AS n_files FROM k GROUP BY ALL",
     "p6_found": _GRID + "SELECT point_id, year, period FROM g ANTI JOIN c USING (point_id, year, period)",
-    "p6_grid": _GRID + "SELECT point_id, year, period, n_readings, coalesce(covered, 0.0) AS covered, covered IS NULL AS missing FROM g LEFT JOIN c USING (point_id, year, period)",
+    "p6_grid": _GRID
+    + "SELECT point_id, year, period, n_readings, coalesce(covered, 0.0) AS covered, covered IS NULL AS missing FROM "
+    "g LEFT JOIN c USING (point_id, year, period)",
     "p6_counters": f"""
 WITH u AS (SELECT DISTINCT ON (obs_id) point_id, date FROM observations WHERE {_NDVI} AND NDVI BETWEEN -1 AND 1),
      c AS (SELECT point_id, date_diff('day', DATE '1970-01-01', date) AS t, sum(count(*)) OVER (PARTITION BY point_id, year(date) ORDER BY date)::DOUBLE AS v FROM u GROUP BY point_id, date),

@@ -17,7 +17,10 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def extent(df: DataFrame) -> DataFrame:
-    return df.agg(F.countDistinct("point_id").alias("n_points"), F.countDistinct("point_id", F.year("date")).alias("n_windows"), F.count(F.lit(1)).alias("n_rows"))
+    return df.agg(
+        F.countDistinct("point_id").alias("n_points"), F.countDistinct("point_id", F.year("date")).alias("n_windows"),
+        F.count(F.lit(1)).alias("n_rows")
+    )
 
 
 def restrict(df: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
@@ -31,7 +34,10 @@ def restrict(df: DataFrame, include: DataFrame | None = None, exclude: DataFrame
 def coverage(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bounds and size per key: a manifest that lets later reads skip what lies elsewhere."""
     bound = lambda f, c, n: F.round(f(c), 6).alias(n)
-    return df.groupBy(*keys).agg(bound(F.min, "lon", "west"), bound(F.min, "lat", "south"), bound(F.max, "lon", "east"), bound(F.max, "lat", "north"), F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*keys).agg(
+        bound(F.min, "lon", "west"), bound(F.min, "lat", "south"), bound(F.max, "lon", "east"),
+        bound(F.max, "lat", "north"), F.count(F.lit(1)).alias("n")
+    )
 
 
 def polygons(spark: SparkSession, text: str) -> DataFrame:
@@ -42,7 +48,9 @@ def polygons(spark: SparkSession, text: str) -> DataFrame:
         ring = ring[:-1] if ring[0] == ring[-1] else ring
         xs, ys = [float(p[0]) for p in ring], [float(p[1]) for p in ring]
         rows.append((feature["properties"].get("name"), len(ring), min(xs), min(ys), max(xs), max(ys)))
-    return spark.createDataFrame(rows, "name string, n_corners int, west double, south double, east double, north double")
+    return spark.createDataFrame(
+        rows, "name string, n_corners int, west double, south double, east double, north double"
+    )
 
 
 def regions_from_config(entries: Sequence[dict]) -> list[dict]:
@@ -111,14 +119,19 @@ def covered(scores: DataFrame, coords: DataFrame, key: str, worst: float = 0.05,
 def at_nearest(rows: DataFrame, points: DataFrame, lon: float, lat: float) -> DataFrame:
     """All rows of the point nearest to a place; one row is chosen by a pre-aggregated minimum, then joined."""
     distance = F.pow(F.col("lon") - lon, 2) + F.pow(F.col("lat") - lat, 2)
-    nearest = points.agg(F.min(F.struct(distance.alias("q"), F.col("point_id").alias("point_id"))).alias("m")).select("m.point_id")
+    nearest = points.agg(
+        F.min(F.struct(distance.alias("q"), F.col("point_id").alias("point_id"))).alias("m")
+    ).select("m.point_id")
     return rows.join(nearest, "point_id", "left_semi")
 
 
 def markdown(df: DataFrame, *columns: str) -> DataFrame:
     """A small table as the lines of a Markdown table, in order."""
     head = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]), F.lit(" |"))
+    line = F.concat(
+        F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]),
+        F.lit(" |")
+    )
     body = df.select(line.alias("line"))
     first = df.sparkSession.createDataFrame([(h,) for h in head], "line string")
     return first.unionByName(body)

@@ -27,7 +27,9 @@ def deliver_once(spark: SparkSession, folder: str, out: str) -> DataFrame:
             once = once.join(before, F.col("new.obs_id").eqNullSafe(F.col("old.obs_id")), "left_anti")
         once.write.mode("overwrite").parquet(f"{out}/rows/number={number}")
 
-    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(keep).option(
+        "checkpointLocation", f"{out}/state"
+    ).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{out}/rows").drop("number")
 
@@ -38,8 +40,12 @@ def hourly_counts(spark: SparkSession, folder: str, out: str) -> DataFrame:
     hour = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 3600) * 3600).alias("hour")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.groupBy(hour, "event_type").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/rows/number={number}")
+        batch.groupBy(hour, "event_type").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(
+            f"{out}/rows/number={number}"
+        )
 
-    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(keep).option(
+        "checkpointLocation", f"{out}/state"
+    ).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{out}/rows").groupBy("hour", "event_type").agg(F.sum("n").alias("n"))

@@ -10,7 +10,10 @@ from gridwake.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.driver.memory": "6g"})
+    session = build_session(
+        "tests", "local[8]",
+        **{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.driver.memory": "6g"}
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -21,7 +21,10 @@ def duck():
     con.execute("SET timezone = 'UTC'")
     for file in os.listdir(FOLDER):
         path = f"{FOLDER}/{file}"
-        con.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM read_parquet('{path + '/*.parquet' if os.path.isdir(path) else path}')")
+        con.execute(
+            f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM "
+            f"read_parquet('{path + '/*.parquet' if os.path.isdir(path) else path}')"
+        )
     return con
 
 

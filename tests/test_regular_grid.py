@@ -8,7 +8,9 @@ SCHEMA = "src string, t double, v double, id long, cell string, rid string"
 def grid(spark, data, **kw):
     real = lambda x: None if x is None else float(x)
     df = spark.createDataFrame([(s, real(t), real(v), i, "clash", "clash") for s, t, v, i in data], SCHEMA)
-    return {(r.src, r.cell): (r.increment, r.covered, r.missing) for r in regularise(df, ["src"], "t", "v", **kw).collect()}
+    return {
+        (r.src, r.cell): (r.increment, r.covered, r.missing) for r in regularise(df, ["src"], "t", "v", **kw).collect()
+    }
 
 
 def test_increments_are_shared_by_overlap(spark):
@@ -27,7 +29,10 @@ def test_uncovered_cells_are_marked(spark):
 
 
 def test_edges_ties_and_repeats(spark):
-    data = [("a", 16, 1, 1), ("a", 16, 1, 1), ("a", 16, 1, 2), ("a", 17, 1, 3), (None, 3, 1, 4), ("b", None, 1, 5), ("b", 1, None, 6), ("b", float("nan"), 1, 7)]
+    data = [
+        ("a", 16, 1, 1), ("a", 16, 1, 1), ("a", 16, 1, 2), ("a", 17, 1, 3), (None, 3, 1, 4), ("b", None, 1, 5),
+        ("b", 1, None, 6), ("b", float("nan"), 1, 7)
+    ]
     got = grid(spark, data, step=16, max_span=1, delta=True, rec_id="id")
     assert got == {("a", 0): (2.0, 1.0, False), ("a", 1): (1.0, 1.0, False), (None, 0): (1.0, 1.0, False)}
 

@@ -58,7 +58,9 @@ def random_data(seed, sources=6, n=80):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_the_definition(spark, seed):
     data = random_data(seed)
-    assert faults(flag_implausible(frame(spark, data + data[:20]), ["src"], "at", "id", PLAIN, confirm=8.0)) == brute(data)
+    assert faults(
+        flag_implausible(frame(spark, data + data[:20]), ["src"], "at", "id", PLAIN, confirm=8.0)
+    ) == brute(data)
 
 
 def test_hot_sources_agree_with_the_others(spark):
@@ -67,14 +69,21 @@ def test_hot_sources_agree_with_the_others(spark):
 
 
 def test_nulls_empty_and_constant(spark):
-    data = [("a", 1, 1, None), ("a", 2, 2, float("nan")), ("a", None, 3, -1.0), ("a", 3, None, -1.0), ("b", 1, 4, 5.0), ("c", 1, 5, -1.0), ("c", 2, 6, -2.0), ("c", 3, 7, -1.0), ("c", 4, 8, -1.0)]
-    assert faults(flag_implausible(frame(spark, data), ["src"], "at", "id", PLAIN, confirm=8.0)) == [(4, "impossible"), (6, "spike")]
+    data = [
+        ("a", 1, 1, None), ("a", 2, 2, float("nan")), ("a", None, 3, -1.0), ("a", 3, None, -1.0), ("b", 1, 4, 5.0),
+        ("c", 1, 5, -1.0), ("c", 2, 6, -2.0), ("c", 3, 7, -1.0), ("c", 4, 8, -1.0)
+    ]
+    assert faults(
+        flag_implausible(frame(spark, data), ["src"], "at", "id", PLAIN, confirm=8.0)
+    ) == [(4, "impossible"), (6, "spike")]
     assert faults(flag_implausible(frame(spark, []), ["src"], "at", "id", PLAIN, confirm=8.0)) == []
 
 
 def test_decibels(spark):
     data = [("a", t, t, 0.02 * (1 + 0.01 * (t % 7))) for t in range(50)] + [("a", 60, 60, 0.0), ("a", 61, 61, 2.0)]
-    found = flag_implausible(frame(spark, data), ["src"], "at", "id", [Channel("vh", "v", 0.0, low_open=True, decibel=True)], confirm=8.0)
+    found = flag_implausible(
+        frame(spark, data), ["src"], "at", "id", [Channel("vh", "v", 0.0, low_open=True, decibel=True)], confirm=8.0
+    )
     assert faults(found) == [(60, "impossible"), (61, "spike")]
 
 
@@ -87,13 +96,18 @@ def phase_space(values, rounds=10):
         for v, f in zip(u, flagged):
             last = last if f else v
             bridged.append(last)
-        step = lambda s: [((s[i + 1] if i + 1 < len(s) else s[i]) - (s[i - 1] if i else s[i])) / 2 for i in range(len(s))]
+        step = lambda s: [
+            ((s[i + 1] if i + 1 < len(s) else s[i]) - (s[i - 1] if i else s[i])) / 2 for i in range(len(s))
+        ]
         du = step(bridged)
         axes = [bridged, du, step(du)]
         kept = [i for i, f in enumerate(flagged) if not f]
         limit = np.sqrt(2 * np.log(max(len(kept), 2)))
         sizes = [limit * 1.4826 * np.median([abs(a[i]) for i in kept]) for a in axes]
-        new = [i for i in kept if sum(0 if a[i] == 0 else np.inf if s == 0 else (a[i] / s) ** 2 for a, s in zip(axes, sizes)) > 1]
+        new = [
+            i for i in kept
+            if sum(0 if a[i] == 0 else np.inf if s == 0 else (a[i] / s) ** 2 for a, s in zip(axes, sizes)) > 1
+        ]
         if not new:
             break
         for i in new:

@@ -28,14 +28,22 @@ def test_what_stays_covers_what_was_covered():
 
 
 def test_tiles_by_area(spark):
-    rows = [(a, t, 0.0, 0.0, 10.0, 4.0, *box) for a in ("x", "y") for t, box in (("l", (-1.0, -1.0, 6.0, 5.0)), ("m", (4.0, -1.0, 7.0, 5.0)), ("r", (5.0, -1.0, 11.0, 5.0)))]
-    df = spark.createDataFrame(rows, "id string, tile_id string, bw double, bs double, be double, bn double, w double, s double, e double, n double")
+    rows = [
+        (a, t, 0.0, 0.0, 10.0, 4.0, *box) for a in ("x", "y") for t,
+        box in (("l", (-1.0, -1.0, 6.0, 5.0)), ("m", (4.0, -1.0, 7.0, 5.0)), ("r", (5.0, -1.0, 11.0, 5.0)))
+    ]
+    df = spark.createDataFrame(
+        rows,
+        "id string, tile_id string, bw double, bs double, be double, bn double, w double, s double, e double, n double"
+    )
     assert sorted(map(tuple, needed_tiles(df).collect())) == [("x", "l"), ("x", "r"), ("y", "l"), ("y", "r")]
     assert needed_tiles(df.limit(0)).count() == 0
 
 
 def test_the_projection_turns_back(spark):
-    df = spark.createDataFrame([(138.9, -24.2), (141.0, -18.0), (146.4, -13.4), (143.9999, -0.01)], "lon double, lat double").withColumn("zone", geodesy.utm_zone(F.col("lon")))
+    df = spark.createDataFrame(
+        [(138.9, -24.2), (141.0, -18.0), (146.4, -13.4), (143.9999, -0.01)], "lon double, lat double"
+    ).withColumn("zone", geodesy.utm_zone(F.col("lon")))
     x, y = geodesy.utm(F.col("lon"), F.col("lat"), F.col("zone"))
     back = geodesy.utm_inverse(x, y, F.col("zone"), F.lit(True))
     for r in df.select("lon", "lat", back[0].alias("x"), back[1].alias("y")).collect():

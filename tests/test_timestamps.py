@@ -34,18 +34,32 @@ CASES = [
     ("1263995069", None, SYD, 1263995069000000),
     ("2021-04-04T02:30:00", None, SYD, us(2021, 4, 4, 2, 30, zone=SYD)),  # twice: the earlier
     ("2021-10-03T02:30:00", None, SYD, us(2021, 10, 3, 2, 30) - 36_000_000_000),  # skipped: offset before the change
-    ("1850-03-01 12:00:00", None, SYD, us(1850, 3, 1, 12, zone=SYD)), ("1898-05-04 10:00:00", None, SYD, us(1898, 5, 4, 10, zone=SYD)), ("1776-07-04", None, SYD, us(1776, 7, 4, zone=SYD)),
-    ("2150-01-15 12:00:00", None, SYD, us(2150, 1, 15, 12, zone=SYD)), ("2150-07-15 12:00:00", None, SYD, us(2150, 7, 15, 12, zone=SYD)), ("2499-12-31 23:00:00", None, SYD, us(2499, 12, 31, 23, zone=SYD)),
-    ("2777-01-15 12:00:00", None, SYD, us(2777, 1, 15, 12, zone=SYD)), ("9998-07-15 12:00:00", None, SYD, us(9998, 7, 15, 12, zone=SYD)), ("9998-01-15", None, SYD, us(9998, 1, 15, zone=SYD)),
-    ("86400", None, SYD, 86_400_000_000), ("12345678", None, SYD, 12_345_678_000_000), ("-86400", None, SYD, -86_400_000_000), ("201706", None, SYD, None), ("20170631", None, SYD, None), ("1234", None, SYD, None),
-    ("2022-06", None, SYD, None), ("2017", None, SYD, None), ("spring 2017", None, SYD, None), ("??/??/2015", None, SYD, None), ("n/a", None, SYD, None), ("", None, SYD, None), (None, None, SYD, None),
-    ("2021-02-30", None, SYD, None), ("2021-01-01T25:00:00", None, SYD, None), ("31/31/2020 10:00", None, SYD, None), ("2021-01-01", None, None, None), ("2021-01-01", None, "No/Where", None), ("2021-01-01T00:00:00Z", None, None, us(2021, 1, 1)), ("x" * 100_000, None, SYD, None),
+    ("1850-03-01 12:00:00", None, SYD, us(1850, 3, 1, 12, zone=SYD)),
+    ("1898-05-04 10:00:00", None, SYD, us(1898, 5, 4, 10, zone=SYD)),
+    ("1776-07-04", None, SYD, us(1776, 7, 4, zone=SYD)),
+    ("2150-01-15 12:00:00", None, SYD, us(2150, 1, 15, 12, zone=SYD)),
+    ("2150-07-15 12:00:00", None, SYD, us(2150, 7, 15, 12, zone=SYD)),
+    ("2499-12-31 23:00:00", None, SYD, us(2499, 12, 31, 23, zone=SYD)),
+    ("2777-01-15 12:00:00", None, SYD, us(2777, 1, 15, 12, zone=SYD)),
+    ("9998-07-15 12:00:00", None, SYD, us(9998, 7, 15, 12, zone=SYD)),
+    ("9998-01-15", None, SYD, us(9998, 1, 15, zone=SYD)),
+    ("86400", None, SYD, 86_400_000_000), ("12345678", None, SYD, 12_345_678_000_000),
+    ("-86400", None, SYD, -86_400_000_000), ("201706", None, SYD, None), ("20170631", None, SYD, None),
+    ("1234", None, SYD, None),
+    ("2022-06", None, SYD, None), ("2017", None, SYD, None), ("spring 2017", None, SYD, None),
+    ("??/??/2015", None, SYD, None), ("n/a", None, SYD, None), ("", None, SYD, None), (None, None, SYD, None),
+    ("2021-02-30", None, SYD, None), ("2021-01-01T25:00:00", None, SYD, None), ("31/31/2020 10:00", None, SYD, None),
+    ("2021-01-01", None, None, None), ("2021-01-01", None, "No/Where", None),
+    ("2021-01-01T00:00:00Z", None, None, us(2021, 1, 1)), ("x" * 100_000, None, SYD, None),
 ]
 
 
 @pytest.fixture(scope="module")
 def placed(spark):
-    df = spark.createDataFrame([(i, t, m, z, "clash") for i, (t, m, z, _) in enumerate(CASES)], "i int, text string, month int, zone string, intervals string")
+    df = spark.createDataFrame(
+        [(i, t, m, z, "clash") for i, (t, m, z, _) in enumerate(CASES)],
+        "i int, text string, month int, zone string, intervals string"
+    )
     zones = zone_intervals(spark, [SYD, "Etc/UTC", "No/Where"])
     return {r.i: r for r in to_instants(parse_moments(df, "text", "month"), zones).collect()}
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwake.operators import compaction, proximity, regular_grid, spikes, timestamps
-from gridwake.session import shared_folder
+from gridwake.session import work_folder
 from gridwake.sources import tables
 from gridwake.sources.tables import table
 
@@ -69,7 +69,7 @@ def _consolidated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, st
     The records are written as a table of many small files, as they come; partitions with small files are rewritten, where each
     distinct record stands once, with the smallest file_id that holds it.
     """
-    root = f"{shared_folder(spark)}/compaction/{uuid.uuid4().hex}"
+    root = f"{work_folder(spark)}/compaction/{uuid.uuid4().hex}"
     files = compaction.chunk_files(tables.table(spark, d, "chunk_reports"))
     rows = tables.table(spark, d, "chunk_rows").select("file_id", "point_id", "date", "source", "value")
     placed = rows.join(files.select("file_id", *compaction.CHUNK), "file_id")

@@ -11,7 +11,7 @@ from gridwake.operators import observations as ob
 from gridwake.operators import scoring
 from gridwake.plans.base import BANDS, BOX, GOOD, obs, regions, with_obs, table
 from gridwake.plans.registry import Registry
-from gridwake.session import shared_folder
+from gridwake.session import work_folder
 from gridwake.sources import readers, tables
 
 R = Registry()
@@ -20,7 +20,7 @@ r6 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 6).alia
 
 
 def scratch(spark, name):
-    return f"{shared_folder(spark)}/{name}/{uuid.uuid4().hex}"
+    return f"{work_folder(spark)}/{name}/{uuid.uuid4().hex}"
 
 
 # ---- sources -------------------------------------------------------------------------------------------

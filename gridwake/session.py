@@ -8,8 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "gridwake", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the library relies on; on a cluster, spark-submit's settings win."""
+#: What a shuffle's task should read about, and the partitions that a session has at least.
+TASK_BYTES, LEAST_PARTITIONS = 128 << 20, 200
+
+
+def partitions_for(shuffled_bytes: int) -> int:
+    """Shuffle partitions for an amount of shuffled data; adaptive execution joins those that turn out small.
+
+    Range partitioning, on which the distributed sorts rely, makes this many parts too. At 100 TB that is some 800,000.
+    """
+    return max(LEAST_PARTITIONS, -(-shuffled_bytes // TASK_BYTES))
+
+
+def build_session(
+    app: str = "gridwake", master: str | None = None, shuffled_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """A session with the settings the library relies on; on a cluster, spark-submit's settings win.
+
+    ``shuffled_bytes``, the largest amount a query will shuffle, sets the number of shuffle partitions: the default of 200 would
+    mean 500 GB a task at 100 TB.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -18,8 +36,11 @@ def build_session(app: str = "gridwake", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.showConsoleProgress": "false",
     }
+    if shuffled_bytes is not None:
+        defaults["spark.sql.shuffle.partitions"] = str(partitions_for(shuffled_bytes))
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -40,11 +61,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A folder of this application in the shared folder, for tables that a query writes on its way; it goes with the application.
+
+    Its results are read lazily, so it can't go earlier. What an application leaves that was killed can be told by its name.
+    """
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark)}/gridwake-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+        context.setCheckpointDir(work_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -57,7 +93,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}/{uuid.uuid4().hex}"
+        self.root = f"{work_folder(spark)}/{name}/{uuid.uuid4().hex}"
         self.paths: list[str] = []
 
     def cut(self, df: DataFrame) -> DataFrame:

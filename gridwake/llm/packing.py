@@ -9,7 +9,7 @@ per-partition counts, and look up their container in the plan.
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 
 import numpy as np
@@ -87,15 +87,28 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tupl
         used[size] += count
         left[size] -= count
 
-    large = sorted((s for s in left if s * 3 > capacity), reverse=True)
-    for i, size in enumerate(large):
+    large = sorted(s for s in left if s * 3 > capacity)
+    open_ = list(large)  # ascending: large sizes of which some are left
+
+    def partner_of(size: int) -> int | None:
+        """The largest size that fits beside one of ``size``; sizes that are used up leave the list on the way."""
+        at = bisect_right(open_, min(size, capacity - size)) - 1
+        while at >= 0:
+            other = open_[at]
+            if not left[other]:
+                open_.pop(at)
+            elif other != size or left[other] > 1:
+                return other
+            at -= 1
+        return None
+
+    for size in reversed(large):
         while left[size]:
-            partner = next(
-                (s for s in large[i:] if s <= capacity - size and left[s] and (s != size or left[s] > 1)), None
-            )
-            count = left[size] if partner is None else left[size] // 2 if partner == size else min(
-                left[size], left[partner]
-            )
+            partner = partner_of(size)
+            if partner is None:
+                count = left[size]
+            else:
+                count = left[size] // 2 if partner == size else min(left[size], left[partner])
             put(size, count, containers)
             if partner:
                 put(partner, count, containers)

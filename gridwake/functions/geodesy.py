@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,26 +52,70 @@ def utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
     return east, F.when(lat < 0, north + 10_000_000).otherwise(north)
 
 
-def utm_inverse(east: Column, north: Column, zone: Column, south: Column) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees of a projected place, by the series about the foot-point latitude."""
+def _held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that come out of a generator of one row.
+
+    A filter on a plain column is pushed below its projection and there written out as the column's whole expression, steps and all;
+    it isn't pushed below a generator.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def with_utm(df: DataFrame, lon: Column, lat: Column, zone: Column, east: str, north: str) -> DataFrame:
+    """``df`` with the projected place, by ``utm`` in steps: values used often are columns of their own, so that no tree grows."""
+    df = df.withColumns({"_lon": lon, "_lat": lat, "_zone": zone, "_phi": F.radians(lat)})
+    df = df.withColumns({"_s": F.sin("_phi"), "_c": F.cos("_phi"), "_tan": F.tan("_phi")})
+    df = df.withColumns({"_t": F.col("_tan") * F.col("_tan"), "_g": EP2 * F.col("_c") * F.col("_c")})
+    df = df.withColumns({
+        "_n": A / F.sqrt(1 - E2 * F.col("_s") * F.col("_s")),
+        "_a": F.col("_c") * F.radians(F.col("_lon") - (F.col("_zone") * 6 - 183)),
+    })
+    phi, tan, t, g, n, a = (F.col(c) for c in ("_phi", "_tan", "_t", "_g", "_n", "_a"))
+    arc = A * (
+        (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256) * phi
+        - (3 * E2 / 8 + 3 * E2**2 / 32 + 45 * E2**3 / 1024) * F.sin(2 * phi)
+        + (15 * E2**2 / 256 + 45 * E2**3 / 1024) * F.sin(4 * phi) - (35 * E2**3 / 3072) * F.sin(6 * phi)
+    )
+    x = a + (1 - t + g) * F.pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * g - 58 * EP2) * F.pow(a, 5) / 120
+    y = (
+        a * a / 2 + (5 - t + 9 * g + 4 * g * g) * F.pow(a, 4) / 24
+        + (61 - 58 * t + t * t + 600 * g - 330 * EP2) * F.pow(a, 6) / 720
+    )
+    shift = F.when(F.col("_lat") < 0, 10_000_000.0).otherwise(0.0)
+    out = df.withColumns({east: K0 * n * x + 500_000, north: K0 * (arc + n * tan * y) + shift})
+    return out.drop("_lon", "_lat", "_zone", "_phi", "_s", "_c", "_tan", "_t", "_g", "_n", "_a")
+
+
+def with_degrees(df: DataFrame, x: Column, y: Column, zone: Column, south: Column, lon: str, lat: str) -> DataFrame:
+    """``df`` with longitude and latitude of a projected place, by the series about the foot-point latitude, in steps."""
     e1 = (1 - math.sqrt(1 - E2)) / (1 + math.sqrt(1 - E2))
-    mu = F.when(south, north - 10_000_000).otherwise(north) / (K0 * A * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256))
-    foot = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (
-        21 * e1**2 / 16 - 55 * e1**4 / 32
-    ) * F.sin(4 * mu) + 151 * e1**3 / 96 * F.sin(6 * mu) + 1097 * e1**4 / 512 * F.sin(8 * mu)
-    s, c, tan = F.sin(foot), F.cos(foot), F.tan(foot)
-    t, g = tan * tan, EP2 * c * c
-    n, r = A / F.sqrt(1 - E2 * s * s), A * (1 - E2) / F.pow(1 - E2 * s * s, 1.5)
-    d = (east - 500_000) / (n * K0)
-    lat = foot - n * tan / r * (
+    mu = F.when(south, y - 10_000_000).otherwise(y) / (K0 * A * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256))
+    df = df.withColumns({"_x": x, "_zone": zone, "_mu": mu})
+    m = F.col("_mu")
+    foot = (
+        m + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * m) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * m)
+        + 151 * e1**3 / 96 * F.sin(6 * m) + 1097 * e1**4 / 512 * F.sin(8 * m)
+    )
+    df = df.withColumn("_f", foot)
+    df = df.withColumns({"_s": F.sin("_f"), "_c": F.cos("_f"), "_tan": F.tan("_f")})
+    df = df.withColumns({
+        "_t": F.col("_tan") * F.col("_tan"), "_g": EP2 * F.col("_c") * F.col("_c"),
+        "_w": 1 - E2 * F.col("_s") * F.col("_s"),
+    })
+    df = df.withColumns({"_n": A / F.sqrt("_w"), "_r": A * (1 - E2) / F.pow("_w", 1.5)})
+    df = df.withColumn("_d", (F.col("_x") - 500_000) / (F.col("_n") * K0))
+    f, c, tan, t, g, n, r, d = (F.col(k) for k in ("_f", "_c", "_tan", "_t", "_g", "_n", "_r", "_d"))
+    north = f - n * tan / r * (
         d * d / 2 - (5 + 3 * t + 10 * g - 4 * g * g - 9 * EP2) * F.pow(d, 4) / 24
         + (61 + 90 * t + 298 * g + 45 * t * t - 252 * EP2 - 3 * g * g) * F.pow(d, 6) / 720
     )
-    lon = (
+    east = (
         d - (1 + 2 * t + g) * F.pow(d, 3) / 6
         + (5 - 2 * g + 28 * t - 3 * g * g + 8 * EP2 + 24 * t * t) * F.pow(d, 5) / 120
     ) / c
-    return F.degrees(lon) + zone * 6 - 183, F.degrees(lat)
+    out = df.withColumns({lon: F.degrees(east) + F.col("_zone") * 6 - 183, lat: F.degrees(north)})
+    return out.drop("_x", "_zone", "_mu", "_f", "_s", "_c", "_tan", "_t", "_g", "_w", "_n", "_r", "_d")
 
 
 def pixel_grid(boxes: DataFrame, resolution: float, zone: int | None = None) -> DataFrame:
@@ -80,11 +125,11 @@ def pixel_grid(boxes: DataFrame, resolution: float, zone: int | None = None) ->
     """
     at = F.lit(zone) if zone else utm_zone((F.col("w") + F.col("e")) / 2)
     df = boxes.withColumns({"zone": at, "south": (F.col("s") + F.col("n")) / 2 < 0})
-    (x0, y0), (x1, y1) = utm(F.col("w"), F.col("s"), F.col("zone")), utm(F.col("e"), F.col("n"), F.col("zone"))
+    df = with_utm(df, F.col("w"), F.col("s"), F.col("zone"), "x0", "y0")
+    df = with_utm(df, F.col("e"), F.col("n"), F.col("zone"), "x1", "y1")
     snap = lambda c: F.floor(c / resolution) * resolution
-    return df.withColumns({"x0": x0, "y0": y0, "x1": x1, "y1": y1}).withColumns(
-        {"xs": snap(F.col("x0")), "ys": snap(F.col("y0"))}
-    )
+    df = _held(df, {c: F.col(c) for c in ("x0", "y0", "x1", "y1")})
+    return df.withColumns({"xs": snap(F.col("x0")), "ys": snap(F.col("y0"))})
 
 
 def chunk_grid(boxes: DataFrame, resolution: float, pixels: int, tile: float = 100_000.0) -> DataFrame:
@@ -123,11 +168,18 @@ def chunk_grid(boxes: DataFrame, resolution: float, pixels: int, tile: float = 1
     }).where("px0 <= px1 AND py0 <= py1")
 
 
-def degree_box(zone: Column, south: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> list[Column]:
-    """West, south, east and north of a projected box, from its four corners."""
-    corners = [utm_inverse(x, y, zone, south) for x in (x0, x1) for y in (y0, y1)]
-    lons, lats = [c[0] for c in corners], [c[1] for c in corners]
-    return [F.least(*lons), F.least(*lats), F.greatest(*lons), F.greatest(*lats)]
+def with_degree_box(
+    df: DataFrame, zone: Column, south: Column, x0: Column, y0: Column, x1: Column, y1: Column, names: Sequence[str]
+) -> DataFrame:
+    """``df`` with west, south, east and north, under the given names, of a projected box, from its four corners."""
+    df = df.withColumns({"_x0": x0, "_y0": y0, "_x1": x1, "_y1": y1})
+    corners = [(x, y) for x in ("_x0", "_x1") for y in ("_y0", "_y1")]
+    for k, (x, y) in enumerate(corners):
+        df = with_degrees(df, F.col(x), F.col(y), zone, south, f"_lon{k}", f"_lat{k}")
+    lons, lats = [f"_lon{k}" for k in range(4)], [f"_lat{k}" for k in range(4)]
+    edges = (F.least(*lons), F.least(*lats), F.greatest(*lons), F.greatest(*lats))
+    held = _held(df, dict(zip(names, edges)))
+    return held.drop("_x0", "_y0", "_x1", "_y1", *lons, *lats)
 
 
 def utm_sql(lon: str, lat: str, zone: str) -> tuple[str, str]:

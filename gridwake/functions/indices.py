@@ -9,7 +9,7 @@ import functools
 import math
 import operator
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BANDS = ["B02", "B03", "B04", "B05", "B06", "B07", "B08", "B8A", "B11", "B12"]
@@ -172,6 +172,45 @@ def brdf_factor(band: str, sun: Column, view: Column, azimuth: Column) -> Column
     return clamp(target / F.when(seen < 1e-6, 1.0).otherwise(seen), 0.5, 2.0)
 
 
+def _standard_kernels() -> tuple[float, float]:
+    """Both kernels under the standard geometry, sun at 45 degrees and nadir view."""
+    sun = math.radians(45.0)
+    cosine, secants = math.cos(sun), 1 / math.cos(sun) + 1
+    ross = ((math.pi / 2 - sun) * cosine + math.sin(sun)) / (cosine + 1) - math.pi / 4
+    at = min(2 * math.tan(sun) / secants, 1.0)
+    overlap = max((math.acos(at) - math.sin(math.acos(at)) * at) * secants / math.pi, 0.0)
+    return ross, overlap - secants + 0.5 * (1 + cosine) * (secants - overlap)
+
+
+def with_brdf_kernels(df: DataFrame, sun: Column, view: Column, azimuth: Column) -> DataFrame:
+    """``df`` with the kernels ``_ross`` and ``_li`` of angles in degrees, which all bands share, in steps."""
+    df = df.withColumns({"_sun": F.radians(sun), "_view": F.radians(view), "_azimuth": F.radians(azimuth)})
+    s, v, a = F.col("_sun"), F.col("_view"), F.col("_azimuth")
+    cosine = F.cos(s) * F.cos(v) + F.sin(s) * F.sin(v) * F.cos(a)
+    df = df.withColumns({"_cos": clamp(cosine, -1.0, 1.0), "_sec": 1 / F.cos(s) + 1 / F.cos(v)})
+    spread = F.pow(F.tan(s), 2) + F.pow(F.tan(v), 2) - 2 * F.tan(s) * F.tan(v) * F.cos(a)
+    crossing = F.pow(F.tan(s) * F.tan(v) * F.sin(a), 2)
+    at = clamp(2 * F.sqrt(F.greatest(spread + crossing, F.lit(0.0))) / F.col("_sec"), -1.0, 1.0)
+    df = df.withColumns({"_phase": F.acos("_cos"), "_at": F.acos(at)})
+    overlap = F.greatest(
+        (F.col("_at") - F.sin("_at") * F.cos("_at")) * F.col("_sec") / math.pi, F.lit(0.0)
+    )
+    df = df.withColumn("_over", F.when(F.col("_at").isNotNull(), overlap))
+    ross = ((math.pi / 2 - F.col("_phase")) * F.col("_cos") + F.sin("_phase")) / (F.cos(s) + F.cos(v)) - math.pi / 4
+    li = F.col("_over") - F.col("_sec") + 0.5 * (1 + F.col("_cos")) * (F.col("_sec") - F.col("_over"))
+    return df.withColumns({"_ross": ross, "_li": li}).drop(
+        "_sun", "_view", "_azimuth", "_cos", "_sec", "_phase", "_at", "_over"
+    )
+
+
+def brdf_from_kernels(band: str) -> Column:
+    """As ``brdf_factor``, from the columns of ``with_brdf_kernels``."""
+    iso, geo, vol = BRDF[band]
+    ross, li = _standard_kernels()
+    seen = iso + vol * F.col("_ross") + geo * F.col("_li")
+    return clamp((iso + vol * ross + geo * li) / F.when(seen < 1e-6, 1.0).otherwise(seen), 0.5, 2.0)
+
+
 def brdf_sql(band: str) -> str:
     """``brdf_factor`` as a DuckDB expression over columns s, v and a, the angles in radians; written out on its own."""
     iso, geo, vol = BRDF[band]

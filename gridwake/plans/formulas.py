@@ -114,9 +114,8 @@ def fn_17(spark, d):
 )
 def fn_18(spark, d):
     sun, view, azimuth = F.col("sun_zenith") * 0.6, F.col("view_zenith") * 0.1, (F.col("doy") * 7 % 180).cast("double")
-    return obs(spark, d).where("source = 'S2'").select(
-        "obs_id", *[r6(indices.brdf_factor(b, sun, view, azimuth), f"c_{b}") for b in BANDS]
-    )
+    df = indices.with_brdf_kernels(obs(spark, d).where("source = 'S2'"), sun, view, azimuth)
+    return df.select("obs_id", *[r6(indices.brdf_from_kernels(b), f"c_{b}") for b in BANDS])
 
 
 _GRID = "an AS (SELECT i, j, (i * 3 + j * j % 11)::DOUBLE AS angle FROM range(23) a(i), range(23) b(j))"
@@ -524,8 +523,8 @@ _EAST, _NORTH = geodesy.utm_sql("lon", "lat", "zone")
 
 def projected(spark, d):
     p = pts(spark, d).withColumn("zone", geodesy.utm_zone(F.col("lon")))
-    east, north = geodesy.utm(F.col("lon"), F.col("lat"), F.col("zone"))
-    return p.select("point_id", "zone", F.round(east, 2).alias("east"), F.round(north, 2).alias("north"))
+    p = geodesy.with_utm(p, F.col("lon"), F.col("lat"), F.col("zone"), "east", "north")
+    return p.select("point_id", "zone", F.round("east", 2).alias("east"), F.round("north", 2).alias("north"))
 
 
 @R.add(
@@ -561,12 +560,12 @@ def geo_01(spark, d):
     g = geodesy.pixel_grid(boxes(spark, d), STEP)
     steps = lambda lo, hi: F.explode(F.sequence(F.lit(0), (F.ceil((F.col(hi) - F.col(lo)) / STEP) - 1).cast("int")))
     px = g.where("x1 > xs AND y1 > ys").withColumn("i", steps("xs", "x1")).withColumn("j", steps("ys", "y1"))
-    lon, lat = geodesy.utm_inverse(
-        F.col("xs") + F.col("i") * STEP, F.col("ys") + F.col("j") * STEP, F.col("zone"), F.col("south")
-    )
-    return px.select(
-        "id", ids.point_name("px", F.col("i"), F.col("j")).alias("point_id"), r6(lon, "lon"), r6(lat, "lat")
+    px = geodesy.with_degrees(
+        px, F.col("xs") + F.col("i") * STEP, F.col("ys") + F.col("j") * STEP, F.col("zone"), F.col("south"), "lon",
+        "lat"
     )
+    name = ids.point_name("px", F.col("i"), F.col("j"))
+    return px.select("id", name.alias("point_id"), r6(F.col("lon"), "lon"), r6(F.col("lat"), "lat"))
 
 
 @R.add(
@@ -604,8 +603,8 @@ _CHUNKS = (
 def chunks(spark, d):
     """The chunks of each region that meet its polygon, here the diamond inside its box."""
     g = geodesy.chunk_grid(boxes(spark, d), STEP, CHUNK_PX)
-    box = geodesy.degree_box(F.col("zone"), F.col("south"), *[F.col(c) for c in ("px0", "py0", "px1", "py1")])
-    g = g.withColumns(dict(zip(("west", "low", "east", "high"), box)))
+    inner = [F.col(c) for c in ("px0", "py0", "px1", "py1")]
+    g = geodesy.with_degree_box(g, F.col("zone"), F.col("south"), *inner, names=("west", "low", "east", "high"))
     away = lambda lo, hi, a, b: F.greatest(
         F.col(lo) - (F.col(a) + F.col(b)) / 2, (F.col(a) + F.col(b)) / 2 - F.col(hi), F.lit(0.0)
     ) / ((F.col(b) - F.col(a)) / 2)
@@ -825,7 +824,10 @@ def geo_12(spark, d):
     )
     edge = lambda o, k, top: (F.col(o) + F.col(k) * _TILE_M, F.least(F.col(o) + (F.col(k) + 1) * _TILE_M, F.col(top)))
     (a0, a1), (b0, b1) = edge("x0", "col", "x1"), edge("y0", "row", "y1")
-    west, low, east, high = geodesy.degree_box(F.lit(55), F.lit(True), a0, b0, a1, b1)
+    g = g.withColumns({"a0": a0, "a1": a1, "b0": b0, "b1": b1})
+    corners = [F.col(c) for c in ("a0", "b0", "a1", "b1")]
+    g = geodesy.with_degree_box(g, F.lit(55), F.lit(True), *corners, names=("west", "low", "east", "high"))
+    west, low, east, high = (F.col(c) for c in ("west", "low", "east", "high"))
     first, last = lambda k: F.col(k) == 0, lambda k: F.col(k) == F.col(f"n_{k}s") - 1
     return g.select(
         "id", "row", "col",
@@ -862,11 +864,11 @@ def geo_14(spark, d):
 def geo_15(spark, d):
     """The ring of each chunk's block in degrees, closed, from its projected corners."""
     x0, y0 = F.col("x_left"), F.col("y_lower")
-    corners = [(x0, y0), (x0 + _BLOCK, y0), (x0 + _BLOCK, y0 + _BLOCK), (x0, y0 + _BLOCK), (x0, y0)]
-    ring = [
-        F.array(*[F.round(c, 6) for c in geodesy.utm_inverse(x, y, F.col("zone"), F.col("south"))]) for x, y in corners
-    ]
-    return chunks(spark, d).select("id", "chunk_row", "chunk_col", F.array(*ring).alias("ring"))
+    df = chunks(spark, d)
+    for k, (x, y) in enumerate([(x0, y0), (x0 + _BLOCK, y0), (x0 + _BLOCK, y0 + _BLOCK), (x0, y0 + _BLOCK)]):
+        df = geodesy.with_degrees(df, x, y, F.col("zone"), F.col("south"), f"lon{k}", f"lat{k}")
+    ring = [F.array(F.round(f"lon{k}", 6), F.round(f"lat{k}", 6)) for k in (0, 1, 2, 3, 0)]
+    return df.select("id", "chunk_row", "chunk_col", F.array(*ring).alias("ring"))
 
 
 QUERIES, SQL = R.queries, R.sql

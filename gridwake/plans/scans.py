@@ -1229,11 +1229,12 @@ def ext_02(spark, d):
     scenes = df.groupBy("item_id").agg(F.max(some).alias("some")).where("some OR item_id IS NULL").select("item_id")
     kept = df.alias("d").join(scenes.alias("s"), F.col("d.item_id").eqNullSafe(F.col("s.item_id")), "left_semi")
     sun, view, azimuth = F.col("sun_zenith") * 0.6, F.col("view_zenith") * 0.1, (F.col("doy") * 7 % 180).cast("double")
+    kept = indices.with_brdf_kernels(kept, sun, view, azimuth)
     whole = lambda c: F.bround(c * 100, 0).cast("int")
     corrected = [
         F.round(
             indices.clamp(
-                indices.reflectance(b) * F.coalesce(indices.brdf_factor(b, sun, view, azimuth), F.lit(1.0)), 0.0, 1.0
+                indices.reflectance(b) * F.coalesce(indices.brdf_from_kernels(b), F.lit(1.0)), 0.0, 1.0
             ),
             6
         ).alias(b)

@@ -176,3 +176,19 @@ def test_region_configuration():
         readers.regions_from_config([{"id": "a"}])
     with pytest.raises(ValueError):
         readers.restrict(None)
+
+
+def test_kernels_shared_by_the_bands_give_the_same_factors(spark):
+    angles = [
+        (float(s), float(v), float(a)) for s in (0, 30, 45, 70) for v in (0, 5, 20) for a in (0, 90, 170)
+    ] + [(None, 1.0, 1.0)]
+    df = spark.createDataFrame(angles, "s double, v double, a double")
+    kernels = indices.with_brdf_kernels(df, F.col("s"), F.col("v"), F.col("a"))
+    both = [
+        (indices.brdf_from_kernels(b), indices.brdf_factor(b, F.col("s"), F.col("v"), F.col("a")))
+        for b in ("B02", "B08")
+    ]
+    for r in kernels.select(*[c for pair in both for c in pair]).collect():
+        assert r[0] == (r[1] if r[1] is None else pytest.approx(r[1])) and r[2] == (
+            r[3] if r[3] is None else pytest.approx(r[3])
+        )

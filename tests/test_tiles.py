@@ -44,7 +44,10 @@ def test_the_projection_turns_back(spark):
     df = spark.createDataFrame(
         [(138.9, -24.2), (141.0, -18.0), (146.4, -13.4), (143.9999, -0.01)], "lon double, lat double"
     ).withColumn("zone", geodesy.utm_zone(F.col("lon")))
-    x, y = geodesy.utm(F.col("lon"), F.col("lat"), F.col("zone"))
-    back = geodesy.utm_inverse(x, y, F.col("zone"), F.lit(True))
-    for r in df.select("lon", "lat", back[0].alias("x"), back[1].alias("y")).collect():
-        assert abs(r.lon - r.x) < 1e-8 and abs(r.lat - r.y) < 1e-8
+    there = geodesy.with_utm(df, F.col("lon"), F.col("lat"), F.col("zone"), "x", "y")
+    plain = geodesy.utm(F.col("lon"), F.col("lat"), F.col("zone"))
+    there = there.withColumns({"px": plain[0], "py": plain[1]})
+    back = geodesy.with_degrees(there, F.col("x"), F.col("y"), F.col("zone"), F.lit(True), "lon_again", "lat_again")
+    for r in back.collect():
+        assert abs(r.lon - r.lon_again) < 1e-8 and abs(r.lat - r.lat_again) < 1e-8
+        assert abs(r.x - r.px) < 1e-6 and abs(r.y - r.py) < 1e-6

@@ -181,6 +181,25 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
 
 
+def place_in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
+    """``(point_id, label, first_year, last_year)`` of the points that lie in a region's box, located once.
+
+    The label is that of the last region by ``ordinal``; of several regions the latest beginning and the earliest end hold.
+    """
+    from gridwake.operators.proximity import locate_in_boxes
+
+    years = [F.array_min("years").alias("lo"), F.array_max("years").alias("hi")]
+    box = [F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("x_lo", "y_lo", "x_hi", "y_hi"))]
+    boxes = regions.select(F.struct("ordinal", "label", *years).alias("bid"), *box)
+    held = locate_in_boxes(
+        points.select(F.col("point_id").alias("pid"), F.col("lon").alias("x"), F.col("lat").alias("y")), boxes
+    )
+    return held.groupBy(F.col("pid").alias("point_id")).agg(
+        F.max_by("bid.label", "bid.ordinal").alias("label"), F.max("bid.lo").alias("first_year"),
+        F.min("bid.hi").alias("last_year")
+    )
+
+
 def label_by_box(points: DataFrame, regions: DataFrame) -> DataFrame:
     """The label of the last region (by ``ordinal``) whose box holds the point; null outside all."""
     from gridwake.operators.proximity import locate_in_boxes

@@ -15,6 +15,7 @@ from gridwake.plans.evaluations import DQ, _EVALUATED, _FEATURES, _HARM, _VECTOR
 from gridwake.plans.registry import Registry
 from gridwake.plans.scans import _POINTS, COVER_SQL, COVERED, EXEMPT, covered_name, points, scratch
 from gridwake.plans.statistics import IS_RADAR, OPTICAL, RADAR, _CHUNK_SQL, _REGION_QA, annual_summaries, chunk_quality, rounded, summary_sql, _SEEN, _SERIES_SQL, _YEARS, reduced, series
+from gridwake.session import Scratch
 from gridwake.sources import readers
 from gridwake.streaming import ingest
 
@@ -142,15 +143,19 @@ def qry_06(spark, d):
     """
     from gridwake.operators.evaluation import southern_split
 
+    scratch_ = Scratch(spark, "training")
     df = obs(spark, d).drop("label")
-    places, boxes = points(spark, d), regions(spark, d)
-    labels = ob.label_by_box(places, boxes).where("label IS NOT NULL")
-    splits = southern_split(labels, 0.2)
+    # One row per point, written once: everything that follows asks for it several times.
+    places = scratch_.cut(points(spark, d))
+    found = places.join(ob.place_in_regions(places, regions(spark, d)).where("label IS NOT NULL"), "point_id")
+    splits = scratch_.cut(southern_split(found, 0.2))
     exempt = ids.site(F.col("point_id")).isin(*EXEMPT)
     train = ob.every_nth_point(splits.where("split = 'train'"), 2, exempt=exempt).select("point_id")
     chosen = splits.where("split = 'validation'").select("point_id").unionByName(train)
-    kept = splits.select("point_id", "label", "split").join(chosen, "point_id", "left_semi")
-    rows = ob.without_water(ob.pin_years(df.join(kept, "point_id"), places, boxes))
+    kept = splits.select("point_id", "label", "split", "first_year", "last_year").join(chosen, "point_id", "left_semi")
+    rows = ob.without_water(df.join(kept, "point_id").where("year BETWEEN first_year AND last_year"))
+    used = ["vh_db", "vv_db", "vh_vv", "rvi", "scl", "scl_purity", "doy", *(f"i_{n.lower()}" for n in indices.INDICES)]
+    rows = scratch_.cut(rows.select(*wi.WINDOW, "label", "split", "source", *used, *BANDS))
     dry = wi.flags_dry(F.col("doy"))
     window = rows.groupBy(*wi.WINDOW, "label", "split").agg(
         F.count_if(F.col("source") == "S2").alias("n2"),
@@ -158,11 +163,9 @@ def qry_06(spark, d):
         F.avg(F.when(dry & (F.col("source") == "S1"), F.col("vh_db"))).alias("vh_dry"),
         F.avg(F.when(dry & (F.col("source") == "S2") & F.col("scl").isin(4, 5), F.col("i_ndvi"))).alias("ndvi_dry"),
     )
-    window = wi.presence_filter(
-        window.where("n2 >= 10 AND n1 >= 4"), -16.0, -17.0, 0.3
-    ).select(*wi.WINDOW, "label", "split")
-    summaries = rounded(annual_summaries(rows), wi.WINDOW).select(*wi.WINDOW, *_SHOWN)
-    return window.join(summaries, wi.WINDOW, "left")
+    window = wi.presence_filter(window.where("n2 >= 10 AND n1 >= 4"), -16.0, -17.0, 0.3)
+    summaries = rounded(annual_summaries(rows, ("ndvi", "B08", "s1_vh")), wi.WINDOW).select(*wi.WINDOW, *_SHOWN)
+    return window.select(*wi.WINDOW, "label", "split").join(summaries, wi.WINDOW, "left")
 
 
 _STANDARD = {"ndvi_p5": 0.8, "ndvi_p95": 0.6, "mavi_std": -0.4, "s1_vh_p5": 0.5}
@@ -186,7 +189,10 @@ def final_scores(spark, d):
     enough = df.groupBy(*wi.WINDOW).agg(
         F.count_if(F.col("source") == "S2").alias("n2"), F.count_if(F.col("source") == "S1").alias("n1")
     ).where("n2 >= 10 AND n1 >= 4").select(*wi.WINDOW)
-    kept = annual_summaries(df).select(*wi.WINDOW, *_STANDARD).join(enough, wi.WINDOW, "left_semi")
+    kept = annual_summaries(df, ("ndvi", "mavi", "s1_vh")).select(*wi.WINDOW, *_STANDARD).join(
+        enough, wi.WINDOW, "left_semi"
+    )
+    kept = Scratch(spark, "scores").cut(kept)  # one row per window, used for the scale and for the scores
     stats = kept.agg(
         *[
             x for n in _STANDARD

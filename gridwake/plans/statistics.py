@@ -108,12 +108,14 @@ def summary_sql(features, gate, digits=6):
     return ", ".join(parts)
 
 
-def annual_summaries(df):
-    """5th and 95th percentile and deviation of all features per window that has an optical reading of enough purity."""
+def annual_summaries(df, names=None):
+    """5th and 95th percentile and deviation of the features per window that has an optical reading of enough purity.
+
+    All twenty features unless some are named: only what is asked for is shuffled.
+    """
     good, radar = F.expr(GOOD), F.col("source") == "S1"
-    columns = {
-        n: F.when(good, _value(c)) for n, c in OPTICAL.items()
-    } | {n: F.when(radar, F.col(c)) for n, c in RADAR.items()}
+    columns = {n: F.when(good, _value(c)) for n, c in OPTICAL.items() if names is None or n in names}
+    columns |= {n: F.when(radar, F.col(c)) for n, c in RADAR.items() if names is None or n in names}
     used = df.where(good | radar).select(*wi.WINDOW, good.alias("_good"), *[c.alias(n) for n, c in columns.items()])
     return wi.band_summaries(used, wi.WINDOW, list(columns), needed="_good")
 

@@ -44,28 +44,41 @@ def band_summary(value: Column, prefix: str) -> list[Column]:
 
 
 def _padded(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The values of groups of similar size as the sorted rows of a matrix, with NaN behind them."""
+    """The values of groups of similar size as the sorted rows of a matrix, with infinity behind them."""
     place = np.arange(int(size.max()))[None, :]
     at = np.minimum(first[:, None] + place, len(values) - 1)
-    rows = np.where(place < size[:, None], values[at], np.nan)
+    rows = np.where(place < size[:, None], values[at], np.inf)
     rows.sort(axis=1)
     return rows
 
 
-def _spread(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Number of values, 5th and 95th percentile and population deviation of sorted rows that end in NaN."""
-    n = rows.shape[1] - np.isnan(rows).sum(axis=1)
-    line = np.arange(len(rows))
+def _quantile(rows: np.ndarray, size: np.ndarray, f: float) -> np.ndarray:
+    """Linear between the two order statistics around the position, of sorted rows of ``size`` values each."""
+    at = (size - 1) * f
+    low, line = np.floor(at).astype(np.int64), np.arange(len(rows))
+    a, b = rows[line, low], rows[line, np.ceil(at).astype(np.int64)]
+    return a + (b - a) * (at - low)
 
-    def quantile(f: float) -> np.ndarray:
-        at = np.maximum(n - 1, 0) * f
-        low = np.floor(at).astype(np.int64)
-        a, b = rows[line, low], rows[line, np.ceil(at).astype(np.int64)]
-        return a + (b - a) * (at - low)
 
-    mean = np.nansum(rows, axis=1) / np.maximum(n, 1)
-    deviation = np.sqrt(np.nansum(np.square(rows - mean[:, None]), axis=1) / np.maximum(n, 1))
-    return n, quantile(0.05), quantile(0.95), deviation
+def _spread(values: np.ndarray, codes: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per group: number of values, 5th and 95th percentile and population deviation; NaN values don't count.
+
+    Groups of similar size share a matrix, so that padding at most doubles the work.
+    """
+    there = ~np.isnan(values)
+    values, codes = values[there], codes[there]
+    size = np.bincount(codes, minlength=groups)
+    first = np.cumsum(size) - size
+    mean = np.bincount(codes, weights=values, minlength=groups) / np.maximum(size, 1)
+    squares = np.bincount(codes, weights=np.square(values - mean[codes]), minlength=groups)
+    low, high = np.zeros(groups), np.zeros(groups)
+    some = np.flatnonzero(size > 1)
+    kind = np.ceil(np.log2(size[some])).astype(np.int64)
+    for k in np.unique(kind):
+        part = some[kind == k]
+        rows = _padded(values, first[part], size[part])
+        low[part], high[part] = _quantile(rows, size[part], 0.05), _quantile(rows, size[part], 0.95)
+    return size, low, high, np.sqrt(squares / np.maximum(size, 1))
 
 
 def band_summaries(df: DataFrame, keys: Sequence[str], columns: Sequence[str], needed: str | None = None) -> DataFrame:
@@ -91,17 +104,11 @@ def band_summaries(df: DataFrame, keys: Sequence[str], columns: Sequence[str], n
         else:
             kept = np.arange(len(size))
         out = {k: table.column(k).take(pa.array(first[kept])) for k in keys}
-        # Groups of similar size share a matrix, so that padding at most doubles the work.
-        kind = np.ceil(np.log2(size[kept])).astype(np.int64)
-        parts = [np.flatnonzero(kind == k) for k in np.unique(kind)]
         for c in columns:
-            values = table.column(c).to_numpy()
-            p5, p95, std = np.zeros(len(kept)), np.zeros(len(kept)), np.ones(len(kept))
-            for part in parts:
-                n, low, high, deviation = _spread(_padded(values, first[kept[part]], size[kept[part]]))
-                some = n > 1
-                p5[part[some]], p95[part[some]], std[part[some]] = low[some], high[some], deviation[some]
-            out |= {f"{c}_p5": pa.array(p5), f"{c}_p95": pa.array(p95), f"{c}_std": pa.array(std)}
+            n, low, high, deviation = (x[kept] for x in _spread(table.column(c).to_numpy(), codes, len(size)))
+            few = n < 2
+            parts = {"p5": np.where(few, 0.0, low), "p95": np.where(few, 0.0, high), "std": np.where(few, 1.0, deviation)}
+            out |= {f"{c}_{end}": pa.array(v) for end, v in parts.items()}
         return pa.table(out)
 
     doubles = [F.col(c).cast("double").alias(c) for c in columns]

@@ -247,15 +247,20 @@ def snk_04(spark, d):
     "AS rank FROM scores"
 )
 def snk_05(spark, d):
+    from gridwake.operators.order_stats import numbered
+
     path = scratch(spark, "snk_05")
-    scores = point_scores(spark, d)
-    ranked = scoring.ranking(
-        scores.select("point_id"), scores, scores.select("point_id", F.lit(None).cast("int").alias("label"))
+    scores = point_scores(spark, d).withColumns(
+        {"_none": F.col("score").isNull(), "_down": -F.col("score"), "_unnamed": F.col("point_id").isNull()}
     )
-    ranked.select(
-        "point_id", F.round("score", 4).alias("score"), "rank"
-    ).orderBy("rank").coalesce(1).write.option("header", True).csv(path)
-    return readers.csv(spark, path, "point_id string, score double, rank int")
+    # Scaled before rounding, as in SQL: 0.67585 * 10000 lies below the half, while Spark's round goes by the digits.
+    numbered(scores, [], ["_none", "_down", "_unnamed", "point_id"], "rank").select(
+        "point_id", (F.round(F.col("score") * 10_000) / 10_000).alias("score"), F.col("rank").cast("int")
+    ).orderBy("rank").coalesce(1).write.options(
+        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+    # A null value that does not occur: otherwise a quoted empty id would be read as null too.
+    return readers.csv(spark, path, "point_id string, score double, rank int", nullValue="\0")
 
 
 @R.add(

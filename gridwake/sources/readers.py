@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from gridwake.operators.observations import by_northing
 
 
-def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.option("header", True).schema(schema).csv(path)
+def csv(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
+    return spark.read.options(header=True, **options).schema(schema).csv(path)
 
 
 def extent(df: DataFrame) -> DataFrame:

@@ -97,3 +97,30 @@ def test_empty_files_and_least_radar_readings(spark, tmp_path):
         (4, 0, 0, 0, 0, None, None, 0)
     ]
     assert sorted(map(tuple, QUERIES["agg_20"](spark, str(tmp_path)).select(*columns).collect())) == want
+
+
+def test_ranking_file_keeps_every_point_and_rounds_scaled_scores(spark, tmp_path):
+    # B08 and B04 of each point; 0.81095 and 0.28855 lie below the half once scaled, 0.10545 does not. Two have no score.
+    bands = {
+        "dark": (0, 0), " up": (557, 1000), "b": (525, 500), "": (557, 1000), "c": (2091, 500), "a": (525, 500),
+        None: (2091, 500), "bare": (None, None)
+    }
+    other = [b for b in indices.BANDS if b not in ("B08", "B04")]
+    spark.createDataFrame(
+        [
+            (
+                i, "x", p, 140.0, -18.0, date(2020, 1, i), *b, *[None] * len(other), "S2", 1, None, None, None,
+                datetime(2020, 3, 1)
+            )
+            for i,
+            (p, b) in enumerate(bands.items(), 1)
+        ],
+        f"obs_id long, region_id string, point_id string, lon float, lat float, date date, B08 int, B04 int, "
+        f"{', '.join(f'{b} int' for b in other)}, source string, scl_purity byte, vh float, vv float, NDVI float, "
+        f"loaded_at timestamp",
+    ).repartition(3).write.parquet(f"{tmp_path}/observations.parquet")
+    got = QUERIES["snk_05"](spark, str(tmp_path)).select("rank", "point_id", "score").collect()
+    assert [tuple(r) for r in got] == [
+        (1, "c", 0.8109), (2, None, 0.8109), (3, "a", 0.2885), (4, "b", 0.2885), (5, "", 0.1055), (6, " up", 0.1055),
+        (7, "bare", None), (8, "dark", None)
+    ]
